@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from veinwork.llm import exact_dedup
+from veinwork.llm import byte_bpe, dac_store, exact_dedup
 
 QUERIES = {
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op10_dac_store": dac_store.op10_dac_store,
 }
 
 ORACLE_SQL = {
