@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veinwork.llm import byte_bpe, dac_store, exact_dedup, language_id
+from veinwork.llm import byte_bpe, dac_store, exact_dedup, language_id, ngram_join
 
 QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_dac_store": dac_store.op10_dac_store,
 }
