@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, ngram_join, personal_data
+from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, license_scan, ngram_join, personal_data
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_personal_data": personal_data.op4_personal_data,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op9_language_id": language_id.op9_language_id,
     "op10_dac_store": dac_store.op10_dac_store,
