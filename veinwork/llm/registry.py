@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, license_scan, ngram_join, personal_data
+from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, license_scan, ngram_join, personal_data, substring_dedup
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_dac_store": dac_store.op10_dac_store,
 }
