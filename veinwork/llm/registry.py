@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, license_scan, ngram_join, personal_data, substring_dedup
+from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, ngram_join, personal_data, substring_dedup
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_personal_data": personal_data.op4_personal_data,
