@@ -222,8 +222,9 @@ def _walk(percent: int):
     def rows(table: pa.Table) -> pa.Table:
         """One block of partners of one document."""
         a = table["a"][0].as_py()
-        probe = np.frombuffer(table["keys_a"][0].as_py(), np.int64).tolist()
-        stored = [(b, np.frombuffer(raw, np.int64).tolist()) for b, raw in zip(table["b"].to_pylist(), table["keys_b"].to_pylist())]
+        sets = {b: np.frombuffer(raw, np.int64).tolist() for b, raw in zip(table["b"].to_pylist(), table["keys"].to_pylist())}
+        probe = sets.pop(None)
+        stored = list(sets.items())
         found = [(a, b, len(probe) + size - shared, shared) for b, size, shared in Trie.of(stored).overlaps(probe, percent)]
         return pa.table({k: pa.array([r[i] for r in found], pa.int64()) for i, k in enumerate(("a", "b", "together", "shared"))})
 
@@ -240,14 +241,12 @@ def overlaps(pairs: DataFrame, source: DataFrame, level: object, percent: int, f
     sets = written(own.mapInArrow(_sets(level), "doc long, keys binary"), f"{folder}/sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
-    # the partner's set first: its key has few pairs; then the leader's, whose hot keys the engine splits
-    full = (
-        pairs.join(blocks.hint("merge"), "a")
-        .select("a", "b", block.alias("block"))
-        .join(sets.select(F.col("doc").alias("b"), F.col("keys").alias("keys_b")).hint("merge"), "b")
-        .join(sets.select(F.col("doc").alias("a"), F.col("keys").alias("keys_a")).hint("merge"), "a")
-    )
-    found = full.groupBy("a", "block").applyInArrow(_walk(percent), "a long, b long, together long, shared long")
+    placed = pairs.join(blocks.hint("merge"), "a").select("a", "b", block.alias("block"))
+    partner = placed.join(sets.select(F.col("doc").alias("b"), "keys").hint("merge"), "b").select("a", "block", "b", "keys")
+    # the leader's own set goes once to each of its blocks
+    every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")
+    leader = blocks.select("a", every).join(sets.select(F.col("doc").alias("a"), "keys").hint("merge"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "keys")
+    found = partner.unionByName(leader).groupBy("a", "block").applyInArrow(_walk(percent), "a long, b long, together long, shared long")
     return written(found, f"{folder}/overlaps")
 
 
