@@ -13,8 +13,8 @@ SUGGEST_OBSERVED, SUGGEST_ROLE = 0.8, 0.5
 
 def wilson(hits: Column, n: Column) -> Column:
     """Lower bound of the Wilson interval; 0 for an empty population."""
-    n = n.cast("double")
-    p = hits / F.when(n > 0, n)
+    n = F.when(n > 0, n.cast("double"))
+    p = hits / n
     centre = p + Z * Z / (2 * n)
     spread = Z * F.sqrt((p * (1 - p) + Z * Z / (4 * n)) / n)
     return F.coalesce((centre - spread) / (1 + Z * Z / n), F.lit(0.0))
