@@ -43,7 +43,7 @@ def segments(path: Column) -> Column:
 
 def layer_of(path: Column) -> Column:
     """First segment that is a router root or not structural; null if there is none."""
-    return F.filter(segments(path), lambda s: s.isin(*ROUTER_ROOTS) | ~s.rlike(STRUCTURAL))[0]
+    return F.get(F.filter(segments(path), lambda s: s.isin(*ROUTER_ROOTS) | ~s.rlike(STRUCTURAL)), F.lit(0))
 
 
 def directory(path: Column) -> Column:
@@ -63,7 +63,7 @@ def folded(path: Column) -> Column:
     def step(done: Column, part: Column) -> Column:
         return (
             F.when(part.isin(".", ""), done)
-            .when((part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
+            .when((part == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, F.lit(1), F.size(done) - 1))
             .otherwise(F.concat(done, F.array(part)))
         )
 

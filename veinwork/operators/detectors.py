@@ -87,7 +87,7 @@ def sibling_isolation(members: DataFrame, edges: DataFrame) -> DataFrame:
 def members_of(files: DataFrame, containers: tuple[str, ...]) -> DataFrame:
     """(id, container, member): the first container segment with at least two more segments below it."""
     parts = paths.segments(F.col("path"))
-    at = F.filter(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: F.element_at(parts, i).isin(*containers))[0]
+    at = F.get(F.filter(F.sequence(F.lit(1), F.size(parts) - 2), lambda i: F.element_at(parts, i).isin(*containers)), F.lit(0))
     placed = files.select("id", parts.alias("parts"), F.when(F.size(parts) > 2, at).alias("at")).filter("at IS NOT NULL")
     return placed.select("id", F.array_join(F.slice("parts", F.lit(1), F.col("at")), "/").alias("container"), F.element_at("parts", F.col("at") + 1).alias("member"))
 
