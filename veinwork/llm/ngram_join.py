@@ -112,11 +112,12 @@ def required(n: int, m: int, percent: int = 80) -> int:
 class Trie:
     """Ordered sets that share their common prefixes."""
 
-    __slots__ = ("child", "deepest", "ends")
+    __slots__ = ("child", "deepest", "ends", "least")
 
     def __init__(self) -> None:
         self.child: dict[int, Trie] = {}
-        self.deepest = 0
+        # sizes of the smallest and the largest set below
+        self.least, self.deepest = 1 << 62, 0
         self.ends: tuple[tuple[int, int], ...] = ()
 
     @classmethod
@@ -124,13 +125,13 @@ class Trie:
         root = cls()
         for name, tokens in sets:
             node = root
-            node.deepest = max(node.deepest, len(tokens))
+            node.least, node.deepest = min(node.least, len(tokens)), max(node.deepest, len(tokens))
             for token in tokens:
                 step = node.child.get(token)
                 if step is None:
                     step = node.child[token] = cls()
                 node = step
-                node.deepest = max(node.deepest, len(tokens))
+                node.least, node.deepest = min(node.least, len(tokens)), max(node.deepest, len(tokens))
             node.ends += ((name, len(tokens)),)
         return root
 
@@ -148,7 +149,8 @@ class Trie:
                 where = at.get(token)
                 now = shared + (where is not None)
                 seen = passed if where is None else where + 1
-                size = step.deepest
+                # of the sizes below, the one with the most slack: no longer than the probe's rest can serve
+                size = min(max(depth + 1 + n - seen, step.least), step.deepest)
                 if now + min(size - depth - 1, n - seen) >= required(n, size, percent):
                     stack.append((step, depth + 1, now, seen))
 
