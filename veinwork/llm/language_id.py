@@ -126,7 +126,8 @@ class ContextTrees:
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % modulus
+    """crc32 of the id as text, modulo; -1 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
 def sample(docs: DataFrame, docs_per_language: int, max_text: int) -> dict[str, list[bytes]]:
