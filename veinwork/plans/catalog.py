@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veinwork.functions import paths, prose, roles
 from veinwork.functions.stats import gate, gate_sql, wilson_sql
-from veinwork.operators import change, detectors, graph, resolve, rules
+from veinwork.operators import change, detectors, emit, graph, references, resolve, rules
 from veinwork.sources import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,3 +534,45 @@ def context_sentences(spark: SparkSession, d: str) -> DataFrame:
 def rule_like_sentences(spark: SparkSession, d: str) -> DataFrame:
     rows = context_sentences(spark, d)
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(prose.reads_like_rule(F.col("text"))).alias("rule_like"))
+
+
+@query(r"SELECT page_id AS id, len(t)::BIGINT AS scripts, len(t) - len(regexp_extract_all(bare, '(?i)<script\\b[^>]*src=[^>]*>', 0))::BIGINT AS inline_scripts FROM (SELECT page_id, bare, regexp_extract_all(bare, '(?i)<script\\b([^>]*)>', 1) AS t FROM (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS bare FROM pages))".replace("\\\\", "\\"))
+def page_scripts(spark: SparkSession, d: str) -> DataFrame:
+    return references.inline_scripts(bridge.table(spark, d, "pages"), "page_id", "html")
+
+
+@query(_with("SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT src, dst FROM ugraph) WHERE src <> dst"))
+def reference_graph(spark: SparkSession, d: str) -> DataFrame:
+    return references.reference_graph(bridge.edges(spark, d), bridge.user_graph(spark, d))
+
+
+EXPORTS = [".", "lib0", "lib*/src/*", "lib*", "lib*/src/x", "li*", "lib1/"]
+
+
+@query(_with("SELECT spec, CASE WHEN s = 'lib0' THEN 'lib0' WHEN s LIKE 'lib_%/src/x' THEN 'lib*/src/x' WHEN s LIKE 'lib_%' THEN 'lib*' WHEN s LIKE 'li_%' THEN 'li*' END AS key FROM (SELECT DISTINCT spec, substr(spec, 8) AS s FROM imports WHERE spec LIKE '@scope/%')"))
+def export_matching(spark: SparkSession, d: str) -> DataFrame:
+    own = bridge.imports(spark, d).filter("spec LIKE '@scope/%'").select("spec").distinct()
+    return own.select("spec", references.matching_export(F.expr("substr(spec, 8)"), EXPORTS).alias("key"))
+
+
+@query(f"""WITH lb AS ({_LAYERS}) SELECT 'no-' || from_layer || '-to-' || to_layer AS name, 'Files in ' || from_layer || ' must not import ' || to_layer || ' (' || (population - violators) || ' of ' || population || ' follow, ' || format('{{:.1f}}%', 100 * observed) || ').' AS statement FROM lb""")
+def rule_statements(spark: SparkSession, d: str) -> DataFrame:
+    return emit.statements(layer_boundaries(spark, d))
+
+
+@query(f"""WITH lb AS ({_LAYERS}) SELECT from_layer, '{{"files":["src/' || from_layer || '/**"],"restricted":[' || string_agg(DISTINCT '"**/' || to_layer || '/**"', ',' ORDER BY '"**/' || to_layer || '/**"') || ']}}' AS config FROM lb WHERE status = 'AUTO' GROUP BY 1""")
+def linter_config(spark: SparkSession, d: str) -> DataFrame:
+    return emit.restricted_imports(layer_boundaries(spark, d))
+
+
+@query(f"""WITH lb AS ({_LAYERS}), e AS (SELECT to_layer AS a, from_layer AS b, reverse_flow AS w, false AS leak FROM lb UNION ALL SELECT from_layer, to_layer, violators, true FROM lb WHERE violators > 0)
+SELECT 'digraph layers {{' || chr(10) || string_agg(l, chr(10) ORDER BY l) || chr(10) || '}}' AS graph FROM (SELECT '  "' || a || '" -> "' || b || '" [label="' || w || CASE WHEN leak THEN '", style=dashed]' ELSE '"]' END AS l FROM e)""")
+def layer_dot(spark: SparkSession, d: str) -> DataFrame:
+    return emit.dot(layer_graph_edges(spark, d))
+
+
+@query(f"WITH lb AS ({_LAYERS}), r AS (SELECT 'no-' || from_layer || '-to-' || to_layer AS id FROM lb) SELECT 'Tool/  ' || upper(id) AS ref, id FROM r UNION ALL SELECT 'absent', NULL")
+def rule_lookup(spark: SparkSession, d: str) -> DataFrame:
+    named = emit.rule_names(layer_boundaries(spark, d)).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("label"))
+    refs = named.select(F.concat(F.lit("Tool/  "), F.upper("id")).alias("ref")).unionByName(spark.createDataFrame([("absent",)], "ref string"))
+    return emit.found_rules(refs.withColumn("ref", F.col("ref")), named)
