@@ -2,10 +2,10 @@
 
 A document is the set of its distinct five-word shingles; two documents link
 when 100 * intersection >= 80 * union.  All sets are put in one global order,
-rare shingles first: the order key is the level of the shingle's count in a
-counter array of fixed size, filled from all documents, then its hash.  Any
-shared order gives exact results; counts only keep common passages out of the
-prefixes.  Linked sets share a shingle among their first
+rare shingles first: a quarter of all shingles, chosen by hash, is counted over
+all documents in a counter array of fixed size; the order key is the level of
+that count (above all levels for the others), then a hash.  Any shared order
+gives exact results; counts only keep common passages out of the prefixes.  Linked sets share a shingle among their first
 ``n - ceil(0.8 n) + 1`` ones.
 
 1.  Documents of equal sets fold into one representative.
@@ -46,13 +46,17 @@ from veinwork.llm.components import components
 from veinwork.llm.textbatch import mix, runs, shingles, texts, word_hashes
 from veinwork.llm.workspace import shared_folder, written
 
-COUNTERS = 1 << 22
+COUNTERS = 1 << 23
+#: Shingles of one in so many hash values are counted and come first in the order; prefixes are a fifth of a set.
+SAMPLED = 4
 SEGMENTS = 64
 #: Shingles of the partners that one trie holds, about.
-BLOCK = 100_000
+BLOCK = 50_000
 SALTS = 64
-#: Ids up to this number (16 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Destinations of sets up to this number (24 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_DESTINATIONS = 1_000_000
+#: Bytes of sets that a task sends on at a time, about.
+SENT = 4 << 20
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -66,15 +70,25 @@ def document_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]
             yield np.unique(found[a:b])
 
 
+def _sampled(found: np.ndarray) -> np.ndarray:
+    return found >> np.uint64(62) < np.uint64(4 // SAMPLED)
+
+
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
     some = False
     for batch in batches:
         data, offsets = texts(batch.column(0))
         sets = list(document_sets(data, offsets))
-        if sets:
-            counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            some = True
+        some = some or bool(sets)
+        for lo in range(0, len(sets), 512):
+            found = np.concatenate(sets[lo : lo + 512])
+            at, n = np.unique(_counter(found[_sampled(found)]), return_counts=True)
+            counts[at] += n.astype(np.uint32)
     if some:
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], ["segment", "counts"])
@@ -100,7 +114,8 @@ def levels(docs: DataFrame) -> np.ndarray:
 
 def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
     """A set as ascending order keys: seven bits of level, 56 of hash."""
-    keys = level[(found & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+    first = np.where(_sampled(found), level[_counter(found)], 127).astype(np.uint64)
+    keys = first << np.uint64(56) | mix(found) >> np.uint64(8)
     return np.unique(keys).astype(np.int64)
 
 
@@ -209,13 +224,32 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(level: object):
+def _sent(level: object):
+    """Each document's set, once for every trie block that it goes to; a leader's own has no b."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = level.value
+        out: list[tuple[int, int, int | None, bytes]] = []
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], ["a", "block", "b", "keys"])
+            out.clear()
+            return batch
+
         for batch in batches:
             data, offsets = texts(batch.column(1))
-            packed = [ordered(found, order).tobytes() for found in document_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc", "keys"])
+            for doc, to, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), document_sets(data, offsets)):
+                raw = ordered(found, order).tobytes()
+                for place in to:
+                    out.append((place["a"], place["block"], None if place["own"] else doc, raw))
+                    held += len(raw)
+                    if held >= SENT:
+                        yield sent()
+                        held = 0
+        if out:
+            yield sent()
 
     return rows
 
@@ -235,20 +269,19 @@ def _walk(percent: int):
 
 def overlaps(pairs: DataFrame, source: DataFrame, level: object, percent: int, folder: str) -> DataFrame:
     """(a, b, together, shared) of the pairs (a, b, n_b) with Jaccard of at least percent / 100."""
-    spark = pairs.sparkSession
     pairs = written(pairs, f"{folder}/pairs")
-    wanted = written(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), f"{folder}/wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    own = source.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc", "left_semi")
-    sets = written(own.mapInArrow(_sets(level), "doc long, keys binary"), f"{folder}/sets")
     blocks = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
-    placed = pairs.join(blocks.hint("merge"), "a").select("a", "b", block.alias("block"))
-    partner = placed.join(sets.select(F.col("doc").alias("b"), "keys").hint("merge"), "b").select("a", "block", "b", "keys")
-    # the leader's own set goes once to each of its blocks
+    partner = pairs.join(blocks.hint("merge"), "a").select(F.col("b").alias("doc"), "a", block.alias("block"), F.lit(False).alias("own"))
     every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")
-    leader = blocks.select("a", every).join(sets.select(F.col("doc").alias("a"), "keys").hint("merge"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "keys")
-    found = partner.unionByName(leader).groupBy("a", "block").applyInArrow(_walk(percent), "a long, b long, together long, shared long")
+    leader = blocks.select(F.col("a").alias("doc"), "a", every, F.lit(True).alias("own"))
+    # lists of at most 1024 blocks of a leader, so that no row grows with a group
+    places = partner.unionByName(leader).groupBy("doc", F.floor(F.col("block") / 1024)).agg(F.collect_list(F.struct("a", "block", "own")).alias("to"))
+    places = written(places.select("doc", "to"), f"{folder}/places")
+    few = (places.agg(F.sum(F.size("to")).alias("n")).first()["n"] or 0) <= BROADCAST_DESTINATIONS
+    going = source.join(F.broadcast(places) if few else places.hint("merge"), "doc").select("doc", "text", "to")
+    sets = going.mapInArrow(_sent(level), "a long, block int, b long, keys binary")
+    found = sets.groupBy("a", "block").applyInArrow(_walk(percent), "a long, b long, together long, shared long")
     return written(found, f"{folder}/overlaps")
 
 
