@@ -66,6 +66,7 @@ def test_language_id(spark):
     kept = language_id.known_languages(spark, docs, "")
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in texts} - {500, 501, 502}
     assert language_id.identify(frame(spark, []), trees).count() == 0
+    assert language_id.known(docs, None).count() == 0
 
 
 def test_fingerprints():
@@ -112,6 +113,9 @@ def test_decontamination(spark, corpus):
     pairs = {(r["doc_id"], r["item_id"]) for r in found.collect()}
     assert pairs == {(1, 1), (2, 2), (3, 3), (3, 1), (4, 5), (5, 6)}
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark, item_words=20).collect()} == pairs
+    for size in (20, 10**6):
+        kept = decontaminate.clean(docs, benchmark, item_words=size)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - {d for d, _ in pairs}
     assert all(r["similarity"] == 1.0 for r in found.filter("doc_id < 5").collect())
     assert decontaminate.contaminated(docs, benchmark.filter("false")).count() == 0 == decontaminate.contaminated(docs.filter("false"), benchmark).count()
 

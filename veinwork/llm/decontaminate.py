@@ -185,27 +185,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return source.mapInArrow(found, _SCHEMA)
 
-    out, block, held = [], [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        held += len((row["text"] or "").split())
-        if held >= item_words:
-            out.append(searched(block))
-            block, held = [], 0
-    if block or not out:
-        out.append(searched(block))
+    out = [searched(block) for block in item_blocks(benchmark, item_words)]
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
     return result
 
 
+def item_blocks(benchmark: DataFrame, item_words: int) -> Iterator[list[tuple[int, str | None]]]:
+    """Items in blocks of about ``item_words`` words; one empty block if there is none."""
+    block, held, some = [], 0, False
+    for row in benchmark.select("item_id", "text").orderBy("item_id").toLocalIterator():
+        block.append((row["item_id"], row["text"]))
+        held += len((row["text"] or "").split())
+        if held >= item_words:
+            yield block
+            block, held, some = [], 0, True
+    if block or not some:
+        yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_words: int = ITEM_WORDS) -> DataFrame:
+    """Rows that hold no item, with all their columns and no exchange: one filter for each block of items."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def kept(sent: object):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = texts(batch.column(at))
+                keep = np.ones(len(offsets) - 1, bool)
+                for lo, hi in runs(offsets):
+                    words, counts = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    keep[[lo + h[0] for h in sent.value.search(words, counts)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows
+
+    for block in item_blocks(benchmark, item_words):
+        docs = docs.mapInArrow(kept(docs.sparkSession.sparkContext.broadcast(Items(block))), schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -197,10 +197,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
+def known(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text", limit: float = FOREIGN_BITS) -> DataFrame:
+    """Rows with letters whose shortest code is below ``limit`` bits a byte, with all their columns and no exchange."""
+    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    if trees is None:
+        return docs.filter("false")
+    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            data, offsets = texts(batch.column(at))
+            least = np.zeros(len(offsets) - 1)
+            for lo, hi in runs(offsets):
+                least[lo:hi] = model.code_lengths(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).min(1)
+            yield batch.filter(pa.array(least < limit * np.diff(offsets)))
+
+    return docs.filter(lettered).mapInArrow(rows, docs.schema)
+
+
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without letters, or far from every learned language, go."""
-    trees = train(docs)
-    found = identify(docs, trees)
-    keep = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") < FOREIGN_BITS))
-    ids = keep.select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """Pipeline stage: documents without letters, or in none of the learned languages, go."""
+    return known(docs, train(docs))
