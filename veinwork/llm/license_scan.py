@@ -32,6 +32,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veinwork.llm.workspace import sampled
+
 NEGATIVES = 2000
 SURE = 0.6
 CONTAINED = 0.6
@@ -184,12 +186,12 @@ class LicenceModel:
 
 
 def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
-    """Negatives: first lines without licence words of the ``negatives`` documents with the smallest hashed ids."""
+    """Negatives: first lines without licence words of about ``negatives`` documents, chosen by hashed id."""
     line = F.substring(F.substring_index("text", "\n", 1), 1, 400)
-    plain = docs.select(line.alias("line"), F.xxhash64(F.col("doc_id").cast("string")).alias("spread")).filter(
+    plain = docs.select(line.alias("line"), "doc_id").filter(
         F.col("line").isNotNull() & ~F.lower("line").rlike("licen|copyright|rights reserved|public domain|permission")
     )
-    return LicenceModel([r["line"] for r in plain.orderBy("spread", "line").limit(negatives).collect()])
+    return LicenceModel(sorted(r["line"] for r in sampled(plain, "doc_id", negatives).collect()))
 
 
 def licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

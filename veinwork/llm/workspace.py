@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +35,12 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sampled(rows: DataFrame, id_col: str, size: int) -> DataFrame:
+    """About ``size`` rows, at most twice as many: those whose hashed id is below the share that is wanted."""
+    share = size / max(1, rows.count())
+    if share >= 1:
+        return rows
+    scale = 1 << 30
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(scale)) < int(share * scale)).limit(2 * size)
