@@ -81,14 +81,22 @@ def _counter(found: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
     some = False
+    held: list[np.ndarray] = []
+
+    def add() -> None:
+        found = np.concatenate(held)
+        at, n = np.unique(_counter(found[_sampled(found)]), return_counts=True)
+        counts[at] += n.astype(np.uint32)
+        held.clear()
+
     for batch in batches:
-        data, offsets = texts(batch.column(0))
-        sets = list(document_sets(data, offsets))
-        some = some or bool(sets)
-        for lo in range(0, len(sets), 512):
-            found = np.concatenate(sets[lo : lo + 512])
-            at, n = np.unique(_counter(found[_sampled(found)]), return_counts=True)
-            counts[at] += n.astype(np.uint32)
+        for found in document_sets(*texts(batch.column(0))):
+            held.append(found)
+            some = True
+            if len(held) == 512:
+                add()
+    if held:
+        add()
     if some:
         parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], ["segment", "counts"])
