@@ -10,12 +10,14 @@ gives exact results; counts only keep common passages out of the prefixes.  Link
 
 1.  Documents of equal sets fold into one representative.
 2.  Prefix shingles are dealt by shingle; documents at one shingle form a run.
-    Each run pairs its smallest document, the leader, with the others.
+    Each run pairs its leader with the others: the document that shares most
+    with all others.  A second leader follows, from outside the components
+    that the first has linked.
 3.  A leader's partners are stored as ordered sets in a trie; the leader's set
     walks down it, sharing partial overlaps among sets with a common prefix
     and leaving subtrees whose remaining length cannot reach the bound.
 4.  Links found so far give components.  Pairs of a run that are still open
-    (other components, neither decided by the leader) are tried in the same
+    (other components, neither decided by a leader) are tried in the same
     way.  Jaccard distance is a metric: a partner linked to the leader (distance
     at most 0.2) cannot link to one farther than 0.4 from it.
 5.  Components of all links, and of the folded copies.
@@ -202,12 +204,12 @@ def _profiles(level: object):
     return rows
 
 
-_RUN_SCHEMA = "token long, leader long, leader_n int, doc long, n int, pos int"
+_RUN_SCHEMA = "token long, head long, head_n int, head_pos int, doc long, n int, pos int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by token and document: the leader of each run beside every other member."""
-    held: tuple[int, int, int] | None = None
+    """Entries sorted by token and document: the head of each run beside every other member; single entries drop out."""
+    held: tuple[int, int, int, int] | None = None
     for batch in batches:
         token, doc, n, pos = (batch.column(k).to_numpy() for k in range(4))
         if not len(token):
@@ -217,17 +219,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins[0] = held is None or token[0] != held[0]
         run = np.cumsum(begins)
         first = np.flatnonzero(begins)
-        lead_doc, lead_n = doc[first], n[first]
+        heads = [doc[first], n[first], pos[first]]
         if not begins[0]:
-            lead_doc, lead_n = np.insert(lead_doc, 0, held[1]), np.insert(lead_n, 0, held[2])
+            heads = [np.insert(h, 0, v) for h, v in zip(heads, held[1:])]
         else:
             run = run - 1
-        held = (int(token[-1]), int(lead_doc[-1]), int(lead_n[-1]))
+        held = (int(token[-1]), *(int(h[-1]) for h in heads))
         keep = ~begins
         if keep.any():
             of = run[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (token[keep], lead_doc[of], lead_n[of].astype(np.int32), doc[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32))],
+                [pa.array(x) for x in (token[keep], heads[0][of], heads[1][of].astype(np.int32), heads[2][of].astype(np.int32), doc[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32))],
                 [x.split()[0] for x in _RUN_SCHEMA.split(", ")],
             )
 
@@ -293,6 +295,14 @@ def overlaps(pairs: DataFrame, source: DataFrame, level: object, percent: int, f
     return written(found, f"{folder}/overlaps")
 
 
+def _leaders(rows: DataFrame, name: str) -> DataFrame:
+    """token and its most central document: name, name_n and, where rows have components, name_comp."""
+    fields = [F.col("doc").alias("d"), F.col("n").alias("n"), *([F.col("comp").alias("c")] if "comp" in rows.columns else [])]
+    best = rows.groupBy("token").agg(F.max_by(F.struct(*fields), F.struct("score", -F.col("doc"))).alias("best"))
+    own = [F.col("best.d").alias(name), F.col("best.n").alias(f"{name}_n"), *([F.col("best.c").alias(f"{name}_comp")] if "comp" in rows.columns else [])]
+    return best.select("token", *own)
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, component_id) and verified links between distinct sets (a, b, jaccard).
 
@@ -320,18 +330,39 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("token", "doc", "n", F.col("pos").cast("int").alias("pos"))
     )
     run = written(entries.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_runs, _RUN_SCHEMA), f"{folder}/runs")
-    star = run.filter("100 * least(n, leader_n) >= 60 * greatest(n, leader_n)").select(F.col("leader").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct()
+    heads = run.select("token", F.col("head").alias("doc"), F.col("head_n").alias("n"), F.col("head_pos").alias("pos")).distinct()
+    members = written(run.select("token", "doc", "n", "pos").unionByName(heads), f"{folder}/run_members")
+    # central documents share their shingles with many: the sum of the sizes of a document's runs
+    size = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    score = members.join(size.hint("merge"), "token").groupBy("doc").agg(F.sum("k").alias("score"))
+    ranked = written(members.join(score.hint("merge"), "doc"), f"{folder}/ranked")
+    lead = written(_leaders(ranked, "leader"), f"{folder}/lead")
+    led = ranked.join(lead.hint("merge"), "token").filter("doc <> leader")
+    star = led.filter("100 * least(n, leader_n) >= 60 * greatest(n, leader_n)").select(F.col("leader").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct()
     near = overlaps(star, source, level, 60, f"{folder}/star")
     links = near.filter("100 * shared >= 80 * together").select("a", "b", "together", "shared")
     comp = components(links, f"{folder}/first")
+    # a second leader for each run, from outside the first one's component
+    placed = led.join(comp.hint("merge"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    of_leader = comp.select(F.col("doc").alias("leader"), F.col("comp").alias("leader_comp"))
+    placed = written(placed.join(of_leader.hint("merge"), "leader", "left").withColumn("leader_comp", F.coalesce("leader_comp", "leader")), f"{folder}/placed")
+    second = written(_leaders(placed.filter("comp <> leader_comp"), "second"), f"{folder}/second")
+    again = placed.join(second.hint("merge"), "token").filter("doc <> second AND comp <> second_comp AND 100 * least(n, second_n) >= 80 * greatest(n, second_n)")
+    more = overlaps(again.select(F.col("second").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct(), source, level, 80, f"{folder}/again")
+    links = written(links.unionByName(more), f"{folder}/star_links")
+    comp = components(links, f"{folder}/second_components")
     # what the leaders left open
     state = near.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (F.expr("100 * shared >= 80 * together")).alias("linked"))
     open_ = (
-        run.join(state.hint("merge"), ["leader", "doc"], "left")
+        placed.drop("comp", "leader_comp")
+        .join(second.select("token", "second").hint("merge"), "token", "left")
+        .filter("second IS NULL OR doc <> second")
+        .join(state.hint("merge"), ["leader", "doc"], "left")
         .join(comp.hint("merge"), "doc", "left")
         .select("token", "doc", "n", "pos", F.coalesce("comp", "doc").alias("comp"), F.when(F.col("linked"), 2).when(F.col("linked").isNotNull(), 1).otherwise(0).alias("near"))
     )
-    open_ = written(open_, f"{folder}/open")
+    mixed = open_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    open_ = written(open_.join(mixed.hint("merge"), "token", "left_semi"), f"{folder}/open")
     left = open_.filter("near < 2")
     right = open_.select(*[F.col(c).alias(f"{c}_b") for c in open_.columns])
     apart = (
