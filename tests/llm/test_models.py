@@ -14,6 +14,7 @@ from tests.llm.conftest import frame, words
 from tests.llm.test_dedup_and_joins import tokens
 from tests.llm.test_tokens import RANKS
 from veinwork.llm import attention_model, decontaminate, language_id, license_scan, lm_scoring, personal_data
+from veinwork.llm.textbatch import word_hashes
 
 
 def test_context_trees_are_distributions():
@@ -120,6 +121,21 @@ def test_decontamination(spark, corpus):
     assert decontaminate.contaminated(docs, benchmark.filter("false")).count() == 0 == decontaminate.contaminated(docs.filter("false"), benchmark).count()
 
 
+def searched(item, passage):
+    """Matches of one item in a document with 20 words before and after the passage."""
+    around = random.Random(32)
+    raw = np.frombuffer(f"{words(around, 20)} {passage} {words(around, 20)}".encode(), np.uint8)
+    return list(decontaminate.Items([(1, item)]).search(*word_hashes(raw, np.array([0, len(raw)]))))
+
+
+def test_items_without_first_and_last_word():
+    draw = random.Random(31)
+    for n in (20, 25, 30, 38, 48, 59, 100, 300, 600):
+        for _ in range(10):
+            item = words(draw, n).split(" ")
+            assert [h[:2] for h in searched(" ".join(item), " ".join(item[1:-1]))] == [(0, 0)], n
+
+
 def brute_spans(text):
     out = []
     for kind, pattern in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):

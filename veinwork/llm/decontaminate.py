@@ -2,7 +2,9 @@
 
 Each benchmark item gets windows sized from it: the ladder's largest length up
 to the item's, and the largest up to its half, each taken at its start and at
-its end.  Every window of those lengths in every document gets a 64-bit
+its end, and windows of about three quarters of the stretch that no passage of
+similarity 0.8 can do without (``unedited``), so close to each other that
+every such stretch holds one whole.  Every window of those lengths in every document gets a 64-bit
 SimHash over its lower-cased words, from eight packed running sums.  Of the
 four 16-bit blocks of a fingerprint at least one is equal when two
 fingerprints differ in at most ``RADIUS`` = 3 bits, so four tables find all
@@ -86,6 +88,20 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / (sum(a.values()) + sum(b.values()) - shared)
 
 
+def unedited(n: int) -> int:
+    """Words in a row that any passage of ``SIMILARITY`` leaves of an item of ``n`` words whose shingles differ.
+
+    An edit within the item, of however few words, costs the shingles across
+    it on one side or both: an insertion takes 4 of the item's and adds 5, a
+    removal takes 4 and one a word and adds 4.  Against the similarity that is
+    at least 7.2 of the item's shingles, and 0.8 or 1 more for each word put in
+    or taken; words gone from the ends cost one each.
+    """
+    spare = (1 - SIMILARITY) * (n - SHINGLE + 1) + 1e-9
+    edit = (SHINGLE - 1) * (1 + SIMILARITY)
+    return min(-(-(n - int(spare - edit * k)) // (k + 1)) for k in range(int(spare / (edit + SIMILARITY)) + 1))
+
+
 class Items:
     """Fingerprints and block tables of a block of items."""
 
@@ -106,10 +122,14 @@ class Items:
                 self.whole.setdefault(words.tobytes(), []).append(at)
                 continue
             sums = Sums(words)
+            stretch = unedited(n)
+            dense = max(x for x in LADDER if x <= max(stretch * 3 // 4, LADDER[0]))
+            entered = {(dense, offset) for offset in range(0, n - dense + 1, stretch - dense + 1)}
             for width in {max(x for x in LADDER if x <= n), max(x for x in LADDER if x <= max(n // 2, LADDER[0]))}:
-                found = sums.fingerprints(width)
-                for offset in {0, n - width}:
-                    anchors.setdefault(width, []).append((int(found[offset]), at, offset))
+                entered |= {(width, 0), (width, n - width)}
+            prints = {width: sums.fingerprints(width) for width in {w for w, _ in entered}}
+            for width, offset in sorted(entered):
+                anchors.setdefault(width, []).append((int(prints[width][offset]), at, offset))
         self.classes = {}
         for width, kept in anchors.items():
             prints = np.array([x[0] for x in kept], np.uint64)
