@@ -136,6 +136,37 @@ def test_items_without_first_and_last_word():
             assert [h[:2] for h in searched(" ".join(item), " ".join(item[1:-1]))] == [(0, 0)], n
 
 
+def best_stretch(item, text):
+    """Highest multiset Jaccard of all stretches of a text, with the first and longest of them."""
+    bags = [Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in (item, text)]
+    top = (0, 0, 0)
+    for a in range(len(text) - 4):
+        bag = Counter()
+        for b in range(a + 5, len(text) + 1):
+            bag[tuple(text[b - 5 : b])] += 1
+            top = max(top, ((bag & bags[0]).total() / (bag | bags[0]).total(), -a, b - a))
+    return top[0], -top[1], top[2]
+
+
+def test_decontamination_of_edited_items():
+    draw = random.Random(33)
+    kinds = Counter()
+    for n in (5, 6, 7, 8, 12, 20, 36, 59, 59, 100):
+        for _ in range(25):
+            item = words(draw, n).split(" ")
+            if draw.random() < 0.3:
+                item[n // 3 : n // 3 + 6] = item[:6]  # shingles that occur twice
+            text, size, at = list(item), draw.randint(0, n // 8), draw.randrange(n)
+            text[at : at + size * draw.randrange(2)] = words(draw, size).split(" ") if size and draw.random() < 0.7 else []
+            around = random.Random(32)
+            whole = [*words(around, 20).split(" "), *text, *words(around, 20).split(" ")]
+            expected = best_stretch(item, whole)
+            found = [h[2:] for h in searched(" ".join(item), " ".join(text))]
+            assert found == ([expected] if expected[0] >= 0.8 else []), (n, size, at)
+            kinds[bool(found), len(text) - n > 2] += 1
+    assert min(kinds[True, True], kinds[True, False], kinds[False, False]) >= 5
+
+
 def brute_spans(text):
     out = []
     for kind, pattern in enumerate([r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]):

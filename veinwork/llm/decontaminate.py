@@ -8,12 +8,13 @@ every such stretch holds one whole.  Every window of those lengths in every docu
 SimHash over its lower-cased words, from eight packed running sums.  Of the
 four 16-bit blocks of a fingerprint at least one is equal when two
 fingerprints differ in at most ``RADIUS`` = 3 bits, so four tables find all
-fingerprints within the radius.  Each candidate is then aligned with its whole
-item, within ``SLACK`` words, and verified by the exact multiset Jaccard of
-five-word shingles (weights: occurrences), 0.8 or more.
+fingerprints within the radius.  For each candidate the stretch of the
+document around the window with the highest exact multiset Jaccard of
+five-word shingles (weights: occurrences) is taken, of all lengths that can
+reach 0.8.
 
-Items shorter than ``LEAST`` words match only documents that consist of just
-their words.  Items come to the executors in blocks of ``ITEM_WORDS`` words,
+Items shorter than a shingle match only documents that consist of just their
+words.  Items come to the executors in blocks of ``ITEM_WORDS`` words,
 one pass over the documents a block.
 
 Defined results: null and empty texts contain nothing and null or empty items
@@ -36,8 +37,6 @@ from veinwork.llm.textbatch import SHINGLE, _STEP, mix, runs, texts, word_hashes
 
 RADIUS = 3
 SIMILARITY = 0.8
-LEAST = 8
-SLACK = 2
 ITEM_WORDS = 1_000_000
 #: Window lengths, a quarter apart; at most 127 words, what the packed sums hold.
 LADDER = [5, 6, 7, 9, 11, 14, 17, 21, 26, 33, 41, 51, 64, 80, 100]
@@ -71,21 +70,12 @@ class Sums:
         return out
 
 
-def bag(words: np.ndarray) -> Counter:
-    """Shingles of a window with their occurrences."""
-    if len(words) < SHINGLE:
-        return Counter([(int(np.bitwise_xor.reduce(words)), len(words))]) if len(words) else Counter()
-    total = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of at least ``SHINGLE`` words; none of fewer."""
+    total = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         total += words[k : k + len(total)] * _STEP[k + 1]
-    return Counter(mix(total).tolist())
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    if not a or not b:
-        return 0.0
-    shared = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    return shared / (sum(a.values()) + sum(b.values()) - shared)
+    return mix(total)
 
 
 def unedited(n: int) -> int:
@@ -107,7 +97,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids, self.words, self.bags, self.whole = [], [], [], {}
-        anchors: dict[int, list[tuple[int, int, int]]] = {}
+        anchors: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             words = word_hashes(raw, np.array([0, len(raw)]))[0]
@@ -117,8 +107,8 @@ class Items:
             at = len(self.ids)
             self.ids.append(item_id)
             self.words.append(words)
-            self.bags.append(bag(words))
-            if n < LEAST:
+            self.bags.append(Counter(shingle_hashes(words).tolist()))
+            if n < SHINGLE:
                 self.whole.setdefault(words.tobytes(), []).append(at)
                 continue
             sums = Sums(words)
@@ -129,21 +119,21 @@ class Items:
                 entered |= {(width, 0), (width, n - width)}
             prints = {width: sums.fingerprints(width) for width in {w for w, _ in entered}}
             for width, offset in sorted(entered):
-                anchors.setdefault(width, []).append((int(prints[width][offset]), at, offset))
+                anchors.setdefault(width, []).append((int(prints[width][offset]), at))
         self.classes = {}
         for width, kept in anchors.items():
             prints = np.array([x[0] for x in kept], np.uint64)
             tables = np.zeros((4, 1 << 16), bool)
             for block in range(4):
                 tables[block, (prints >> np.uint64(16 * block) & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.classes[width] = (prints, tables, np.array([x[1:] for x in kept], np.int64))
+            self.classes[width] = (prints, tables, np.array([x[1] for x in kept], np.int64))
 
     def search(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, similarity, first word, words) of the best match of each pair in a run of documents."""
         ends = np.cumsum(counts)
         begins = ends - counts
         if self.whole:
-            for d in np.flatnonzero((counts > 0) & (counts < LEAST)).tolist():
+            for d in np.flatnonzero((counts > 0) & (counts < SHINGLE)).tolist():
                 for at in self.whole.get(words[begins[d] : ends[d]].tobytes(), ()):
                     yield d, at, 1.0, 0, int(counts[d])
         if not len(words) or not self.classes:
@@ -163,20 +153,57 @@ class Items:
                 for a in range(0, len(prints), 256):
                     near = np.bitwise_count(found[part][:, None] ^ prints[None, a : a + 256]) <= RADIUS
                     at, which = np.nonzero(near)
-                    for position, (item, offset) in zip(part[at].tolist(), anchors[a + which].tolist()):
+                    for position, item in zip(part[at].tolist(), anchors[a + which].tolist()):
                         d = int(np.searchsorted(ends, position, "right"))
                         if position + width <= ends[d]:
-                            best.setdefault((d, item), set()).add(position - offset)
-        for (d, item), starts in best.items():
-            size, top = len(self.words[item]), (0.0, 0, 0)
-            tried = {s + shift for s in starts for shift in range(-SLACK, SLACK + 1)}
-            for start in sorted(tried):
-                for length in range(max(1, size - SLACK), size + SLACK + 1):
-                    a, b = max(start, int(begins[d])), min(start + length, int(ends[d]))
-                    if a < b and top[0] < 1.0:
-                        top = max(top, (similarity(self.bags[item], bag(words[a:b])), -a, b - a))
-            if top[0] >= SIMILARITY:
-                yield d, item, top[0], -top[1] - int(begins[d]), top[2]
+                            best.setdefault((d, item), set()).add((position, width))
+        for (d, item), held in best.items():
+            similar, first, length = self.aligned(item, words[begins[d] : ends[d]], sorted((at - int(begins[d]), width) for at, width in held))
+            if similar >= SIMILARITY:
+                yield d, item, similar, first, length
+
+    def aligned(self, item: int, words: np.ndarray, held: list[tuple[int, int]]) -> tuple[float, int, int]:
+        """(similarity, first word, words) of the best stretch around the windows (start, words) of a document.
+
+        A shingle adds to the stretches that begin after its occurrence that
+        many places back as the item has of it, so the shared shingles of all
+        ends of one beginning are a running sum.  A best stretch begins and
+        ends with a shared shingle.
+        """
+        own = self.bags[item]
+        size = sum(own.values())
+        most, need = int(size / SIMILARITY + 1e-9), SIMILARITY * size - 1e-9
+        longest = most + SHINGLE - 1
+        regions: list[list[int]] = []
+        for start, width in held:
+            lo, hi = max(0, start + width - longest), min(len(words), start + longest)
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = max(hi, regions[-1][1])
+            else:
+                regions.append([lo, hi])
+        top = (0.0, 0, 0)
+        for lo, hi in regions:
+            found = shingle_hashes(words[lo:hi]).tolist()
+            after = np.full(len(found) + most, len(found), np.int64)  # beginnings before this place do without the shingle
+            places: dict[int, list[int]] = {}
+            for k, h in enumerate(found):
+                if h in own:
+                    seen = places.setdefault(h, [])
+                    after[k] = seen[-own[h]] + 1 if len(seen) >= own[h] else 0
+                    seen.append(k)
+            known = np.concatenate([[0], np.cumsum(after < len(found))])
+            begins = np.flatnonzero(after[: len(found)] < len(found))
+            begins = begins[known[begins + most] - known[begins] >= need]
+            rows = max(1, (1 << 20) // most)
+            for k in range(0, len(begins), rows):
+                part = begins[k : k + rows, None]
+                shared = np.cumsum(after[part + np.arange(most)] <= part, axis=1)
+                value = shared / (size + np.arange(1, most + 1) - shared)
+                best = value.max(1)
+                at = int(best.argmax())
+                end = most - 1 - int(value[at, ::-1].argmax())
+                top = max(top, (float(best[at]), -(lo + int(part[at, 0])), end + SHINGLE))
+        return top[0], -top[1], top[2]
 
 
 _SCHEMA = "doc_id long, item_id long, similarity double, first_word long, n_words long"
