@@ -140,6 +140,32 @@ def test_repeated_passages(spark, corpus):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def with_words_in_between(draw):
+    """Two texts that share 60 words, with one word more in the middle of the second's."""
+    shared = words(draw, 60).split(" ")
+    ends = [words(draw, 30) for _ in range(4)]
+    return f"{ends[0]} {' '.join(shared)} {ends[1]}", f"{ends[2]} {' '.join([*shared[:30], 'inserted', *shared[30:]])} {ends[3]}"
+
+
+def test_passage_with_an_inserted_word():
+    for seed in range(20):
+        a, b = (tokens(t) for t in with_words_in_between(random.Random(seed)))
+        x, y = (np.array([hash(tuple(w[k : k + 5])) & (2**63 - 1) for k in range(len(w) - 4)], np.uint64) for w in (a, b))
+        for first, second, shifts, more in ((x, y, [0], (56, 57)), (x, y, [1], (56, 57)), (y, x, [0, -1], (57, 56))):
+            [(at, n, other, m, jaccard)] = substring_dedup.passages(first, second, shifts, 46, 0.8)
+            assert (at, n, other, m) == (30, more[0], 30, more[1]) and abs(jaccard - 52 / 61) < 1e-9
+    same = np.ones(300, np.uint64)
+    assert (0, 300, 0, 300, 1.0) in list(substring_dedup.passages(same, same, [0], 46, 0.8))
+
+
+def test_documents_meet_over_an_inserted_word(spark):
+    draw = random.Random(41)
+    pairs = [with_words_in_between(draw) for _ in range(60)]
+    found = substring_dedup.repeated_passages(frame(spark, [(2 * k + side, t[side]) for k, t in enumerate(pairs) for side in (0, 1)]))
+    met = {(r["doc_id"], r["other_id"]) for r in found.collect()}
+    assert all(a // 2 == b // 2 for a, b in met) and len(met) >= 2 * 40
+
+
 def test_stages_keep_columns(spark, corpus):
     docs = frame(spark, corpus)
     kept = exact_dedup.distinct_documents(spark, docs, "")
