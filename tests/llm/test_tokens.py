@@ -117,3 +117,20 @@ def test_op10(spark, corpus, tmp_path):
     odd = f"file://{tmp_path}/odd"
     dac_store.write_ids(frame(spark, [(None, "x"), (3, "y"), (3, "y")]), odd, TOKENIZER)
     assert sorted((r["doc_id"] or -1, r["start"]) for r in dac_store.read_documents(spark, odd).collect()) == [(-1, 0), (3, 2), (3, 4)]
+
+
+def test_added_tokens_as_the_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library, draw = Tokenizer.from_file(TOKENIZER), random.Random(6)
+    assert 50256 in library.encode("end <|endoftext|> begin", add_special_tokens=False).ids
+    texts = ["end <|endoftext|> begin", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endof", "text|> b", "", "<|endoftext|", ">", None]
+    texts += ["".join(draw.choices(ALPHABET, k=draw.randint(0, 30))) for _ in range(300)]
+    path = f"file://{tmp_path}/added"
+    dac_store.write_ids(frame(spark, list(enumerate(texts))), path, TOKENIZER)
+    found = {r["doc_id"]: r for r in dac_store.read_documents(spark, path).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (found[i]["start"], found[i]["n_tokens"], found[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

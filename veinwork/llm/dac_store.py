@@ -11,7 +11,8 @@ part, shard, local_start (ids of the part before this shard), n_ids, and the
 binary columns doc_ids and counts (little-endian 64-bit) and codes.  Parts
 follow each other in ascending doc_id, shards in the order of local_start.
 
-Defined results: null and empty texts hold the end id alone; null ids come
+Defined results: ids are those of the library as its file sets it up, so the
+text of an added token is that token; null and empty texts hold the end id alone; null ids come
 first and repeated rows stay, next to each other; a document larger than a
 shard makes a shard of its own; an empty table gives an empty file and no rows.
 """
@@ -97,14 +98,18 @@ class Codes:
 
 
 class LibraryEncoder:
-    """Ids of texts by the tokenizers library, each distinct piece passed to it once."""
+    """Ids of texts by the tokenizers library, each distinct piece passed to it once.
+
+    Texts that hold an added token, such as the end of a text spelt out, are
+    passed to it whole: it takes those tokens out before it cuts pieces.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.cache = PieceCache(self._pieces)
 
     def _pieces(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +121,27 @@ class LibraryEncoder:
         starts, ends, counts = split(data, offsets)
         ids, each = self.cache.ids(data, starts, ends)
         total = np.concatenate([[0], np.cumsum(each)])
-        return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
+        n = np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
+        raw, done, parts = data.tobytes(), 0, []
+        last = np.cumsum(n)
+        for d in self._with_added(raw, offsets):
+            own = self.library.encode(raw[offsets[d] : offsets[d + 1]].decode(), add_special_tokens=False).ids
+            parts += [ids[done : last[d] - n[d]], np.array(own, np.uint32)]
+            done, n[d] = last[d], len(own)
+        return (np.concatenate([*parts, ids[done:]]) if parts else ids), n
+
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> list[int]:
+        """Texts that hold an added token."""
+        out = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, "right")) - 1
+                inside = at + len(token) <= offsets[d + 1]
+                if inside:
+                    out.add(d)
+                at = raw.find(token, int(offsets[d + 1]) if inside else at + 1)
+        return sorted(out)
 
 
 @functools.lru_cache(2)
