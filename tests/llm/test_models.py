@@ -289,6 +289,33 @@ def test_lm_scoring(spark, corpus):
     assert lm_scoring.score_documents(frame(spark, []), RANKS).count() == 0
 
 
+def test_model_share_is_the_likeliest():
+    draw = np.random.default_rng(3)
+    base, model = draw.random(4000), draw.random(4000) ** 2
+    found = lm_scoring.best_share(base, model)
+    grid = np.linspace(0.001, 0.999, 999)
+    assert abs(found - grid[np.argmax([np.log((1 - g) * base + g * model).sum() for g in grid])]) < 0.01
+    assert lm_scoring.best_share(base, base * 100) > 0.99 and lm_scoring.best_share(base, base / 100) < 0.01
+
+
+def test_share_does_not_shrink_where_words_repeat(spark):
+    """Each word follows the one before it and none occurs once: the model, not the counts, knows what comes."""
+    alphabet = "the of and to in that was for with his".split(" ")
+    texts = [(i, " ".join(alphabet[(i + k) % 10] for k in range(200))) for i in range(1, 200)]
+    rows = lm_scoring.score_documents(frame(spark, texts), RANKS).collect()
+    assert all(r["score"] > 0.3 * r["base_score"] for r in rows)
+
+
+def test_long_texts_are_learned_from(spark):
+    docs = lm_scoring.blocked(frame(spark, [(k, f"{'ab ' * 20}end{k}") for k in range(1, 40)]), "doc_id", "text", 16)
+    cut = lm_scoring.windows(docs, 25).collect()
+    held = {r["doc_id"] for r in docs.filter("held_out").collect()}
+    for k in {*range(1, 40)} - held:
+        mine = sorted((r["part"], r["text"], r["final"]) for r in cut if r["doc_id"] == k)
+        assert "".join(t for _, t, _ in mine) == f"{'ab ' * 20}end{k}" and [f for *_, f in mine] == [False, False, True]
+    assert not held & {r["doc_id"] for r in cut}
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"])
 def test_registered(name):
     import __spark_entry__
