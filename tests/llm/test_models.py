@@ -289,6 +289,11 @@ def test_lm_scoring(spark, corpus):
     assert lm_scoring.score_documents(frame(spark, []), RANKS).count() == 0
 
 
+def test_frequent_ids_are_classes_of_their_own():
+    model = attention_model.AttentionModel(400, 399, np.zeros(400, np.int32), [np.repeat(np.arange(300), np.arange(300, 0, -1))], steps=1)
+    assert model.classes == 256 and len(set(model.of[:192].tolist())) == 192 and len(set(model.of[192:].tolist())) == 32
+
+
 def test_model_share_is_the_likeliest():
     draw = np.random.default_rng(3)
     base, model = draw.random(4000), draw.random(4000) ** 2
