@@ -86,11 +86,12 @@ def test_ngram_join(spark, corpus):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.frozensets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=8), st.frozensets(st.integers(0, 14), min_size=1, max_size=12), st.sampled_from([60, 80]))
-def test_trie_against_pairs(stored, probe, percent):
-    trie = ngram_join.Trie.of([(k, sorted(s)) for k, s in enumerate(stored)])
-    found = sorted(trie.overlaps(sorted(probe), percent))
-    assert found == sorted((k, len(s), len(s & probe)) for k, s in enumerate(stored) if 100 * len(s & probe) >= percent * len(s | probe))
+@given(st.lists(st.tuples(st.frozensets(st.integers(0, 14), min_size=1, max_size=12), st.integers(0, 3)), min_size=1, max_size=8), st.frozensets(st.integers(0, 14), min_size=1, max_size=12), st.integers(0, 3), st.sampled_from([60, 80]))
+def test_trie_against_pairs(stored, probe, own, percent):
+    """Sets with some shingles of their own beside the stored ones."""
+    trie = ngram_join.Trie.of([(k, len(s) + more, sorted(s)) for k, (s, more) in enumerate(stored)])
+    found = sorted(trie.overlaps(sorted(probe), len(probe) + own, percent))
+    assert found == sorted((k, len(s) + more, len(s & probe)) for k, (s, more) in enumerate(stored) if 100 * len(s & probe) >= percent * (len(s | probe) + more + own))
 
 
 def test_components(spark, tmp_path):

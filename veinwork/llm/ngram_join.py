@@ -1,26 +1,29 @@
 """Exact n-gram Jaccard self-join by prefix trees.
 
 A document is the set of its distinct five-word shingles; two documents link
-when 100 * intersection >= 80 * union.  All sets are put in one global order,
-rare shingles first: a quarter of all shingles, chosen by hash, is counted over
-all documents in a counter array of fixed size; the order key is the level of
-that count (above all levels for the others), then a hash.  Any shared order
-gives exact results; counts only keep common passages out of the prefixes.  Linked sets share a shingle among their first
-``n - ceil(0.8 n) + 1`` ones.
-
-1.  Documents of equal sets fold into one representative.
-2.  Prefix shingles are dealt by shingle; documents at one shingle form a run.
-    Each run pairs its leader with the others: the document that shares most
-    with all others.  A second leader follows, from outside the components
-    that the first has linked.
-3.  A leader's partners are stored as ordered sets in a trie; the leader's set
+when 100 * intersection >= 80 * union.
+
+1.  Shingles are dealt by value, packed in binary columns, and looked for in
+    other documents.  A shingle that no other document has can link nothing,
+    and a document links with nothing unless four fifths of its shingles
+    recur, so most documents leave here.  A shingle of several documents of
+    one block of texts goes out once for the block, so that a shingle of a
+    third of all documents makes one entry a block, not one a document.
+2.  Documents of equal sets fold into one representative.
+3.  The shingles left are counted over the representatives left, exactly, and
+    sets are put in one global order, rare shingles first (shingles of one
+    document, before all others, are not stored).  Linked sets share one of
+    their first ``n - ceil(0.8 n) + 1`` shingles.
+4.  Documents at one prefix shingle form a run, which pairs its leader, the
+    document that shares most with all others, with the other members.  A
+    leader's partners are stored as ordered sets in a trie; the leader's set
     walks down it, sharing partial overlaps among sets with a common prefix
     and leaving subtrees whose remaining length cannot reach the bound.
-4.  Links found so far give components.  Pairs of a run that are still open
-    (other components, neither decided by a leader) are tried in the same
-    way.  Jaccard distance is a metric: a partner linked to the leader (distance
-    at most 0.2) cannot link to one farther than 0.4 from it.
-5.  Components of all links, and of the folded copies.
+5.  Links found so far give components.  Members of a run that are in
+    different components, and for which what follows the shared shingle is
+    long enough, are tried in the same way; as long as those pairs are many
+    more than the members, further leaders go first.
+6.  Components of all links, and of the folded copies.
 
 So a group of near copies costs its size, not its square, and no task holds a
 whole group: a leader's partners are cut in blocks of about ``BLOCK`` shingles.
@@ -28,37 +31,37 @@ whole group: a leader's partners are cut in blocks of about ``BLOCK`` shingles.
 Defined results: null and empty texts, and texts without words, have no
 shingles and link with nothing; fewer than five words make one shingle of the
 whole sequence; repeated rows are copies of each other; the smallest doc_id of
-a component names it; an empty table gives no rows.  Only the id and text
-columns are read.  Shingles are told apart by 64-bit hashes, of which the
-order keeps 56 bits.
+a component names it (null where all its ids are null); an empty table gives
+no rows.  Only the id and text columns are read.  Sets are told apart by their
+size and 128 bits of hashes, shingles by 56 bits.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinwork.llm.components import components
 from veinwork.llm.textbatch import mix, runs, shingles, texts, word_hashes
-from veinwork.llm.workspace import shared_folder, written
-
-COUNTERS = 1 << 23
-#: Shingles of one in so many hash values are counted and come first in the order; prefixes are a fifth of a set.
-SAMPLED = 4
-SEGMENTS = 64
+from veinwork.llm.workspace import from_files, kept_rows, partitions, shared_folder, written
+
+TOKEN_BITS = 56
+#: Shingles and documents of a block of texts.
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 1_500_000, 65_535
+#: In place of a document's number in its block: more than one document has the shingle.
+SEVERAL = 65_535
+#: Shingles that a task answers for at a time.
+ANSWERED = 2_000_000
 #: Shingles of the partners that one trie holds, about.
 BLOCK = 50_000
 SALTS = 64
-#: Destinations of sets up to this number (24 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_DESTINATIONS = 1_000_000
-#: Bytes of sets that a task sends on at a time, about.
-SENT = 4 << 20
+#: Further leaders at most, and pairs for each member of a run from which on they are sent first.
+LEADERS, MANY = 4, 8
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -72,97 +75,49 @@ def document_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]
             yield np.unique(found[a:b])
 
 
-def _sampled(found: np.ndarray) -> np.ndarray:
-    return found >> np.uint64(62) < np.uint64(4 // SAMPLED)
-
-
-def _counter(found: np.ndarray) -> np.ndarray:
-    return (found & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.uint32)
-    some = False
-    held: list[np.ndarray] = []
-
-    def add() -> None:
-        found = np.concatenate(held)
-        at, n = np.unique(_counter(found[_sampled(found)]), return_counts=True)
-        counts[at] += n.astype(np.uint32)
-        held.clear()
-
-    for batch in batches:
-        for found in document_sets(*texts(batch.column(0))):
-            held.append(found)
-            some = True
-            if len(held) == 512:
-                add()
-    if held:
-        add()
-    if some:
-        parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(SEGMENTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], ["segment", "counts"])
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // SEGMENTS, np.uint64)
-    for raw in table["counts"].to_pylist():
-        total += np.frombuffer(zlib.decompress(raw), np.uint32)
-    return pa.table({"segment": table["segment"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def levels(docs: DataFrame) -> np.ndarray:
-    """Order level of each counter: twice the logarithm of the shingles counted there, over all documents."""
-    schema = "segment int, counts binary"
-    summed = docs.select("text").mapInArrow(_count, schema).groupBy("segment").applyInArrow(_add, schema)
-    total = np.zeros(COUNTERS, np.uint64)
-    for row in summed.toLocalIterator():
-        at = row["segment"] * (COUNTERS // SEGMENTS)
-        total[at : at + COUNTERS // SEGMENTS] = np.frombuffer(row["counts"], np.uint64)
-    return np.minimum(2 * np.log2(np.maximum(total, 1).astype(float)), 126).astype(np.uint8)
-
-
-def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """A set as ascending order keys: seven bits of level, 56 of hash."""
-    first = np.where(_sampled(found), level[_counter(found)], 127).astype(np.uint64)
-    keys = first << np.uint64(56) | mix(found) >> np.uint64(8)
-    return np.unique(keys).astype(np.int64)
-
-
 def required(n: int, m: int, percent: int = 80) -> int:
     """Least intersection of sets of n and m shingles with Jaccard of percent / 100."""
     return -(-percent * (n + m) // (100 + percent))
 
 
+def _needed(n: Column, m: Column) -> Column:
+    return F.ceil(80 * (n + m) / 180)
+
+
 class Trie:
-    """Ordered sets that share their common prefixes."""
+    """Ordered sets that share their common prefixes; a set may be larger than its stored part, by shingles of its own."""
 
-    __slots__ = ("child", "deepest", "ends", "least")
+    __slots__ = ("child", "ends", "least", "longest")
 
     def __init__(self) -> None:
         self.child: dict[int, Trie] = {}
-        # sizes of the smallest and the largest set below
-        self.least, self.deepest = 1 << 62, 0
+        # below: size of the smallest set, length of the longest stored part
+        self.least, self.longest = 1 << 62, 0
         self.ends: tuple[tuple[int, int], ...] = ()
 
     @classmethod
-    def of(cls, sets: list[tuple[int, list[int]]]) -> Trie:
+    def of(cls, sets: list[tuple[int, int, list[int]]]) -> Trie:
+        """``sets``: name, size and ordered shingles of each."""
         root = cls()
-        for name, tokens in sets:
-            node = root
-            node.least, node.deepest = min(node.least, len(tokens)), max(node.deepest, len(tokens))
+        for name, size, tokens in sets:
+            node, length = root, len(tokens)
+            node.least, node.longest = min(node.least, size), max(node.longest, length)
             for token in tokens:
                 step = node.child.get(token)
                 if step is None:
                     step = node.child[token] = cls()
                 node = step
-                node.least, node.deepest = min(node.least, len(tokens)), max(node.deepest, len(tokens))
-            node.ends += ((name, len(tokens)),)
+                if size < node.least:
+                    node.least = size
+                if length > node.longest:
+                    node.longest = length
+            node.ends += ((name, size),)
         return root
 
-    def overlaps(self, probe: list[int], percent: int) -> Iterator[tuple[int, int, int]]:
-        """(name, size, intersection) of the stored sets with Jaccard of at least percent / 100."""
-        n, at = len(probe), {token: i for i, token in enumerate(probe)}
+    def overlaps(self, probe: list[int], n: int, percent: int = 80) -> Iterator[tuple[int, int, int]]:
+        """(name, size, intersection) of the stored sets with Jaccard of at least percent / 100 with a set of ``n`` shingles."""
+        length, at = len(probe), {token: i for i, token in enumerate(probe)}
+        bound: dict[int, int] = {}
         stack = [(self, 0, 0, 0)]
         while stack:
             node, depth, shared, passed = stack.pop()
@@ -172,135 +127,311 @@ class Trie:
             for token, step in node.child.items():
                 # passed: probe tokens known to be smaller than all that follow
                 where = at.get(token)
-                now = shared + (where is not None)
-                seen = passed if where is None else where + 1
-                # of the sizes below, the one with the most slack: no longer than the probe's rest can serve
-                size = min(max(depth + 1 + n - seen, step.least), step.deepest)
-                if now + min(size - depth - 1, n - seen) >= required(n, size, percent):
+                now, seen = (shared, passed) if where is None else (shared + 1, where + 1)
+                least = bound.get(step.least)
+                if least is None:
+                    least = bound[step.least] = required(n, step.least, percent)
+                if now + min(step.longest - depth - 1, length - seen) >= least:
                     stack.append((step, depth + 1, now, seen))
 
 
-def _profiles(level: object):
+_DEALT = "bucket int, row long, doc long, digest long, n long, high long, low long, shared array<long>, tokens binary, places binary"
+_ANSWERED = "row long, doc long, digest long, n long, high long, low long, shared array<long>"
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.asarray(x, np.uint64).view(np.int64))
+
+
+def _lists(tokens: np.ndarray, counts: np.ndarray, none: np.ndarray | None = None) -> pa.Array:
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=None if none is None else np.append(none, False))
+    return pa.ListArray.from_arrays(ends, _signed(tokens))
+
+
+class _Block:
+    """Documents of a task, up to a number of shingles: their profiles, and their shingles dealt by value."""
+
+    def __init__(self, bits: int):
+        self.bits, self.base = bits, TaskContext.get().partitionId() << 40
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[tuple] = []
+        self.sets: list[np.ndarray] = []
+        self.of: list[int] = []
+        self.known: set[tuple] = set()
+        self.held = 0
+
+    def add(self, doc: int | None, digest: int, found: np.ndarray) -> None:
+        n = len(found)
+        high = int(np.bitwise_xor.reduce(mix(found))) if n else 0
+        low = int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else 0
+        if n and (n, high, low) not in self.known:  # a copy in the block needs no shingles of its own
+            self.known.add((n, high, low))
+            self.sets.append(np.unique(found >> np.uint64(64 - TOKEN_BITS)))
+            self.of.append(len(self.rows))
+            self.held += n
+        self.rows.append((doc, digest, n, high, low))
+
+    def full(self) -> bool:
+        return self.held >= BLOCK_SHINGLES or len(self.rows) >= BLOCK_DOCUMENTS
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        size = len(self.rows)
+        if not size:
+            return
+        tokens = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
+        place = np.repeat(np.array(self.of, np.int64), [len(s) for s in self.sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, place = tokens[order], place[order]
+        begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+        number = np.diff(np.append(begins, len(tokens)))
+        several = np.repeat(number > 1, number)
+        # what the block itself shows to recur
+        own = np.argsort(place[several], kind="stable")
+        counts = np.bincount(place[several], minlength=size)
+        without = np.ones(size, bool)
+        without[self.of] = False
+        doc, digest, n, high, low = zip(*self.rows)
+        narrow = lambda x, kind: pa.array(x, kind)
+        bucket = (np.arange(size) * 0x9E3779B1 >> 7) % (1 << self.bits)
+        yield self._batch(
+            size, bucket=narrow(bucket, pa.int32()), row=narrow(self.base + np.arange(size), pa.int64()), doc=narrow(doc, pa.int64()), digest=narrow(digest, pa.int64()),
+            n=narrow(n, pa.int64()), high=_signed(np.array(high, np.uint64)), low=_signed(np.array(low, np.uint64)), shared=_lists(tokens[several][own], counts, without),
+        )
+        once, first = tokens[begins], np.where(number > 1, SEVERAL, place[begins]).astype(np.uint16)
+        cut = np.searchsorted(once, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - self.bits))
+        used = np.flatnonzero(np.diff(cut))
+        # 48 bits of each shingle, a plane for each byte: they ascend, so the first planes compress
+        planes = once.view(np.uint8).reshape(-1, 8)[:, 5::-1]
+        packed = [np.ascontiguousarray(planes[cut[b] : cut[b + 1]].T).tobytes() for b in used]
+        places = [first[cut[b] : cut[b + 1]].tobytes() for b in used]
+        yield self._batch(len(used), bucket=narrow(used, pa.int32()), row=narrow(np.full(len(used), self.base), pa.int64()), tokens=narrow(packed, pa.binary()), places=narrow(places, pa.binary()))
+        self.base += size
+        self.clear()
+
+    @staticmethod
+    def _batch(size: int, **given: pa.Array) -> pa.RecordBatch:
+        kinds = {"bucket": pa.int32(), "shared": pa.list_(pa.int64()), "tokens": pa.binary(), "places": pa.binary()}
+        names = [x.split()[0] for x in _DEALT.split(", ")]
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(size, kinds.get(k, pa.int64())) for k in names], names)
+
+
+def _dealt(bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = level.value
+        block = _Block(bits)
         for batch in batches:
-            data, offsets = texts(batch.column(1))
-            sizes, high, low, prefix = [], [], [], []
-            for found in document_sets(data, offsets):
-                keys = ordered(found, order)
-                n = len(keys)
-                sizes.append(n)
-                high.append(int(np.bitwise_xor.reduce(mix(found))) if n else 0)
-                low.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) if n else 0)
-                prefix.append(keys[: n - math.ceil(0.8 * n) + 1] if n else keys)
-            signed = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), signed(high), signed(low), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc", "n", "high", "low", "prefix"],
-            )
+            for doc, digest, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), document_sets(*texts(batch.column(1)))):
+                block.add(doc, digest, found)
+                if block.full():
+                    yield from block.batches()
+        yield from block.batches()
 
     return rows
 
 
-_RUN_SCHEMA = "token long, head long, head_n int, head_pos int, doc long, n int, pos int"
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by token and document: the head of each run beside every other member; single entries drop out."""
-    held: tuple[int, int, int, int] | None = None
-    for batch in batches:
-        token, doc, n, pos = (batch.column(k).to_numpy() for k in range(4))
-        if not len(token):
-            continue
-        begins = np.empty(len(token), bool)
-        begins[1:] = token[1:] != token[:-1]
-        begins[0] = held is None or token[0] != held[0]
-        run = np.cumsum(begins)
-        first = np.flatnonzero(begins)
-        heads = [doc[first], n[first], pos[first]]
-        if not begins[0]:
-            heads = [np.insert(h, 0, v) for h, v in zip(heads, held[1:])]
-        else:
-            run = run - 1
-        held = (int(token[-1]), *(int(h[-1]) for h in heads))
-        keep = ~begins
-        if keep.any():
-            of = run[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (token[keep], heads[0][of], heads[1][of].astype(np.int32), heads[2][of].astype(np.int32), doc[keep], n[keep].astype(np.int32), pos[keep].astype(np.int32))],
-                [x.split()[0] for x in _RUN_SCHEMA.split(", ")],
-            )
+def _recurring(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries are of one document each and meet another entry of the same shingle."""
+    order = np.argsort(tokens, kind="stable")
+    s = tokens[order]
+    same = s[1:] == s[:-1]
+    met = np.zeros(len(tokens), bool)
+    met[order[1:][same]] = True
+    met[order[:-1][same]] = True
+    return met & (place != SEVERAL)
 
 
-def _sent(level: object):
-    """Each document's set, once for every trie block that it goes to; a leader's own has no b."""
+def _answers(bits: int):
+    """Profiles as they are, and shingles of each document that recur elsewhere; rows come sorted by bucket."""
+    low_bits = np.uint64(TOKEN_BITS - bits)
+    names = [x.split()[0] for x in _ANSWERED.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = level.value
-        out: list[tuple[int, int, int | None, bytes]] = []
-        held = 0
-
-        def sent() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out), kinds)], ["a", "block", "b", "keys"])
-            out.clear()
-            return batch
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        bucket: int | None = None
+        size = 0
+
+        def close() -> None:
+            nonlocal size
+            if held:
+                tokens, place = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                source = np.repeat(np.array([h[2] for h in held], np.int64), [len(h[0]) for h in held])
+                met = _recurring(tokens, place)
+                below = tokens[met] & ((np.uint64(1) << low_bits) - np.uint64(1))
+                found.append((source[met] + place[met], below | np.uint64(bucket) << low_bits))
+                size += len(below)
+                held.clear()
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            row, tokens = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            found.clear()
+            size = 0
+            order = np.argsort(row, kind="stable")
+            own, counts = np.unique(row, return_counts=True)
+            if len(own):
+                blank = pa.nulls(len(own), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(own), *[blank] * 5, _lists(tokens[order], counts)], names)
 
         for batch in batches:
-            data, offsets = texts(batch.column(1))
-            for doc, to, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), document_sets(data, offsets)):
-                raw = ordered(found, order).tobytes()
-                for place in to:
-                    out.append((place["a"], place["block"], None if place["own"] else doc, raw))
-                    held += len(raw)
-                    if held >= SENT:
-                        yield sent()
-                        held = 0
-        if out:
-            yield sent()
+            own = batch.column(8).is_valid().to_numpy(zero_copy_only=False)
+            if not own.all():
+                yield batch.filter(pa.array(~own)).select(names)
+            for b, row, packed, places in zip(*(batch.filter(pa.array(own)).column(k).to_pylist() for k in (0, 1, 8, 9))):
+                if b != bucket:
+                    close()
+                    bucket = b
+                    if size >= ANSWERED:
+                        yield from answers()
+                place = np.frombuffer(places, np.uint16).astype(np.int64)
+                wide = np.zeros((len(place), 8), np.uint8)
+                wide[:, 5::-1] = np.frombuffer(packed, np.uint8).reshape(6, -1).T
+                held.append((wide.view(np.uint64).ravel(), place, row))
+        close()
+        if found:
+            yield from answers()
 
     return rows
 
 
+def profiles(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """Per row of ``docs``: row, doc, digest, n, high, low, and its shingles that recur, null unless four fifths do or a copy has them."""
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    columns = [F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("digest")]
+    source = from_files(docs.select(*columns), f"{folder}/documents")
+    bits = min(max(8, (2 * partitions(spark) - 1).bit_length()), 20)
+    dealt = source.mapInArrow(_dealt(bits), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    parts = dealt.mapInArrow(_answers(bits), _ANSWERED)
+    fields = [F.max(k).alias(k) for k in ("doc", "digest", "n", "high", "low")]
+    whole = parts.groupBy("row").agg(*fields, F.flatten(F.collect_list("shared")).alias("shared"))
+    return written(whole.withColumn("shared", F.expr("CASE WHEN n > 0 AND 5 * size(shared) >= 4 * n THEN shared END")), f"{folder}/profiles")
+
+
+def ordered_sets(sets: DataFrame, folder: str) -> DataFrame:
+    """node, n and keys of the sets (node, n, shared) that can link: shingles of more than one set, rare ones first.
+
+    A key is seven bits of level (twice the logarithm of the exact count) and
+    the shingle's 56 bits.
+    """
+    entries = written(sets.select("node", "n", F.explode("shared").alias("token")), f"{folder}/entries")
+    count = entries.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    level = F.least(F.floor(2 * F.log2("k")), F.lit(126)).cast("long")
+    met = entries.join(count.hint("merge"), "token").select("node", "n", F.shiftleft(level, TOKEN_BITS).bitwiseOR(F.col("token")).alias("key"))
+    keys = met.groupBy("node", "n").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    return written(keys.filter("5 * size(keys) >= 4 * n"), f"{folder}/sets")
+
+
 def _walk(percent: int):
     def rows(table: pa.Table) -> pa.Table:
         """One block of partners of one document."""
         a = table["a"][0].as_py()
-        sets = {b: np.frombuffer(raw, np.int64).tolist() for b, raw in zip(table["b"].to_pylist(), table["keys"].to_pylist())}
-        probe = sets.pop(None)
-        stored = list(sets.items())
-        found = [(a, b, len(probe) + size - shared, shared) for b, size, shared in Trie.of(stored).overlaps(probe, percent)]
+        sets = list(zip(table["b"].to_pylist(), table["n"].to_pylist(), table["keys"].to_pylist()))
+        [(n, probe)] = [(n, keys) for b, n, keys in sets if b is None]
+        trie = Trie.of([x for x in sets if x[0] is not None])
+        found = [(a, b, n + size - shared, shared) for b, size, shared in trie.overlaps(probe, n, percent)]
         return pa.table({k: pa.array([r[i] for r in found], pa.int64()) for i, k in enumerate(("a", "b", "together", "shared"))})
 
     return rows
 
 
-def overlaps(pairs: DataFrame, source: DataFrame, level: object, percent: int, folder: str) -> DataFrame:
-    """(a, b, together, shared) of the pairs (a, b, n_b) with Jaccard of at least percent / 100."""
-    pairs = written(pairs, f"{folder}/pairs")
-    blocks = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / BLOCK).alias("blocks"))
+def overlaps(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = 80) -> DataFrame:
+    """(a, b, together, shared) of the pairs (a, b) with Jaccard of at least percent / 100."""
+    sized = written(pairs.join(sets.select(F.col("node").alias("b"), F.size("keys").alias("length")).hint("merge"), "b"), f"{folder}/pairs")
+    blocks = sized.groupBy("a").agg(F.ceil(F.sum("length") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
-    partner = pairs.join(blocks.hint("merge"), "a").select(F.col("b").alias("doc"), "a", block.alias("block"), F.lit(False).alias("own"))
-    every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")
-    leader = blocks.select(F.col("a").alias("doc"), "a", every, F.lit(True).alias("own"))
-    # lists of at most 1024 blocks of a leader, so that no row grows with a group
-    places = partner.unionByName(leader).groupBy("doc", F.floor(F.col("block") / 1024)).agg(F.collect_list(F.struct("a", "block", "own")).alias("to"))
-    places = written(places.select("doc", "to"), f"{folder}/places")
-    few = (places.agg(F.sum(F.size("to")).alias("n")).first()["n"] or 0) <= BROADCAST_DESTINATIONS
-    going = source.join(F.broadcast(places) if few else places.hint("merge"), "doc").select("doc", "text", "to")
-    sets = going.mapInArrow(_sent(level), "a long, block int, b long, keys binary")
-    found = sets.groupBy("a", "block").applyInArrow(_walk(percent), "a long, b long, together long, shared long")
-    return written(found, f"{folder}/overlaps")
-
-
-def _leaders(rows: DataFrame, name: str) -> DataFrame:
-    """token and its most central document: name, name_n and, where rows have components, name_comp."""
-    fields = [F.col("doc").alias("d"), F.col("n").alias("n"), *([F.col("comp").alias("c")] if "comp" in rows.columns else [])]
-    best = rows.groupBy("token").agg(F.max_by(F.struct(*fields), F.struct("score", -F.col("doc"))).alias("best"))
-    own = [F.col("best.d").alias(name), F.col("best.n").alias(f"{name}_n"), *([F.col("best.c").alias(f"{name}_comp")] if "comp" in rows.columns else [])]
-    return best.select("token", *own)
+    partner = sized.join(blocks.hint("merge"), "a").select("a", block.alias("block"), "b")
+    leader = partner.select("a", "block", F.lit(None).cast("long").alias("b")).distinct()
+    going = partner.unionByName(leader).withColumn("node", F.coalesce("b", "a"))
+    met = going.join(sets.hint("merge"), "node").select("a", "block", "b", "n", "keys")
+    return written(met.groupBy("a", "block").applyInArrow(_walk(percent), "a long, b long, together long, shared long"), f"{folder}/overlaps")
+
+
+def _possible(n: str, rest: str, m: str, other: str) -> Column:
+    """Whether sets of n and m shingles can link whose first common one has so many left in each, itself included."""
+    return F.least(F.col(rest), F.col(other)) >= _needed(F.col(n), F.col(m))
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """Members of each run beside its leader, the one of the highest score; leaders themselves are left out."""
+    best = F.max_by(F.struct("node", "n", "rest", *(["comp"] if "comp" in members.columns else [])), F.struct("score", -F.col("node")))
+    lead = members.groupBy("token").agg(best.alias("best")).select("token", *[F.col(f"best.{k}").alias(f"lead_{k}") for k in ("node", "n", "rest", *(["comp"] if "comp" in members.columns else []))])
+    return members.join(lead.hint("merge"), "token").filter("node <> lead_node")
+
+
+def _placed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members with their components: runs of more than one component, without members too different from all others."""
+    known = members.drop("comp").join(comp.select(F.col("doc").alias("node"), "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = known.groupBy("token").agg(F.min("n").alias("least"))
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * 0.8))
+    able = known.join(least.hint("merge"), "token").filter(F.col("rest") >= _needed(F.col("n"), smallest)).drop("least")
+    mixed = able.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo <> hi")
+    return able.join(mixed.select("token", "members").hint("merge"), "token")
+
+
+def links_of(sets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, together, shared) that connect all components of the ordered sets, and (doc, comp) of linked nodes."""
+    least = F.expr("size(keys) - CAST(ceil(n * 0.8) AS INT) + 1")
+    spread = sets.select("node", "n", F.size("keys").alias("m"), F.posexplode(F.slice("keys", 1, least)).alias("pos", "token"))
+    entries = written(spread.select("token", "node", F.col("n").cast("int").alias("n"), (F.col("m") - F.col("pos")).alias("rest")), f"{folder}/prefixes")
+    size = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = entries.join(size.hint("merge"), "token")
+    # central documents share their shingles with many: the sum of the sizes of a document's runs
+    score = members.groupBy("node").agg(F.sum("size").alias("score"))
+    led = written(_led(members.drop("size").join(score.hint("merge"), "node")), f"{folder}/led")
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    star = led.filter(_possible("n", "rest", "lead_n", "lead_rest")).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
+    links = overlaps(star, sets, f"{folder}/star")
+    comp = components(links, f"{folder}/components0")
+    members = led.select("token", "node", "n", "rest", "score")
+    for step in range(1, LEADERS + 2):
+        members = written(_placed(members, comp), f"{folder}/placed{step}")
+        rows, pairs = members.agg(F.count(F.lit(1)), F.sum(F.col("members") - 1) / 2).first()
+        if not rows:
+            break
+        members = members.drop("members")
+        if pairs > MANY * rows and step <= LEADERS:
+            led = written(_led(members), f"{folder}/led{step}")
+            tried = led.filter("comp <> lead_comp").filter(_possible("n", "rest", "lead_n", "lead_rest")).select(*pair("lead_node", "node")).distinct()
+            members = led.select("token", "node", "n", "rest", "score")
+        else:
+            other = members.select("token", *[F.col(k).alias(f"{k}_b") for k in ("node", "n", "rest", "comp")])
+            both = members.join(other.hint("merge"), "token").filter("node < node_b AND comp <> comp_b")
+            tried = both.filter(_possible("n", "rest", "n_b", "rest_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+            members = None
+        found = overlaps(tried, sets, f"{folder}/tried{step}")
+        if not found.isEmpty():
+            links = written(links.unionByName(found), f"{folder}/links{step}")
+            comp = components(links, f"{folder}/components{step}")
+        if members is None:
+            break
+    return links, comp
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, digest, n, group, component_id), and links (a, b, jaccard) between representatives of different sets.
+
+    ``digest`` is the hash of the text; rows of one component have one ``group``.
+    """
+    folder = shared_folder(docs.sparkSession)
+    profile = profiles(docs, id_col, text_col, folder).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    key = ["n", "high", "low"]
+    carrier = F.min(F.when(F.col("shared").isNotNull(), F.col("row")))
+    salted = profile.filter("n > 0").groupBy(*key, "salt").agg(F.min("doc").alias("rep"), F.min("row").alias("first"), carrier.alias("node"))
+    whole = salted.groupBy(*key).agg(F.min("rep").alias("rep"), F.min("first").alias("first"), F.min("node").alias("node"), F.collect_list("salt").alias("salts"))
+    whole = written(whole, f"{folder}/classes")
+    carriers = whole.filter("node IS NOT NULL").select(F.col("node").alias("row"))
+    sets = profile.filter("shared IS NOT NULL").join(carriers.hint("merge"), "row").select(F.col("row").alias("node"), "n", "shared")
+    links, comp = links_of(ordered_sets(sets, folder), folder)
+    named = whole.filter("node IS NOT NULL").select("node", "rep")
+    label = comp.withColumnRenamed("doc", "node").join(named.hint("merge"), "node")
+    least = label.groupBy("comp").agg(F.min("rep").alias("least"))
+    label = written(label.join(least.hint("merge"), "comp").select("node", "comp", "least"), f"{folder}/labels")
+    placed = whole.join(label.hint("merge"), "node", "left").select(*key, F.explode("salts").alias("salt"), F.coalesce("comp", "first").alias("group"), F.coalesce("least", "rep").alias("least"))
+    rows = profile.select("row", "doc", "digest", *key, "salt").join(placed.hint("merge"), [*key, "salt"], "left").select("doc", "digest", "n", F.coalesce("group", "row").alias("group"), F.coalesce("least", "doc").alias("component_id"))
+    ends = [named.select(F.col("node").alias(k), F.col("rep").alias(f"{k}_doc")).hint("merge") for k in ("a", "b")]
+    return rows, links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"), (F.col("shared") / F.col("together")).alias("jaccard"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -309,77 +440,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The links connect every component; pairs within a component that were
     already connected need not be among them.
     """
-    spark = docs.sparkSession
-    folder = shared_folder(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(levels(source))  # COUNTERS bytes
-    profile = written(
-        source.mapInArrow(_profiles(level), "doc long, n long, high long, low long, prefix array<long>"), f"{folder}/profiles"
-    ).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-    key = ["n", "high", "low"]
-    salted = profile.filter("n > 0").groupBy(*key, "salt").agg(F.min("doc").alias("rep"))
-    whole = salted.groupBy(*key).agg(F.min("rep").alias("rep"), F.collect_list("salt").alias("salts"))
-    whole = written(whole, f"{folder}/classes")
-    by_salt = whole.select(*key, F.col("rep"), F.explode("salts").alias("salt"))
-    member = written(
-        profile.select("doc", *key, "salt").join(by_salt.hint("merge"), [*key, "salt"], "left").select("doc", "n", "rep"), f"{folder}/members"
-    )
-    reps = whole.select(F.col("rep").alias("doc")).distinct()
-    entries = (
-        profile.join(reps.hint("merge"), "doc", "left_semi").select("doc", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-        .select("token", "doc", "n", F.col("pos").cast("int").alias("pos"))
-    )
-    run = written(entries.repartition("token").sortWithinPartitions("token", "doc").mapInArrow(_runs, _RUN_SCHEMA), f"{folder}/runs")
-    heads = run.select("token", F.col("head").alias("doc"), F.col("head_n").alias("n"), F.col("head_pos").alias("pos")).distinct()
-    members = written(run.select("token", "doc", "n", "pos").unionByName(heads), f"{folder}/run_members")
-    # central documents share their shingles with many: the sum of the sizes of a document's runs
-    size = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    score = members.join(size.hint("merge"), "token").groupBy("doc").agg(F.sum("k").alias("score"))
-    ranked = written(members.join(score.hint("merge"), "doc"), f"{folder}/ranked")
-    lead = written(_leaders(ranked, "leader"), f"{folder}/lead")
-    led = ranked.join(lead.hint("merge"), "token").filter("doc <> leader")
-    star = led.filter("100 * least(n, leader_n) >= 60 * greatest(n, leader_n)").select(F.col("leader").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct()
-    near = overlaps(star, source, level, 60, f"{folder}/star")
-    links = near.filter("100 * shared >= 80 * together").select("a", "b", "together", "shared")
-    comp = components(links, f"{folder}/first")
-    # a second leader for each run, from outside the first one's component
-    placed = led.join(comp.hint("merge"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    of_leader = comp.select(F.col("doc").alias("leader"), F.col("comp").alias("leader_comp"))
-    placed = written(placed.join(of_leader.hint("merge"), "leader", "left").withColumn("leader_comp", F.coalesce("leader_comp", "leader")), f"{folder}/placed")
-    second = written(_leaders(placed.filter("comp <> leader_comp"), "second"), f"{folder}/second")
-    again = placed.join(second.hint("merge"), "token").filter("doc <> second AND comp <> second_comp AND 100 * least(n, second_n) >= 80 * greatest(n, second_n)")
-    more = overlaps(again.select(F.col("second").alias("a"), F.col("doc").alias("b"), F.col("n").alias("n_b")).distinct(), source, level, 80, f"{folder}/again")
-    links = written(links.unionByName(more), f"{folder}/star_links")
-    comp = components(links, f"{folder}/second_components")
-    # what the leaders left open
-    state = near.select(F.col("a").alias("leader"), F.col("b").alias("doc"), (F.expr("100 * shared >= 80 * together")).alias("linked"))
-    open_ = (
-        placed.drop("comp", "leader_comp")
-        .join(second.select("token", "second").hint("merge"), "token", "left")
-        .filter("second IS NULL OR doc <> second")
-        .join(state.hint("merge"), ["leader", "doc"], "left")
-        .join(comp.hint("merge"), "doc", "left")
-        .select("token", "doc", "n", "pos", F.coalesce("comp", "doc").alias("comp"), F.when(F.col("linked"), 2).when(F.col("linked").isNotNull(), 1).otherwise(0).alias("near"))
-    )
-    mixed = open_.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    open_ = written(open_.join(mixed.hint("merge"), "token", "left_semi"), f"{folder}/open")
-    left = open_.filter("near < 2")
-    right = open_.select(*[F.col(c).alias(f"{c}_b") for c in open_.columns])
-    apart = (
-        (F.col("comp") != F.col("comp_b"))
-        & (100 * F.least("n", "n_b") >= 80 * F.greatest("n", "n_b"))
-        & (F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b")) >= F.ceil(80 * (F.col("n") + F.col("n_b")) / 180))
-    )
-    among = left.join(right.filter("near_b < 2").hint("merge"), (F.col("token") == F.col("token_b")) & (F.col("doc") < F.col("doc_b")) & apart)
-    across = left.filter("near = 1").join(right.filter("near_b = 2").hint("merge"), (F.col("token") == F.col("token_b")) & apart)
-    pairs = among.unionByName(across).select(F.least("doc", "doc_b").alias("a"), F.greatest("doc", "doc_b").alias("b"), F.greatest("n", "n_b").alias("n_b")).distinct()
-    rest = overlaps(pairs, source, level, 80, f"{folder}/rest")
-    every = written(links.unionByName(rest), f"{folder}/links")
-    final = components(every, f"{folder}/last")
-    result = member.join(final.select(F.col("doc").alias("rep"), "comp").hint("merge"), "rep", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc").alias("component_id")
-    )
-    return result, every.select("a", "b", (F.col("shared") / F.col("together")).alias("jaccard"))
+    rows, links = grouped(docs, id_col, text_col)
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id"), links
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,7 +449,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays."""
-    found = similar(docs)[0]
-    ids = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """Pipeline stage: of each component one row stays, of those with the smallest doc_id; repeated rows leave one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    folder = shared_folder(spark)
+    rows = grouped(docs)[0].groupBy("doc", "digest").agg(F.min("group").alias("group"), F.count(F.lit(1)).alias("copies"))
+    rows = written(rows, f"{folder}/rows")
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("without"), "doc", "digest")).alias("best")).select("group", "best.*")
+    same = F.col("own.doc").eqNullSafe(F.col("best.doc")) & (F.col("own.digest") == F.col("best.digest"))
+    decided = rows.alias("own").join(best.alias("best").hint("merge"), "group").select("own.doc", "own.digest", "copies", same.alias("kept"))
+    return kept_rows(docs, {"doc": F.col("doc_id").cast("long"), "digest": F.xxhash64(text)}, written(decided, f"{folder}/decided"))

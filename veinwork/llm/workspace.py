@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -22,11 +26,61 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows of ``df``, written as Parquet and read back: a cut in the lineage that outlives executors."""
-    df.write.parquet(path)
+    """The rows of ``df``, written as Parquet and read back: a cut in the lineage that outlives executors.
+
+    Shuffle files of the write go when it ends, not when the driver collects its garbage.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def from_files(df: DataFrame, path: str) -> DataFrame:
+    """``df`` if it reads files, so that each run of a task sees the same rows in the same order; else a written copy."""
+    try:
+        df.select("_metadata.row_index")
+        return df
+    except AnalysisException:
+        return written(df, path)
+
+
+#: Decisions on rows up to this number (16 bytes each, twice that in memory) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def kept_rows(docs: DataFrame, keys: dict[str, Column], decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` keeps.
+
+    ``keys`` gives the columns of ``decided`` that name a row as expressions
+    over ``docs``; ``decided`` has them with ``copies``, the number of such
+    rows, and ``kept``.  Of equal keys that are kept one row stays.
+    """
+    own = {k: f"__{k}_{uuid.uuid4().hex[:8]}" for k in keys}
+    named = docs.withColumns({own[k]: v for k, v in keys.items()})
+
+    def meet(left: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        number = some.limit(BROADCAST_ROWS + 1).count()
+        if not number:
+            return left if how == "left_anti" else left.limit(0)
+        right = some.select(*[F.col(k).alias(f"{own[k]}_r") for k in keys])
+        on = None
+        for k in keys:
+            same = F.col(own[k]).eqNullSafe(F.col(f"{own[k]}_r"))
+            on = same if on is None else on & same
+        return left.join(F.broadcast(right) if number <= BROADCAST_ROWS else right.hint("merge"), on, how)
+
+    once = meet(named, decided.filter("NOT kept OR copies > 1"), "left_anti")
+    repeated = decided.filter("kept AND copies > 1")
+    if not repeated.isEmpty():
+        once = once.unionByName(meet(named, repeated, "left_semi").dropDuplicates(list(own.values())))
+    return once.drop(*own.values())
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
