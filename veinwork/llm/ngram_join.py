@@ -42,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,8 +136,17 @@ class Trie:
                     stack.append((step, depth + 1, now, seen))
 
 
-_DEALT = "bucket int, row long, doc long, digest long, n long, high long, low long, shared array<long>, tokens binary, places binary"
-_ANSWERED = "row long, doc long, digest long, n long, high long, low long, shared array<long>"
+_PROFILE = "row long, doc long, digest long, n long, high long, low long, shared array<long>"
+#: Either a document's profile, or shingles of documents of the block that begins at row ``base``.
+_ANSWERED = f"base long, {_PROFILE}, tokens binary, places binary"
+_DEALT = f"bucket int, {_ANSWERED}"
+
+
+_KINDS = {"bucket": pa.int32(), "shared": pa.list_(pa.int64()), "tokens": pa.binary(), "places": pa.binary()}
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -196,7 +206,7 @@ class _Block:
         narrow = lambda x, kind: pa.array(x, kind)
         bucket = (np.arange(size) * 0x9E3779B1 >> 7) % (1 << self.bits)
         yield self._batch(
-            size, bucket=narrow(bucket, pa.int32()), row=narrow(self.base + np.arange(size), pa.int64()), doc=narrow(doc, pa.int64()), digest=narrow(digest, pa.int64()),
+            size, bucket=narrow(bucket, pa.int32()), base=narrow(np.full(size, self.base), pa.int64()), row=narrow(self.base + np.arange(size), pa.int64()), doc=narrow(doc, pa.int64()), digest=narrow(digest, pa.int64()),
             n=narrow(n, pa.int64()), high=_signed(np.array(high, np.uint64)), low=_signed(np.array(low, np.uint64)), shared=_lists(tokens[several][own], counts, without),
         )
         once, first = tokens[begins], np.where(number > 1, SEVERAL, place[begins]).astype(np.uint16)
@@ -206,15 +216,14 @@ class _Block:
         planes = once.view(np.uint8).reshape(-1, 8)[:, 5::-1]
         packed = [np.ascontiguousarray(planes[cut[b] : cut[b + 1]].T).tobytes() for b in used]
         places = [first[cut[b] : cut[b + 1]].tobytes() for b in used]
-        yield self._batch(len(used), bucket=narrow(used, pa.int32()), row=narrow(np.full(len(used), self.base), pa.int64()), tokens=narrow(packed, pa.binary()), places=narrow(places, pa.binary()))
+        yield self._batch(len(used), bucket=narrow(used, pa.int32()), base=narrow(np.full(len(used), self.base), pa.int64()), tokens=narrow(packed, pa.binary()), places=narrow(places, pa.binary()))
         self.base += size
         self.clear()
 
     @staticmethod
     def _batch(size: int, **given: pa.Array) -> pa.RecordBatch:
-        kinds = {"bucket": pa.int32(), "shared": pa.list_(pa.int64()), "tokens": pa.binary(), "places": pa.binary()}
-        names = [x.split()[0] for x in _DEALT.split(", ")]
-        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(size, kinds.get(k, pa.int64())) for k in names], names)
+        names = _names(_DEALT)
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(size, _KINDS.get(k, pa.int64())) for k in names], names)
 
 
 def _dealt(bits: int):
@@ -242,52 +251,52 @@ def _recurring(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _answers(bits: int):
-    """Profiles as they are, and shingles of each document that recur elsewhere; rows come sorted by bucket."""
+    """Profiles as they are, and shingles of each block's documents that recur elsewhere; rows come sorted by bucket."""
     low_bits = np.uint64(TOKEN_BITS - bits)
-    names = [x.split()[0] for x in _ANSWERED.split(", ")]
+    names = _names(_ANSWERED)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, int]] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         bucket: int | None = None
         size = 0
 
         def close() -> None:
             nonlocal size
             if held:
-                tokens, place = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                source = np.repeat(np.array([h[2] for h in held], np.int64), [len(h[0]) for h in held])
-                met = _recurring(tokens, place)
-                below = tokens[met] & ((np.uint64(1) << low_bits) - np.uint64(1))
-                found.append((source[met] + place[met], below | np.uint64(bucket) << low_bits))
-                size += len(below)
+                met = _recurring(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                at = 0
+                for tokens, place, base in held:
+                    own = met[at : at + len(tokens)]
+                    at += len(tokens)
+                    if own.any():
+                        below = tokens[own] & ((np.uint64(1) << low_bits) - np.uint64(1))
+                        found.setdefault(base, []).append((below | np.uint64(bucket) << low_bits, place[own]))
+                        size += len(below)
                 held.clear()
 
         def answers() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            row, tokens = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            bases = list(found)
+            tokens, places = ([np.concatenate([x[k] for x in found[b]]).tobytes() for b in bases] for k in (0, 1))
             found.clear()
             size = 0
-            order = np.argsort(row, kind="stable")
-            own, counts = np.unique(row, return_counts=True)
-            if len(own):
-                blank = pa.nulls(len(own), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(own), *[blank] * 5, _lists(tokens[order], counts)], names)
+            given = {"base": pa.array(bases, pa.int64()), "tokens": pa.array(tokens, pa.binary()), "places": pa.array(places, pa.binary())}
+            yield pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(len(bases), _KINDS.get(k, pa.int64())) for k in names], names)
 
         for batch in batches:
-            own = batch.column(8).is_valid().to_numpy(zero_copy_only=False)
+            own = batch.column("tokens").is_valid().to_numpy(zero_copy_only=False)
             if not own.all():
                 yield batch.filter(pa.array(~own)).select(names)
-            for b, row, packed, places in zip(*(batch.filter(pa.array(own)).column(k).to_pylist() for k in (0, 1, 8, 9))):
+            for b, base, packed, places in zip(*(batch.filter(pa.array(own)).column(k).to_pylist() for k in ("bucket", "base", "tokens", "places"))):
                 if b != bucket:
                     close()
                     bucket = b
                     if size >= ANSWERED:
                         yield from answers()
-                place = np.frombuffer(places, np.uint16).astype(np.int64)
-                wide = np.zeros((len(place), 8), np.uint8)
+                wide = np.zeros((len(places) // 2, 8), np.uint8)
                 wide[:, 5::-1] = np.frombuffer(packed, np.uint8).reshape(6, -1).T
-                held.append((wide.view(np.uint64).ravel(), place, row))
+                held.append((wide.view(np.uint64).ravel(), np.frombuffer(places, np.uint16), base))
         close()
         if found:
             yield from answers()
@@ -295,6 +304,49 @@ def _answers(bits: int):
     return rows
 
 
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Profiles with all their shingles that recur, where four fifths do; rows come sorted by block."""
+    names = _names(_PROFILE)
+    base: int | None = None
+    profiles: list[pa.RecordBatch] = []
+    tokens: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if not profiles:
+            return
+        own = pa.Table.from_batches(profiles).sort_by("row").combine_chunks()
+        n = own["n"].to_numpy()
+        known = own["shared"].combine_chunks()
+        size = known.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        every = np.concatenate([known.flatten().to_numpy().view(np.uint64), *tokens])
+        place = np.concatenate([np.repeat(np.arange(len(n)), size), *places])
+        counts = np.bincount(place, minlength=len(n))
+        enough = (n > 0) & (5 * counts >= 4 * n)
+        order = np.argsort(place, kind="stable")
+        order = order[enough[place[order]]]
+        shared = _lists(every[order], np.where(enough, counts, 0), ~enough)
+        profiles.clear(), tokens.clear(), places.clear()
+        yield from own.set_column(own.schema.get_field_index("shared"), "shared", shared).to_batches()
+
+    for batch in batches:
+        of = batch.column("base").to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1, [len(of)]])
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if lo == hi:
+                continue
+            if of[lo] != base:
+                yield from close()
+                base = of[lo]
+            part = batch.slice(lo, hi - lo)
+            answer = part.column("tokens").is_valid()
+            profiles.append(part.filter(pa.compute.invert(answer)).select(names))
+            answers = part.filter(answer)
+            tokens += [np.frombuffer(x, np.uint64) for x in answers.column("tokens").to_pylist()]
+            places += [np.frombuffer(x, np.uint16).astype(np.int64) for x in answers.column("places").to_pylist()]
+    yield from close()
+
+
 def profiles(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
     """Per row of ``docs``: row, doc, digest, n, high, low, and its shingles that recur, null unless four fifths do or a copy has them."""
     spark = docs.sparkSession
@@ -303,10 +355,8 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFr
     source = from_files(docs.select(*columns), f"{folder}/documents")
     bits = min(max(8, (2 * partitions(spark) - 1).bit_length()), 20)
     dealt = source.mapInArrow(_dealt(bits), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    parts = dealt.mapInArrow(_answers(bits), _ANSWERED)
-    fields = [F.max(k).alias(k) for k in ("doc", "digest", "n", "high", "low")]
-    whole = parts.groupBy("row").agg(*fields, F.flatten(F.collect_list("shared")).alias("shared"))
-    return written(whole.withColumn("shared", F.expr("CASE WHEN n > 0 AND 5 * size(shared) >= 4 * n THEN shared END")), f"{folder}/profiles")
+    parts = dealt.mapInArrow(_answers(bits), _ANSWERED).repartition("base").sortWithinPartitions("base")
+    return written(parts.mapInArrow(_assembled, _PROFILE), f"{folder}/profiles")
 
 
 def ordered_sets(sets: DataFrame, folder: str) -> DataFrame:
