@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -6,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -234,29 +236,33 @@ def test_licence_model_by_hand(spark):
 
 
 def small_model(steps=30):
+    """Ids 1-4 follow each other, 9 ends a text; 1 and 3 begin words."""
     draw = np.random.default_rng(0)
     sequences = [np.append(np.tile([1, 2, 3, 4], 20)[draw.integers(0, 4) :], 9) for _ in range(20)]
-    return attention_model.AttentionModel(10, 9, np.zeros(10, np.int32), sequences, steps=steps, batch=16)
+    ids, counts = np.concatenate(sequences), np.array([len(s) for s in sequences])
+    model = attention_model.AttentionModel(np.bincount(ids, minlength=10), 9, np.isin(np.arange(10), [1, 3, 9]))
+    model.train(ids, counts, steps, batch=16)
+    return model
 
 
 def test_attention_learns_and_is_causal():
     model = small_model(80)
     assert np.mean(model.losses[-10:]) < 0.5 * np.mean(model.losses[:5])
     ids = np.append(np.tile([1, 2, 3, 4], 30), 9)
-    whole = model.scores(ids, np.array([len(ids)]))
+    whole = model.scores(ids, np.array([len(ids)]))[0]
     changed = ids.copy()
     changed[70:] = 5
-    again = model.scores(changed, np.array([len(ids)]))
+    again = model.scores(changed, np.array([len(ids)]))[0]
     assert np.allclose(whole[:70], again[:70], atol=1e-4) and not np.allclose(whole[70:], again[70:])
-    assert np.allclose(model.scores(ids, np.array([len(ids)]), rows=2), whole, atol=1e-4)
+    assert np.allclose(model.scores(ids, np.array([len(ids)]), rows=2)[0], whole, atol=1e-4)
 
 
 def test_each_id_is_scored_once_as_by_hand():
     model = small_model()
     ids = np.array([1, 2, 3, 4] * 11 + [9] + [2, 3] + [9])
     counts = np.array([45, 3])
-    value = model.scores(ids, counts)
-    assert (value < 0).all()
+    value, edge = model.scores(ids, counts)
+    assert (value < 0).all() and (edge < 0).all()
     p = model.p
     for doc, begin in ((0, 0), (1, 45)):
         own = ids[begin : begin + counts[doc]]
@@ -269,9 +275,80 @@ def test_each_id_is_scored_once_as_by_hand():
             a = np.exp(s - s.max())
             h = e[-1] + (a / a.sum()) @ (e @ p["V"]) @ p["O"]
             h = h + np.maximum(h @ p["F"] + p["f"], 0) @ p["G"]
-            z = h @ p["W"] + p["w"]
-            expected = z[model.of[own[t]]] - np.log(np.exp(z - z.max()).sum()) - z.max() + model.share[own[t]]
+            soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            upper = soft(h @ p["A"] + p["a"])
+            cluster, member = divmod(int(model.of[own[t]]), attention_model.MEMBERS)
+            expected = np.log(upper[cluster]) + np.log(soft(h @ p["W"][cluster] + p["w"][cluster])[member]) + model.share[own[t]]
             assert abs(expected - value[begin + t]) < 2e-3
+            assert abs(np.log(upper[: attention_model.BOUNDARY].sum()) - edge[begin + t]) < 2e-3
+
+
+def test_gradients():
+    """Of the two-level output, against differences."""
+    model = small_model(5)
+    draw = np.random.default_rng(2)
+    h = draw.standard_normal((12, attention_model.WIDTH))
+    y = model.of[draw.integers(1, 5, 12)]
+    for k in "AaWw":
+        model.p[k] = model.p[k].astype(float)
+    loss, dh, g = model._output_gradients(h, y)
+    for k in ("A", "a", "W", "w", None):
+        x, grad = (h, dh) if k is None else (model.p[k], g[k])
+        for at in [tuple(draw.integers(0, s) for s in x.shape) for _ in range(5)] + [np.unravel_index(np.abs(grad).argmax(), grad.shape)]:
+            held, out = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = held + step
+                out.append(model._output_gradients(h, y)[0])
+            x[at] = held
+            assert abs((out[0] - out[1]) / 2e-5 - grad[at]) < 1e-5
+
+
+def test_word_probabilities_sum_to_one():
+    """Words of one to four subwords and the end, after one history: 1 at most, and nearly so."""
+    model = small_model(40)
+    history = [1, 2, 3, 4, 1]
+    total, inner = 0.0, [0, 2, 4, 5, 6, 7, 8]
+    first = [1, 3]
+    texts = [[*history, f, *more, 9] for f in first for n in range(4) for more in itertools.product(inner, repeat=n)] + [[*history, 9]]
+    value, edge = model.scores(np.concatenate(texts), np.array([len(t) for t in texts]))
+    ends = np.cumsum([len(t) for t in texts]) - 1
+    for t, e in zip(texts, ends.tolist()):
+        begin = e - len(t) + 1 + len(history)
+        total += math.exp(value[begin:e].sum() - edge[begin] + edge[e]) if begin < e else math.exp(value[e] - edge[e])
+    assert 0.9 < total <= 1 + 1e-4
+
+
+def test_words_and_ends_add_up():
+    """Word scores of a text are the ids' own, but for boundaries that are counted once."""
+    bpe = lm_scoring.vocabulary(RANKS)
+    end = len(bpe.token_length)
+    boundary = np.append(bpe.token_bytes[np.minimum(bpe.token_begin, len(bpe.token_bytes) - 1)] == 0x20, True)
+    model = attention_model.AttentionModel(np.ones(end + 1), end, boundary)
+    raw = np.frombuffer("Unbelievable things, don't they; \u00a0 \u00a0 x".encode() + b"a second one", np.uint8)
+    offsets = np.array([0, len(raw) - 12, len(raw), len(raw)])
+    starts, ends, counts = lm_scoring.spans(raw, offsets)
+    of_word, of_end = lm_scoring.word_scores(bpe, model, raw, starts, ends, counts)
+    text, begins = lm_scoring.normalised(raw, starts, ends, counts)
+    ids, _, each = lm_scoring.subwords(bpe, text, begins)
+    value, edge = model.scores(np.insert(ids.astype(np.int64), np.cumsum(each), end), each + 1)
+    at, word = np.cumsum(each + 1) - each - 1, np.concatenate([[0], np.cumsum(counts)])
+    for k in range(3):
+        mine = of_word[word[k] : word[k + 1]]
+        assert abs(mine[np.isfinite(mine)].sum() + of_end[k] - (value[at[k] : at[k] + each[k] + 1].sum() - edge[at[k]])) < 1e-6
+    assert len(of_end) == 3 and len(of_word) == counts.sum()
+
+
+def test_models_of_shards_are_averaged(spark, tmp_path):
+    alphabet = "the of and to in that was for with his".split(" ")
+    docs = frame(spark, [(i, " ".join(alphabet[(i + k) % 10] for k in range(200))) for i in range(1, 200)])
+    one, aside = lm_scoring.train_model(lm_scoring.blocked(docs, "doc_id", "text", 16), RANKS, f"file://{tmp_path}/one")
+    many, _ = lm_scoring.train_model(lm_scoring.blocked(docs, "doc_id", "text", 16), RANKS, f"file://{tmp_path}/many", shard=2)
+    bpe = lm_scoring.vocabulary(RANKS)
+    raw, offsets = lm_scoring.texts(pa.array(aside))
+    starts, ends, counts = lm_scoring.spans(raw, offsets)
+    before = lm_scoring.word_scores(bpe, attention_model.AttentionModel(np.ones(len(bpe.token_length) + 1), one.end, np.arange(len(bpe.token_length) + 1) == one.end), raw, starts, ends, counts)[0].mean()
+    for model in (one, many):
+        assert lm_scoring.word_scores(bpe, model, raw, starts, ends, counts)[0].mean() > -2 > before
 
 
 def test_lm_scoring(spark, corpus):
@@ -290,8 +367,11 @@ def test_lm_scoring(spark, corpus):
 
 
 def test_frequent_ids_are_classes_of_their_own():
-    model = attention_model.AttentionModel(400, 399, np.zeros(400, np.int32), [np.repeat(np.arange(300), np.arange(300, 0, -1))], steps=1)
-    assert model.classes == 256 and len(set(model.of[:192].tolist())) == 192 and len(set(model.of[192:].tolist())) == 32
+    boundary = np.arange(2000) < 1000
+    of = attention_model.classes(np.arange(2000, 0, -1), boundary)
+    edge = attention_model.BOUNDARY * attention_model.MEMBERS
+    assert len(set(of[:560].tolist())) == 560 and len(set(of[560:1000].tolist())) == 80 and of[:1000].max() < edge
+    assert len(set(of[1000:1336].tolist())) == 336 and len(set(of[1336:].tolist())) == 48 and of[1000:].min() >= edge and of.max() < 1024
 
 
 def test_model_share_is_the_likeliest():
