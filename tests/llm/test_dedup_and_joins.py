@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,6 +47,52 @@ def test_exact_dedup(spark, corpus, tmp_path):
     reopened.close()
 
 
+def test_index_keeps_its_buckets(spark, tmp_path):
+    """Opened again under another number of shuffle partitions, it knows all that it knew."""
+    texts = [(i, f"text {i}") for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    path = f"file://{tmp_path}/index"
+    names = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")}
+    known = names()
+    try:
+        index = exact_dedup.DigestIndex(spark, path)
+        assert exact_dedup.deduplicate(frame(spark, texts), index).filter("kept").count() == 60
+        index.close()
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == int(before)
+        assert exact_dedup.deduplicate(frame(spark, [(i + 100, t) for i, t in texts]), again).filter("kept").count() == 0
+        assert again.table().count() == 60
+        again.close()
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, 9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    frame(spark, [(1, "a")]).write.parquet(f"file://{tmp_path}/other")
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/other")
+    exact_dedup._once(frame(spark, texts)).count()
+    assert names() == known
+
+
+def test_stages_leave_one_of_repeated_rows(spark):
+    draw = random.Random(2)
+    base = words(draw, 60)
+    near = base.rsplit(" ", 1)[0] + " other"
+    rows = [(1, "same text"), (1, "same text"), (3, "same text"), (3, "same text"), (3, base), (4, near), (4, near), (None, "no id"), (None, "no id"), (7, None), (7, None), (8, "")]
+    docs = frame(spark, rows).withColumn("__keep", F.lit(1)).withColumn("copies", F.lit(2)).withColumn("kept", F.lit(False))
+    found = exact_dedup.distinct_documents(spark, docs, "")
+    assert found.columns == docs.columns
+    key = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    # null and empty texts are equal
+    assert key(found.collect()) == sorted([(3, "same text"), (3, base), (4, near), (None, "no id"), (8, "")], key=str)
+    found = ngram_join.one_of_each_group(spark, docs, "")
+    assert found.columns == docs.columns
+    rest = [r for r in found.collect() if r["text"]]
+    assert key(rest) == sorted([(1, "same text"), (3, base), (None, "no id")], key=str)
+    assert sorted(r["doc_id"] for r in found.collect() if not r["text"]) == [7, 8]
+
+
 def expected_components(corpus):
     sets = {i: shingle_set(t) for i, t in corpus}
     parent = {i: i for i in sets}
@@ -167,6 +214,53 @@ def test_documents_meet_over_an_inserted_word(spark):
     assert all(a // 2 == b // 2 for a, b in met) and len(met) >= 2 * 40
 
 
+def test_documents_meet_past_a_head_with_a_shorter_part(spark):
+    """Many documents have 45 of a passage's 52 words; the two that have all of it are found all the same."""
+    draw = random.Random(61)
+    texts, pairs = [], []
+    for k in range(12):
+        whole = words(draw, 52).split(" ")
+        core = " ".join(whole[3:48])
+        base = 1000 * k
+        texts += [(base + j, f"{words(draw, 40)} {core} {words(draw, 40)}") for j in range(6)]
+        texts += [(base + j, f"{words(draw, 40)} {' '.join(whole)} {words(draw, 40)}") for j in (100, 101)]
+        pairs.append((base + 100, base + 101))
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert {p for a, b in pairs for p in ((a, b), (b, a))} <= found
+    assert all(a % 1000 >= 100 and b % 1000 >= 100 for a, b in found)
+
+
+def test_recall_of_passages_against_brute_force(spark):
+    """Documents that share a stretch of 50 words with another, and only those, over random splices of common material."""
+    draw = random.Random(62)
+    pool = [words(draw, 80).split(" ") for _ in range(8)]
+    texts = []
+    for i in range(120):
+        parts = [words(draw, 40)]
+        for _ in range(draw.randint(0, 2)):
+            source = draw.choice(pool)
+            size = draw.randint(30, 75)
+            at = draw.randint(0, 80 - size)
+            parts += [" ".join(source[at : at + size]), words(draw, 30)]
+        texts.append((i, " ".join(parts)))
+    places = {}
+    for i, t in texts:
+        w = tokens(t)
+        for k in range(len(w) - 49):
+            places.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    expected = {i for v in places.values() if len(v) > 1 for i in v}
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(frame(spark, texts)).select("doc_id").distinct().collect()}
+    assert expected and expected <= found
+
+
+def test_heads_of_a_batch_stand_for_it():
+    names = [c.split()[0] for c in substring_dedup._ENTRY.split(", ")]
+    columns = [np.array(v, k) for v, k in (([5, 5, 5, 5, 9], np.int64), ([1, 1, 1, 2, 1], np.int32), ([3, 2, 2, 7, 4], np.int64), ([10, 20, 30, 40, 50], np.int32), ([0, 1, 2, 0, 1], np.int32))]
+    heads, met = (b.to_pydict() for b in substring_dedup._met(columns))
+    assert [heads[k] for k in ("key", "deep", "doc", "place")] == [[5, 5, 9], [1, 2, 1], [2, 7, 4], [20, 40, 50]] and heads["head"] == [None] * 3 and list(heads) == names
+    assert [met[k] for k in ("doc", "place", "head", "head_place")] == [[3], [10], [2], [20]]
+
+
 def test_stages_keep_columns(spark, corpus):
     docs = frame(spark, corpus)
     kept = exact_dedup.distinct_documents(spark, docs, "")

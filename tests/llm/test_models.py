@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -74,30 +75,51 @@ def test_language_id(spark):
 
 def test_fingerprints():
     draw = np.random.default_rng(1)
-    hashes = draw.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 60).astype(np.uint64)
-    for width in (1, 5, 17, 60):
+    hashes = draw.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2) + draw.integers(0, 2, 400).astype(np.uint64)
+    for width in (1, 5, 17, 60, 127, 128, 400):
+        bits = 8 if width <= 127 else 16
         found = decontaminate.Sums(hashes).fingerprints(width)
-        for start in range(0, 60 - width + 1, 7):
+        for start in range(0, 400 - width + 1, 71):
             window = hashes[start : start + width]
             for bit in range(64):
-                count = sum(int(w) >> (8 * (bit % 8) + bit // 8) & 1 for w in window)
-                # lane j of sum k is bit j of byte k; it lands on bit 8 j + k
-                value = int(found[start]) >> bit & 1
-                j, k = bit // 8, bit % 8
-                count = sum(int(w) >> (8 * k + j) & 1 for w in window)
-                assert value == (count > width // 2)
+                # lane j of sum k is bit j of field k, a field having as many bits as a word has lanes; it lands on that lane's bit k
+                j, k = divmod(bit, bits)
+                count = sum(int(w) >> (64 // bits * k + j) & 1 for w in window)
+                assert int(found[start]) >> bit & 1 == (count > width // 2)
 
 
 def test_blocks_find_all_within_radius():
+    """All fingerprints of any number of items within the radius, and no others."""
     draw = random.Random(9)
-    items = decontaminate.Items([(1, words(draw, 40))])
-    for width, (prints, tables, _) in items.classes.items():
+    items = decontaminate.Items([(k, words(draw, 40)) for k in range(30)])
+    for width, (prints, orders, starts, _) in items.classes.items():
+        probes = prints.tolist()
         for p in prints.tolist():
-            for _ in range(50):
+            for _ in range(20):
                 q = p
-                for bit in draw.sample(range(64), decontaminate.RADIUS):
+                for bit in draw.sample(range(64), draw.randint(0, decontaminate.RADIUS + 2)):
                     q ^= 1 << bit
-                assert any(tables[b][q >> 16 * b & 0xFFFF] for b in range(4)), width
+                probes.append(q)
+        found = {pair for at, which in decontaminate.Items.near(np.array(probes, np.uint64), prints, orders, starts) for pair in zip(at.tolist(), which.tolist())}
+        assert found == {(i, j) for i, q in enumerate(probes) for j, p in enumerate(prints.tolist()) if (p ^ q).bit_count() <= decontaminate.RADIUS}, width
+
+
+def test_recall_of_edited_items_by_length():
+    """Edited copies whose similarity is 0.8 or more are found as brute force finds them."""
+    draw = random.Random(77)
+    for n in (9, 15, 25, 40, 59, 100, 180):
+        found = tried = 0
+        while tried < 30:
+            item = words(draw, n).split(" ")
+            copy = list(item)
+            for _ in range(draw.randint(1, max(1, n // 25))):
+                at = draw.randrange(len(copy))
+                copy[at : at + draw.randint(0, 1)] = draw.choice([[], ["changed"]])
+            if best_stretch(item, copy)[0] < decontaminate.SIMILARITY:
+                continue
+            tried += 1
+            found += bool(searched(" ".join(item), " ".join(copy)))
+        assert found >= 0.9 * tried, (n, found, tried)
 
 
 def test_decontamination(spark, corpus):
@@ -200,6 +222,32 @@ def test_personal_data(spark, corpus):
     assert personal_data.personal_data(frame(spark, [])).count() == 0
 
 
+def test_added_spans():
+    """Trained on loose mentions with cues and on look-alikes without: held-out mentions are added, look-alikes are not, and added spans do not overlap."""
+    draw = random.Random(5)
+    right = lambda: f"e-mail: {draw.choice(['joe', 'ana', 'li'])}{draw.randint(1, 99)} (at) {words(draw, 1)} (dot) com, thanks"
+    wrong = lambda: f"version {words(draw, 1)}_at {words(draw, 1)} {draw.randint(1000, 9999)}-{draw.randint(1000, 9999)}-{draw.randint(1000, 9999)}-{draw.randint(1000, 9999)}/x"
+    plain = lambda: f"mail {words(draw, 1)}@{words(draw, 1)}.com"
+    texts = [right() for _ in range(200)] + [wrong() for _ in range(200)] + [plain() for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    [found] = personal_data._found([batch])
+    counts = Counter(code for more in found.column(2).to_pylist() for code in more[3::4])
+    model = personal_data.SpanClassifier(counts)
+    accepted = {c for c, p in model.table.items() if p >= personal_data.THRESHOLD}
+    added = [sum(more[k + 3] in accepted and more[k : k + 3] not in [base[j : j + 3] for j in range(0, len(base), 3)] for k in range(0, len(more), 4)) for base, more in zip(found.column(1).to_pylist(), found.column(2).to_pylist())]
+    assert sum(n > 0 for n in added[:200]) >= 180 and sum(added[200:400]) == 0 and sum(added[400:]) == 0
+
+
+def test_many_spans_in_a_text_take_linear_time():
+    times = []
+    for n in (2000, 8000):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["".join(f"a{i}@b.com 555 123-4567 ({i}) " for i in range(n))])], ["doc_id", "text"])
+        began = time.process_time()
+        list(personal_data._found([batch]))
+        times.append(time.process_time() - began)
+    assert times[1] < 9 * times[0] + 0.2
+
+
 def test_vote_model():
     counts = {personal_data.pattern(0, [1, 1, 1, 1, 1]): 50, personal_data.pattern(0, [0, 1, 1, 1, 1]): 10, personal_data.pattern(2, [0, -1, -1, -1, -1]): 80}
     table = personal_data.SpanClassifier(counts).table
@@ -225,6 +273,24 @@ def test_licences(spark, corpus):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_unknown_licences(spark):
+    """Licences that no template has are unknown or none; all templates, alone and among other words, are known."""
+    draw = random.Random(1)
+    model = license_scan.LicenceModel([words(draw, 12) for _ in range(600)])
+    assert model.unknown_accuracy > 0.85
+    unseen = [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Distributed under the Boost Software License, Version 1.0.",
+        "This is free and unencumbered software released into the public domain.", "Licensed under the EUPL, Version 1.2 or later.", "Licensed under the Artistic License 2.0.",
+        "Do what you want to public license", "Released under the zlib License.", "Licensed under the Common Development and Distribution License, Version 1.0",
+    ]
+    known = [(f, t) for f, family in license_scan.TEMPLATES.items() for t in family]
+    rows = [(i, t) for i, t in enumerate(unseen)] + [(100 + i, t) for i, (_, t) in enumerate(known)] + [(1000 + i, f"{words(draw, 3)} {t} {words(draw, 3)}") for i, (_, t) in enumerate(known)]
+    found = {r["doc_id"]: (r["family"], r["confirmed"]) for r in license_scan.licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(found.get(i, (license_scan.UNKNOWN, False)) == (license_scan.UNKNOWN, False) for i in range(len(unseen)))
+    assert all(found[100 + i] == (f, True) for i, (f, _) in enumerate(known))
+    assert sum(found.get(1000 + i, ("", 0))[0] == f for i, (f, _) in enumerate(known)) >= 0.9 * len(known)
+
+
 def test_licence_model_by_hand(spark):
     model = license_scan.LicenceModel(["plain words of a text", "and another line"])
     line = "Licensed under the Mozilla Public License, Version 2.0."

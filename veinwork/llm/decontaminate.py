@@ -5,10 +5,10 @@ to the item's, and the largest up to its half, each taken at its start and at
 its end, and windows of about three quarters of the stretch that no passage of
 similarity 0.8 can do without (``unedited``), so close to each other that
 every such stretch holds one whole.  Every window of those lengths in every document gets a 64-bit
-SimHash over its lower-cased words, from eight packed running sums.  Of the
+SimHash over its lower-cased words, from packed running sums.  Of the
 four 16-bit blocks of a fingerprint at least one is equal when two
 fingerprints differ in at most ``RADIUS`` = 3 bits, so four tables find all
-fingerprints within the radius.  For each candidate the stretch of the
+fingerprints within the radius, comparing those of an equal block only.  For each candidate the stretch of the
 document around the window with the highest exact multiset Jaccard of
 five-word shingles (weights: occurrences) is taken, of all lengths that can
 reach 0.8.
@@ -33,39 +33,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm.textbatch import SHINGLE, _STEP, mix, runs, texts, word_hashes
+from veinwork.llm.textbatch import SHINGLE, _STEP, mix, ragged, runs, texts, word_hashes
 
 RADIUS = 3
 SIMILARITY = 0.8
 ITEM_WORDS = 1_000_000
-#: Window lengths, a quarter apart; at most 127 words, what the packed sums hold.
-LADDER = [5, 6, 7, 9, 11, 14, 17, 21, 26, 33, 41, 51, 64, 80, 100]
+#: Window lengths, a quarter apart; an item beyond the last has windows of its parts.
+LADDER = [5, 6, 7, 9, 11, 14, 17, 21, 26, 33, 41, 51, 64, 80, *(int(100 * 1.25**k) for k in range(26))]
 
-_SPREAD = np.array([sum(1 << 8 * j for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
-_HIGH = np.uint64(0x8080808080808080)
-_ONES = 0x0101010101010101
+#: Lanes of 8 bits count up to 127 words, lanes of 16 bits up to 32,767.
+_LANES = {8: 127, 16: 32767}
 
 
 class Sums:
-    """Running counts of every hash bit, eight counts to a 64-bit word."""
+    """Running counts of every hash bit, eight counts of 8 bits or four of 16 to a 64-bit word."""
 
     def __init__(self, words: np.ndarray):
-        self.lanes = []
-        columns = words.view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            total = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(_SPREAD[columns[:, k]], out=total[1:])
-            self.lanes.append(total)
+        self.words, self.lanes = words, {}
+
+    def _counts(self, bits: int) -> list[np.ndarray]:
+        if bits not in self.lanes:
+            each = 64 // bits
+            spread = np.array([sum(1 << bits * j for j in range(each) if b >> j & 1) for b in range(1 << each)], np.uint64)
+            self.lanes[bits] = []
+            for k in range(bits):
+                total = np.zeros(len(self.words) + 1, np.uint64)
+                np.cumsum(spread[(self.words >> np.uint64(each * k) & np.uint64((1 << each) - 1)).astype(np.int64)], out=total[1:])
+                self.lanes[bits].append(total)
+        return self.lanes[bits]
 
     def fingerprints(self, width: int) -> np.ndarray:
         """SimHash of every window of ``width`` words: a bit is set if most words have it."""
-        lift = np.uint64((127 - width // 2) * _ONES)
+        bits = 8 if width <= _LANES[8] else 16
+        ones = sum(1 << bits * j for j in range(64 // bits))
+        lift, high = np.uint64((_LANES[bits] - width // 2) * ones), np.uint64((_LANES[bits] + 1) * ones)
         out = None
-        for k, total in enumerate(self.lanes):
+        for k, total in enumerate(self._counts(bits)):
             count = total[width:] - total[:-width]
             count += lift
-            count &= _HIGH
-            count >>= np.uint64(7 - k)
+            count &= high
+            count >>= np.uint64(bits - 1 - k)
             out = count if out is None else np.bitwise_or(out, count, out=out)
         return out
 
@@ -123,10 +130,29 @@ class Items:
         self.classes = {}
         for width, kept in anchors.items():
             prints = np.array([x[0] for x in kept], np.uint64)
-            tables = np.zeros((4, 1 << 16), bool)
-            for block in range(4):
-                tables[block, (prints >> np.uint64(16 * block) & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.classes[width] = (prints, tables, np.array([x[1] for x in kept], np.int64))
+            # for each 16-bit block: prints in its order, and where those of each value begin
+            blocks = prints.view(np.uint16).reshape(-1, 4)
+            orders = [np.argsort(blocks[:, k], kind="stable") for k in range(4)]
+            starts = [np.searchsorted(blocks[orders[k], k], np.arange((1 << 16) + 1)).astype(np.int32) for k in range(4)]
+            self.classes[width] = (prints, orders, starts, np.array([x[1] for x in kept], np.int64))
+
+    @staticmethod
+    def near(found: np.ndarray, prints: np.ndarray, orders: list[np.ndarray], starts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of ``found`` and of ``prints`` that are within ``RADIUS`` bits: only prints with an equal block are compared."""
+        blocks = found.view(np.uint16).reshape(-1, 4)
+        for k in range(4):
+            begin = starts[k][blocks[:, k]].astype(np.int64)
+            number = starts[k][1:][blocks[:, k]] - begin
+            where = np.flatnonzero(number)
+            reach = np.cumsum(number[where])
+            lo = 0
+            while lo < len(where):  # about a million comparisons at a time
+                hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + (1 << 20), "right")))
+                part = where[lo:hi]
+                at, which = np.repeat(part, number[part]), orders[k][ragged(begin[part], number[part])]
+                close = np.bitwise_count(found[at] ^ prints[which]) <= RADIUS
+                yield at[close], which[close]
+                lo = hi
 
     def search(self, words: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(document, item, similarity, first word, words) of the best match of each pair in a run of documents."""
@@ -139,24 +165,14 @@ class Items:
         if not len(words) or not self.classes:
             return
         sums, best = Sums(words), {}
-        for width, (prints, tables, anchors) in self.classes.items():
+        for width, (prints, orders, starts, anchors) in self.classes.items():
             if len(words) < width:
                 continue
-            found = sums.fingerprints(width)
-            blocks = found.view(np.uint16).reshape(-1, 4)
-            hit = tables[0][blocks[:, 0]]
-            for block in range(1, 4):
-                hit |= tables[block][blocks[:, block]]
-            where = np.flatnonzero(hit)
-            for lo in range(0, len(where), 1 << 14):
-                part = where[lo : lo + (1 << 14)]
-                for a in range(0, len(prints), 256):
-                    near = np.bitwise_count(found[part][:, None] ^ prints[None, a : a + 256]) <= RADIUS
-                    at, which = np.nonzero(near)
-                    for position, item in zip(part[at].tolist(), anchors[a + which].tolist()):
-                        d = int(np.searchsorted(ends, position, "right"))
-                        if position + width <= ends[d]:
-                            best.setdefault((d, item), set()).add((position, width))
+            for at, which in self.near(sums.fingerprints(width), prints, orders, starts):
+                doc = np.searchsorted(ends, at, "right")
+                inside = at + width <= ends[doc]
+                for position, d, item in zip(at[inside].tolist(), doc[inside].tolist(), anchors[which[inside]].tolist()):
+                    best.setdefault((d, item), set()).add((position, width))
         for (d, item), held in best.items():
             similar, first, length = self.aligned(item, words[begins[d] : ends[d]], sorted((at - int(begins[d]), width) for at, width in held))
             if similar >= SIMILARITY:

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm.workspace import partitions, shared_folder, written
+from veinwork.llm.workspace import kept_rows, partitions, shared_folder, written
 
 SALTS = 64
 
@@ -32,18 +32,47 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """digest -> owner id, bucketed and sorted by digest, at a shared path."""
+    """digest -> owner id, bucketed and sorted by digest, at a shared path.
+
+    The number of buckets is fixed when the index is made, and kept in the file
+    ``_buckets`` beside its data; whoever opens it later gets that number.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        """Open the index at ``path``; ``buckets`` is fixed when it is created."""
+        """Open the index at ``path`` or make it; a number other than the index has is an error."""
         self.spark, self.path = spark, path
-        self.buckets = buckets or partitions(spark)
+        made = self._made()
+        if made and buckets and buckets != made:
+            raise ValueError(f"the index at {path} has {made} buckets, not {buckets}")
+        self.buckets = made or buckets or partitions(spark)
+        if not made:
+            out = self._files().create(self._marker(), False)
+            out.writeInt(self.buckets)
+            out.close()
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, owner_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _marker(self) -> object:
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path, "_buckets")
+
+    def _files(self) -> object:
+        return self._marker().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _made(self) -> int | None:
+        """The number of buckets of the index at the path; data without it is an error."""
+        files, marker = self._files(), self._marker()
+        if files.exists(marker):
+            file = files.open(marker)
+            number = file.readInt()
+            file.close()
+            return number
+        if files.exists(marker.getParent()) and len(files.listStatus(marker.getParent())):
+            raise ValueError(f"{self.path} holds files, but no index with a number of buckets")
+        return None
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -107,9 +136,17 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``deduplicate`` against an index of its own, whose name is forgotten afterwards."""
+    index = DigestIndex(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/index")
+    try:
+        return deduplicate(docs, index)
+    finally:
+        index.close()
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return deduplicate(docs, DigestIndex(spark, f"{shared_folder(spark)}/index"))
+    return _once(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE_SQL = """
@@ -120,8 +157,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest doc_id stays, once."""
-    folder = shared_folder(spark)
-    found = deduplicate(docs, DigestIndex(spark, f"{folder}/index"))
-    keep = found.filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """Pipeline stage: of equal texts one row stays, of those with the largest doc_id."""
+    found = _once(docs).groupBy("doc_id", F.xxhash64("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.bool_or("kept").alias("kept"))
+    decided = written(found, f"{shared_folder(spark)}/decided")
+    return kept_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "digest": F.xxhash64(digest(F.col("text")))}, decided)

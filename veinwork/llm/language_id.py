@@ -130,9 +130,9 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def sample(docs: DataFrame, docs_per_language: int, max_text: int) -> dict[str, list[bytes]]:
+def sample(docs: DataFrame, docs_per_language: int, max_text: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
     """Labelled training texts: at most docs_per_language * max_text characters a language."""
-    labelled = docs.filter(
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2) & (F.length("text").between(1, max_text))
     )
     spread = labelled.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("spread"), "doc_id")
@@ -187,8 +187,9 @@ def identify(docs: DataFrame, trees: ContextTrees | None, id_col: str = "doc_id"
     return source.mapInArrow(rows, _SCHEMA)
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_text: int = MAX_TEXT) -> ContextTrees | None:
-    found = sample(docs, docs_per_language, max_text)
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_text: int = MAX_TEXT, **columns: str) -> ContextTrees | None:
+    """Trees of the labelled training texts; ``columns`` names id_col, text_col and lang_col where they are other."""
+    found = sample(docs, docs_per_language, max_text, **columns)
     return ContextTrees(found) if found else None
 
 

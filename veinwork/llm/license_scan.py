@@ -5,8 +5,12 @@ multinomial logistic regression over them gives each licence family and
 ``none`` a probability.  It is trained on the templates below, on cut, joined
 and reworded copies of them, and on a bounded sample of ``negatives``
 paragraphs of the corpus.  A temperature fitted on held-out copies calibrates
-the probabilities; a paragraph that is no ``none`` but reaches ``SURE`` for no
-family is ``unknown``.  A prediction is confirmed when the paragraph holds at
+the probabilities.  Whether a paragraph that is no ``none`` is of a known
+family at all is a second, calibrated question: each family in turn is left
+out of the training, and a logistic function of the best probability and of
+the similarity to that family's templates learns to tell the paragraphs of the
+family left out from those of families trained on.  Below ``SURE`` the
+paragraph is ``unknown``.  A prediction is confirmed when the paragraph holds at
 least ``CONTAINED`` of the bigrams of one of the family's templates, or is
 itself made of the family's bigrams to that share.
 
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from veinwork.llm.workspace import sampled
 
 NEGATIVES = 2000
-SURE = 0.6
+SURE = 0.5
 CONTAINED = 0.6
 #: Words too general to tell a licence by themselves.
 _GENERAL = frozenset("a all an and any are as at be by conditions following for from have in is it list met not of on option or person program provided purpose required should source text that the this to use via with without work you your".split())
@@ -156,16 +160,7 @@ class LicenceModel:
             x[i, [index[g] for g in found if g in index]] = 1
             x[i, -1] = 1
         held = np.arange(len(rows)) % 5 == 0
-        weights = np.zeros((x.shape[1], len(self.classes)))
-        target = np.eye(len(self.classes))[y]
-        own, share = x[~held], target[~held]
-        speed = np.zeros_like(weights)
-        for _ in range(steps):
-            z = own @ weights
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            speed = 0.9 * speed + own.T @ (p - share) / len(own) + 1e-4 * weights
-            weights -= 1.0 * speed
+        weights = self._fit(x[~held], y[~held], steps)
         z = x[held] @ weights
 
         def loss(t: float) -> float:
@@ -183,19 +178,72 @@ class LicenceModel:
         if (gain >= 0).any():
             self.screen = sorted(words)
         self.held_out_accuracy = float((z.argmax(1) == y[held]).mean())
+        self.owns = np.array([[any(g in set(bigrams(t)) for t in TEMPLATES[f]) for f in self.classes[:-1]] for g in self.grams], float)
+        self.templates = [(f, np.array([g in set(bigrams(t)) for g in self.grams], float)) for f in self.classes[:-1] for t in TEMPLATES[f]]
+        self._calibrate(x, y, np.array([max(1, len(found)) for found, _ in rows]), held, steps)
+
+    def _fit(self, x: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
+        weights = np.zeros((x.shape[1], len(self.classes)))
+        target = np.eye(len(self.classes))[y]
+        speed = np.zeros_like(weights)
+        for _ in range(steps):
+            z = x @ weights
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            speed = 0.9 * speed + x.T @ (p - target) / len(x) + 1e-4 * weights
+            weights -= 1.0 * speed
+        return weights
+
+    def _evidence(self, x: np.ndarray, total: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are best explained by a family, and for those (1, its probability, its similarity)."""
+        z = x @ weights
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = z.argmax(1)
+        own = np.flatnonzero(best < len(self.classes) - 1)
+        grams = x[own, :-1]
+        share = (grams * self.owns[:, best[own]].T).sum(1) / total[own]
+        for family, within in self.templates:
+            hit = best[own] == self.classes.index(family)
+            share[hit] = np.maximum(share[hit], grams[hit] @ within / within.sum())
+        return own, np.stack([np.ones(len(own)), p[own, best[own]], share], 1)
+
+    def _calibrate(self, x: np.ndarray, y: np.ndarray, total: np.ndarray, held: np.ndarray, steps: int) -> None:
+        """Weights of (1, probability, similarity) by which a paragraph is of a known family, from families left out in turn."""
+        none = len(self.classes) - 1
+        few = np.arange(len(y)) % 4 == 0
+        own, features = self._evidence(x[held], total[held], self.weights)
+        right = y[held][own] < none
+        parts, labels = [features[right]], [np.ones(right.sum())]
+        for family in range(none):
+            rows = few & (y != family)
+            _, unseen = self._evidence(x[y == family], total[y == family], self._fit(x[rows], y[rows], steps) / self.temperature)
+            parts.append(unseen)
+            labels.append(np.zeros(len(unseen)))
+        f, label = np.concatenate(parts), np.concatenate(labels)
+        # both sides count alike, however many copies they have
+        weight = np.where(label > 0, 1 / max(1, (label > 0).sum()), 1 / max(1, (label == 0).sum())) * len(label) / 2
+        known = np.zeros(3)
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(f @ known, -30, 30)))
+            curve = (f * (weight * p * (1 - p))[:, None]).T @ f + 0.1 * np.eye(3)
+            known += np.linalg.solve(curve, f.T @ (weight * (label - p)) - 0.1 * known)
+        self.known = known
+        p = 1 / (1 + np.exp(-np.clip(f @ known, -30, 30)))
+        self.unknown_accuracy = float((weight * ((p >= SURE) == (label > 0))).sum() / weight.sum())
 
 
-def train(docs: DataFrame, negatives: int = NEGATIVES) -> LicenceModel:
+def train(docs: DataFrame, negatives: int = NEGATIVES, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
     """Negatives: first lines without licence words of about ``negatives`` documents, chosen by hashed id."""
-    line = F.substring(F.substring_index("text", "\n", 1), 1, 400)
-    plain = docs.select(line.alias("line"), "doc_id").filter(
+    line = F.substring(F.substring_index(F.col(text_col), "\n", 1), 1, 400)
+    plain = docs.select(line.alias("line"), F.col(id_col).alias("doc_id")).filter(
         F.col("line").isNotNull() & ~F.lower("line").rlike("licen|copyright|rights reserved|public domain|permission")
     )
     return LicenceModel(sorted(r["line"] for r in sampled(plain, "doc_id", negatives).collect()))
 
 
 def licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, family, probability, similarity, confirmed: one row per licence paragraph."""
+    """doc_id, line, family, probability, similarity, known, confirmed: one row per licence paragraph; known is the probability that it is of a family at all."""
     spark = docs.sparkSession
     families = model.classes[:-1]
     held = {g: [f for f in families if any(g in bigrams(t) for t in TEMPLATES[f])] for g in model.grams}
@@ -233,13 +281,17 @@ def licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_
     ]
     similar = F.array(*by_family)[F.col("best") - 1]
     name = F.array(*[F.lit(f) for f in families])[F.col("best") - 1]
-    return scored.select(
+    scored = scored.withColumn("similarity", similar)
+    constant, by_probability, by_similarity = (float(w) for w in model.known)
+    known = 1 / (1 + F.exp(-(F.lit(constant) + F.col("probability") * by_probability + F.col("similarity") * by_similarity)))
+    return scored.withColumn("known", known).select(
         "doc_id",
         "line",
-        F.when(F.col("probability") >= SURE, name).otherwise(UNKNOWN).alias("family"),
+        F.when(F.col("known") >= SURE, name).otherwise(UNKNOWN).alias("family"),
         "probability",
-        similar.alias("similarity"),
-        ((F.col("probability") >= SURE) & (similar >= CONTAINED)).alias("confirmed"),
+        "similarity",
+        "known",
+        ((F.col("known") >= SURE) & (F.col("similarity") >= CONTAINED)).alias("confirmed"),
     )
 
 

@@ -10,13 +10,15 @@ span classifier.  A candidate that touches no base span is added when the
 classifier gives it ``THRESHOLD``; base spans always stay.
 
 Defined results: a null or empty text has no spans; positions are code points;
-ties cannot arise, as spans of a kind do not overlap; repeated rows each give
-a row; an empty table gives no rows.  Only the id and text columns are read.
+of added spans that overlap the first to begin stays, of those that begin
+together the one whose kind is listed first; repeated rows each give a row; an empty table gives no rows.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -146,10 +148,12 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = bytes(raw[a:b]).decode()
                 base = base_spans(text)
                 taken = sorted((s, e) for _, s, e in base)
+                begins, reach = [s for s, _ in taken], list(itertools.accumulate((e for _, e in taken), max))
                 more = [(k, s, e, pattern(k, votes(text, k, s, e, True))) for k, s, e in base]
                 for kind, name in enumerate(KINDS):
                     for m in _LOOSE[name].finditer(text):
-                        if not any(s < m.end() and m.start() < e for s, e in taken):
+                        before = bisect.bisect_left(begins, m.end())  # spans that begin before it ends
+                        if not before or reach[before - 1] <= m.start():
                             more.append((kind, m.start(), m.end(), pattern(kind, votes(text, kind, m.start(), m.end(), False))))
             rows["base"].append([x for s in base for x in s])
             rows["more"].append([x for s in more for x in s])
@@ -222,9 +226,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out: list[list] = [[] for _ in range(6)]
             for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = [tuple(base[i : i + 3]) for i in range(0, len(base), 3)]
+                known = set(own)
                 spans, end = list(own), -1
-                for k, s, e, code in sorted((tuple(more[i : i + 4]) for i in range(0, len(more), 4)), key=lambda x: x[1]):
-                    if code in accepted and (k, s, e) not in own and s >= end:
+                for k, s, e, code in sorted((tuple(more[i : i + 4]) for i in range(0, len(more), 4)), key=lambda x: (x[1], x[0])):
+                    if code in accepted and (k, s, e) not in known and s >= end:
                         spans.append((k, s, e))
                         end = e
                 for kind in range(len(KINDS)):
