@@ -1,3 +1,6 @@
+import json
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -20,7 +23,21 @@ def test_cycles(spark):
     assert rows(nodes) == [("x", 1, 1), ("x", 2, 1), ("x", 3, 3)]
     assert rows(graph.cycle_edges(edges, nodes)) == [("x", 1, 2), ("x", 2, 1), ("x", 3, 3)]
     assert [(r["component"], r["loop"]) for r in graph.cycle_loops(edges).orderBy("component").collect()] == [(1, [1, 2, 1]), (3, [3, 3])]
-    assert rows(graph.cyclic_nodes(edges, rounds=2)) == rows(nodes)
+    assert rows(graph.cyclic_nodes(edges, local_edges=0)) == rows(nodes)
+    assert [(r["component"], r["loop"]) for r in graph.cycle_loops(edges, local_edges=0).orderBy("component").collect()] == [(1, [1, 2, 1]), (3, [3, 3])]
+
+
+def test_large_graphs_by_joins(spark):
+    """The forms without a task for a whole app agree with those that have one."""
+    draw = random.Random(3)
+    pairs = {(draw.randrange(30), draw.randrange(30)) for _ in range(45)} | {(100 + k, 101 + k) for k in range(6)}
+    edges = edges_of(spark, sorted(pairs)).unionByName(edges_of(spark, [(1, 2), (2, 1)]).withColumn("app", F.lit("y")))
+    small, large = graph.split_by_size(edges, 10)
+    assert {r["app"] for r in small.collect()} == {"y"} and {r["app"] for r in large.collect()} == {"x"}
+    assert rows(graph.cyclic_nodes(edges, 10)) == rows(graph.cyclic_nodes(edges))
+    layers = edges.select("app", F.col("src").alias("node")).union(edges.select("app", "dst")).distinct().withColumn("layer", F.concat(F.lit("l"), (F.col("node") % 4).cast("string")))
+    assert rows(graph.layer_reachability(edges, layers, 10)) == rows(graph.layer_reachability(edges, layers))
+    assert rows(graph.cyclic_nodes(edges.filter("false"), 0)) == []
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,6 +62,8 @@ def test_reachability(spark):
 def test_leaf_files(spark):
     hops = spark.createDataFrame([(1, 2), (2, 3), (2, 1), (1, 4)], "src long, dst long")
     assert rows(graph.leaf_files(hops, spark.createDataFrame([(1,), (2,)], "id long"))) == [(1, 3), (1, 4), (2, 3), (2, 4)]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long")
+    assert rows(graph.leaf_files(chain, spark.range(40).filter("id <> 17"))) == sorted([(k, 17) for k in range(17)] + [(k, 40) for k in range(40) if k != 17])
 
 
 def files_of(spark, items):
@@ -115,13 +134,90 @@ def test_diff(spark):
 
 def test_context_and_state(spark):
     text = lambda *t: spark.createDataFrame([("d", x) for x in t], "doc string, text string")
-    quoted = spark.createDataFrame([("Use tabs",)], "statement string")
-    assert rows(change.unchecked_sentences(text("Use tabs.", "New one.", "Old one."), text("Old one."), quoted)) == [("d", "New one.")]
+    quoted = spark.createDataFrame([("Use tabs",), ("a longer statement: No",)], "statement string")
+    assert rows(change.unchecked_sentences(text("Use tabs.", "New one.", "Old one.", "No", "t: "), text("Old one."), quoted)) == [("d", "New one.")]
     prior = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "id string, v int")
     scanned = spark.createDataFrame([("b", 2)], "id string, v int")
     assert rows(change.merged_state(prior, scanned, F.col("id") == "c")) == [("a", 1), ("b", 2)]
 
 
+def test_references_of_configuration(spark):
+    files = files_of(spark, ["src/setup.ts", "tools/x.ts", "pkg/src/index.ts", "src/a/b.ts"])
+    literals = spark.createDataFrame([(9, "vitest.config.ts", "./src/setup.ts"), (9, "vitest.config.ts", "<rootDir>/tools/x"), (9, "vitest.config.ts", "node")], "id long, path string, literal string")
+    assert rows(resolve.config_references(literals, files)) == [(9, 0), (9, 1)]
+    assert rows(resolve.manifest_references(spark.createDataFrame([(8, "pkg", "./src/index.ts"), (8, "pkg", "./dist/x.js")], "id long, dir string, target string"), files)) == [(8, 2)]
+    shared = lambda *p: resolve.common_directory(spark.createDataFrame([(x,) for x in p], "path string")).first()["dir"]
+    assert (shared("a/b/x.ts", "a/b/c/y.ts"), shared("a/b/x.ts", "a/bc/y.ts"), shared("x.ts", "a/y.ts"), shared("a/b/x.ts")) == ("a/b", "a", "", "a/b")
+    assert resolve.common_directory(files.filter("false")).count() == 0
+
+
+def test_checker_rules(spark):
+    from veinwork.operators import emit
+
+    families = ["layer", "role-layering", "public-api", "feature-slice", "app-isolation", "test-isolation", "entry-purity", "dependency-hygiene", "phantom-deps", "stories-isolation", "ui-data", "server-client", "console-isolation"]
+    sides = {"layer": ("db", "ui"), "role-layering": ("SERVICE", "CONTROLLER"), "public-api": ("src/f.x", None), "feature-slice": ("src/features", None), "app-isolation": ("apps", None), "server-client": ("^client", "^server")}
+    gates = spark.createDataFrame([(f, f"r-{f}", "AUTO", *sides.get(f, (None, None))) for f in families] + [("layer", "weak", "SUGGEST", "a", "b")], "family string, id string, status string, from string, to string")
+    found = {r["family"]: json.loads(r["rule"]) for r in emit.checker_rules(gates, spark.createDataFrame([("r-layer", "src/db/x.ts")], "rule string, file string")).collect()}
+    assert set(found) == set(families) - {"console-isolation"}
+    assert found["layer"] == {"name": "r-layer", "severity": "error", "from": {"path": ["^src/db/"]}, "to": {"path": ["^src/ui/"]}, "exempt": ["^src/db/x\\.ts$"]}
+    assert found["public-api"]["from"] == {"pathNot": ["^src/f\\.x/"]} and found["public-api"]["to"]["pathNot"] == ["^src/f\\.x/index\\.(ts|tsx)$"]
+    assert found["feature-slice"]["to"] == {"path": ["^src/features/([^/]+)/"], "pathNot": ["^src/features/$1/"]}
+    assert found["role-layering"]["from"]["path"] == [r"\.service\.ts$"] and found["phantom-deps"]["to"]["dependencyTypes"] == ["npm-no-pkg", "npm-unknown"]
+    line = emit.annotation_summary(spark.createDataFrame([("a",), ("a",), ("b",)], "rule_id string"), spark.createDataFrame([], "rule_id string")).first()["line"]
+    assert line == "3 new violations of 2 rules, 0 fixed"
+
+
+def test_exceptions_and_removed_rules(spark):
+    schema = "rule string, exception string"
+    adopted = spark.createDataFrame([("a", "forbidden-imports", "fast"), ("b", "forbidden-imports", "fast"), ("c", "layer", "fast"), ("d", "forbidden-imports", "fast")], "rule string, family string, mode string")
+    recorded = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "x")], schema)
+    current = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z")], schema)
+    assert sorted(((r[0], r[1]) for r in change.remeasured(adopted, recorded, current, "deep").collect()), key=str) == [("a", "x"), ("a", "y"), ("d", None)]
+    assert rows(change.remeasured(adopted, recorded, current, "fast")) == []
+    ids = spark.createDataFrame([("r",), ("s",)], "id string")
+    assert rows(change.removed_rules(ids, ids.filter("false"))) == [("r",), ("s",)] and rows(change.removed_rules(ids, ids.limit(1))) == []
+    sentences = spark.createDataFrame([("d", "Use x.", True), ("d", "Fine.", False), ("e", "Old.", False)], "doc string, text string, rule_like boolean")
+    assert rows(change.context_counts(sentences, spark.createDataFrame([("d", "Use x."), ("d", "Fine.")], "doc string, text string"))) == [(2, 1)]
+
+
+def test_names_of_imports(spark):
+    imports = spark.createDataFrame([(1, ["useState"]), (2, ["*"]), (3, None), (4, ["other"]), (5, [])], "id long, names array<string>")
+    assert rows(imports.filter(rules.takes_name(F.col("names"), ["useState", "x"])).select("id")) == [(1,), (2,)]
+    assert imports.filter(rules.takes_name(F.col("names"), None)).count() == 5
+
+
+def test_workspace_packages(spark):
+    packages = spark.createDataFrame([("@a/lib", [".", "./sub", "./gen/*.js"], False), ("@a/open", ["./*"], True), ("plain", [], False)], "name string, exports array<string>, open boolean")
+    imports = spark.createDataFrame([(1, "@a/lib"), (2, "@a/lib/sub"), (3, "@a/lib/deep/x"), (4, "@a/open/any"), (5, "@a/library"), (6, "plain/x"), (7, "@a/lib/gen/y.js"), (8, "@a/lib/gen/.js")], "id long, spec string")
+    found = detectors.workspace_imports(imports, packages)
+    assert rows(found.select("id", "violates")) == [(1, False), (2, False), (3, True), (6, True), (7, False), (8, True)]
+    assert tuple(detectors.workspace_api(imports, packages).first())[:2] == (6, 3)
+
+
+def test_forbidden_imports_by_leaf_and_without_pattern(spark):
+    files = files_of(spark, ["src/a.controller.ts", "src/b.controller.ts", "src/c.ts"])
+    imports = spark.createDataFrame([(0, "./all", "src/db/client.ts"), (1, "./x", "node_modules/pg/index.js"), (2, "pg", None)], "id long, spec string, leaf string")
+    found = {r["rule_id"]: (r["population"], r["violators"], r["status"]) for r in detectors.forbidden_imports(files, imports, {"A": r"(^|/)(db|pg)(/|$)", "B": None}).collect()}
+    assert found["A"][:2] == (2, 1) and found["B"] == (2, 0, "REJECT")
+    assert rows(detectors.forbidden_occurrences(files, imports, {"A": r"(^|/)(db|pg)(/|$)", "B": None})) == [(0, "./all", "A")]
+
+
+def test_texts(spark):
+    from veinwork.functions import prose
+    from veinwork.operators import emit
+
+    row = spark.createDataFrame([("# T\n\n Use  *tabs*\nand spaces.\nEnd", "tabs and", "absent", "")], "t string, q string, a string, e string")
+    assert tuple(row.select(*[prose.quote_line(F.col("t"), F.col(c)) for c in "qae"]).first()) == (3, None, None)
+    assert row.select(emit.code_frame(F.lit("a\nb\nc\nd"), F.lit(2), 1).alias("x")).first()["x"] == ">    2 | b".join(["     1 | a\n", "\n     3 | c"]).replace("     1", "     1")
+    bounds = spark.createDataFrame([("db", "ui", "AUTO", 40, 1, 0.9, 0.975)], "from_layer string, to_layer string, status string, population long, violators long, floor double, observed double")
+    assert emit.statements(bounds).first()["statement"] == "Files in db must not import ui (39 of 40 follow, 97.5%)."
+    assert "# no-db-to-ui" in emit.cards(bounds).first()["card"] and "expectNoDependency" in emit.architecture_tests(bounds).first()["test"]
+    summary = spark.createDataFrame([("r1", "layer", "AUTO", 40, 1, 0.9), ("r2", "layer", "SUGGEST", 9, 0, 0.7)], "id string, family string, status string, population long, violators long, floor double")
+    assert rows(emit.report(summary)) == [("AUTO", 1, "r1: 1/40"), ("SUGGEST", 1, "r2: 0/9")]
+    assert '"app":"x"' in emit.scan_json(summary, "x").first()["json"]
+    assert rows(emit.found_rules(spark.createDataFrame([("Lint/ R1",), ("zz",)], "ref string"), summary.select("id", F.lit(None).cast("string").alias("label")))) == [("Lint/ R1", "r1"), ("zz", None)]
+
+
 def test_rules(spark):
     status = spark.createDataFrame([("a", "AUTO"), ("a", "REJECT"), ("b", "SUGGEST"), ("c", "REJECT")], "family string, status string")
     assert rows(rules.family_status(status)) == [("a", "AUTO"), ("b", "SUGGEST"), ("c", "NONE")]
@@ -137,6 +233,12 @@ def test_resolution(spark):
     aliases = spark.createDataFrame([("@", "src", 0), ("@/ui", "src/ui", 1)], "prefix string, dir string, ord int")
     targets = resolve.relative(imports, files).unionByName(resolve.aliased(imports, aliases))
     assert rows(resolve.resolved(targets, files)) == [(0, "../b", 1), (0, "@/ui/c", 2)]
+    # all targets of the longest prefix, in order; files of another app do not count
+    apps = files.withColumn("app", F.when(F.col("id") == 2, "b").otherwise("a"))
+    own = spark.createDataFrame([(0, "a", "@/ui/c"), (0, "a", "@/b")], "id long, app string, spec string")
+    several = spark.createDataFrame([("@", "nowhere", 0), ("@", "src", 1)], "prefix string, dir string, ord int")
+    assert rows(resolve.resolved(resolve.alias_targets(own, several), apps)) == [(0, "@/b", 1)]
+    assert rows(resolve.resolved(resolve.relative(imports.filter("spec = '../b'"), apps), apps.withColumn("app", F.when(F.col("id") == 1, "b").otherwise("a")))) == []
     dirs = spark.createDataFrame([("src",), ("src/ui",)], "dir string")
     assert rows(resolve.owners(files, dirs)) == [(0, "src"), (1, "src"), (2, "src/ui")]
     assert rows(resolve.discovered_apps(files, dirs)) == [("src", 2), ("src/ui", 1)]

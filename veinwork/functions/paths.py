@@ -57,6 +57,12 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def prefixes(spec: Column) -> Column:
+    """All beginnings of a specifier that end at a slash or its end."""
+    parts = F.split(spec, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def folded(path: Column) -> Column:
     """The path without '.' and '..'; null if it climbs out."""
 

@@ -58,6 +58,12 @@ def classify(path: Column, use_server: Column | None = None) -> Column:
     return F.when(upgraded, value("SERVER_ACTION", 0.9, DIRECTIVE_RULE)).otherwise(base)
 
 
+def pattern_of(*names: str) -> str:
+    """One pattern for the paths of roles, whatever comes before them in the table."""
+    found = [pattern for role, _, pattern, _ in RULES if role in names]
+    return found[0] if len(found) == 1 else "(" + "|".join(found) + ")"
+
+
 def leading_directive(text: Column, directive: str) -> Column:
     """Whether code begins with a directive, after a byte order mark, a #! line, comments and other directives."""
     skip = r"^﻿?(?:#![^\n]*\n)?(?:\s|//[^\n]*(?:\n|$)|/\*(?:[^*]|\*(?!/))*+\*/|(?:'[^'\n]*'|\"[^\"\n]*\")\s*;?)*?"

@@ -93,11 +93,56 @@ def located(findings: DataFrame, lines: DataFrame) -> DataFrame:
     return findings.join(one, ["rule_id", "file", "subject"], "left").select(*findings.columns, F.when(F.col("n") == 1, F.col("at")).alias("at"))
 
 
+def _grams(text: Column) -> Column:
+    """The empty string and all distinct substrings of one to three characters."""
+    each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda k: F.substring(text, k, F.lit(n)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), each(1), each(2), each(3)))
+
+
 def unchecked_sentences(head: DataFrame, base: DataFrame, quoted: DataFrame) -> DataFrame:
-    """Sentences (doc, text) that the base lacks and no quoted statement holds or is held by."""
+    """Sentences (doc, text) that the base lacks and no quoted statement holds or is held by.
+
+    Whatever holds a text holds its first three characters, so the two sides
+    meet by equality before they are compared.
+    """
     fresh = head.join(base.select("doc", "text").distinct(), ["doc", "text"], "left_anti")
-    held = F.col("text").contains(F.col("statement")) | F.col("statement").contains(F.col("text"))
-    return fresh.join(F.broadcast(quoted.select("statement").distinct()), held, "left_anti")
+    statements = quoted.select("statement").distinct()
+    start = lambda c: F.substring(c, 1, 3)
+    longer = fresh.select("doc", "text", F.explode(_grams(F.col("text"))).alias("key")).join(statements.withColumn("key", start("statement")), "key").filter(F.col("text").contains(F.col("statement")))
+    shorter = fresh.withColumn("key", start("text")).join(statements.select("statement", F.explode(_grams(F.col("statement"))).alias("key")), "key").filter(F.col("statement").contains(F.col("text")))
+    held = longer.select("doc", "text").unionByName(shorter.select("doc", "text")).distinct()
+    return fresh.join(held, ["doc", "text"], "left_anti")
+
+
+def context_counts(sentences: DataFrame, unchecked: DataFrame) -> DataFrame:
+    """One row, unchecked_n and rule_like_n: of sentences (doc, text, rule_like), those that are unchecked, and rules among them."""
+    met = sentences.select("doc", "text", "rule_like").distinct().join(unchecked.select("doc", "text").distinct(), ["doc", "text"], "left_semi")
+    return met.agg(F.count(F.lit(1)).alias("unchecked_n"), F.count_if("rule_like").alias("rule_like_n"))
+
+
+def remeasured(rules: DataFrame, recorded: DataFrame, current: DataFrame, mode: str) -> DataFrame:
+    """rule, exception: the exceptions of rules (rule, family, mode) adopted in another mode, where they are no longer those recorded.
+
+    Only forbidden imports are seen differently by mode; a rule that has none
+    left has one row without an exception.
+    """
+    other = rules.filter((F.col("family") == "forbidden-imports") & (F.col("mode") != mode)).select("rule")
+    both = recorded.select("rule", "exception", F.lit(1).alias("rec"), F.lit(0).alias("cur")).unionByName(current.select("rule", "exception", F.lit(0).alias("rec"), F.lit(1).alias("cur")))
+    each = both.groupBy("rule", "exception").agg(F.max("rec").alias("rec"), F.max("cur").alias("cur"))
+    changed = each.groupBy("rule").agg(F.bool_or(F.col("rec") != F.col("cur")).alias("changed")).filter("changed").join(other, "rule", "left_semi").select("rule")
+    now = current.select("rule", "exception").distinct()
+    return changed.join(now, "rule", "left").select("rule", "exception")
+
+
+def first_recorded(rules: DataFrame, current: DataFrame) -> DataFrame:
+    """rule, exception: what breaks rules (rule, recorded) that have no record of exceptions."""
+    return current.join(rules.filter("NOT recorded").select("rule"), "rule", "left_semi").select("rule", "exception")
+
+
+def removed_rules(base: DataFrame, head: DataFrame) -> DataFrame:
+    """Rules (id) of the base where the head has none at all: a change that takes the rules themselves away."""
+    n = head.agg(F.count(F.lit(1)).alias("n"))
+    return base.select("id").crossJoin(F.broadcast(n)).filter("n = 0").select("id")
 
 
 def merged_state(prior: DataFrame, scanned: DataFrame, removed: Column) -> DataFrame:

@@ -51,8 +51,8 @@ def directed_pairs(files: DataFrame, edges: DataFrame, group: str, least_files:
         F.least("xy", "yx").alias("violators"),
         F.greatest("xy", "yx").alias("reverse_flow"),
     )
-    sized = aimed.join(F.broadcast(size.filter(F.col("n") >= least_files)).withColumnsRenamed({"g": "from_group", "n": "population"}), "from_group").join(
-        F.broadcast(size.filter(F.col("n") >= least_files)).select(F.col("g").alias("to_group"), F.col("n").alias("n_to"), F.col("conf").alias("conf_to")), "to_group"
+    sized = aimed.join(size.filter(F.col("n") >= least_files).withColumnsRenamed({"g": "from_group", "n": "population"}), "from_group").join(
+        size.filter(F.col("n") >= least_files).select(F.col("g").alias("to_group"), F.col("n").alias("n_to"), F.col("conf").alias("conf_to")), "to_group"
     )
     direction = wilson(F.col("reverse_flow"), F.col("violators") + F.col("reverse_flow"))
     if mean_confidence:
@@ -138,18 +138,27 @@ def server_client(files: DataFrame, edges: DataFrame, imports: DataFrame, client
     return measure(_violating(files.filter(client).select("id"), hit).crossJoin(F.broadcast(some)), [])
 
 
-def public_api(files: DataFrame, edges: DataFrame, barrels: DataFrame) -> DataFrame:
-    """Consumers outside a directory with a barrel that reach past it; the nearest barrel above a target counts.
+def outside_use(files: DataFrame, edges: DataFrame, barrels: DataFrame) -> DataFrame:
+    """Edges into a directory with a barrel from outside it: src, dst, dir, barrel_id; the nearest barrel above a target counts.
 
     Ancestors are exploded and met by equality, so no prefix join is needed.
     """
-    dirs = barrels.select(F.col("id").alias("barrel_id"), F.col("dir"))
-    above = files.select("id", F.explode(paths.ancestors(F.col("path"))).alias("dir")).join(dirs, "dir")
-    nearest = above.groupBy("id").agg(F.max_by(F.struct("dir", "barrel_id"), F.length("dir")).alias("b")).select("id", "b.dir", "b.barrel_id")
-    inside = nearest.filter("id <> barrel_id").groupBy("dir").agg(F.count(F.lit(1)).alias("internals"))
+    nearest = _nearest_barrel(files, barrels)
     path_of = files.select(F.col("id").alias("src"), F.col("path").alias("src_path"))
     use = edges.join(nearest.withColumnRenamed("id", "dst"), "dst").join(path_of, "src")
-    outside = use.filter(~F.col("src_path").startswith(F.concat("dir", F.lit("/"))) & (F.col("src") != F.col("barrel_id")))
+    return use.filter(~F.col("src_path").startswith(F.concat("dir", F.lit("/"))) & (F.col("src") != F.col("barrel_id")))
+
+
+def _nearest_barrel(files: DataFrame, barrels: DataFrame) -> DataFrame:
+    dirs = barrels.select(F.col("id").alias("barrel_id"), F.col("dir"))
+    above = files.select("id", F.explode(paths.ancestors(F.col("path"))).alias("dir")).join(dirs, "dir")
+    return above.groupBy("id").agg(F.max_by(F.struct("dir", "barrel_id"), F.length("dir")).alias("b")).select("id", "b.dir", "b.barrel_id")
+
+
+def public_api(files: DataFrame, edges: DataFrame, barrels: DataFrame) -> DataFrame:
+    """Consumers outside a directory with a barrel that reach past it."""
+    inside = _nearest_barrel(files, barrels).filter("id <> barrel_id").groupBy("dir").agg(F.count(F.lit(1)).alias("internals"))
+    outside = outside_use(files, edges, barrels)
     counted = outside.groupBy("dir").agg(F.count_distinct("src").alias("consumers"), F.count_distinct(F.when(F.col("dst") != F.col("barrel_id"), F.col("src"))).alias("deep_importers"))
     joined = counted.join(inside, "dir")
     columns = gate(F.col("consumers"), F.col("deep_importers"), F.lit(1.0))
@@ -188,36 +197,73 @@ def usage_isolation(files: DataFrame, usage: DataFrame, population: Column, appl
     return measure(rows, [])
 
 
-def workspace_api(imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """Files that import a workspace package (name, exports, open) other than by its name or an exported subpath."""
-    met = imports.join(F.broadcast(packages.filter("NOT open")), (F.col("spec") == F.col("name")) | F.col("spec").startswith(F.concat("name", F.lit("/"))))
+def workspace_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """id, spec, package, violates: imports of workspace packages (name, exports, open) that are not open.
+
+    A specifier is exploded into its prefixes and meets names by equality.  It
+    violates unless it is the name or an exported subpath; a star in an export
+    stands for one character at least.
+    """
+    sides = packages.filter("NOT open").select("name", F.transform("exports", lambda e: F.regexp_replace(e, r"^\./", "")).alias("exports"))
+    met = imports.select("id", "spec", F.explode(paths.prefixes(F.col("spec"))).alias("name")).join(sides, "name")
     first = met.groupBy("id", "spec").agg(F.min_by(F.struct("name", "exports"), "name").alias("p"))
     subpath = F.substring(F.col("spec"), F.length("p.name") + 2, F.length("spec"))
-    violates = (F.col("spec") != F.col("p.name")) & ~F.array_contains("p.exports", subpath)
-    return measure(first.select(F.col("id").alias("member"), violates.alias("violates")), [])
+    starred = lambda e: e.contains("*") & subpath.startswith(F.substring_index(e, "*", 1)) & subpath.endswith(F.substring_index(e, "*", -1)) & (F.length(subpath) >= F.length(e))
+    exported = F.exists("p.exports", lambda e: (e == subpath) | starred(e))
+    return first.select("id", "spec", F.col("p.name").alias("package"), ((F.col("spec") != F.col("p.name")) & ~exported).alias("violates"))
+
+
+def workspace_api(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """Files that import a workspace package other than by its name or an exported subpath."""
+    return measure(workspace_imports(imports, packages).select(F.col("id").alias("member"), "violates"), [])
+
 
+def forbidden_imports(files: DataFrame, imports: DataFrame, markers: dict[str, str | None]) -> DataFrame:
+    """For each rule (id -> pattern): request entry files that import a match, in one pass over the imports.
 
-def forbidden_imports(files: DataFrame, imports: DataFrame, markers: dict[str, str]) -> DataFrame:
-    """For each rule (id -> pattern): request entry files that import a match, in one pass over the imports."""
+    ``imports`` are those that bind a value; where they have ``leaf``, the path
+    of the file that the import ends at, that counts too.  A rule without a
+    pattern has nothing to forbid and is rejected.
+    """
     own = files.filter(F.col("role").isin(*roles.REQUEST_ENTRY)).select("id", F.col("role_confidence").alias("confidence"), F.col("path").rlike(paths.INFRA_PATH).alias("infra"))
-    flags = [F.coalesce(F.bool_or(F.col("spec").rlike(pattern)), F.lit(False)).alias(rule) for rule, pattern in markers.items()]
+    flags = [F.coalesce(F.bool_or(_reaches(imports, pattern)), F.lit(False)).alias(rule) for rule, pattern in markers.items()]
     hits = imports.groupBy("id").agg(*flags)
     wide = own.join(hits, "id", "left")
     rows = wide.select(F.col("id").alias("member"), "confidence", "infra", F.explode(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.coalesce(F.col(f"`{r}`"), F.lit(False)).alias("violates")) for r in markers])).alias("x"))
     rows = rows.select("member", "confidence", "infra", "x.*")
     caution = rows.filter("violates").groupBy("rule_id").agg(F.bool_and("infra").alias("infra_caution"))
-    return measure(rows, ["rule_id"]).join(caution, "rule_id", "left").withColumn("infra_caution", F.coalesce("infra_caution", F.lit(False)))
+    found = measure(rows, ["rule_id"]).join(caution, "rule_id", "left").withColumn("infra_caution", F.coalesce("infra_caution", F.lit(False)))
+    empty = [r for r, pattern in markers.items() if pattern is None]
+    return found.withColumn("status", F.when(F.col("rule_id").isin(*empty), "REJECT").otherwise(F.col("status"))) if empty else found
+
+
+def _reaches(imports: DataFrame, pattern: str | None) -> Column:
+    if pattern is None:
+        return F.lit(False)
+    hit = F.col("spec").rlike(pattern)
+    return hit | F.coalesce(F.col("leaf").rlike(pattern) & ~F.col("leaf").rlike("(^|/)node_modules/"), F.lit(False)) if "leaf" in imports.columns else hit
+
+
+def forbidden_occurrences(files: DataFrame, imports: DataFrame, markers: dict[str, str | None]) -> DataFrame:
+    """rule_id, id, spec: every import of a request entry file that a rule forbids."""
+    own = files.filter(F.col("role").isin(*roles.REQUEST_ENTRY)).select("id")
+    marks = F.array(*[F.when(_reaches(imports, p), F.lit(r)) for r, p in markers.items()])
+    return imports.join(own, "id", "left_semi").select("id", "spec", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("rule_id"))
 
 
 def first_evidence(files: DataFrame, imports: DataFrame, pattern: str) -> DataFrame:
-    """The first matching import of each offending file, by specifier."""
+    """The first matching import of each offending file, in file order where imports have ``ord``, else by specifier."""
     met = imports.filter(F.col("spec").rlike(pattern)).join(files.select("id", "path"), "id")
-    return met.groupBy("path").agg(F.min("spec").alias("spec"))
+    first = F.min_by("spec", F.struct("ord", "spec")) if "ord" in imports.columns else F.min("spec")
+    return met.groupBy("path").agg(first.alias("spec"))
+
+
+#: Fixed value: folder names of structure, which tell nothing about what a file is.
+STRUCTURAL = r"^(\(.*\)|\[.*\]|app|pages|src|dist|build)$"
 
 
 def ui_markers(files: DataFrame, least: int = 3, specific: float = 0.85, population: int = 5, top: int = 8) -> DataFrame:
     """Folder names that tell components from other files, best first."""
-    structural = r"^(\(.*\)|\[.*\]|app|pages|src|dist|build)$"
     parts = paths.segments(F.col("path"))
     named = files.select((F.col("role") == "COMPONENT").alias("ui"), F.explode(F.array_distinct(F.slice(parts, F.lit(1), F.size(parts) - 1))).alias("segment"))
     total = files.agg(F.count_if(F.col("role") == "COMPONENT").alias("total"))
@@ -225,5 +271,5 @@ def ui_markers(files: DataFrame, least: int = 3, specific: float = 0.85, populat
     scored = counted.crossJoin(F.broadcast(total)).withColumns(
         {"specificity": F.col("component_files") / (F.col("component_files") + F.col("other_files")), "coverage": F.col("component_files") / F.when(F.col("total") > 0, F.col("total"))}
     )
-    kept = scored.filter((F.col("total") >= population) & (F.col("component_files") >= least) & (F.col("specificity") >= specific) & ~F.col("segment").rlike(structural) & ~F.col("segment").contains("."))
+    kept = scored.filter((F.col("total") >= population) & (F.col("component_files") >= least) & (F.col("specificity") >= specific) & ~F.col("segment").rlike(STRUCTURAL) & ~F.col("segment").contains("."))
     return kept.select("segment", "component_files", "other_files", "specificity", "coverage").orderBy((F.col("coverage") * F.col("specificity")).desc(), "segment").limit(top)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veinwork.functions import paths
+from veinwork.functions import paths, roles
 
 
 def _lines(*parts: Column | str) -> Column:
@@ -82,3 +82,56 @@ def code_frame(text: Column, line: Column, around: int = 2) -> Column:
     first = F.greatest(line - around, F.lit(1))
     shown = F.slice(lines, first, F.least(line + around, F.size(lines)) - first + 1)
     return F.array_join(F.transform(shown, lambda t, i: F.concat(F.when(i + first == line, "> ").otherwise("  "), F.lpad((i + first).cast("string"), 4, " "), F.lit(" | "), t)), "\n")
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def checker_rules(gates: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
+    """family, name, rule: a dependency checker's forbidden entry for each enforced rule (family, id, from, to) as JSON.
+
+    ``from`` and ``to`` are a rule's two sides: layers, roles, a directory or a
+    container.  Files that may break a rule (rule, file) are exempt from it.
+    """
+    tests = roles.pattern_of("TEST")
+    side = lambda path=None, but=None: F.struct(*([F.array(path).alias("path")] if path is not None else []), *([F.array(but).alias("pathNot")] if but is not None else []))
+    text = lambda t: F.to_json(t)
+    within = lambda c: F.concat(F.lit("^src/"), _quoted(F.col(c)), F.lit("/"))
+    members = F.concat(F.lit("^"), _quoted(F.col("from")), F.lit("/([^/]+)/"))
+    same = F.concat(F.lit("^"), _quoted(F.col("from")), F.lit("/$1/"))
+    folder = F.concat(F.lit("^"), _quoted(F.col("from")), F.lit("/"))
+    role = lambda c: F.element_at(F.create_map(*[F.lit(x) for r in sorted({r for r, *_ in roles.RULES}) for x in (r, roles.pattern_of(r))]), F.col(c))
+    shapes = {
+        "layer": (text(side(within("from"))), text(side(within("to")))),
+        "role-layering": (text(side(role("from"))), text(side(role("to")))),
+        "public-api": (text(side(but=folder)), text(side(folder, F.concat(folder, F.lit("index\\.(ts|tsx)$"))))),
+        "feature-slice": (text(side(members)), text(side(members, same))),
+        "app-isolation": (text(side(members)), text(side(members, same))),
+        "test-isolation": (text(side(but=F.lit(tests))), text(side(F.lit(tests)))),
+        "entry-purity": (text(side(but=F.lit(roles.pattern_of(*roles.FRAMEWORK_ENTRY)))), text(side(F.lit(roles.pattern_of(*roles.FRAMEWORK_ENTRY))))),
+        "dependency-hygiene": (text(side(but=F.lit(tests))), text(side(F.lit(f"node_modules/(@[^/]+/)?[^/]+/({'|'.join(paths.INTERNAL)})/")))),
+        "phantom-deps": (text(side(but=F.lit(tests))), F.lit('{"dependencyTypes":["npm-no-pkg","npm-unknown"]}')),
+        "stories-isolation": (text(side(but=F.lit(paths.STORY))), text(side(F.lit(paths.STORY)))),
+        "ui-data": (text(side(F.lit(roles.pattern_of("COMPONENT")))), text(side(F.lit(roles.pattern_of("DB_MODULE", "DATA_ACCESS"))))),
+        "server-client": (text(side(F.col("from"))), text(side(F.col("to")))),
+    }
+    source = target = F
+    for family, (a, b) in shapes.items():
+        source, target = source.when(F.col("family") == family, a), target.when(F.col("family") == family, b)
+    rows = gates.filter((F.col("status") == "AUTO") & F.col("family").isin(*shapes))
+    if exempt is not None:
+        listed = exempt.groupBy(F.col("rule").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("^"), _quoted(F.col("file")), F.lit("$")))).alias("exempt"))
+        rows = rows.join(listed, "id", "left")
+    else:
+        rows = rows.withColumn("exempt", F.lit(None).cast("array<string>"))
+    free = F.when(F.col("exempt").isNotNull(), F.concat(F.lit(',"exempt":'), F.to_json("exempt"))).otherwise("")
+    rule = F.concat(F.lit('{"name":"'), F.col("id"), F.lit('","severity":"error","from":'), source.otherwise("{}"), F.lit(',"to":'), target.otherwise("{}"), free, F.lit("}"))
+    return rows.select("family", F.col("id").alias("name"), rule.alias("rule"))
+
+
+def annotation_summary(introduced: DataFrame, fixed: DataFrame) -> DataFrame:
+    """line: one row, what a change introduces and fixes, in words."""
+    n = introduced.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rule_id").alias("rules"))
+    m = fixed.agg(F.count(F.lit(1)).alias("m"))
+    return n.crossJoin(F.broadcast(m)).select(F.format_string("%d new violations of %d rules, %d fixed", "n", "rules", "m").alias("line"))

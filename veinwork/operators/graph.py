@@ -1,8 +1,8 @@
 """Import graphs: cycles, reachability, orphans, barrels.
 
-A graph belongs to an app; apps are independent of each other and are the
-unit of distribution.  Strongly connected components run per app in one pass
-over its edges.
+A graph belongs to an app; apps are independent of each other.  The graph of
+an app of up to ``LOCAL_EDGES`` edges is worked through in one task; larger
+ones take rounds of joins.
 """
 
 from __future__ import annotations
@@ -77,14 +77,73 @@ def shortest_loop(start: int, members: set[int], out: dict[int, list[int]]) -> l
     return []
 
 
-def trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Edges without those at nodes that nothing enters or leaves: such nodes are on no cycle."""
-    for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    return edges
+#: Edges of an app up to which its graph is worked through in one task (two numbers an edge); larger ones take rounds of joins.
+LOCAL_EDGES = 2_000_000
 
 
-def cyclic_nodes(edges: DataFrame, rounds: int = 0) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the cluster's shared folder; where none is set, as they are."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
+def split_by_size(edges: DataFrame, local_edges: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of apps of at most ``LOCAL_EDGES``, and those of larger apps; None if there is none.  Apps are counted, then met by a join."""
+    large = edges.groupBy("app").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > (LOCAL_EDGES if local_edges is None else local_edges)).select("app")
+    if large.isEmpty():
+        return edges, None
+    return edges.join(large, "app", "left_anti"), edges.join(large, "app", "left_semi")
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that something enters and something leaves, until all are: others are on no cycle."""
+    before = edges.count()
+    while True:
+        on = [edges.select("app", F.col(x).alias(y)).distinct() for x, y in (("dst", "src"), ("src", "dst"))]
+        edges = kept(edges.join(on[0], ["app", "src"], "left_semi").join(on[1], ["app", "dst"], "left_semi"))
+        after = edges.count()
+        if after == before:
+            return edges
+        before = after
+
+
+def _spread(labels: DataFrame, hops: DataFrame) -> DataFrame:
+    """(app, node, label): the least label that reaches each node over hops (app, src, dst); a round a step, until none changes."""
+    while True:
+        near = labels.select("app", F.col("node").alias("src"), "label").join(hops, ["app", "src"]).select("app", F.col("dst").alias("node"), "label")
+        fresh = kept(labels.unionByName(near).groupBy("app", "node").agg(F.min("label").alias("label")))
+        if fresh.join(labels, ["app", "node", "label"], "left_anti").isEmpty():
+            return fresh
+        labels = fresh
+
+
+def distributed_components(edges: DataFrame) -> DataFrame:
+    """(app, node, component) of nodes on a cycle, self-imports included, by joins alone.
+
+    Every node takes the least node that reaches it; a node that gets back to
+    that one inside the same label is of its component.  Those components go,
+    what is left is trimmed, and so on.
+    """
+    loops = edges.filter("src = dst").select("app", F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    left, found = trimmed(edges.filter("src <> dst").distinct()), loops.limit(0)
+    while not left.isEmpty():
+        nodes = left.select("app", F.col("src").alias("node")).distinct()
+        ahead = _spread(nodes.withColumn("label", F.col("node")), left)
+        of = lambda end: ahead.select("app", F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        inside = kept(left.join(of("src"), ["app", "src"]).join(of("dst"), ["app", "dst"]).filter("label_src = label_dst").select("app", "src", "dst"))
+        back = inside.select("app", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        front = seen = kept(ahead.filter("node = label"))
+        while not front.isEmpty():
+            near = front.select("app", F.col("node").alias("src"), "label").join(back, ["app", "src"]).select("app", F.col("dst").alias("node"), "label").distinct()
+            front = kept(near.join(seen, ["app", "node", "label"], "left_anti"))
+            seen = kept(seen.unionByName(front))
+        sized = seen.join(seen.groupBy("app", "label").agg(F.count(F.lit(1)).alias("n")), ["app", "label"])
+        found = kept(found.unionByName(sized.filter("n > 1").select("app", "node", F.col("label").alias("component"))))
+        gone = seen.select("app", "node")
+        left = trimmed(left.join(gone.withColumnRenamed("node", "src"), ["app", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["app", "dst"], "left_anti"))
+    return found.unionByName(loops.join(found, ["app", "node"], "left_anti"))
+
+
+def cyclic_nodes(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     """(app, node, component) of nodes on a cycle, self-imports included; the component is its smallest node."""
 
     def one(app: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +154,9 @@ def cyclic_nodes(edges: DataFrame, rounds: int = 0) -> DataFrame:
         rows = [(app["app"].iloc[0], n, c) for n, c in found.items() if sizes[c] > 1 or n in loops]
         return pd.DataFrame(rows, columns=["app", "node", "component"])
 
-    return trimmed(edges, rounds).groupBy("app").applyInPandas(one, "app string, node long, component long")
+    small, large = split_by_size(edges, local_edges)
+    found = small.groupBy("app").applyInPandas(one, "app string, node long, component long")
+    return found if large is None else found.unionByName(distributed_components(large))
 
 
 def cycle_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -105,31 +166,41 @@ def cycle_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(own, ["app", "src"]).join(other, ["app", "dst"]).filter("c1 = c2").select("app", "src", "dst")
 
 
-def cycle_loops(edges: DataFrame) -> DataFrame:
-    """(app, component, size, loop): one shortest loop for each cyclic component, from its smallest node."""
+def cycle_loops(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """(app, component, size, loop): one shortest loop for each cyclic component, from its smallest node.
 
-    def one(app: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(app["src"].tolist(), app["dst"].tolist()))
+    Each component is a task of its own; it is the edges inside it that count.
+    """
+    nodes = cyclic_nodes(edges, local_edges)
+    inside = cycle_edges(edges, nodes).join(nodes.select("app", F.col("node").alias("src"), "component"), ["app", "src"])
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
         out: dict[int, list[int]] = {}
-        for a, b in pairs:
+        for a, b in zip(part["src"].tolist(), part["dst"].tolist()):
             out.setdefault(a, []).append(b)
-        groups: dict[int, set[int]] = {}
-        for node, c in strong_components(pairs).items():
-            groups.setdefault(c, set()).add(node)
-        rows = []
-        for c, members in groups.items():
-            if len(members) > 1 or c in out.get(c, ()):
-                rows.append((app["app"].iloc[0], c, len(members), shortest_loop(c, members, out)))
-        return pd.DataFrame(rows, columns=["app", "component", "size", "loop"])
+        members, c = set(out), int(part["component"].iloc[0])
+        return pd.DataFrame([(part["app"].iloc[0], c, len(members), shortest_loop(c, members, out))], columns=["app", "component", "size", "loop"])
+
+    return inside.groupBy("app", "component").applyInPandas(one, "app string, component long, size long, loop array<long>")
+
 
-    return edges.groupBy("app").applyInPandas(one, "app string, component long, size long, loop array<long>")
+def distributed_reachability(laid: DataFrame) -> DataFrame:
+    """(app, from_layer, to_layer) of edges (app, src, dst, ls, ld) by joins alone: a fact for each node and layer that it reaches, semi-naive."""
+    hop = laid.select("app", "src", "dst")
+    seen = front = kept(laid.select("app", F.col("src").alias("node"), F.col("ld").alias("to_layer")).distinct())
+    while not front.isEmpty():
+        near = front.withColumnRenamed("node", "dst").join(hop, ["app", "dst"]).select("app", F.col("src").alias("node"), "to_layer").distinct()
+        front = kept(near.join(seen, ["app", "node", "to_layer"], "left_anti"))
+        seen = kept(seen.unionByName(front))
+    of = laid.select("app", F.col("src").alias("node"), F.col("ls").alias("from_layer")).distinct()
+    return seen.join(of, ["app", "node"]).select("app", "from_layer", "to_layer").distinct()
 
 
-def layer_reachability(edges: DataFrame, layers: DataFrame) -> DataFrame:
+def layer_reachability(edges: DataFrame, layers: DataFrame, local_edges: int | None = None) -> DataFrame:
     """(app, from_layer, to_layer): layers that files of a layer reach over any number of imports.
 
-    The graph is condensed to components; sets of layers flow along the
-    condensation in topological order.
+    An app's graph is condensed to components, and sets of layers flow along
+    the condensation in topological order; larger apps take rounds of joins.
     """
     laid = edges.join(layers.select("app", F.col("node").alias("src"), F.col("layer").alias("ls")), ["app", "src"]).join(
         layers.select("app", F.col("node").alias("dst"), F.col("layer").alias("ld")), ["app", "dst"]
@@ -168,7 +239,9 @@ def layer_reachability(edges: DataFrame, layers: DataFrame) -> DataFrame:
         rows = {(l, to) for c in own for l in own[c] for to in reach[c]}
         return pd.DataFrame([(app["app"].iloc[0], *r) for r in sorted(rows)], columns=["app", "from_layer", "to_layer"])
 
-    return laid.groupBy("app").applyInPandas(one, "app string, from_layer string, to_layer string")
+    small, large = split_by_size(laid, local_edges)
+    found = small.groupBy("app").applyInPandas(one, "app string, from_layer string, to_layer string")
+    return found if large is None else found.unionByName(distributed_reachability(large))
 
 
 def orphans(files: DataFrame, edges: DataFrame, entry: Column, shipped: Column | None = None) -> DataFrame:
@@ -183,17 +256,11 @@ def orphans(files: DataFrame, edges: DataFrame, entry: Column, shipped: Column |
     return own.filter(alone | F.col("only_tests")).select("path", kind.alias("kind"))
 
 
-def leaf_files(reexports: DataFrame, barrels: DataFrame, rounds: int = 32) -> DataFrame:
-    """(barrel, leaf): files that are not barrels, reached over re-exports; semi-naive, one join a round."""
-    spark = reexports.sparkSession
-    hop = reexports.select(F.col("src").alias("via"), F.col("dst").alias("leaf"))
-    front = barrels.select(F.col("id").alias("barrel"), F.col("id").alias("via")).join(hop, "via").select("barrel", "leaf").distinct()
-    seen = front
-    for _ in range(rounds):
-        front = front.withColumnRenamed("leaf", "via").join(hop, "via").select("barrel", "leaf").distinct().join(seen, ["barrel", "leaf"], "left_anti")
-        if spark.conf.get("spark.checkpoint.dir", None):
-            front = front.checkpoint()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+def leaf_files(reexports: DataFrame, barrels: DataFrame) -> DataFrame:
+    """(barrel, leaf): files that are not barrels, reached over re-exports; semi-naive, one join a round, until nothing is new."""
+    hop = reexports.select(F.col("src").alias("via"), F.col("dst").alias("leaf")).distinct()
+    seen = front = kept(barrels.select(F.col("id").alias("barrel"), F.col("id").alias("via")).join(hop, "via").select("barrel", "leaf").distinct())
+    while not front.isEmpty():
+        front = kept(front.withColumnRenamed("leaf", "via").join(hop, "via").select("barrel", "leaf").distinct().join(seen, ["barrel", "leaf"], "left_anti"))
+        seen = kept(seen.unionByName(front))
     return seen.join(barrels.select(F.col("id").alias("leaf")), "leaf", "left_anti").select("barrel", "leaf")

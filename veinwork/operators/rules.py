@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths
@@ -48,7 +48,9 @@ def self_consistency(rules: DataFrame, listed: DataFrame) -> DataFrame:
 
 def summary(rules: DataFrame, exceptions: DataFrame, cap: int = 10) -> DataFrame:
     """Rules that are not rejected, with at most ``cap`` exceptions in order (the report's own limit)."""
-    listed = exceptions.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("exception")), 1, cap).alias("exceptions"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("exception"))
+    first = exceptions.select("id", "exception").distinct().withColumn("place", place).filter(F.col("place") <= cap)
+    listed = first.groupBy("id").agg(F.array_sort(F.collect_list("exception")).alias("exceptions"))
     kept = rules.filter("status <> 'REJECT'").join(listed, "id", "left")
     adoption = F.when(F.col("status") == "AUTO", F.when(F.col("family").isin(*STABLE), "enforce").otherwise("review")).otherwise("review")
     return kept.select("family", "id", "status", adoption.alias("adoption"), "floor", "observed", "population", "violators", F.coalesce("exceptions", F.array().cast("array<string>")).alias("exceptions"))
@@ -61,7 +63,7 @@ def tiers(families: DataFrame, catalog: DataFrame, stack: list[str], adoptable:
     """
     own = F.transform(F.array(*[F.lit(s) for s in stack]).cast("array<string>"), lambda s: F.try_element_at("by_stack", s))
     best = F.when(F.col("overall").isNotNull(), F.array_max(F.concat(F.array("overall"), own)))
-    joined = families.join(F.broadcast(catalog), "title", "left").withColumn("rate", best)
+    joined = families.join(catalog, "title", "left").withColumn("rate", best)
     base = F.when(~F.col("key").isin(*STABLE), "review").when(F.col("key").isin(*NO_TOOL), "report-only").otherwise("enforce")
     if adoptable is not None:
         base = F.when((base == "enforce") & ~adoptable, "report-only").otherwise(base)
@@ -87,32 +89,129 @@ def detected_stack(dependencies: DataFrame, tokens: dict[str, str]) -> DataFrame
     return dependencies.select(chain.otherwise(None).alias("token")).filter("token IS NOT NULL").distinct()
 
 
-def declared_measure(files: DataFrame, imports: DataFrame, rules: list[dict]) -> DataFrame:
-    """rule, template, scope_n, violators_n, elsewhere_n for declared rules.
+def takes_name(names: Column, forbidden: list[str] | None) -> Column:
+    """Whether an import takes one of the forbidden names; all of a module ('*') takes them, unknown names (null) do not."""
+    if forbidden is None:
+        return F.lit(True)
+    return F.coalesce(F.arrays_overlap(names, F.array(F.lit("*"), *[F.lit(n) for n in forbidden])), F.lit(False))
 
-    A rule has name, template (forbid-import or forbid-file), files, except and
-    pattern.  Globs compile on the driver, so every rule is a pair of column
-    expressions and all rules share one pass.
+
+def _import_hit(rule: dict, columns: list[str]) -> Column:
+    """Whether an import (spec, and where known names and target) is what a rule forbids."""
+    hit = F.col("spec").rlike(rule["pattern"]) if "pattern" in rule else F.lit(False)
+    for glob, names in rule.get("packages", []):
+        hit = hit | (paths.matches_any(F.col("spec"), [glob]) & (takes_name(F.col("names"), names) if "names" in columns else F.lit(names is None)))
+    if rule.get("targets") and "target" in columns:
+        hit = hit | F.coalesce(paths.matches_any(F.col("target"), rule["targets"]), F.lit(False))
+    return F.coalesce(hit, F.lit(False))
+
+
+def _marks(marks: list[tuple[str, Column]]) -> Column:
+    """Names whose condition holds."""
+    return F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in marks]), lambda x: x.isNotNull()) if marks else F.array().cast("array<string>")
+
+
+def declared_violations(files: DataFrame, imports: DataFrame, rules: list[dict], usage: DataFrame | None = None) -> DataFrame:
+    """rule, id, subject, line, inside: each import, use or file that a declared rule forbids, and whether it is in the rule's scope.
+
+    A rule has name, template (forbid-import, forbid-usage or forbid-file),
+    files, except, and for imports a pattern, packages (glob, names or None) or
+    target globs, for uses the globals.  Globs compile on the driver, so every
+    rule is a pair of column expressions; rows explode for rules they hit only.
     """
-    marks = []
-    for rule in rules:
-        scope = paths.in_scope(F.col("path"), rule["files"], rule.get("except", []))
-        hit = F.lit(True) if rule["template"] == "forbid-file" else F.coalesce(F.col("spec").rlike(rule["pattern"]), F.lit(False))
-        marks.append(F.struct(F.lit(rule["name"]).alias("rule"), F.lit(rule["template"]).alias("template"), scope.alias("scope"), hit.alias("hit")))
-    wide = files.select("id", "path").join(imports, "id", "left")
-    rows = wide.select("id", F.explode(F.array(*marks)).alias("x")).select("id", "x.*")
-    distinct = lambda on: F.count_distinct(F.when(on, F.col("id")))
-    return rows.groupBy("rule", "template").agg(
-        distinct(F.col("scope")).alias("scope_n"), distinct(F.col("scope") & F.col("hit")).alias("violators_n"), distinct(~F.col("scope") & F.col("hit")).alias("elsewhere_n")
+    scopes = [(r["name"], paths.in_scope(F.col("path"), r["files"], r.get("except", []))) for r in rules]
+    placed = files.select("id", "path", _marks(scopes).alias("scopes"))
+    of = lambda template: [r for r in rules if r["template"] == template]
+    line = F.col("line") if "line" in imports.columns else F.lit(None)
+    hits = imports.select("id", F.col("spec").alias("subject"), line.cast("long").alias("line"), F.explode(_marks([(r["name"], _import_hit(r, imports.columns)) for r in of("forbid-import")])).alias("rule"))
+    if usage is not None:
+        uses = _marks([(r["name"], F.col("subject").isin(*r["usage"])) for r in of("forbid-usage")])
+        hits = hits.unionByName(usage.select("id", "subject", F.col("line").cast("long").alias("line"), F.explode(uses).alias("rule")))
+    found = hits.join(placed.select("id", "scopes"), "id").select("rule", "id", "subject", "line", F.array_contains("scopes", F.col("rule")).alias("inside"))
+    whole = [r["name"] for r in of("forbid-file")]
+    present = placed.select(F.explode(F.array_intersect("scopes", F.array(*[F.lit(n) for n in whole]).cast("array<string>"))).alias("rule"), "id", F.col("path").alias("subject"), F.lit(1).cast("long").alias("line"), F.lit(True).alias("inside"))
+    return found.unionByName(present)
+
+
+def declared_measure(files: DataFrame, imports: DataFrame, rules: list[dict], usage: DataFrame | None = None) -> DataFrame:
+    """rule, template, scope_n, violators_n, elsewhere_n of declared rules; see ``declared_violations``."""
+    scopes = [(r["name"], paths.in_scope(F.col("path"), r["files"], r.get("except", []))) for r in rules]
+    scope = files.select(F.explode(_marks(scopes)).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("scope_n"))
+    broken = declared_violations(files, imports, rules, usage).groupBy("rule").agg(
+        F.count_distinct(F.when(F.col("inside"), F.col("id"))).alias("violators_n"), F.count_distinct(F.when(~F.col("inside"), F.col("id"))).alias("elsewhere_n")
     )
+    every = files.sparkSession.createDataFrame([(r["name"], r["template"]) for r in rules], "rule string, template string")
+    joined = every.join(scope, "rule", "left").join(broken, "rule", "left")
+    return joined.select("rule", "template", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("scope_n", "violators_n", "elsewhere_n")])
+
+
+def unmatched_targets(files: DataFrame, rules: list[dict]) -> DataFrame:
+    """rule, target: target globs of declared rules that no file matches."""
+    pairs = [(r["name"], t) for r in rules for t in r.get("targets", [])]
+    marks = F.filter(F.array(*[F.when(paths.matches_any(F.col("path"), [t]), F.struct(F.lit(n).alias("rule"), F.lit(t).alias("target"))) for n, t in pairs]), lambda x: x.isNotNull()) if pairs else F.array().cast("array<struct<rule:string,target:string>>")
+    met = files.select(F.explode(marks).alias("x")).select("x.*").distinct()
+    return files.sparkSession.createDataFrame(pairs, "rule string, target string").join(met, ["rule", "target"], "left_anti")
+
+
+def not_global(other_forms: DataFrame, usage: DataFrame, rules: list[dict]) -> DataFrame:
+    """rule, usage, files_n: globals of usage rules that are only read in other forms (id, subject), never as globals."""
+    pairs = [(r["name"], u) for r in rules if r["template"] == "forbid-usage" for u in r["usage"]]
+    wanted = other_forms.sparkSession.createDataFrame(pairs, "rule string, usage string")
+    counted = other_forms.groupBy(F.col("subject").alias("usage")).agg(F.count_distinct("id").alias("files_n"))
+    return wanted.join(usage.select(F.col("subject").alias("usage")).distinct(), "usage", "left_anti").join(counted, "usage").select("rule", "usage", "files_n")
+
+
+def verdicts(measured: DataFrame, unmatched: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
+    """rule, verdict, vacuous: what a declared rule's measure says, with ``unmatched_targets`` and ``not_global`` where known."""
+    rows = measured
+    for name, found in (("unmatched", unmatched), ("other", other)):
+        rows = rows.withColumn(name, F.lit(False)) if found is None else rows.join(found.select("rule", F.lit(True).alias(name)).distinct(), "rule", "left").fillna(False, name)
+    empty, whole = F.col("scope_n") == 0, F.col("template") == "forbid-file"
+    verdict = F.when(whole, "enforce-now").when(empty | F.col("unmatched") | F.col("other"), "no-match").when(F.col("violators_n") > 0, "baseline").otherwise("enforce-now")
+    vacuous = F.when(whole, empty).otherwise((F.col("violators_n") == 0) & (F.col("elsewhere_n") == 0) & ~F.col("other"))
+    return rows.select("rule", verdict.alias("verdict"), vacuous.alias("vacuous"))
 
 
-def verdicts(measured: DataFrame) -> DataFrame:
-    """rule, verdict, vacuous: what a declared rule's measure says."""
-    empty = F.col("scope_n") == 0
-    verdict = F.when(F.col("template") == "forbid-file", "enforce-now").when(empty, "no-match").when(F.col("violators_n") > 0, "baseline").otherwise("enforce-now")
-    vacuous = F.when(F.col("template") == "forbid-file", empty).otherwise((F.col("violators_n") == 0) & (F.col("elsewhere_n") == 0))
-    return measured.select("rule", verdict.alias("verdict"), vacuous.alias("vacuous"))
+def gap_report(mapped: DataFrame, declared: DataFrame) -> DataFrame:
+    """entry, verdict of mapped sentences (entry, template, rule, line, invalid): what is invalid, then whose quote is not found (no line), then by template.
+
+    ``declared`` has the verdicts of declared rules.
+    """
+    joined = mapped.join(declared.select("rule", F.col("verdict").alias("measured")), "rule", "left")
+    verdict = (
+        F.when(F.col("invalid").isNotNull(), "invalid").when(F.col("line").isNull(), "quote-not-found").when(F.col("template") == "none", "guidance")
+        .when(F.col("template") == "inferred", "inferred").otherwise(F.col("measured"))
+    )
+    return joined.select("entry", "rule", verdict.alias("verdict"))
+
+
+def declared_adoption(report: DataFrame, adopted: DataFrame, baseline: bool) -> DataFrame:
+    """entry, rule, outcome of a gap report: adopted, stated (an inferred rule, adopted already, in words) or the verdict that refuses it."""
+    joined = report.join(adopted.select(F.col("id").alias("rule"), F.lit(True).alias("known")).distinct(), "rule", "left")
+    taken = F.col("verdict").isin("enforce-now", *(["baseline"] if baseline else []))
+    outcome = F.when((F.col("verdict") == "inferred") & F.col("known"), "stated").when(taken, "adopted").otherwise(F.col("verdict"))
+    return joined.select("entry", "rule", outcome.alias("outcome"))
+
+
+def reconciled(recommended: DataFrame, families: DataFrame, adopted: DataFrame) -> DataFrame:
+    """title, tier, rate as adopted: a family (title, key) is enforced exactly if an adopted rule (family) enforces it."""
+    known = families.join(adopted.filter("family <> 'declared'").select(F.col("family").alias("key")).distinct(), "key", "left_semi").select("title", F.lit(True).alias("known"))
+    tier = F.when(F.col("known") & F.col("tier").isin("enforce", "review"), "enforce").when(F.col("known").isNull() & (F.col("tier") == "enforce"), "report-only").otherwise(F.col("tier"))
+    return recommended.join(known, "title", "left").select("title", tier.alias("tier"), "rate")
+
+
+def selected(rules: DataFrame, only: list[str] | None = None, removed: list[str] = (), structural: list[str] = (), enforcers: dict[str, str] | None = None) -> DataFrame:
+    """Rules (id, family, status) that are to be written out: enforced ones that are asked for and not removed, with their enforcer.
+
+    ``structural`` families are written whatever was asked for; without an
+    enforcer for its family a rule is only reported.
+    """
+    asked = F.lit(True) if only is None else F.col("id").isin(*only) | F.col("family").isin(*structural)
+    chain = F
+    for family, tool in (enforcers or {}).items():
+        chain = chain.when(F.col("family") == family, tool)
+    tool = chain.otherwise(F.lit(None).cast("string")) if enforcers else F.lit(None).cast("string")
+    return rules.filter((F.col("status") == "AUTO") & asked & ~F.col("id").isin(*removed)).withColumn("enforcer", tool)
 
 
 def graph_edges(boundaries: DataFrame) -> DataFrame:

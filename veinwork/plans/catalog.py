@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from veinwork.functions import paths, prose, roles
 from veinwork.functions.stats import gate, gate_sql, wilson_sql
-from veinwork.operators import change, detectors, emit, graph, references, resolve, rules
+from veinwork.operators import change, detectors, emit, findings, graph, references, resolve, rules
+from veinwork.plans import scan as plan
 from veinwork.sources import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +93,7 @@ rows AS (SELECT m.*, x.src IS NOT NULL AS crosses FROM m LEFT JOIN x ON x.src =
 
 
 def _in_containers(spark: SparkSession, d: str, prefix: str, containers: tuple[str, ...]) -> DataFrame:
-    files = bridge.files(spark, d).withColumn("path", F.concat(F.lit(prefix), F.substring("path", 4, 1000)))
+    files = bridge.files(spark, d).withColumn("path", F.concat(F.lit(prefix), F.expr("substring(path, 4)")))
     return detectors.sibling_isolation(detectors.members_of(files, containers), bridge.edges(spark, d))
 
 
@@ -445,7 +446,7 @@ _DECLARED = """, d AS (SELECT id, path, spec, path LIKE 'src/promo/%' AND path N
   path LIKE 'src/small/%.stories.tsx' AS s3 FROM files LEFT JOIN imports USING (id)),
 dm AS (SELECT 'doc-no-packages-in-promo' AS rule, 'forbid-import' AS template, count(DISTINCT id) FILTER (s1) AS scope_n, count(DISTINCT id) FILTER (s1 AND h1) AS violators_n, count(DISTINCT id) FILTER (NOT s1 AND h1) AS elsewhere_n FROM d
   UNION ALL SELECT 'doc-no-fs', 'forbid-import', count(DISTINCT id) FILTER (s2), count(DISTINCT id) FILTER (s2 AND h2), count(DISTINCT id) FILTER (NOT s2 AND h2) FROM d
-  UNION ALL SELECT 'doc-no-stories-in-small', 'forbid-file', count(DISTINCT id) FILTER (s3), count(DISTINCT id) FILTER (s3), count(DISTINCT id) FILTER (NOT s3) FROM d
+  UNION ALL SELECT 'doc-no-stories-in-small', 'forbid-file', count(DISTINCT id) FILTER (s3), count(DISTINCT id) FILTER (s3), 0 FROM d
   UNION ALL SELECT 'doc-nothing', 'forbid-import', 0, 0, 0)
 """
 
@@ -484,9 +485,9 @@ def layer_chart(spark: SparkSession, d: str) -> DataFrame:
     return rules.mermaid(layer_graph_edges(spark, d))
 
 
-@query(_with("SELECT '::error file=' || file || ',line=' || line || '::' || rule_id || ': new violation' AS annotation FROM head WHERE line % 10 = 0"))
+@query(_with("SELECT '::error file=' || file || ',line=' || line || '::' || rule_id || ': new violation' AS annotation FROM head"))
 def ci_annotations(spark: SparkSession, d: str) -> DataFrame:
-    return rules.annotations(bridge.snapshot(spark, d, 1).filter("line % 10 = 0"))
+    return rules.annotations(bridge.snapshot(spark, d, 1))
 
 
 @query(_with("SELECT id, spec, 'src/ui' || substr(spec, 13) AS target FROM imports WHERE spec LIKE '@/components/%' UNION ALL SELECT id, spec, 'lib/' || substr(spec, 8) || '/index' FROM imports WHERE spec LIKE '@scope/%' AND spec NOT LIKE '@scope/%/%' UNION ALL SELECT id, spec, 'lib/' || substr(spec, 8) || '/index' FROM imports WHERE spec LIKE '@scope/%/%'"))
@@ -576,3 +577,280 @@ def rule_lookup(spark: SparkSession, d: str) -> DataFrame:
     named = emit.rule_names(layer_boundaries(spark, d)).select(F.col("name").alias("id"), F.lit(None).cast("string").alias("label"))
     refs = named.select(F.concat(F.lit("Tool/  "), F.upper("id")).alias("ref")).unionByName(spark.createDataFrame([("absent",)], "ref string"))
     return emit.found_rules(refs.withColumn("ref", F.col("ref")), named)
+
+
+#: Families of the rule relation, the registered query that measures each, and the rule ids in SQL.
+GATED = {
+    "forbidden-imports": ("forbidden_imports", "rule_id", "population", "violators"),
+    "layer": ("layer_boundaries", "'no-' || from_layer || '-to-' || to_layer", "population", "violators"),
+    "role-layering": ("role_layering", "'no-' || lower(from_role) || '-to-' || lower(to_role)", "population", "violators"),
+    "public-api": ("public_api_boundaries", "'no-deep-import-' || replace(dir, '/', '-')", "consumers", "deep_importers"),
+    "feature-slice": ("feature_slice_isolation", "'no-cross-slice-' || replace(container, '/', '-')", "files", "cross_importers"),
+    "app-isolation": ("app_isolation", "'no-cross-app-' || container", "files", "cross_importers"),
+    "test-isolation": ("test_isolation", "'test-isolation'", "population", "violators"),
+    "dependency-hygiene": ("package_hygiene", "'no-dependency-internals'", "population", "violators"),
+    "phantom-deps": ("phantom_dependencies", "'no-phantom-dependencies'", "population", "violators"),
+    "entry-purity": ("entry_purity", "'no-import-framework-entry'", "population", "violators"),
+    "import-style": ("import_style", "'import-style'", "population", "violators"),
+    "console-isolation": ("console_isolation", "'console-isolation'", "population", "violators"),
+    "env-access": ("env_access", "'env-access'", "population", "violators"),
+    "workspace-package-api": ("workspace_package_api", "'workspace-package'", "population", "violators"),
+    "stories-isolation": ("stories_isolation", "'no-import-stories'", "population", "violators"),
+    "ui-data": ("ui_data_isolation", "'no-ui-to-data'", "population", "violators"),
+    "server-client": ("server_client", "'no-server-only-in-client'", "population", "violators"),
+}
+_CYCLES = _CLOSURE + f"SELECT {{columns}} FROM (SELECT count(*) AS n, count(*) FILTER (id IN (SELECT node FROM cyc)) AS v FROM files)"
+_GATED = " UNION ALL ".join(
+    [f"SELECT '{family}' AS family, {rule} AS id, {n}::BIGINT AS population, {v}::BIGINT AS violators, floor, observed, status FROM ({ORACLE_SQL[name].replace('{{', '{').replace('}}', '}')})" for family, (name, rule, n, v) in GATED.items()]
+    + ["SELECT * FROM (" + _CYCLES.format(columns="'cycles' AS family, 'no-cycles' AS id, n AS population, v AS violators, " + gate_sql("n", "v", "1.0")) + ")"]
+)
+
+
+@query(_GATED)
+def scan_gates(spark: SparkSession, d: str) -> DataFrame:
+    found = {family: QUERIES[name](spark, d) for family, (name, *_) in GATED.items()}
+    return findings.gates(found | {"cycles": findings.cycles_gate(bridge.files(spark, d), graph.cyclic_nodes(_user_app(spark, d)))})
+
+
+@query(f"SELECT *, CASE WHEN status = 'AUTO' AND family IN ({', '.join(repr(f) for f in rules.STABLE)}) THEN 'enforce' ELSE 'review' END AS adoption FROM ({_GATED}) WHERE status <> 'REJECT'")
+def scan_adoption(spark: SparkSession, d: str) -> DataFrame:
+    return findings.adoption(scan_gates(spark, d))
+
+
+def _broken(spark: SparkSession, d: str) -> DataFrame:
+    files, edges, imports = bridge.files(spark, d), bridge.edges(spark, d), bridge.imports(spark, d)
+    entries = files.filter("role = 'CONTROLLER'")
+    importers = edges.join(entries.select(F.col("id").alias("dst")), "dst", "left_semi").join(entries.select(F.col("id").alias("src")), "src", "left_anti")
+    tests = edges.join(files.filter("role = 'TEST'").select(F.col("id").alias("dst")), "dst", "left_semi").join(files.filter("role <> 'TEST'").select(F.col("id").alias("src")), "src", "left_semi")
+    parts = [
+        findings.boundary_findings("layer", detectors.layer_boundaries(files, edges), edges, files, "layer"),
+        findings.target_findings("entry-purity", importers, files),
+        findings.target_findings("test-isolation", tests, files),
+        findings.import_findings("dependency-hygiene", findings.packages_broken(imports, ALIASES), files),
+        findings.import_findings("forbidden-imports", detectors.forbidden_occurrences(files, imports, MARKERS), files, F.col("rule_id")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_BROKEN = (
+    f"SELECT 'layer' AS family, 'no-' || a.layer || '-to-' || b.layer AS rule_id, a.path AS file, b.path AS subject, 'target' AS kind, NULL::INTEGER AS line FROM edges JOIN files a ON a.id = src JOIN files b ON b.id = dst JOIN ({_LAYERS}) lb ON lb.from_layer = a.layer AND lb.to_layer = b.layer"
+    " UNION ALL SELECT 'entry-purity', 'no-import-framework-entry', a.path, b.path, 'target', NULL FROM edges JOIN files a ON a.id = src JOIN files b ON b.id = dst WHERE b.role = 'CONTROLLER' AND a.role <> 'CONTROLLER'"
+    " UNION ALL SELECT 'test-isolation', 'test-isolation', a.path, b.path, 'target', NULL FROM edges JOIN files a ON a.id = src JOIN files b ON b.id = dst WHERE b.role = 'TEST' AND a.role <> 'TEST'"
+    " UNION ALL SELECT 'dependency-hygiene', 'no-dependency-internals', path, spec, 'specifier', NULL FROM packages JOIN files USING (id) WHERE split_part(substr(spec, length(package) + 2), '/', 1) IN ('src', 'internal', 'internals')"
+    + "".join(f" UNION ALL SELECT 'forbidden-imports', '{rule}', path, spec, 'specifier', NULL FROM imports JOIN files USING (id) WHERE role = 'CONTROLLER' AND regexp_matches(spec, '{pattern}')" for rule, pattern in MARKERS.items())
+)
+_PACKAGES = ", " + _PACKAGE.rstrip(",\n") + "\n"
+
+
+@query(_with(_BROKEN, _PACKAGES))
+def rule_findings(spark: SparkSession, d: str) -> DataFrame:
+    return _broken(spark, d)
+
+
+@query(_with(f"SELECT DISTINCT rule_id, CASE WHEN family = 'entry-purity' THEN file || ' -> ' || subject ELSE file END AS exception FROM ({_BROKEN})", _PACKAGES))
+def rule_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    return findings.current_exceptions(_broken(spark, d))
+
+
+@query(_with(f"SELECT * FROM ({_BROKEN}) WHERE rule_id IN ('test-isolation', 'AP-002')", _PACKAGES))
+def adopted_findings(spark: SparkSession, d: str) -> DataFrame:
+    return findings.evaluated(spark.createDataFrame([("test-isolation",), ("AP-002",), ("absent",)], "id string"), _broken(spark, d))
+
+
+def _checked(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A change between the two snapshots: signup is removed, view is new, error has changed; clicks of every fifth user are allowed."""
+    side = {}
+    for name, dropped, without in (("base", 0, "view"), ("head", 1, "signup")):
+        rows = bridge.snapshot(spark, d, dropped)
+        found = rows.select("rule_id", "file", F.concat(F.lit("s"), (F.col("line") % 3).cast("string")).alias("subject"), F.lit("specifier").alias("kind"), "line")
+        rules_ = rows.select(F.col("rule_id").alias("id")).distinct().filter(F.col("id") != without)
+        side[name] = {"findings": found, "rules": rules_.withColumn("definition", F.when(F.col("id") == "error", name).otherwise("same"))}
+    allowed = bridge.table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.lit("click").alias("rule"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file"))
+    renames = spark.createDataFrame([("f5", "f7"), ("f6", "f9999")], "from string, to string")
+    added = side["head"]["findings"].filter("line % 4 = 0").select("file", "line")
+    return plan.check(side["base"], side["head"], allowed, allowed.filter("length(file) <= 3"), renames, added)
+
+
+_CHECK = """, cmp AS (SELECT unnest(['click', 'purchase']) AS rule_id),
+ren AS (SELECT * FROM (VALUES ('f5', 'f7'), ('f6', 'f9999')) t(src, dst)),
+allowed AS (SELECT 'click' AS rule, 'f' || c_custkey AS file FROM customer WHERE c_custkey % 5 = 0),
+was AS (SELECT rule_id, coalesce(dst, file) AS file, 's' || (line % 3) AS subject, line FROM base LEFT JOIN ren ON src = file WHERE rule_id IN (SELECT rule_id FROM cmp)),
+cur AS (SELECT rule_id, file, 's' || (line % 3) AS subject, line FROM head WHERE rule_id IN (SELECT rule_id FROM cmp)),
+open AS (SELECT * FROM cur WHERE (rule_id, file) NOT IN (SELECT (rule, file) FROM allowed)),
+wn AS (SELECT rule_id, file, subject, count(*) AS n FROM was GROUP BY ALL), cn AS (SELECT rule_id, file, subject, count(*) AS n FROM cur GROUP BY ALL), opn AS (SELECT rule_id, file, subject, count(*) AS n FROM open GROUP BY ALL),
+intro AS (SELECT * FROM (SELECT o.*, coalesce(w.n, 0) AS base_n, c.n AS head_n, line % 4 = 0 AS is_added, count(*) FILTER (line % 4 = 0) OVER (PARTITION BY rule_id, file, subject) AS on_added FROM open o JOIN opn c USING (rule_id, file, subject) LEFT JOIN wn w USING (rule_id, file, subject)) WHERE head_n > base_n AND (base_n = 0 OR on_added <> head_n - base_n OR is_added)),
+gone AS (SELECT * FROM (SELECT w.*, b.n AS base_n, coalesce(c.n, 0) AS head_n, row_number() OVER (PARTITION BY rule_id, file, subject ORDER BY line) AS place FROM was w JOIN wn b USING (rule_id, file, subject) LEFT JOIN cn c USING (rule_id, file, subject)) WHERE base_n > head_n AND place > head_n)
+"""
+
+
+@query(_with("SELECT 'introduced' AS state, rule_id, file, subject, 'specifier' AS kind, line FROM intro UNION ALL SELECT 'fixed', rule_id, file, subject, 'specifier', line FROM gone", _CHECK))
+def check_findings(spark: SparkSession, d: str) -> DataFrame:
+    checked = _checked(spark, d)
+    return checked["introduced"].withColumn("state", F.lit("introduced")).unionByName(checked["fixed"].withColumn("state", F.lit("fixed")))
+
+
+@query(_with("SELECT rule_id AS id, CASE WHEN rule_id = 'view' THEN 'new' ELSE 'changed' END AS change, count(*) AS n FROM head WHERE rule_id IN ('view', 'error') GROUP BY 1"))
+def check_adopted(spark: SparkSession, d: str) -> DataFrame:
+    return _checked(spark, d)["adopted"]
+
+
+@query(_with("SELECT CASE WHEN file IN (SELECT file FROM head WHERE rule_id = 'click') THEN 'in_change' ELSE 'unused' END AS state, rule, file FROM allowed WHERE file NOT IN (SELECT file FROM head WHERE rule_id = 'click') OR file NOT IN (SELECT coalesce(dst, file) FROM allowed LEFT JOIN ren ON src = file WHERE length(file) <= 3)", _CHECK))
+def check_allowances(spark: SparkSession, d: str) -> DataFrame:
+    checked = _checked(spark, d)
+    return checked["allowed_in_change"].withColumn("state", F.lit("in_change")).unionByName(checked["unused"].withColumn("state", F.lit("unused")))
+
+
+@query(_with("SELECT rule_id, coalesce(dst, file) AS file, CASE WHEN kind = 'target' THEN coalesce(sdst, subject) ELSE subject END AS subject, kind, line FROM (SELECT rule_id, file, 'f' || (line % 9) AS subject, CASE WHEN line % 2 = 0 THEN 'target' ELSE 'specifier' END AS kind, line FROM head) LEFT JOIN ren ON src = file LEFT JOIN (SELECT src AS ssrc, dst AS sdst FROM ren) ON ssrc = subject", _CHECK))
+def renamed_findings(spark: SparkSession, d: str) -> DataFrame:
+    rows = bridge.snapshot(spark, d, 1)
+    found = rows.select("rule_id", "file", F.concat(F.lit("f"), (F.col("line") % 9).cast("string")).alias("subject"), F.when(F.col("line") % 2 == 0, "target").otherwise("specifier").alias("kind"), "line")
+    return change.renamed(found, spark.createDataFrame([("f5", "f7"), ("f6", "f9999")], "from string, to string"))
+
+
+@query(_with("SELECT rule_id, file, CASE WHEN count(DISTINCT line) = 1 THEN min(line) END AS at FROM head WHERE line % 7 = 0 GROUP BY 1, 2"))
+def located_findings(spark: SparkSession, d: str) -> DataFrame:
+    lines = bridge.snapshot(spark, d, 1).filter("line % 7 = 0").withColumn("subject", F.lit("s"))
+    return change.located(lines.select("rule_id", "file", "subject").distinct(), lines).select("rule_id", "file", "at")
+
+
+@query(_with("SELECT rule, exception FROM (SELECT rule_id AS rule, file AS exception, max((s = 0)::INT) AS rec, max((s = 1)::INT) AS cur FROM (SELECT rule_id, file, 0 AS s FROM base WHERE line % 3 = 0 UNION ALL SELECT rule_id, file, 1 FROM head WHERE line % 3 = 1) WHERE rule_id IN ('view', 'click') GROUP BY 1, 2) WHERE cur = 1 AND rule IN (SELECT rule FROM (SELECT rule_id AS rule, file, max((s = 0)::INT) AS rec, max((s = 1)::INT) AS cur FROM (SELECT rule_id, file, 0 AS s FROM base WHERE line % 3 = 0 UNION ALL SELECT rule_id, file, 1 FROM head WHERE line % 3 = 1) GROUP BY 1, 2) WHERE rec <> cur)"))
+def remeasured_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda side, rest: bridge.snapshot(spark, d, side).filter(f"line % 3 = {rest}").select(F.col("rule_id").alias("rule"), F.col("file").alias("exception"))
+    adopted = spark.createDataFrame([("view", "forbidden-imports", "fast"), ("click", "forbidden-imports", "fast"), ("error", "forbidden-imports", "deep"), ("signup", "layer", "fast")], "rule string, family string, mode string")
+    return change.remeasured(adopted, of(0, 0), of(1, 1), "deep")
+
+
+@query(_with("SELECT DISTINCT rule_id AS rule, file AS exception FROM head WHERE rule_id = 'error'"))
+def first_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    current = bridge.snapshot(spark, d, 1).select(F.col("rule_id").alias("rule"), F.col("file").alias("exception")).distinct()
+    return change.first_recorded(spark.createDataFrame([("error", False), ("view", True)], "rule string, recorded boolean"), current)
+
+
+@query(
+    f"""SELECT title, CASE WHEN tier = 'enforce' AND key NOT IN ('cycles', 'orphans', 'layer') THEN 'report-only' WHEN tier IN ('enforce', 'review') AND key IN ('cycles', 'orphans', 'layer') THEN 'enforce' ELSE tier END AS tier, rate
+FROM ({ORACLE_SQL["recommendation_tiers"]}) JOIN (VALUES {", ".join(f"('{t}', '{k}')" for t, k in FAMILIES)}) f(title, key) USING (title)"""
+)
+def reconciled_tiers(spark: SparkSession, d: str) -> DataFrame:
+    adopted = spark.createDataFrame([("cycles",), ("orphans",), ("layer",), ("declared",)], "family string")
+    return rules.reconciled(recommendation_tiers(spark, d), spark.createDataFrame(list(FAMILIES), "title string, key string"), adopted)
+
+
+STATED = [
+    {"name": "no-console", "template": "forbid-usage", "files": ["src/**/*.ts"], "except": ["**/*.test.ts"], "usage": ["console"]},
+    {"name": "no-clock", "template": "forbid-usage", "files": ["src/**"], "usage": ["Date.now"]},
+    {"name": "no-names", "template": "forbid-import", "files": ["src/**"], "packages": [("@scope/lib*", ["a1"])]},
+    {"name": "no-lib", "template": "forbid-import", "files": ["src/promo/**"], "packages": [("pkg*", None)], "targets": ["lib/**", "src/promo/**"]},
+]
+_STATED = """, imp AS (SELECT id, spec, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN ['*'] ELSE ['a' || (id % 5), 'b'] END AS names FROM imports),
+use AS (SELECT DISTINCT l_partkey AS id, CASE WHEN l_linenumber = 7 THEN 'console' ELSE 'process.env' END AS subject, l_orderkey AS line FROM lineitem WHERE l_linenumber IN (3, 7) AND l_quantity < 2),
+sm AS (SELECT 'no-console' AS rule, 'forbid-usage' AS template, (SELECT count(*) FROM files WHERE path LIKE 'src/%.ts' AND path NOT LIKE '%.test.ts') AS scope_n, count(DISTINCT id) FILTER (path LIKE '%.ts' AND path NOT LIKE '%.test.ts') AS violators_n, count(DISTINCT id) FILTER (NOT (path LIKE '%.ts' AND path NOT LIKE '%.test.ts')) AS elsewhere_n FROM use JOIN files USING (id) WHERE subject = 'console'
+ UNION ALL SELECT 'no-clock', 'forbid-usage', (SELECT count(*) FROM files), 0, 0
+ UNION ALL SELECT 'no-names', 'forbid-import', (SELECT count(*) FROM files), count(DISTINCT id), 0 FROM imp JOIN files USING (id) WHERE regexp_matches(spec, '^@scope/lib[^/]*$') AND id % 5 = 1
+ UNION ALL SELECT 'no-lib', 'forbid-import', (SELECT count(*) FROM files WHERE path LIKE 'src/promo/%'), count(DISTINCT id) FILTER (path LIKE 'src/promo/%'), count(DISTINCT id) FILTER (path NOT LIKE 'src/promo/%') FROM imp JOIN files USING (id) WHERE regexp_matches(spec, '^pkg[^/]*$'))
+"""
+
+
+def _stated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    names = F.when(F.col("id") % 5 == 1, F.array(F.lit("*"))).when(F.col("id") % 5 != 0, F.array(F.concat(F.lit("a"), (F.col("id") % 5).cast("string")), F.lit("b")))
+    line = bridge.table(spark, d, "lineitem").filter("l_linenumber IN (3, 7) AND l_quantity < 2")
+    usage = line.select(F.col("l_partkey").alias("id"), F.when(F.col("l_linenumber") == 7, "console").otherwise("process.env").alias("subject"), F.col("l_orderkey").alias("line")).distinct()
+    return bridge.files(spark, d), bridge.imports(spark, d).withColumn("names", names), usage
+
+
+@query(_with("SELECT * FROM sm", _STATED))
+def stated_measure(spark: SparkSession, d: str) -> DataFrame:
+    files, imports, usage = _stated(spark, d)
+    return rules.declared_measure(files, imports, STATED, usage)
+
+
+@query(_with("SELECT rule, CASE WHEN scope_n = 0 OR rule IN ('no-lib', 'no-clock') THEN 'no-match' WHEN violators_n > 0 THEN 'baseline' ELSE 'enforce-now' END AS verdict, violators_n = 0 AND elsewhere_n = 0 AND rule <> 'no-clock' AS vacuous FROM sm", _STATED))
+def stated_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    files, imports, usage = _stated(spark, d)
+    other = files.filter("id % 10 = 0").select("id", F.lit("Date.now").alias("subject"))
+    return rules.verdicts(rules.declared_measure(files, imports, STATED, usage), rules.unmatched_targets(files, STATED), rules.not_global(other, usage, STATED))
+
+
+@query(
+    _with(
+        "SELECT entry, rule, CASE WHEN entry % 6 = 0 THEN 'invalid' WHEN entry % 6 = 1 THEN 'quote-not-found' WHEN entry % 6 = 2 THEN 'guidance' WHEN entry % 6 = 3 AND entry % 4 = 3 THEN 'stated' WHEN entry % 6 = 3 THEN 'inferred' WHEN verdict = 'no-match' THEN 'no-match' ELSE 'adopted' END AS outcome "
+        "FROM (SELECT i AS entry, CASE i % 4 WHEN 0 THEN 'no-console' WHEN 1 THEN 'no-lib' WHEN 2 THEN 'no-clock' ELSE 'no-names' END AS rule FROM range(48) t(i)) JOIN (SELECT rule, CASE WHEN scope_n = 0 OR rule IN ('no-lib', 'no-clock') THEN 'no-match' ELSE 'x' END AS verdict FROM sm) USING (rule)",
+        _STATED,
+    )
+)
+def declared_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    rule = F.element_at(F.array(*[F.lit(r) for r in ("no-console", "no-lib", "no-clock", "no-names")]), (F.col("id") % 4 + 1).cast("int"))
+    kind = F.col("id") % 6
+    mapped = spark.range(48).select(
+        F.col("id").alias("entry"), F.when(kind == 2, "none").when(kind == 3, "inferred").otherwise("forbid-import").alias("template"), rule.alias("rule"), F.when(kind != 1, F.lit(1)).alias("line"), F.when(kind == 0, "no template").alias("invalid")
+    )
+    return rules.declared_adoption(rules.gap_report(mapped, stated_verdicts(spark, d)), spark.createDataFrame([("no-names",)], "id string"), baseline=True)
+
+
+@query(_with("SELECT family, id, status, CASE WHEN family = 'layer' THEN 'linter' WHEN family = 'import-style' THEN 'checker' END AS enforcer FROM (" + _GATED + ") WHERE status = 'AUTO' AND (family = 'layer' OR id IN ('import-style', 'test-isolation')) AND id <> 'test-isolation'"))
+def selected_rules(spark: SparkSession, d: str) -> DataFrame:
+    found = scan_gates(spark, d).select("family", "id", "status")
+    return rules.selected(found, only=["import-style", "test-isolation"], removed=["test-isolation"], structural=["layer"], enforcers={"layer": "linter", "import-style": "checker"})
+
+
+@query("WITH RECURSIVE hop AS (SELECT DISTINCT l_partkey % 200 AS src, (l_partkey * 7 + l_suppkey) % 400 AS dst FROM lineitem WHERE l_linenumber = 5 AND l_quantity < 3), r AS (SELECT src AS barrel, dst AS leaf FROM hop UNION SELECT r.barrel, hop.dst FROM r JOIN hop ON hop.src = r.leaf) SELECT barrel, leaf FROM r WHERE leaf >= 200")
+def barrel_leaves(spark: SparkSession, d: str) -> DataFrame:
+    line = bridge.table(spark, d, "lineitem").filter("l_linenumber = 5 AND l_quantity < 3")
+    hops = line.select((F.col("l_partkey") % 200).alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 400).alias("dst"))
+    return graph.leaf_files(hops, spark.range(200).select("id"))
+
+
+@query(_with("SELECT 'src/' || layer AS dir, count(*) AS n FROM files GROUP BY 1 HAVING count(*) >= 25 OR (SELECT max(n) FROM (SELECT count(*) AS n FROM files GROUP BY layer)) < 25"))
+def app_folders(spark: SparkSession, d: str) -> DataFrame:
+    files = bridge.files(spark, d)
+    return resolve.discovered_apps(files, files.select(F.concat(F.lit("src/"), "layer").alias("dir")).distinct())
+
+
+@query(_with("SELECT 'stories' AS loader, path FROM files WHERE path LIKE '%.stories.tsx' UNION ALL SELECT 'one', path FROM files WHERE regexp_matches(path, '^src/promo/[^/]+/p1[^/]*\\.ts$')").replace("\\\\", "\\"))
+def loaded_files(spark: SparkSession, d: str) -> DataFrame:
+    files = bridge.files(spark, d)
+    return resolve.matched_loaders(files, [("stories", "src/**/*.stories.tsx")]).unionByName(references.computed_targets(files, [("one", ["src/promo/", None, "/p1", None, ".ts"])]))
+
+
+@query(_with("SELECT 'pkg' || (id % 3) AS package, path FROM files WHERE path LIKE '%.ts' AND path NOT LIKE '%.%.ts' AND id % 3 < 2"))
+def published_entries(spark: SparkSession, d: str) -> DataFrame:
+    files = bridge.files(spark, d)
+    plain = files.filter("path LIKE '%.ts' AND path NOT LIKE '%.%.ts' AND id % 3 < 2")
+    built = plain.select(F.concat(F.lit("pkg"), (F.col("id") % 3).cast("string")).alias("package"), F.concat(F.lit("./dist/"), F.regexp_replace(F.expr("substring(path, 5)"), r"\.ts$", ".d.ts")).alias("target"))
+    return references.package_entries(files, references.entry_candidates(built, "dist", "src"))
+
+
+@query(_with("SELECT path, path LIKE 'src/promo/%' AS shipped FROM files"))
+def shipped_files(spark: SparkSession, d: str) -> DataFrame:
+    return references.published(bridge.files(spark, d), ["src/promo"], F.lit(False))
+
+
+@query(_with("SELECT path FROM files WHERE id % 11 = 0 OR (id % 7 = 0 AND id IN (SELECT id FROM imports WHERE spec LIKE 'pkg%'))"))
+def client_files(spark: SparkSession, d: str) -> DataFrame:
+    code = bridge.files(spark, d).select("id", "path", F.when(F.col("id") % 11 == 0, "const c = new PrismaClient()").when(F.col("id") % 7 == 0, "const p = new Pool<X>(url)").otherwise("// nothing").alias("text"))
+    imports = bridge.imports(spark, d).select("id", F.when(F.col("spec").startswith("pkg"), "pg").otherwise("left-pad").alias("spec"))
+    return references.data_clients(code, imports)
+
+
+@query(_with("SELECT id, '#own' AS spec, 'src/' || layer AS dir FROM files WHERE id % 4 = 0"))
+def scoped_specifiers(spark: SparkSession, d: str) -> DataFrame:
+    files = bridge.files(spark, d)
+    own = files.filter("id % 4 = 0").select("id", F.lit("#own").alias("spec"))
+    return references.scoped_imports(own.unionByName(own.withColumn("spec", F.lit("plain"))), files, files.select(F.concat(F.lit("src/"), "layer").alias("dir")).distinct())
+
+
+@query(_with("SELECT t.id, 'x' AS spec, min_by(f.id, CASE WHEN f.path LIKE '%.controller.ts' THEN 0 ELSE 1 END) AS dst FROM files t JOIN files f ON f.path = regexp_replace(t.path, '\\.[a-z.]+$', '') || '.ios.tsx' OR f.path = regexp_replace(t.path, '\\.[a-z.]+$', '') || '.tsx' OR f.path = regexp_replace(t.path, '\\.[a-z.]+$', '') || '.ts' GROUP BY 1").replace("\\\\", "\\"))
+def platform_targets(spark: SparkSession, d: str) -> DataFrame:
+    files = bridge.files(spark, d)
+    targets = files.select("id", F.lit("x").alias("spec"), F.regexp_replace("path", r"\.[a-z.]+$", "").alias("target"))
+    return references.platform_file(targets, files, "ios", True)
+
+
+@query("WITH s AS (" + ORACLE_SQL["context_sentences"] + "), h AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 0), b AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 1), q AS (SELECT DISTINCT substr(text, 3, 14) AS statement FROM s WHERE conv_id % 10 = 0) SELECT doc, text FROM h WHERE (doc, text) NOT IN (SELECT (doc, text) FROM b) AND NOT EXISTS (SELECT 1 FROM q WHERE contains(h.text, q.statement) OR contains(q.statement, h.text))")
+def unchecked_context(spark: SparkSession, d: str) -> DataFrame:
+    rows = context_sentences(spark, d)
+    of = lambda rest: rows.filter(f"turn % 2 = {rest}").select(F.col("conv_id").alias("doc"), "text").distinct()
+    quoted = rows.filter("conv_id % 10 = 0").select(F.substring("text", 3, 14).alias("statement"))
+    return change.unchecked_sentences(of(0), of(1), quoted)

@@ -2,61 +2,204 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths, roles
-from veinwork.operators import detectors, graph, resolve
+from veinwork.operators import change, detectors, findings, graph, references, resolve, rules
 from veinwork.sources import code
 
+#: Containers whose members are slices of one app, and apps.
+SLICES, APPS = ("features", "modules", "slices", "domains"), ("apps", "services")
+#: The two rules on what a request handler must not import; the second's pattern is inferred from where components live.
+DATABASE, INTERFACE = "AP-001", "AP-002"
+
+
+@dataclass
+class Codebase:
+    """Relations of one snapshot.
+
+    files: id, app, path, role, role_confidence, layer, text; imports: id, spec,
+    ord, has_value; edges: src, dst; usage: id, subject, line; declared: package;
+    workspace: name, exports, open.  ``shipped`` says which files a package
+    publishes; ``loaded`` has the paths that a framework loads by where they stand
+(``sources.routes``); ``database`` is the pattern of database libraries.
+    """
+
+    files: DataFrame
+    imports: DataFrame
+    edges: DataFrame
+    usage: DataFrame
+    declared: DataFrame
+    workspace: DataFrame
+    aliases: tuple[str, ...] = ()
+    shipped: Column | None = None
+    loaded: DataFrame | None = None
+    database: str | None = "|".join(f"(?:{p})" for p in references.DATA_LIBRARIES)
+
+    def __post_init__(self) -> None:
+        self.production = self.files.filter("role <> 'TEST'")
+        ids = self.production.select("id")
+        self.own = self.imports.join(ids, "id", "left_semi")
+        self.values = self.own.filter("has_value")
+        self.inner = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        self.inner_by_app = self.inner.join(self.files.select(F.col("id").alias("src"), "app"), "src")
+        self.known = self.declared.select("package").unionByName(self.workspace.select(F.col("name").alias("package"))).distinct()
+        self.barrels = self.production.filter(F.col("path").rlike(r"(^|/)index\.tsx?$")).select("id", paths.directory(F.col("path")).alias("dir"))
+        self.entry = F.col("role").isin(*roles.FRAMEWORK_ENTRY)
+        self.story = F.col("path").rlike(paths.STORY)
+
+    def using(self, subject: str) -> DataFrame:
+        return self.usage.filter(F.col("subject") == subject)
+
+    def clients(self) -> DataFrame:
+        marked = self.files.filter(roles.leading_directive(F.substring("text", 1, 512), "use client")).select("id").withColumn("client", F.lit(True))
+        return self.production.join(marked, "id", "left")
 
-def relations(tree: DataFrame, aliases: list[tuple[str, str, int]]) -> dict[str, DataFrame]:
-    """files, imports, usage and edges of a tree (app, path, text); extraction runs once, its results are kept."""
-    spark = tree.sparkSession
+    def patterns(self) -> dict[str, str | None]:
+        """Forbidden imports of request handlers; folders of components are few (``ui_markers`` returns eight at most)."""
+        folders = [r["segment"] for r in detectors.ui_markers(self.production).collect()]
+        return {DATABASE: self.database, INTERFACE: "(^|/)(" + "|".join(re.escape(f) for f in folders) + ")(/|$)" if folders else None}
+
+
+def codebase(tree: DataFrame, aliases: Iterable[tuple[str, str, int]] = (), packages: Iterable[str] = (), workspace: Iterable[tuple[str, list[str], bool]] = (), **more: object) -> Codebase:
+    """Relations of a tree (app, path, text); extraction runs once, its results are kept."""
+    spark, aliases = tree.sparkSession, list(aliases)
     files = code.classified(tree).withColumn("id", F.xxhash64("app", "path")).withColumn("layer", paths.layer_of(F.col("path"))).persist()
     raw = code.extract_imports(files).persist()
-    imports = raw.select(F.xxhash64("app", "path").alias("id"), F.col("specifier").alias("spec"), "has_value")
+    imports = raw.select(F.xxhash64("app", "path").alias("id"), "app", F.col("specifier").alias("spec"), "ord", "has_value", "names", "line")
     value = imports.filter("has_value")
-    targets = resolve.relative(value, files)
+    targets = resolve.relative(value, files).withColumn("ord", F.lit(0))
     if aliases:
-        targets = targets.unionByName(resolve.aliased(value, spark.createDataFrame(aliases, "prefix string, dir string, ord int")))
+        targets = targets.unionByName(resolve.alias_targets(value, spark.createDataFrame(aliases, "prefix string, dir string, ord int")))
     edges = resolve.resolved(targets, files).select(F.col("id").alias("src"), "dst").distinct().persist()
-    return {"files": files, "imports": imports, "usage": code.extract_usage(files), "edges": edges}
-
-
-def scan(tree: DataFrame, aliases: list[tuple[str, str, int]] = (), packages: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Results by family.  Production files are what is not a test."""
-    spark = tree.sparkSession
-    r = relations(tree, list(aliases))
-    files, imports, edges = r["files"], r["imports"], r["edges"]
-    production = files.filter("role <> 'TEST'")
-    inner = edges.join(production.select(F.col("id").alias("src")), "src", "left_semi").join(production.select(F.col("id").alias("dst")), "dst", "left_semi")
-    prefixes = tuple(a[0] for a in aliases)
-    declared = spark.createDataFrame([(p,) for p in packages], "package string")
-    usage = r["usage"].select(F.xxhash64("app", "path").alias("id"), "subject", "line")
-    app_edges = inner.join(files.select(F.col("id").alias("src"), "app"), "src")
-    entry = F.col("role").isin(*roles.FRAMEWORK_ENTRY)
-    client = files.filter(roles.leading_directive(F.substring("text", 1, 512), "use client")).select("id").withColumn("client", F.lit(True))
-    with_client = production.join(client, "id", "left")
+    usage = code.extract_usage(files).select(F.xxhash64("app", "path").alias("id"), "subject", "line")
+    return Codebase(
+        files, imports, edges, usage, spark.createDataFrame([(p,) for p in packages], "package string"),
+        spark.createDataFrame(list(workspace), "name string, exports array<string>, open boolean"), tuple(a[0] for a in aliases), **more,
+    )
+
+
+def families(c: Codebase, patterns: dict[str, str | None] | None = None) -> dict[str, DataFrame]:
+    """What each family of rules with a gate measures.  Production files are what is not a test."""
+    patterns = c.patterns() if patterns is None else patterns
     return {
-        "layer": detectors.layer_boundaries(production, inner),
-        "role-layering": detectors.role_layering(production, inner),
-        "cycles": graph.cyclic_nodes(app_edges),
-        "public-api": detectors.public_api(production, inner, production.filter(F.col("path").rlike(r"(^|/)index\.tsx?$")).select("id", paths.directory(F.col("path")).alias("dir"))),
-        "feature-slice": detectors.sibling_isolation(detectors.members_of(production, ("features", "modules", "slices", "domains")), inner),
-        "app-isolation": detectors.sibling_isolation(detectors.members_of(production, ("apps", "services")), inner),
-        "test-isolation": detectors.test_isolation(files, edges),
-        "dependency-hygiene": detectors.package_hygiene(imports, prefixes),
-        "phantom-deps": detectors.phantom_dependencies(imports, declared, prefixes),
-        "entry-purity": detectors.entry_purity(production, inner, entry),
-        "import-style": detectors.import_style(imports),
-        "console-isolation": detectors.usage_isolation(files, usage.filter("subject = 'console'"), (F.col("role") != "TEST") & ~F.col("path").rlike(paths.CLI_PATH), False),
-        "env-access": detectors.usage_isolation(files, usage.filter("subject = 'process.env'"), (F.col("role") != "TEST") & ~F.col("path").rlike(paths.CONFIG_PATH), True),
-        "stories-isolation": detectors.entry_purity(production, inner, F.col("path").rlike(paths.STORY)),
-        "ui-data": detectors.reaches_role(production, inner, F.col("role") == "COMPONENT", F.col("role").isin("DB_MODULE", "DATA_ACCESS")),
-        "server-client": detectors.server_client(with_client, inner, imports, F.coalesce("client", F.lit(False))),
-        "orphans": graph.orphans(files, edges, F.col("role").isin(*roles.REQUEST_ENTRY, "ROUTE_ENTRY") | F.col("path").rlike(paths.ENTRY_FILE) | F.col("path").rlike(paths.STORY)),
-        "forbidden-imports": detectors.forbidden_imports(production, imports, {"AP-002": r"(^|/)(db|database|prisma|drizzle|kysely)(/|$)"}),
-        "reachability": graph.layer_reachability(app_edges, files.select("app", F.col("id").alias("node"), "layer").filter("layer IS NOT NULL")),
-        "markers": detectors.ui_markers(production),
+        "forbidden-imports": detectors.forbidden_imports(c.production, c.values, patterns),
+        "layer": detectors.layer_boundaries(c.production, c.inner),
+        "role-layering": detectors.role_layering(c.production, c.inner),
+        "public-api": detectors.public_api(c.production, c.inner, c.barrels),
+        "feature-slice": detectors.sibling_isolation(detectors.members_of(c.production, SLICES), c.inner),
+        "app-isolation": detectors.sibling_isolation(detectors.members_of(c.production, APPS), c.inner),
+        "cycles": findings.cycles_gate(c.production, graph.cyclic_nodes(c.inner_by_app)),
+        "test-isolation": detectors.test_isolation(c.files, c.edges),
+        "dependency-hygiene": detectors.package_hygiene(c.values, c.aliases),
+        "phantom-deps": detectors.phantom_dependencies(c.values, c.known, c.aliases),
+        "entry-purity": detectors.entry_purity(c.production, c.inner, c.entry),
+        "import-style": detectors.import_style(c.own),
+        "console-isolation": detectors.usage_isolation(c.files, c.using("console"), (F.col("role") != "TEST") & ~F.col("path").rlike(paths.CLI_PATH), False),
+        "env-access": detectors.usage_isolation(c.files, c.using("process.env"), (F.col("role") != "TEST") & ~F.col("path").rlike(paths.CONFIG_PATH), True),
+        "workspace-package-api": detectors.workspace_api(c.values, c.workspace),
+        "stories-isolation": detectors.entry_purity(c.production, c.inner, c.story),
+        "ui-data": detectors.reaches_role(c.production, c.inner, F.col("role") == "COMPONENT", F.col("role").isin("DB_MODULE", "DATA_ACCESS")),
+        "server-client": detectors.server_client(c.clients(), c.inner, c.own, F.coalesce("client", F.lit(False))),
     }
+
+
+def broken(c: Codebase, patterns: dict[str, str | None] | None = None) -> DataFrame:
+    """All findings of a snapshot, of whatever gate: family, rule_id, file, subject, kind, line."""
+    patterns = c.patterns() if patterns is None else patterns
+    own, inner, files = c.production, c.inner, c.files
+    importing = lambda entries: inner.join(own.filter(entries).select(F.col("id").alias("dst")), "dst", "left_semi").join(own.filter(entries).select(F.col("id").alias("src")), "src", "left_anti")
+    reaching = lambda population, targets: inner.join(own.filter(population).select(F.col("id").alias("src")), "src", "left_semi").join(own.filter(targets).select(F.col("id").alias("dst")), "dst", "left_semi")
+    tests = files.filter("role = 'TEST'").select(F.col("id").alias("dst"))
+    server = c.own.filter("spec = 'server-only'").select("id").distinct()
+    client = c.clients().filter(F.coalesce("client", F.lit(False))).select("id")
+    quiet = lambda usage, skipped: usage.join(own.filter(~F.col("path").rlike(skipped)).select("id"), "id", "left_semi")
+    parts = [
+        findings.import_findings("forbidden-imports", detectors.forbidden_occurrences(own, c.values, patterns), files, F.col("rule_id")),
+        findings.boundary_findings("layer", detectors.layer_boundaries(own, inner), inner, own, "layer"),
+        findings.boundary_findings("role-layering", detectors.role_layering(own, inner), inner, own, "role"),
+        findings.public_api_findings(own, inner, c.barrels),
+        findings.sibling_findings("feature-slice", detectors.members_of(own, SLICES), inner, own),
+        findings.sibling_findings("app-isolation", detectors.members_of(own, APPS), inner, own),
+        findings.cycle_findings(c.inner_by_app, own),
+        findings.target_findings("test-isolation", c.edges.join(tests, "dst", "left_semi").join(own.select(F.col("id").alias("src")), "src", "left_semi"), files),
+        findings.import_findings("dependency-hygiene", findings.packages_broken(c.values, c.aliases), files),
+        findings.import_findings("phantom-deps", findings.packages_undeclared(c.values, c.known, c.aliases), files),
+        findings.target_findings("entry-purity", importing(c.entry), files),
+        findings.import_findings("import-style", c.own.filter(F.col("spec").startswith(".") & F.col("spec").rlike(paths.DEEP_RELATIVE)), files),
+        findings.usage_findings("console-isolation", quiet(c.using("console"), paths.CLI_PATH), files),
+        findings.usage_findings("env-access", quiet(c.using("process.env"), paths.CONFIG_PATH), files),
+        findings.import_findings("workspace-package-api", findings.workspace_broken(c.values, c.workspace), files),
+        findings.target_findings("stories-isolation", importing(c.story), files),
+        findings.target_findings("ui-data", reaching(F.col("role") == "COMPONENT", F.col("role").isin("DB_MODULE", "DATA_ACCESS")), files),
+        findings.target_findings("server-client", inner.join(server.withColumnRenamed("id", "dst"), "dst", "left_semi").join(client.withColumnRenamed("id", "src"), "src", "left_semi"), files),
+        findings.import_findings("server-client", c.own.filter("spec = 'server-only'").join(client, "id", "left_semi"), files),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def rule_relation(c: Codebase) -> DataFrame:
+    """Every rule of every family with its gate: family, id, population, violators, floor, observed, status."""
+    return findings.gates(families(c))
+
+
+def summary(c: Codebase, cap: int = 10) -> DataFrame:
+    """Rules that are not rejected, with the first ``cap`` files that break each (the report's own limit)."""
+    patterns = c.patterns()
+    listed = broken(c, patterns).select(F.col("rule_id").alias("id"), F.col("file").alias("exception")).distinct()
+    return rules.summary(findings.gates(families(c, patterns)), listed, cap)
+
+
+def scan(tree: DataFrame, aliases: Iterable[tuple[str, str, int]] = (), packages: Iterable[str] = (), workspace: Iterable[tuple[str, list[str], bool]] = (), **more: object) -> dict[str, DataFrame]:
+    """Results by family, and what has no gate: orphans, reachability, markers."""
+    c = codebase(tree, aliases, packages, workspace, **more)
+    entry = F.col("role").isin(*roles.REQUEST_ENTRY, "ROUTE_ENTRY") | F.col("path").rlike(paths.ENTRY_FILE) | c.story
+    return {
+        **families(c),
+        "orphans": graph.orphans(c.files, c.edges, entry, c.shipped) if c.loaded is None else graph.orphans(c.files, c.edges, entry, c.shipped).join(c.loaded.select("path").distinct(), "path", "left_anti"),
+        "reachability": graph.layer_reachability(c.inner_by_app, c.files.select("app", F.col("id").alias("node"), "layer").filter("layer IS NOT NULL")),
+        "markers": detectors.ui_markers(c.production),
+    }
+
+
+def check(base: dict[str, DataFrame], head: dict[str, DataFrame], allowed: DataFrame, was_allowed: DataFrame, renames: DataFrame, added: DataFrame) -> dict[str, DataFrame]:
+    """What a change does to adopted rules.
+
+    Both sides have ``rules`` (id, definition) and ``findings`` (rule_id, file,
+    subject, kind, line); allowed and was_allowed (rule, file) are the head's and
+    the base's exemptions; renames (from, to) and added (file, line) come from the
+    diff.  Rules of one definition on both sides are compared: what is
+    introduced, without allowed files, and what is fixed, allowed or not.
+    """
+    partition = change.rule_partition(base["rules"], head["rules"])
+    same = partition.filter("change = 'comparable'").select(F.col("id").alias("rule_id"))
+    adopted = partition.filter("change IN ('new', 'changed')")
+    was = change.renamed(base["findings"], renames).join(same, "rule_id", "left_semi")
+    now = head["findings"].join(same, "rule_id", "left_semi")
+    keys = ["rule_id", "file", "subject", "kind"]
+    fresh = head["findings"].join(adopted.select(F.col("id").alias("rule_id")), "rule_id", "left_semi")
+    counts = fresh.groupBy(F.col("rule_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    matched = now.unionByName(fresh)
+    moved = was_allowed.join(renames.withColumnRenamed("from", "file"), "file", "left").select("rule", F.coalesce("to", "file").alias("file"))
+    used = allowed.join(matched.select(F.col("rule_id").alias("rule"), "file"), ["rule", "file"], "left_semi")
+    return {
+        "introduced": change.introduced(was, change.without_allowed(now, allowed), added, keys),
+        "fixed": change.fixed(was, now, keys),
+        "adopted": adopted.join(counts, "id", "left").select("id", "change", F.coalesce("n", F.lit(0)).alias("n")),
+        "removed": partition.filter("change = 'removed'").select("id"),
+        "allowed_in_change": used.join(moved, ["rule", "file"], "left_anti").select("rule", "file"),
+        "unused": change.unused_allowances(allowed, matched).select("rule", "file"),
+    }
+
+
+def exit_code(checked: dict[str, DataFrame], fail_on: str = "new") -> int:
+    """1 if the change introduces anything and that is to fail, else 0."""
+    return int(fail_on == "new" and not checked["introduced"].isEmpty())

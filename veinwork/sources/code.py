@@ -168,6 +168,27 @@ def extract_usage(tree: DataFrame, subjects: tuple[str, ...] = ("console", "proc
     return tree.select("app", "path", "text").mapInPandas(rows, USAGE_SCHEMA)
 
 
+def string_literals(tree: DataFrame) -> DataFrame:
+    """(app, path, literal): the plain strings of each file; comments and templates are left out."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for app, path, text in batch[["app", "path", "text"]].itertuples(index=False):
+                found = (m[0] for m in _TOKEN.finditer(script_of(path, text or "")) if m[0][0] in "'\"")
+                out += sorted({(app, path, re.sub(r"\\(.)", r"\1", s[1:-1])) for s in found})
+            yield pd.DataFrame(out, columns=["app", "path", "literal"])
+
+    return tree.select("app", "path", "text").mapInPandas(rows, "app string, path string, literal string")
+
+
+def renders_markup(path: Column, text: Column) -> Column:
+    """Whether a file makes elements: a tag or fragment in a component file, or a call that creates or clones one."""
+    bare = F.regexp_replace(text, r"(?s)/\*.*?\*/|//[^\n]*", "")
+    tags = path.endswith(".tsx") & bare.rlike(r"(?s)(^|[(\[{,;:?=&|>\s])<(>|[A-Za-z][\w.-]*(\s[^<>]*?)?/>|([A-Za-z][\w.-]*)(\s[^<>]*)?>.*?</\4\s*>)")
+    return tags | bare.rlike(r"\b(createElement|cloneElement)\s*(<[^()]*>)?\s*\(")
+
+
 def barrels(imports: DataFrame, tree: DataFrame) -> DataFrame:
     """(app, path) of files that only re-export."""
     code = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/|//[^\n]*", ""), r"export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s*from\s*['\"][^'\"]*['\"]\s*;?", "")
@@ -197,6 +218,84 @@ def aliases_of(config_dir: str, text: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def inherited(path: str, configs: dict[str, str]) -> dict:
+    """Compiler options of a configuration (path -> text for all of them), with those of the ones it extends.
+
+    The configuration's own options win over what it extends, later ones of a
+    list over earlier; ``paths`` and ``baseUrl`` come with the folder of the
+    configuration that writes them, as ``pathsDir`` and ``baseDir``.
+    """
+
+    def read(name: str, above: tuple[str, ...]) -> dict:
+        if name in above or name not in configs:
+            return {}
+        config = loose_json(configs[name])
+        folder, out = name.rpartition("/")[0], {}
+        extended = config.get("extends", [])
+        for one in [extended] if isinstance(extended, str) else extended:
+            if not one.startswith("."):
+                continue
+            target = _joined(folder, one)
+            out |= read(next((t for t in (target, f"{target}.json") if t in configs), target), (*above, name))
+        own = config.get("compilerOptions", {})
+        out |= own
+        return out | ({"pathsDir": folder} if "paths" in own else {}) | ({"baseDir": folder} if "baseUrl" in own else {})
+
+    return read(path, ())
+
+
+def _joined(folder: str, relative: str) -> str:
+    parts = [p for p in folder.split("/") if p]
+    for part in relative.split("/"):
+        if part == ".." and parts:
+            parts.pop()
+        elif part not in (".", "", ".."):
+            parts.append(part)
+    return "/".join(parts)
+
+
+def inherited_aliases(path: str, configs: dict[str, str]) -> list[tuple[str, str, int]]:
+    """(prefix, dir, ord) of the aliases of a configuration, its extended ones and, where it lists any, its references.
+
+    A pattern's targets come before those of an exact key of the same prefix;
+    a target keeps a star that is not its last segment.
+    """
+    out: list[tuple[str, str]] = []
+    config = loose_json(configs.get(path, ""))
+    folder = path.rpartition("/")[0]
+    members = [path]
+    for reference in config.get("references", []):
+        target = _joined(folder, reference.get("path", ""))
+        members += [t for t in (target, f"{target}/tsconfig.json") if t in configs]
+    for member in members:
+        options = inherited(member, configs)
+        base = _joined(options["baseDir"], options["baseUrl"]) if "baseUrl" in options else options.get("pathsDir", folder)
+        keys = options.get("paths") or {}
+        for pattern in (True, False):
+            for key, targets in keys.items():
+                if ("*" in key) == pattern and isinstance(targets, list):
+                    out += [(key.removesuffix("/*"), _joined(base, t.removesuffix("/*"))) for t in targets if isinstance(t, str)]
+    unique = list(dict.fromkeys(out))
+    return [(prefix, where, k) for k, (prefix, where) in enumerate(unique)]
+
+
+_KIT_ALIAS = re.compile(r"['\"]?([\w$@~/*.-]+)['\"]?\s*:\s*['\"]([^'\"]+)['\"]")
+
+
+def kit_aliases(folder: str, config: str | None) -> list[tuple[str, str, int]]:
+    """(prefix, dir, ord) of a SvelteKit project: its library folder and the aliases of its configuration, as far as they are written as literals."""
+    bare = blanked(config or "", strings=False)
+    library = re.search(r"\blib\s*:\s*['\"]([^'\"]+)['\"]", bare)
+    out = [("$lib", _joined(folder, library[1] if library else "src/lib"))]
+    block = re.search(r"\balias\s*:\s*\{([^}]*)\}", bare)
+    out += [(k.removesuffix("/*"), _joined(folder, v.removesuffix("/*"))) for k, v in _KIT_ALIAS.findall(block[1])] if block else []
+    return [(prefix, where, k) for k, (prefix, where) in enumerate(out)]
+
+
+#: Modules that SvelteKit provides.
+KIT_MODULES = ("$app", "$env", "$service-worker")
+
+
 def declared_packages(manifests: DataFrame) -> DataFrame:
     """(path, package) of the four dependency fields of manifests (path, text)."""
     fields = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
