@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from tests.llm.conftest import frame, words
 from tests.llm.test_dedup_and_joins import tokens
 from tests.llm.test_tokens import RANKS
-from veinwork.llm import attention_model, decontaminate, language_id, license_scan, lm_scoring, personal_data
+from veinwork.llm import attention_model, byte_bpe, decontaminate, language_id, license_scan, lm_scoring, personal_data
 from veinwork.llm.textbatch import word_hashes
 
 
@@ -467,6 +467,31 @@ def test_long_texts_are_learned_from(spark):
     assert not held & {r["doc_id"] for r in cut}
 
 
+def test_repeated_rows_each_give_theirs(spark):
+    """A row twice, an id on two texts and null ids: as many rows as went in, equal ones for equal rows."""
+    texts = [(1, "mail joe@x.com now"), (1, "mail joe@x.com now"), (1, "another text of the same id"), (None, "Released under the MIT License."), (None, "Released under the MIT License."), (2, None), (2, ""), (3, "abab abab")]
+    docs = frame(spark, texts, {1: "aa", 2: "bb", 3: "aa"})
+    trees = language_id.train(docs)
+    licence = license_scan.LicenceModel(["plain words", "and more of them"])
+    results = {
+        "op1": lm_scoring.score_documents(docs, RANKS, block_rows=4), "op3": byte_bpe.encode_documents(docs, RANKS, with_ids=False), "op4": personal_data.personal_data(docs), "op9": language_id.identify(docs, trees),
+    }
+    for name, found in results.items():
+        rows = Counter(tuple(round(v, 3) if isinstance(v, float) else v for v in r) for r in found.collect())
+        assert sum(rows.values()) == len(texts), name
+        assert sorted(rows.values()) == [1, 1, 2, 2, 2], name
+    assert [(r["doc_id"], r["family"]) for r in license_scan.licences(docs, licence).collect()] == [(None, "mit")] * 2
+    benchmark = spark.createDataFrame([(7, "another text of the same"), (7, "another text of the same")], "item_id long, text string")
+    assert Counter(tuple(r)[:2] for r in decontaminate.contaminated(docs, benchmark).collect()) == {(1, 7): 2}
+    assert decontaminate.clean(docs, benchmark).count() == len(texts) - 1
+
+
+def test_ties():
+    trees = language_id.ContextTrees({"b": [b"same text"], "a": [b"same text"]})
+    bits = trees.code_lengths(np.frombuffer(b"some text", np.uint8), np.array([0, 9]))[0]
+    assert bits[0] == bits[1] and trees.languages[int(bits.argmin())] == "a"
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"])
 def test_registered(name):
     import __spark_entry__
