@@ -848,9 +848,9 @@ def platform_targets(spark: SparkSession, d: str) -> DataFrame:
     return references.platform_file(targets, files, "ios", True)
 
 
-@query("WITH s AS (" + ORACLE_SQL["context_sentences"] + "), h AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 0), b AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 1), q AS (SELECT DISTINCT substr(text, 3, 14) AS statement FROM s WHERE conv_id % 10 = 0) SELECT doc, text FROM h WHERE (doc, text) NOT IN (SELECT (doc, text) FROM b) AND NOT EXISTS (SELECT 1 FROM q WHERE contains(h.text, q.statement) OR contains(q.statement, h.text))")
+@query("WITH s AS (" + ORACLE_SQL["context_sentences"] + "), h AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 0), b AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 1), q AS (SELECT DISTINCT substr(text, 3, 14) AS statement FROM s WHERE conv_id % 10 = 0 AND length(text) >= 20) SELECT doc, text FROM h WHERE (doc, text) NOT IN (SELECT (doc, text) FROM b) AND NOT EXISTS (SELECT 1 FROM q WHERE contains(h.text, q.statement) OR contains(q.statement, h.text))")
 def unchecked_context(spark: SparkSession, d: str) -> DataFrame:
     rows = context_sentences(spark, d)
     of = lambda rest: rows.filter(f"turn % 2 = {rest}").select(F.col("conv_id").alias("doc"), "text").distinct()
-    quoted = rows.filter("conv_id % 10 = 0").select(F.substring("text", 3, 14).alias("statement"))
+    quoted = rows.filter("conv_id % 10 = 0 AND length(text) >= 20").select(F.substring("text", 3, 14).alias("statement"))
     return change.unchecked_sentences(of(0), of(1), quoted)
