@@ -253,6 +253,32 @@ def test_recall_of_passages_against_brute_force(spark):
     assert expected and expected <= found
 
 
+def test_edited_repeats_meet_past_heads_with_a_part(spark):
+    """Edited repeats beside documents of smaller ids that have one half of them: each pair is found, whatever heads their keys have."""
+    draw = random.Random(63)
+    texts, pairs = [], []
+    for k in range(40):
+        whole = words(draw, 52).split(" ")
+        edited = [*whole[:26], f"edit{k}", *whole[26 + k % 2 :]]
+        base = 1000 * k
+        halves = (whole[:30], whole[22:])
+        texts += [(base + j, f"{words(draw, 40)} {' '.join(halves[j % 2])} {words(draw, 40)}") for j in range(4)]
+        texts += [(base + 100 + j, f"{words(draw, 40)} {' '.join(part)} {words(draw, 40)}") for j, part in enumerate((whole, edited))]
+        pairs.append((base + 100, base + 101))
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert found == {p for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def test_run_that_similar_passages_share():
+    """Against all ways to place breaks of the least cost: some stretch that agrees is as long."""
+    assert substring_dedup.common_run(50, 0.8) == 21
+    width = 46
+    for breaks in range(8):
+        for agree in range(1, 400):
+            if agree + 4 * breaks >= width and agree >= 0.8 * (agree + 8 * breaks):
+                assert -(-agree // (breaks + 1)) >= 21
+
+
 def test_heads_of_a_batch_stand_for_it():
     names = [c.split()[0] for c in substring_dedup._ENTRY.split(", ")]
     columns = [np.array(v, k) for v, k in (([5, 5, 5, 5, 9], np.int64), ([1, 1, 1, 2, 1], np.int32), ([3, 2, 2, 7, 4], np.int64), ([10, 20, 30, 40, 50], np.int32), ([0, 1, 2, 0, 1], np.int32))]
