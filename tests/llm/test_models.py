@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import uuid
 import zlib
 from collections import Counter
 
@@ -417,6 +418,33 @@ def test_models_of_shards_are_averaged(spark, tmp_path):
         assert lm_scoring.word_scores(bpe, model, raw, starts, ends, counts)[0].mean() > -2 > before
 
 
+def test_every_window_is_learned_from(monkeypatch, spark, tmp_path):
+    """Each window of the training texts is in one shard of one round or set aside, and each id in one step of a long enough shard."""
+    docs = lm_scoring.blocked(frame(spark, [(i, f"text {i} of two thousand, which are more than a sample") for i in range(2000)]), "doc_id", "text", 512)
+    out = str(tmp_path / "seen")
+
+    def shard(path, model, steps, rate):
+        def rows(table):
+            with open(f"{out}-{uuid.uuid4().hex}", "w") as file:
+                file.write("\n".join(table["id"].to_pylist()))
+            return pa.table({"shard": table["shard"][:1], "weight": pa.array([float(len(table))]), "values": pa.array([model.value[1].tobytes()], pa.binary())})
+
+        return rows
+
+    monkeypatch.setattr(lm_scoring, "_shard", shard)
+    monkeypatch.setattr(lm_scoring, "ASIDE", 30)
+    _, aside = lm_scoring._trained(docs, RANKS, f"file://{tmp_path}/one", shard=500)
+    learned = [x for p in tmp_path.glob("seen-*") for x in p.read_text().split("\n")]
+    wanted = {f"{r['doc_id']}:0": r["text"] for r in docs.filter("NOT held_out").collect()}
+    assert len(learned) == len(set(learned)) and set(learned) <= set(wanted) and 0 < len(aside) < 100
+    assert sorted([t for t, _ in aside] + [wanted[x] for x in learned]) == sorted(wanted.values())
+    model = small_model(1)
+    picked = []
+    monkeypatch.setattr(model, "_batch", lambda padded, first, size, past, own=model._batch: picked.append(first) or own(padded, first, size, past))
+    model.train(np.tile([1, 2, 3, 9], 1000), np.full(1000, 4), 1)
+    assert sorted(np.concatenate(picked).tolist()) == list(range(0, 4000, 4))
+
+
 def test_lm_scoring(spark, corpus):
     texts = corpus + [(None, "one two")]
     found = lm_scoring.score_documents(frame(spark, texts), RANKS, block_rows=16)
