@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -296,3 +297,22 @@ def test_stages_keep_columns(spark, corpus):
     assert one.columns == docs.columns
     assert {r["doc_id"] for r in one.collect()} == {i for i, (_, c) in expected_components(corpus).items() if i == c}
     assert docs.filter(F.col("doc_id") < 0).count() == 0
+
+
+def test_blocks_let_go_of_their_shingles(monkeypatch):
+    """Dealing a block takes no more than some six times its shingles beside them, and blocks of any size give the same shingles."""
+    monkeypatch.setattr(ngram_join.TaskContext, "get", lambda: type("Task", (), {"partitionId": staticmethod(lambda: 0)}))
+    draw = np.random.default_rng(4)
+    block = ngram_join._Block(8)
+    block.add(0, 0, np.arange(9, dtype=np.uint64))
+    list(block.batches())  # what is loaded at first does not count
+    for k in range(400):
+        block.add(k, k, np.unique(draw.integers(0, 1 << 62, 1500).astype(np.uint64)))
+    size = 8 * block.held
+    tracemalloc.start()
+    try:
+        out = list(block.batches())
+        assert tracemalloc.get_traced_memory()[1] < 6 * size
+    finally:
+        tracemalloc.stop()
+    assert not block.sets and sum(len(p) // 2 for p in out[1].column("places").to_pylist()) == size // 8

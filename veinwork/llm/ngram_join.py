@@ -191,9 +191,11 @@ class _Block:
         if not size:
             return
         tokens = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
-        place = np.repeat(np.array(self.of, np.int64), [len(s) for s in self.sets])
+        place = np.repeat(np.array(self.of, np.int32), [len(s) for s in self.sets])
+        self.sets.clear(), self.known.clear()
         order = np.argsort(tokens, kind="stable")
         tokens, place = tokens[order], place[order]
+        del order
         begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
         number = np.diff(np.append(begins, len(tokens)))
         several = np.repeat(number > 1, number)
@@ -209,7 +211,9 @@ class _Block:
             size, bucket=narrow(bucket, pa.int32()), base=narrow(np.full(size, self.base), pa.int64()), row=narrow(self.base + np.arange(size), pa.int64()), doc=narrow(doc, pa.int64()), digest=narrow(digest, pa.int64()),
             n=narrow(n, pa.int64()), high=_signed(np.array(high, np.uint64)), low=_signed(np.array(low, np.uint64)), shared=_lists(tokens[several][own], counts, without),
         )
+        del several, own
         once, first = tokens[begins], np.where(number > 1, SEVERAL, place[begins]).astype(np.uint16)
+        del tokens, place, begins, number
         cut = np.searchsorted(once, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - self.bits))
         used = np.flatnonzero(np.diff(cut))
         # 48 bits of each shingle, a plane for each byte: they ascend, so the first planes compress
