@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 import tracemalloc
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import frame, words
-from veinwork.llm import components, exact_dedup, ngram_join, substring_dedup
+from veinwork.llm import components, exact_dedup, ngram_join, substring_dedup, workspace
 from veinwork.llm.textbatch import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -316,3 +318,29 @@ def test_blocks_let_go_of_their_shingles(monkeypatch):
     finally:
         tracemalloc.stop()
     assert not block.sets and sum(len(p) // 2 for p in out[1].column("places").to_pylist()) == size // 8
+
+
+def test_blocks_take_few_bytes_a_shingle(monkeypatch):
+    """The shingles of a block are sorted and cut with flags beside them, not with several numbers of 64 bits for each."""
+    monkeypatch.setattr(ngram_join, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    block, draw, n = ngram_join._Block(8), np.random.default_rng(3), 400_000
+    for doc in range(40):
+        block.add(doc, doc, np.unique(draw.integers(0, 1 << 63, n // 40, dtype=np.uint64)))
+    tracemalloc.start()
+    try:
+        shingles = sum(sum(len(x) // 2 for x in b.column("places").to_pylist() if x) for b in block.batches())
+        assert tracemalloc.get_traced_memory()[1] < 36 * n
+    finally:
+        tracemalloc.stop()
+    assert shingles == n
+
+
+def test_released_memory_leaves_the_process():
+    """Arrays of a task that ended go back to the system, though smaller ones lie among them."""
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    before = held()
+    rows = [bytearray(20_000) for _ in range(8_000)]
+    rows = rows[::40]
+    workspace.released()
+    assert held() - before < 60
+    assert len(rows) == 200

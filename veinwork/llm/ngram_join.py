@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from veinwork.llm.components import components
 from veinwork.llm.textbatch import mix, runs, shingles, texts, word_hashes
-from veinwork.llm.workspace import from_files, kept_rows, partitions, shared_folder, written
+from veinwork.llm.workspace import from_files, kept_rows, partitions, released, shared_folder, written
 
 TOKEN_BITS = 56
 #: Shingles and documents of a block of texts.
@@ -191,14 +191,16 @@ class _Block:
         if not size:
             return
         tokens = np.concatenate([*self.sets, np.zeros(0, np.uint64)])
-        place = np.repeat(np.array(self.of, np.int32), [len(s) for s in self.sets])
+        place = np.repeat(np.array(self.of, np.uint16), [len(s) for s in self.sets])
         self.sets.clear(), self.known.clear()
         order = np.argsort(tokens, kind="stable")
         tokens, place = tokens[order], place[order]
         del order
-        begins = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
-        number = np.diff(np.append(begins, len(tokens)))
-        several = np.repeat(number > 1, number)
+        # flags, not places: several numbers of 64 bits a shingle would be most of a worker's memory
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        several = ~new
+        several[:-1] |= ~new[1:]
         # what the block itself shows to recur
         own = np.argsort(place[several], kind="stable")
         counts = np.bincount(place[several], minlength=size)
@@ -211,9 +213,9 @@ class _Block:
             size, bucket=narrow(bucket, pa.int32()), base=narrow(np.full(size, self.base), pa.int64()), row=narrow(self.base + np.arange(size), pa.int64()), doc=narrow(doc, pa.int64()), digest=narrow(digest, pa.int64()),
             n=narrow(n, pa.int64()), high=_signed(np.array(high, np.uint64)), low=_signed(np.array(low, np.uint64)), shared=_lists(tokens[several][own], counts, without),
         )
-        del several, own
-        once, first = tokens[begins], np.where(number > 1, SEVERAL, place[begins]).astype(np.uint16)
-        del tokens, place, begins, number
+        del own
+        once, first = tokens[new], np.where(several[new], np.uint16(SEVERAL), place[new])
+        del tokens, place, new, several
         cut = np.searchsorted(once, np.arange((1 << self.bits) + 1, dtype=np.uint64) << np.uint64(TOKEN_BITS - self.bits))
         used = np.flatnonzero(np.diff(cut))
         # 48 bits of each shingle, a plane for each byte: they ascend, so the first planes compress
@@ -239,6 +241,7 @@ def _dealt(bits: int):
                 if block.full():
                     yield from block.batches()
         yield from block.batches()
+        released()
 
     return rows
 
@@ -304,6 +307,7 @@ def _answers(bits: int):
         close()
         if found:
             yield from answers()
+        released()
 
     return rows
 
@@ -349,6 +353,7 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens += [np.frombuffer(x, np.uint64) for x in answers.column("tokens").to_pylist()]
             places += [np.frombuffer(x, np.uint16).astype(np.int64) for x in answers.column("places").to_pylist()]
     yield from close()
+    released()
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
