@@ -1,14 +1,17 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
 from tests.llm.conftest import words
 from tests.llm.test_dedup_and_joins import expected_components, tokens
 from tests.llm.test_tokens import RANKS
-from veinwork.llm import byte_bpe
+from veinwork.llm import byte_bpe, language_id
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +38,15 @@ def test_pipeline_against_brute_force(spark, corpus, tmp_path):
 
 def test_stages_are_the_five_in_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_join", "decontaminate", "byte_bpe"]
+
+
+def test_language_stage_gives_memory_back(spark, monkeypatch):
+    """When a task of the stage ends, the trees go, and free memory with them."""
+    calls = []
+    monkeypatch.setattr(language_id, "released", lambda: calls.append("_value" in kept.__dict__))
+    kept = SimpleNamespace(_value=1, value=SimpleNamespace(code_lengths=lambda data, offsets: np.zeros((len(offsets) - 1, 2))))
+    docs = SimpleNamespace(columns=["text"], schema=None, sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda trees: kept)))
+    docs.filter, docs.mapInArrow = lambda condition: docs, lambda rows, schema: rows
+    rows = language_id.known(docs, object())
+    assert [b.num_rows for b in rows(iter([pa.RecordBatch.from_arrays([pa.array(["one text", "another"])], ["text"])]))] == [2]
+    assert calls == [False] and "_value" not in kept.__dict__
