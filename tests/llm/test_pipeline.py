@@ -11,7 +11,7 @@ import corpus_pipeline
 from tests.llm.conftest import words
 from tests.llm.test_dedup_and_joins import expected_components, tokens
 from tests.llm.test_tokens import RANKS
-from veinwork.llm import byte_bpe, language_id
+from veinwork.llm import byte_bpe, language_id, workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +50,38 @@ def test_language_stage_gives_memory_back(spark, monkeypatch):
     rows = language_id.known(docs, object())
     assert [b.num_rows for b in rows(iter([pa.RecordBatch.from_arrays([pa.array(["one text", "another"])], ["text"])]))] == [2]
     assert calls == [False] and "_value" not in kept.__dict__
+
+
+def test_stages_take_small_batches(spark, tmp_path):
+    """Rows come to workers in batches of 4 MB at most, whatever the session had; a smaller bound stays."""
+    rows = [(k, "some words of a long text " * 400, "en", "s", 1) for k in range(2000)]  # 20 MB
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(workspace.BATCH_BYTES)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    try:
+        for was, most in (("256m", 5 << 20), ("512k", 1 << 20)):
+            spark.conf.set(workspace.BATCH_BYTES, was)
+            byte_bpe.token_table(spark, docs, str(tmp_path))
+            assert max(r["size"] for r in docs.coalesce(1).mapInArrow(sizes, "size long").collect()) <= most
+    finally:
+        spark.conf.set(workspace.BATCH_BYTES, before)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After each batch, before the next is taken, and when the task ends."""
+    calls = []
+    monkeypatch.setattr(workspace, "released", lambda: calls.append("back"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one text", None])], ["doc_id", "text"])
+
+    def batches():
+        for _ in range(2):
+            calls.append("taken")
+            yield batch
+
+    assert sum(b.num_rows for b in byte_bpe._encoded(RANKS, False)(batches())) == 4
+    assert calls == ["taken", "back", "taken", "back", "back"]

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinwork.llm.textbatch import SHINGLE, _STEP, mix, ragged, runs, texts, word_hashes
+from veinwork.llm.workspace import small_batches, sparing
 
 RADIUS = 3
 SIMILARITY = 0.8
@@ -276,13 +277,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_wo
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = texts(batch.column(at))
-                keep = np.ones(len(offsets) - 1, bool)
                 for lo, hi in runs(offsets):
                     words, counts = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    keep[[lo + h[0] for h in sent.value.search(words, counts)]] = False
-                yield batch.filter(pa.array(keep))
+                    keep = np.ones(hi - lo, bool)
+                    keep[[h[0] for h in sent.value.search(words, counts)]] = False
+                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-        return rows
+        return sparing(rows)
 
     for block in item_blocks(benchmark, item_words):
         docs = docs.mapInArrow(kept(docs.sparkSession.sparkContext.broadcast(Items(block))), schema)
@@ -295,4 +296,5 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
+    small_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
