@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import uuid
 import zlib
 from collections import Counter
@@ -525,3 +526,18 @@ def test_registered(name):
     import __spark_entry__
 
     assert [q for q in __spark_entry__.queries() if q.split("_")[0] == name]
+
+
+def test_words_of_a_block_take_little_memory():
+    """Words are added up a run at a time, and once for a block whose rows come in several batches."""
+    draw = random.Random(3)
+    texts = [words(draw, 300) for _ in range(500)] * 8  # 6 MB
+    counted = Counter(w for k, t in enumerate(texts) if k % 10 for w in t.split(" "))
+    batches = [pa.RecordBatch.from_arrays([pa.array([k % 10 == 0 for k in range(lo, lo + 2000)]), pa.array(texts[lo : lo + 2000]), pa.array([7] * 2000)], ["held_out", "text", "block"]) for lo in (0, 2000)]
+    tracemalloc.start()
+    found = list(lm_scoring._distinct_words(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.column(1).to_pylist() for b in found] == [[7] * len(set(" ".join(texts).split(" ")))]
+    assert sorted(n for n in found[0].column(2).to_pylist() if n) == sorted(counted.values())
+    assert peak < 40 << 20
