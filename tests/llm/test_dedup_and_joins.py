@@ -6,6 +6,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -344,3 +345,27 @@ def test_released_memory_leaves_the_process():
     workspace.released()
     assert held() - before < 60
     assert len(rows) == 200
+
+
+def test_passages_meet_across_batches(spark, monkeypatch):
+    """Entries of small batches meet each other as those of a large one do, and sequences come a run at a time."""
+    draw = random.Random(8)
+    passage = words(draw, 60)
+    texts = [f"{words(draw, 30)} {passage} {words(draw, 30)}" for _ in range(40)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["doc", "text"])
+    released = []
+    monkeypatch.setattr(workspace, "released", lambda: released.append(1))
+    entries = lambda batches: sorted(tuple(r.values()) for b in substring_dedup._windows(21)(iter(batches)) for r in b.select([0, 2, 3, 5, 6]).to_pylist() if r["head"] is not None)
+    met = entries([whole])
+    assert met and entries([whole.slice(k, 4) for k in range(0, 40, 4)]) == met and released == [1, 1]
+    monkeypatch.setattr(substring_dedup, "runs", lambda offsets: ((k, k + 10) for k in range(0, 40, 10)))
+    assert [b.num_rows for b in substring_dedup._sequences(iter([whole]))] == [10] * 4
+    monkeypatch.undo()
+
+    before = spark.conf.get(workspace.BATCH_BYTES)
+    try:
+        spark.conf.set(workspace.BATCH_BYTES, "64m")
+        found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(frame(spark, list(enumerate(texts)))).collect()}
+        assert {a for a, _ in found} == set(range(40)) and spark.conf.get(workspace.BATCH_BYTES) in ("4m", "4194304b")
+    finally:
+        spark.conf.set(workspace.BATCH_BYTES, before)
