@@ -33,7 +33,7 @@ def radix_offsets(rows: DataFrame, group: str, key: str, path: str) -> DataFrame
     """
     ends = rows.agg(F.min(key).alias("least"), F.max(key).alias("most")).first()
     low, high, depth = ends["least"] or 0, ends["most"] or 0, 1
-    while low >> BITS * depth not in (high >> BITS * depth, -1 - (high >> BITS * depth)):
+    while low >> BITS * depth != high >> BITS * depth and (low >> BITS * depth, high >> BITS * depth) != (-1, 0):
         depth += 1
     counts = [written(rows.groupBy(group, prefix(F.col(key)).alias("p0")).agg(F.count(F.lit(1)).alias("n")), path)]
     for k in range(1, depth):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, language_id, license_scan, lm_scoring, merkle_manifest, ngram_join, personal_data, substring_dedup
+from veinwork.llm import byte_bpe, dac_store, decontaminate, exact_dedup, filter_audit, language_id, license_scan, lm_scoring, merkle_manifest, ngram_join, personal_data, source_mixing, substring_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_dac_store": dac_store.op10_dac_store,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_mix_sources": source_mixing.op12_mix_sources,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
     "op13_merkle_manifest": merkle_manifest.ORACLE_SQL,
 }
