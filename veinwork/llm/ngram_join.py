@@ -53,7 +53,7 @@ from veinwork.llm.workspace import from_files, kept_rows, partitions, released,
 
 TOKEN_BITS = 56
 #: Shingles and documents of a block of texts.
-BLOCK_SHINGLES, BLOCK_DOCUMENTS = 1_500_000, 65_535
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 750_000, 65_535
 #: In place of a document's number in its block: more than one document has the shingle.
 SEVERAL = 65_535
 #: Shingles that a task answers for at a time.
