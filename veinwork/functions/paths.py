@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 SKIPPED_FOLDER = r"(^|/)(node_modules|dist|build|coverage|\.[^/]*)/"
 SOURCE_FILE = r"\.(ts|tsx|vue|svelte)$"
 DECLARATION = r"\.d\.ts$"
+REFERRER = r"(?<!\.d)\.(js|jsx|mjs|cjs|mts|cts|astro)$"
+SETTINGS = r"(^|/)(package\.json|pnpm-workspace\.yaml|pnpm-lock\.yaml|\.gitignore|\.npmignore|[^/]*tsconfig[^/]*\.json)$"
+TOOL_CONFIG = r"\.config\.(ts|tsx|js|mjs|cjs|mts|cts)$"
 STRUCTURAL = r"^(src|dist|build|public|test|tests|__tests__|node_modules|.*\..*|\(.*\)|\[.*\]|@.*)$"
 ROUTER_ROOTS = ("app", "pages")
 DEEP_RELATIVE = r"^(\.\./){3,}"
@@ -37,6 +40,16 @@ def is_source(path: Column) -> Column:
     return path.rlike(SOURCE_FILE) & ~path.rlike(DECLARATION)
 
 
+def refers(path: Column) -> Column:
+    """Files that are not sources of the code base, but can import them."""
+    return path.rlike(REFERRER)
+
+
+def as_typescript(path: Column) -> Column:
+    """A path as its TypeScript counterpart would be named, to judge its role."""
+    return F.regexp_replace(F.regexp_replace(path, r"\.([mc]?js|[mc]ts)$", ".ts"), r"\.jsx$", ".tsx")
+
+
 def segments(path: Column) -> Column:
     return F.split(path, "/")
 

@@ -182,10 +182,11 @@ def package_hygiene(imports: DataFrame, aliases: tuple[str, ...]) -> DataFrame:
 
 
 def phantom_dependencies(imports: DataFrame, declared: DataFrame, aliases: tuple[str, ...]) -> DataFrame:
-    """Files that import a package that ``declared`` (package) does not have."""
-    used = _packages(imports, aliases).select("id", "package")
-    known = declared.select("package").distinct().withColumn("known", F.lit(True))
-    rows = used.join(known, "package", "left").select(F.col("id").alias("member"), F.col("known").isNull().alias("violates"))
+    """Files that import a package that ``declared`` (package) does not have; where both have an app, within it."""
+    keys = ["package", *[c for c in ("app",) if c in imports.columns and c in declared.columns]]
+    used = _packages(imports, aliases).select("id", *keys)
+    known = declared.select(*keys).distinct().withColumn("known", F.lit(True))
+    rows = used.join(known, keys, "left").select(F.col("id").alias("member"), F.col("known").isNull().alias("violates"))
     return measure(rows, [])
 
 
@@ -204,8 +205,9 @@ def workspace_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
     violates unless it is the name or an exported subpath; a star in an export
     stands for one character at least.
     """
-    sides = packages.filter("NOT open").select("name", F.transform("exports", lambda e: F.regexp_replace(e, r"^\./", "")).alias("exports"))
-    met = imports.select("id", "spec", F.explode(paths.prefixes(F.col("spec"))).alias("name")).join(sides, "name")
+    scope = [c for c in ("app",) if c in imports.columns and c in packages.columns]
+    sides = packages.filter("NOT open").select(*scope, "name", F.transform("exports", lambda e: F.regexp_replace(e, r"^\./", "")).alias("exports"))
+    met = imports.select("id", "spec", *scope, F.explode(paths.prefixes(F.col("spec"))).alias("name")).join(sides, [*scope, "name"])
     first = met.groupBy("id", "spec").agg(F.min_by(F.struct("name", "exports"), "name").alias("p"))
     subpath = F.substring(F.col("spec"), F.length("p.name") + 2, F.length("spec"))
     starred = lambda e: e.contains("*") & subpath.startswith(F.substring_index(e, "*", 1)) & subpath.endswith(F.substring_index(e, "*", -1)) & (F.length(subpath) >= F.length(e))
@@ -248,7 +250,8 @@ def forbidden_occurrences(files: DataFrame, imports: DataFrame, markers: dict[st
     """rule_id, id, spec: every import of a request entry file that a rule forbids."""
     own = files.filter(F.col("role").isin(*roles.REQUEST_ENTRY)).select("id")
     marks = F.array(*[F.when(_reaches(imports, p), F.lit(r)) for r, p in markers.items()])
-    return imports.join(own, "id", "left_semi").select("id", "spec", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("rule_id"))
+    found = imports.join(own, "id", "left_semi").select("id", "spec", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("rule_id"))
+    return found.distinct() if "leaf" in imports.columns else found
 
 
 def first_evidence(files: DataFrame, imports: DataFrame, pattern: str) -> DataFrame:

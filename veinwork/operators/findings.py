@@ -138,7 +138,8 @@ def packages_broken(imports: DataFrame, aliases: tuple[str, ...]) -> DataFrame:
 
 
 def packages_undeclared(imports: DataFrame, declared: DataFrame, aliases: tuple[str, ...]) -> DataFrame:
-    return detectors._packages(imports, aliases).join(declared.select("package").distinct(), "package", "left_anti")
+    keys = ["package", *[c for c in ("app",) if c in imports.columns and c in declared.columns]]
+    return detectors._packages(imports, aliases).join(declared.select(*keys).distinct(), keys, "left_anti")
 
 
 def workspace_broken(imports: DataFrame, packages: DataFrame) -> DataFrame:

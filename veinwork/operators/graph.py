@@ -244,9 +244,14 @@ def layer_reachability(edges: DataFrame, layers: DataFrame, local_edges: int | N
     return found if large is None else found.unionByName(distributed_reachability(large))
 
 
-def orphans(files: DataFrame, edges: DataFrame, entry: Column, shipped: Column | None = None) -> DataFrame:
-    """Production files that nothing, or only tests, import: path, kind."""
-    referrers = edges.filter("src <> dst").join(files.select(F.col("id").alias("src"), (F.col("role") == "TEST").alias("test")), "src")
+def orphans(files: DataFrame, edges: DataFrame, entry: Column, shipped: Column | None = None, others: DataFrame | None = None) -> DataFrame:
+    """Production files that nothing, or only tests, refer to: path, kind.
+
+    ``others`` (id, role) are files that only refer; what is in neither, like a
+    manifest, is no test.
+    """
+    roles = files.select("id", "role") if others is None else files.select("id", "role").unionByName(others.select("id", "role"))
+    referrers = edges.filter("src <> dst").join(roles.select(F.col("id").alias("src"), (F.col("role") == "TEST").alias("test")), "src", "left").withColumn("test", F.coalesce("test", F.lit(False)))
     seen = referrers.groupBy(F.col("dst").alias("id")).agg(F.bool_and("test").alias("only_tests"))
     own = files.filter((F.col("role") != "TEST") & ~entry).join(seen, "id", "left")
     alone = F.col("only_tests").isNull()

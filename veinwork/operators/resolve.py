@@ -21,14 +21,18 @@ def _scope(df: DataFrame) -> list[str]:
 
 
 def alias_targets(imports: DataFrame, aliases: DataFrame) -> DataFrame:
-    """id, spec[, app], ord, target: specifiers under all targets of the longest matching alias (prefix, dir, ord), in declared order."""
-    keys = ["id", "spec", *_scope(imports)]
-    met = imports.select(*keys, F.explode(paths.prefixes(F.col("spec"))).alias("prefix")).join(aliases, "prefix")
+    """id, spec[, app[, owner]], ord, target: specifiers under all targets of the longest matching alias (prefix, dir, ord), in declared order.
+
+    Where aliases have an app and the ``owner`` of their configuration, so have imports, and both must be equal.
+    """
+    keys = ["id", "spec", *_scope(imports), *[c for c in ("owner",) if c in imports.columns]]
+    met = imports.select(*keys, F.explode(paths.prefixes(F.col("spec"))).alias("prefix")).join(aliases, ["prefix", *[c for c in ("app", "owner") if c in aliases.columns]])
     longest = F.max(F.struct(F.length("prefix").alias("n"), F.col("prefix").alias("prefix")))
     best = met.groupBy(*keys).agg(longest.alias("best"), F.collect_set(F.struct("prefix", "ord", "dir")).alias("all"))
     each = best.select(*keys, F.col("best.prefix").alias("prefix"), F.explode(F.filter("all", lambda x: x["prefix"] == F.col("best.prefix"))).alias("a"))
     rest = F.substring(F.col("spec"), F.length("prefix") + 1, F.length("spec"))
     star = F.replace(F.col("a.dir"), F.lit("*"), F.regexp_replace(rest, "^/", ""))
+    star = F.when(rest != "", star)
     return each.select(*keys, F.col("a.ord").alias("ord"), F.when(F.col("a.dir").contains("*"), star).otherwise(F.concat("a.dir", rest)).alias("target"))
 
 

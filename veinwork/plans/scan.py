@@ -10,24 +10,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths, roles
-from veinwork.operators import change, detectors, findings, graph, references, resolve, rules
-from veinwork.sources import code
+from veinwork.operators import change, detectors, findings, globjoin, graph, references, resolve, rules, targets
+from veinwork.sources import code, settings
 
 #: Containers whose members are slices of one app, and apps.
 SLICES, APPS = ("features", "modules", "slices", "domains"), ("apps", "services")
 #: The two rules on what a request handler must not import; the second's pattern is inferred from where components live.
 DATABASE, INTERFACE = "AP-001", "AP-002"
+DATABASE_PATTERN = "|".join(f"(?:{p})" for p in references.DATA_LIBRARIES)
 
 
 @dataclass
 class Codebase:
     """Relations of one snapshot.
 
-    files: id, app, path, role, role_confidence, layer, text; imports: id, spec,
-    ord, has_value; edges: src, dst; usage: id, subject, line; declared: package;
-    workspace: name, exports, open.  ``shipped`` says which files a package
-    publishes; ``loaded`` has the paths that a framework loads by where they stand
-(``sources.routes``); ``database`` is the pattern of database libraries.
+    files: id, app, path, role, role_confidence, layer, text; imports: id, app,
+    spec, ord, has_value; edges: src, dst of imports that bind a value; usage:
+    id, subject, line; declared: package[, app]; workspace: name, exports,
+    open[, app].  ``references`` (src, dst, kind) are of any kind, from files
+    of ``referrers`` (id, role) too; ``leaves`` (id, spec, leaf) are the paths
+    that an import ends at beyond files that only re-export; ``aliased`` (id,
+    spec) are imports through an alias, beside those of ``aliases``.
+    ``shipped`` says which files a package publishes; ``loaded`` has the paths
+    that a framework loads by where they stand (``sources.routes``);
+    ``database`` is the pattern of database libraries.
     """
 
     files: DataFrame
@@ -37,18 +43,25 @@ class Codebase:
     declared: DataFrame
     workspace: DataFrame
     aliases: tuple[str, ...] = ()
+    references: DataFrame | None = None
+    referrers: DataFrame | None = None
+    leaves: DataFrame | None = None
+    aliased: DataFrame | None = None
     shipped: Column | None = None
     loaded: DataFrame | None = None
-    database: str | None = "|".join(f"(?:{p})" for p in references.DATA_LIBRARIES)
+    database: str | None = DATABASE_PATTERN
 
     def __post_init__(self) -> None:
         self.production = self.files.filter("role <> 'TEST'")
         ids = self.production.select("id")
         self.own = self.imports.join(ids, "id", "left_semi")
         self.values = self.own.filter("has_value")
+        self.outward = self.values if self.aliased is None else self.values.join(self.aliased, ["id", "spec"], "left_anti")
+        self.ends = self.values if self.leaves is None else self.values.join(self.leaves, ["id", "spec"], "left")
         self.inner = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         self.inner_by_app = self.inner.join(self.files.select(F.col("id").alias("src"), "app"), "src")
-        self.known = self.declared.select("package").unionByName(self.workspace.select(F.col("name").alias("package"))).distinct()
+        scope = [c for c in ("app",) if c in self.declared.columns]
+        self.known = self.declared.select(*scope, "package").unionByName(self.workspace.select(*scope, F.col("name").alias("package"))).distinct()
         self.barrels = self.production.filter(F.col("path").rlike(r"(^|/)index\.tsx?$")).select("id", paths.directory(F.col("path")).alias("dir"))
         self.entry = F.col("role").isin(*roles.FRAMEWORK_ENTRY)
         self.story = F.col("path").rlike(paths.STORY)
@@ -65,22 +78,103 @@ class Codebase:
         folders = [r["segment"] for r in detectors.ui_markers(self.production).collect()]
         return {DATABASE: self.database, INTERFACE: "(^|/)(" + "|".join(re.escape(f) for f in folders) + ")(/|$)" if folders else None}
 
+    def orphans(self) -> DataFrame:
+        """Files that no reference of any kind, or only those of tests, leads to: path, kind."""
+        known = [F.col("path").rlike(p) for p in (paths.ENTRY_FILE, paths.APP_FILE, paths.ROOT_FILE, paths.TOOL_CONFIG, paths.STORY)]
+        entry = F.col("role").isin(*roles.REQUEST_ENTRY, "ROUTE_ENTRY")
+        for more in known:
+            entry = entry | more
+        found = graph.orphans(self.files, self.edges if self.references is None else self.references, entry, self.shipped, self.referrers)
+        return found if self.loaded is None else found.join(self.loaded.select("path").distinct(), "path", "left_anti")
 
-def codebase(tree: DataFrame, aliases: Iterable[tuple[str, str, int]] = (), packages: Iterable[str] = (), workspace: Iterable[tuple[str, list[str], bool]] = (), **more: object) -> Codebase:
-    """Relations of a tree (app, path, text); extraction runs once, its results are kept."""
+    def close(self) -> None:
+        """Give back what was kept in memory for this snapshot."""
+        for df in (self.files, self.imports, self.edges, self.references, self.leaves):
+            if df is not None:
+                df.unpersist()
+
+
+def codebase(
+    tree: DataFrame, aliases: Iterable[tuple[str, str, int]] = (), packages: Iterable[str] = (), workspace: Iterable[tuple[str, list[str], bool]] = (),
+    written: DataFrame | None = None, referrers: DataFrame | None = None, globs: DataFrame | None = None, **more: object,
+) -> Codebase:
+    """Relations of a tree (app, path, text); extraction runs once, its results are kept.
+
+    ``written`` (app, path, text) are the settings of the code bases
+    (``sources.settings``): aliases, packages and workspaces then come from
+    them, each within its app.  ``referrers`` (app, path, text) are files that
+    only refer, ``globs`` (app, path, glob) what files load by pattern.
+    """
     spark, aliases = tree.sparkSession, list(aliases)
-    files = code.classified(tree).withColumn("id", F.xxhash64("app", "path")).withColumn("layer", paths.layer_of(F.col("path"))).persist()
-    raw = code.extract_imports(files).persist()
-    imports = raw.select(F.xxhash64("app", "path").alias("id"), "app", F.col("specifier").alias("spec"), "ord", "has_value", "names", "line")
-    value = imports.filter("has_value")
-    targets = resolve.relative(value, files).withColumn("ord", F.lit(0))
-    if aliases:
-        targets = targets.unionByName(resolve.alias_targets(value, spark.createDataFrame(aliases, "prefix string, dir string, ord int")))
-    edges = resolve.resolved(targets, files).select(F.col("id").alias("src"), "dst").distinct().persist()
-    usage = code.extract_usage(files).select(F.xxhash64("app", "path").alias("id"), "subject", "line")
+    ided = lambda df: df.withColumn("id", F.xxhash64("app", "path"))
+    files = ided(code.classified(tree)).withColumn("layer", paths.layer_of(F.col("path"))).persist()
+    sources = everything = files.select("app", "id", "path", "text")
+    others = None
+    if referrers is not None:
+        role = roles.classify(paths.as_typescript(F.col("path")), F.lit(False))["role"]
+        others = ided(referrers.select("app", "path", "text")).withColumn("role", role)
+        everything = everything.unionByName(others.select("app", "id", "path", "text"))
+    raw = code.extract_imports(everything)
+    imports = ided(raw).select("id", "app", F.col("specifier").alias("spec"), "ord", "has_value", "names", "line", "reexport", "dynamic", "require", paths.without_query(F.col("specifier")).alias("bare")).persist()
+    asked = imports.select("app", "id", F.col("bare").alias("spec")).distinct()
+    configs = ided(code.string_literals(everything.filter(F.col("path").rlike(paths.TOOL_CONFIG))))
+    named = F.regexp_replace("literal", "^<rootDir>/", "./")
+    literals = configs.select("app", "id", F.when(named.startswith("."), named).otherwise(F.concat(F.lit("./"), named)).alias("spec"))
+    importers, platforms, aliased, described = everything.select("app", "id", "path"), None, None, None
+    if written is None:
+        declared = spark.createDataFrame([(p,) for p in packages], "package string")
+        members = spark.createDataFrame(list(workspace), "name string, exports array<string>, open boolean")
+        found = resolve.relative(asked, importers).withColumns({"source": F.lit(0), "ord": F.lit(0)})
+        if aliases:
+            mapped = resolve.alias_targets(asked, spark.createDataFrame(aliases, "prefix string, dir string, ord int"))
+            found = found.unionByName(mapped.withColumn("source", F.lit(0)))
+    else:
+        described = graph.kept(settings.manifests(written))
+        owned = graph.kept(settings.config_aliases(written, files))
+        packaged = graph.kept(settings.workspace_packages(written, described))
+        exports, hashes = settings.subpath_rows(described, "exports"), settings.subpath_rows(described, "imports")
+        exports = exports.join(packaged.select("app", "dir"), ["app", "dir"], "left_semi")
+        # a manifest refers to what each of its keys, and its own name, stands for
+        manifest = packaged.select("app", "name", "dir", F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), F.lit(settings.MANIFEST)).alias("path"))
+        keyed = exports.filter("size(targets) > 0").join(manifest, ["app", "dir"]).select("app", "path", F.concat("name", F.substring(F.col("key"), F.lit(2), F.length("key"))).alias("spec"))
+        kept_by = ided(keyed.unionByName(manifest.select("app", "path", F.col("name").alias("spec"))))
+        importers = importers.unionByName(ided(manifest.select("app", "path").distinct()).select("app", "id", "path"))
+        asked = asked.unionByName(kept_by.select("app", "id", "spec"))
+        found = targets.candidates(asked, importers, owned, described.select("app", "dir"), hashes, packaged, exports)
+        by_folder = settings.platforms(described)
+        platforms = targets.owned(everything, by_folder).join(everything.select("id", "app"), "id").join(by_folder, ["app", "dir"]).filter("size(platforms) > 0").select("id", "platforms")
+        at = targets.owned(importers, owned.select("app", F.col("owner").alias("dir"))).withColumnRenamed("dir", "owner")
+        aliased = resolve.alias_targets(imports.select("app", "id", "spec").distinct().filter("NOT startswith(spec, '.')").join(at, "id"), owned.filter("prefix IS NOT NULL")).select("id", "spec").distinct()
+        declared = described.select("app", F.explode("declared").alias("package")).distinct()
+        keys = exports.groupBy("app", "dir").agg(F.collect_list("key").alias("exports"))
+        members = packaged.join(keys, ["app", "dir"], "left").select("app", "name", F.coalesce("exports", F.array().cast("array<string>")).alias("exports"), (~F.col("closed")).alias("open"))
+    # imports of all kinds and the literals of tool configurations meet the files once
+    literal = resolve.relative(literals, importers).withColumns({"source": F.lit(0), "ord": F.lit(0)}).withColumn("id", F.col("id"))
+    columns = ["app", "id", "spec", "source", "ord", "target"]
+    hits = graph.kept(targets.first_hits(found.select(*columns).unionByName(literal.select(*columns)).filter("target IS NOT NULL").distinct(), sources, platforms))
+    meets = imports.withColumnRenamed("spec", "specifier").join(hits.withColumnRenamed("spec", "bare"), ["app", "id", "bare"])
+    plain = meets.filter("platform = ''")
+    edges = plain.filter("has_value").select(F.col("id").alias("src"), "dst").distinct().persist()
+    kind = F.when(F.col("platform") != "", "platform").when(~F.col("has_value"), "type").when(F.col("reexport"), "reexport").when(F.col("dynamic"), "dynamic").when(F.col("require"), "require").otherwise("import")
+    of = lambda df, named: df.select(F.col("id").alias("src"), "dst", F.lit(named).alias("kind"))
+    parts = [meets.select(F.col("id").alias("src"), "dst", kind.alias("kind")), of(hits.join(literals.distinct(), ["app", "id", "spec"]), "config")]
+    if written is not None:
+        parts.append(of(hits.join(kept_by.distinct(), ["app", "id", "spec"]), "manifest"))
+    if globs is not None:
+        parts.append(of(globjoin.loaded(ided(globs), sources), "loader"))
+    refers = parts[0]
+    for part in parts[1:]:
+        refers = refers.unionByName(part)
+    refers = refers.filter("src <> dst").distinct().persist()
+    passing = ided(code.barrels(raw, tree)).select("id")
+    leafs = graph.leaf_files(plain.filter("reexport AND has_value").select(F.col("id").alias("src"), "dst"), passing)
+    ends = plain.filter("has_value").select("id", F.col("specifier").alias("spec"), "dst").distinct()
+    beyond = ends.join(leafs.withColumnRenamed("barrel", "dst"), "dst").select("id", "spec", F.col("leaf").alias("dst"))
+    direct = ends.join(passing.withColumnRenamed("id", "dst"), "dst", "left_anti").select("id", "spec", "dst")
+    leaves = direct.unionByName(beyond).join(sources.select(F.col("id").alias("dst"), F.col("path").alias("leaf")), "dst").select("id", "spec", "leaf").distinct().persist()
+    usage = ided(code.extract_usage(files)).select("id", "subject", "line")
     return Codebase(
-        files, imports, edges, usage, spark.createDataFrame([(p,) for p in packages], "package string"),
-        spark.createDataFrame(list(workspace), "name string, exports array<string>, open boolean"), tuple(a[0] for a in aliases), **more,
+        files, imports, edges, usage, declared, members, tuple(a[0] for a in aliases), refers, None if others is None else others.select("id", "role"), leaves, aliased, **more,
     )
 
 
@@ -88,7 +182,7 @@ def families(c: Codebase, patterns: dict[str, str | None] | None = None) -> dict
     """What each family of rules with a gate measures.  Production files are what is not a test."""
     patterns = c.patterns() if patterns is None else patterns
     return {
-        "forbidden-imports": detectors.forbidden_imports(c.production, c.values, patterns),
+        "forbidden-imports": detectors.forbidden_imports(c.production, c.ends, patterns),
         "layer": detectors.layer_boundaries(c.production, c.inner),
         "role-layering": detectors.role_layering(c.production, c.inner),
         "public-api": detectors.public_api(c.production, c.inner, c.barrels),
@@ -96,8 +190,8 @@ def families(c: Codebase, patterns: dict[str, str | None] | None = None) -> dict
         "app-isolation": detectors.sibling_isolation(detectors.members_of(c.production, APPS), c.inner),
         "cycles": findings.cycles_gate(c.production, graph.cyclic_nodes(c.inner_by_app)),
         "test-isolation": detectors.test_isolation(c.files, c.edges),
-        "dependency-hygiene": detectors.package_hygiene(c.values, c.aliases),
-        "phantom-deps": detectors.phantom_dependencies(c.values, c.known, c.aliases),
+        "dependency-hygiene": detectors.package_hygiene(c.outward, c.aliases),
+        "phantom-deps": detectors.phantom_dependencies(c.outward, c.known, c.aliases),
         "entry-purity": detectors.entry_purity(c.production, c.inner, c.entry),
         "import-style": detectors.import_style(c.own),
         "console-isolation": detectors.usage_isolation(c.files, c.using("console"), (F.col("role") != "TEST") & ~F.col("path").rlike(paths.CLI_PATH), False),
@@ -120,7 +214,7 @@ def broken(c: Codebase, patterns: dict[str, str | None] | None = None) -> DataFr
     client = c.clients().filter(F.coalesce("client", F.lit(False))).select("id")
     quiet = lambda usage, skipped: usage.join(own.filter(~F.col("path").rlike(skipped)).select("id"), "id", "left_semi")
     parts = [
-        findings.import_findings("forbidden-imports", detectors.forbidden_occurrences(own, c.values, patterns), files, F.col("rule_id")),
+        findings.import_findings("forbidden-imports", detectors.forbidden_occurrences(own, c.ends, patterns), files, F.col("rule_id")),
         findings.boundary_findings("layer", detectors.layer_boundaries(own, inner), inner, own, "layer"),
         findings.boundary_findings("role-layering", detectors.role_layering(own, inner), inner, own, "role"),
         findings.public_api_findings(own, inner, c.barrels),
@@ -128,8 +222,8 @@ def broken(c: Codebase, patterns: dict[str, str | None] | None = None) -> DataFr
         findings.sibling_findings("app-isolation", detectors.members_of(own, APPS), inner, own),
         findings.cycle_findings(c.inner_by_app, own),
         findings.target_findings("test-isolation", c.edges.join(tests, "dst", "left_semi").join(own.select(F.col("id").alias("src")), "src", "left_semi"), files),
-        findings.import_findings("dependency-hygiene", findings.packages_broken(c.values, c.aliases), files),
-        findings.import_findings("phantom-deps", findings.packages_undeclared(c.values, c.known, c.aliases), files),
+        findings.import_findings("dependency-hygiene", findings.packages_broken(c.outward, c.aliases), files),
+        findings.import_findings("phantom-deps", findings.packages_undeclared(c.outward, c.known, c.aliases), files),
         findings.target_findings("entry-purity", importing(c.entry), files),
         findings.import_findings("import-style", c.own.filter(F.col("spec").startswith(".") & F.col("spec").rlike(paths.DEEP_RELATIVE)), files),
         findings.usage_findings("console-isolation", quiet(c.using("console"), paths.CLI_PATH), files),
@@ -161,10 +255,9 @@ def summary(c: Codebase, cap: int = 10) -> DataFrame:
 def scan(tree: DataFrame, aliases: Iterable[tuple[str, str, int]] = (), packages: Iterable[str] = (), workspace: Iterable[tuple[str, list[str], bool]] = (), **more: object) -> dict[str, DataFrame]:
     """Results by family, and what has no gate: orphans, reachability, markers."""
     c = codebase(tree, aliases, packages, workspace, **more)
-    entry = F.col("role").isin(*roles.REQUEST_ENTRY, "ROUTE_ENTRY") | F.col("path").rlike(paths.ENTRY_FILE) | c.story
     return {
         **families(c),
-        "orphans": graph.orphans(c.files, c.edges, entry, c.shipped) if c.loaded is None else graph.orphans(c.files, c.edges, entry, c.shipped).join(c.loaded.select("path").distinct(), "path", "left_anti"),
+        "orphans": c.orphans(),
         "reachability": graph.layer_reachability(c.inner_by_app, c.files.select("app", F.col("id").alias("node"), "layer").filter("layer IS NOT NULL")),
         "markers": detectors.ui_markers(c.production),
     }

@@ -31,11 +31,16 @@ _CALL = re.compile(r"(?<![\w$.])(import|require)\s*\(\s*" + _STRING + r"\s*[,)]"
 
 def read_tree(spark: SparkSession, root: str, app: str = "app") -> DataFrame:
     """(app, path, text) of the source files below ``root``; skipped folders and declarations are left out."""
+    return read_files(spark, root, app).filter(paths.is_source(F.col("path")))
+
+
+def read_files(spark: SparkSession, root: str, app: str = "app") -> DataFrame:
+    """(app, path, text) of all files below ``root`` outside of skipped folders; an ignore file at the root counts as one of them."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
     named = raw.select(F.lit(app).alias("app"), path.alias("path"), F.col("content").cast("string").alias("text"))
-    return named.filter(paths.is_source(F.col("path")) & ~paths.is_skipped(F.col("path")))
+    return named.filter(~paths.is_skipped(F.col("path")))
 
 
 def ignore_patterns(text: str) -> list[tuple[str, bool]]:
