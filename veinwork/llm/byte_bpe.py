@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veinwork.llm.pieces import PieceCache, split
 from veinwork.llm.textbatch import ragged, runs, texts
-from veinwork.llm.workspace import small_batches, sparing
+from veinwork.llm.workspace import rested, small_batches, sparing
 
 _NONE = np.int32(1 << 30)
 _WIDEST = 64
@@ -263,5 +263,6 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_table(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the ids of every document that is left."""
+    rested(spark)
     small_batches(spark)
     return encode_documents(docs, _public_path(), with_ids=False)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinwork.llm.textbatch import SHINGLE, _STEP, mix, ragged, runs, texts, word_hashes
-from veinwork.llm.workspace import small_batches, sparing
+from veinwork.llm.workspace import rested, small_batches, sparing
 
 RADIUS = 3
 SIMILARITY = 0.8
@@ -296,5 +296,6 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go."""
+    rested(spark)
     small_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinwork.llm.workspace import kept_rows, partitions, shared_folder, written
+from veinwork.llm.workspace import kept_rows, partitions, rested, shared_folder, written
 
 SALTS = 64
 
@@ -158,6 +158,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts one row stays, of those with the largest doc_id."""
+    rested(spark)
     found = _once(docs).groupBy("doc_id", F.xxhash64("text_sha256").alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.bool_or("kept").alias("kept"))
     decided = written(found, f"{shared_folder(spark)}/decided")
     return kept_rows(docs, {"doc_id": F.col("doc_id").cast("long"), "digest": F.xxhash64(digest(F.col("text")))}, decided)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veinwork.llm.textbatch import runs, texts
-from veinwork.llm.workspace import released, small_batches
+from veinwork.llm.workspace import released, rested, small_batches
 
 DOCS_PER_LANGUAGE = 300
 MAX_TEXT = 1 << 16
@@ -225,5 +225,6 @@ def known(docs: DataFrame, trees: ContextTrees | None, text_col: str = "text", l
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without letters, or in none of the learned languages, go."""
+    rested(spark)
     small_batches(spark)
     return known(docs, train(docs))

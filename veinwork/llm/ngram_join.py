@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from veinwork.llm.components import components
 from veinwork.llm.textbatch import mix, runs, shingles, texts, word_hashes
-from veinwork.llm.workspace import from_files, kept_rows, partitions, released, shared_folder, written
+from veinwork.llm.workspace import from_files, kept_rows, partitions, released, rested, shared_folder, written
 
 TOKEN_BITS = 56
 #: Shingles and documents of a block of texts.
@@ -509,6 +509,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, of those with the smallest doc_id; repeated rows leave one."""
+    rested(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     folder = shared_folder(spark)
     rows = grouped(docs)[0].groupBy("doc", "digest").agg(F.min("group").alias("group"), F.count(F.lit(1)).alias("copies"))

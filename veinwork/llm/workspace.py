@@ -118,6 +118,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, f"{BATCH_MB}m")
 
 
+def rested(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that heap which an earlier stage filled goes back to the system before the next one's workers start.
+
+    A heap grows to its limit before it is collected in full, and keeps what it
+    has: without this, a stage finds the executor's memory taken by what no one
+    uses.  One small task a slot; an executor that none reaches keeps its garbage.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def sparing(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``rows`` for ``mapInArrow``, which gives free memory back when the task ends."""
 
