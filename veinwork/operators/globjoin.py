@@ -16,9 +16,10 @@ from veinwork.functions import paths
 
 
 def pattern(glob: Column) -> Column:
-    """A glob as a regular expression of whole paths, as ``paths.glob_regex`` makes it, without character classes."""
+    """A glob as a regular expression of whole paths, as ``paths.glob_regex`` makes it."""
     # a placeholder for each wildcard, so that the rest can be quoted
     marked = F.regexp_replace(glob, r"^\./", "")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\[!([^\]/*?]+)\]", "\u0007\u0008$1\u000e"), r"\[([^\]/*?]+)\]", "\u0007$1\u000e")
     marked = F.regexp_replace(marked, r"(?<![^/])\*\*/", "\u0001")
     marked = F.regexp_replace(marked, r"(?<![^/\u0001])\*\*$", "\u0002")
     marked = F.regexp_replace(marked, r"\*+", "\u0003")
@@ -27,7 +28,7 @@ def pattern(glob: Column) -> Column:
     braces = F.regexp_replace(F.regexp_replace(quoted, r"\{([^{}]*)\}", "\u0005$1\u0006"), r"[{}]", r"\\$0")
     # commas are alternatives inside braces only
     out = F.array_join(F.transform(F.split(braces, "\u0006"), lambda part: F.concat(F.substring_index(part, "\u0005", 1), F.when(F.instr(part, "\u0005") > 0, F.concat(F.lit("(?:"), F.replace(F.substring_index(part, "\u0005", -1), F.lit(","), F.lit("|")), F.lit(")"))).otherwise(""))), "")
-    for mark, regex in (("\u0001", "(?:[^/]+/)*"), ("\u0002", ".*"), ("\u0003", "[^/]*"), ("\u0004", "[^/]")):
+    for mark, regex in (("\u0001", "(?:[^/]+/)*"), ("\u0002", ".*"), ("\u0003", "[^/]*"), ("\u0004", "[^/]"), ("\u0007", "["), ("\u0008", "^"), ("\u000e", "]")):
         out = F.replace(out, F.lit(mark), F.lit(regex))
     return F.concat(F.lit("^"), out, F.lit("$"))
 
@@ -43,14 +44,21 @@ def _keys(glob: Column) -> tuple[Column, Column]:
 
 
 def matches(globs: DataFrame, files: DataFrame) -> DataFrame:
-    """(columns of globs, id, path): files (app, id, path) that a glob (app, glob, ...) names, within their app."""
+    """(columns of globs, id, path): files (app, id, path) that a glob (app, glob, ...) names, within their app.
+
+    Where globs have a ``base``, a folder, they are below it.
+    """
     folder, tail = _keys(F.col("glob"))
+    based = "base" in globs.columns
+    if based:
+        folder = F.when(F.col("base") == "", folder).when(folder == "", F.col("base")).otherwise(F.concat("base", F.lit("/"), folder))
     own = globs.withColumns({"folder": folder, "tail": tail, "pattern": pattern(F.col("glob"))})
     ending = F.concat(F.lit("*"), F.regexp_extract("path", r"(\.[^./]+)$", 1))
     tails = F.array_distinct(F.array(F.substring_index("path", "/", -1), ending, F.lit("*")))
     keyed = files.select("app", "id", "path", F.explode(tails).alias("tail")).withColumn("folder", F.explode(paths.ancestors(F.col("path"))))
     met = own.join(keyed, ["app", "folder", "tail"]).select(*globs.columns, "id", "path", "pattern")
-    return met.filter(F.expr("path RLIKE pattern")).drop("pattern")
+    inside = "substring(path, if(base = '', 1, length(base) + 2))" if based else "path"
+    return met.filter(F.expr(f"{inside} RLIKE pattern")).drop("pattern")
 
 
 def loaded(globs: DataFrame, files: DataFrame) -> DataFrame:

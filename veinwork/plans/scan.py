@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths, roles
-from veinwork.operators import change, detectors, findings, globjoin, graph, references, resolve, rules, targets
+from veinwork.operators import change, detectors, findings, globjoin, graph, pathrules, references, resolve, rules, targets
 from veinwork.sources import code, settings
 
 #: Containers whose members are slices of one app, and apps.
@@ -107,6 +107,8 @@ def codebase(
     """
     spark, aliases = tree.sparkSession, list(aliases)
     ided = lambda df: df.withColumn("id", F.xxhash64("app", "path"))
+    if written is not None:
+        tree = pathrules.not_ignored(ided(tree), written).drop("id")
     files = ided(code.classified(tree)).withColumn("layer", paths.layer_of(F.col("path"))).persist()
     sources = everything = files.select("app", "id", "path", "text")
     others = None
@@ -140,6 +142,10 @@ def codebase(
         kept_by = ided(keyed.unionByName(manifest.select("app", "path", F.col("name").alias("spec"))))
         importers = importers.unionByName(ided(manifest.select("app", "path").distinct()).select("app", "id", "path"))
         asked = asked.unionByName(kept_by.select("app", "id", "spec"))
+        if "shipped" not in more:
+            packed = pathrules.shipped_files(files.select("app", "id", "path"), written, described).withColumn("shipped", F.lit(True))
+            files = files.join(packed, "id", "left").withColumn("shipped", F.coalesce("shipped", F.lit(False))).persist()
+            more["shipped"] = F.col("shipped")
         found = targets.candidates(asked, importers, owned, described.select("app", "dir"), hashes, packaged, exports)
         by_folder = settings.platforms(described)
         platforms = targets.owned(everything, by_folder).join(everything.select("id", "app"), "id").join(by_folder, ["app", "dir"]).filter("size(platforms) > 0").select("id", "platforms")

@@ -23,7 +23,8 @@ CONFIGURATION, MANIFEST, PNPM, PNPM_LOCK = "tsconfig.json", "package.json", "pnp
 CONFIG_SCHEMA = "app string, path string, dir string, base string, keys array<struct<key:string,target:string>>, extends array<string>, references array<string>"
 MANIFEST_SCHEMA = (
     "app string, dir string, name string, declared array<string>, entry array<string>, exports array<struct<key:string,targets:array<string>>>, "
-    "imports array<struct<key:string,targets:array<string>>>, workspaces array<string>, pnpm boolean, closed boolean"
+    "imports array<struct<key:string,targets:array<string>>>, workspaces array<string>, pnpm boolean, closed boolean, "
+    "files array<string>, private boolean, publishes boolean, elsewhere boolean"
 )
 _DECLARED = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
 
@@ -174,6 +175,8 @@ def _manifest(path: str, text: str) -> tuple:
         _keys(exports, folder, lambda k: k.startswith("./")), _keys(found.get("imports"), folder, lambda k: k.startswith("#") and k != "#"),
         [g for g in workspace_globs(text) if isinstance(g, str)] if globs is not None else None,
         isinstance(found.get("packageManager"), str) and found["packageManager"].startswith("pnpm@"), exports is not None,
+        [f for f in listed if isinstance(f, str)] if isinstance(listed := found.get("files"), list) else None, bool(found.get("private")),
+        "publishConfig" in found, isinstance(found.get("publishConfig"), dict) and "directory" in found["publishConfig"],
     )
 
 
