@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from veinwork.plans import catalog
+from veinwork.plans import catalog, resolution  # noqa: F401  (registers its queries)
 
 DATA = "/root/testdata/sf0.001"
 
