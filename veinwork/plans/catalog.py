@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veinwork.functions import paths, prose, roles
 from veinwork.functions.stats import gate, gate_sql, wilson_sql
-from veinwork.operators import change, detectors, emit, findings, graph, references, resolve, rules
+from veinwork.operators import change, detectors, emit, findings, graph, pathrules, references, resolve, rules
 from veinwork.plans import scan as plan
 from veinwork.sources import bridge
 
@@ -299,10 +299,12 @@ def import_evidence(spark: SparkSession, d: str) -> DataFrame:
     return detectors.first_evidence(bridge.files(spark, d), bridge.imports(spark, d), "^@scope/")
 
 
-@query(f"SELECT n, v, role, {gate_sql('n', 'v', 'role')} FROM (SELECT i * 5 AS n, j AS v, k / 10.0::DOUBLE AS role FROM range(41) a(i), range(6) b(j), range(4, 11) c(k) WHERE j <= i * 5)")
+@query(f"SELECT supplier, line, n, v, role, {gate_sql('n', 'v', 'role')} FROM (SELECT l_suppkey AS supplier, l_linenumber AS line, count(*) AS n, count(*) FILTER (l_quantity < 2 + l_suppkey % 5) AS v, (l_suppkey % 7 + 4) / 10.0::DOUBLE AS role FROM lineitem GROUP BY ALL)")
 def gate_matrix(spark: SparkSession, d: str) -> DataFrame:
-    grid = spark.range(41).select((F.col("id") * 5).alias("n")).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("k", F.explode(F.sequence(F.lit(4), F.lit(10))))
-    grid = grid.filter("v <= n").select("n", F.col("v").cast("long").alias("v"), (F.col("k") / 10.0).cast("double").alias("role"))
+    """The gate of a population for each supplier and line number, of many sizes, violations and confidences."""
+    line = bridge.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("line"), "l_quantity")
+    few = F.col("l_quantity") < 2 + F.col("supplier") % 5
+    grid = line.groupBy("supplier", "line").agg(F.count(F.lit(1)).alias("n"), F.count_if(few).alias("v")).withColumn("role", ((F.col("supplier") % 7 + 4) / 10.0).cast("double"))
     return grid.withColumns(gate(F.col("n"), F.col("v"), F.col("role")))
 
 
@@ -710,10 +712,10 @@ def renamed_findings(spark: SparkSession, d: str) -> DataFrame:
     return change.renamed(found, spark.createDataFrame([("f5", "f7"), ("f6", "f9999")], "from string, to string"))
 
 
-@query(_with("SELECT rule_id, file, CASE WHEN count(DISTINCT line) = 1 THEN min(line) END AS at FROM head WHERE line % 7 = 0 GROUP BY 1, 2"))
+@query(_with("SELECT rule_id, file, 's' || (line % 7) AS subject, CASE WHEN count(DISTINCT line) = 1 THEN min(line) END AS at FROM head GROUP BY 1, 2, 3"))
 def located_findings(spark: SparkSession, d: str) -> DataFrame:
-    lines = bridge.snapshot(spark, d, 1).filter("line % 7 = 0").withColumn("subject", F.lit("s"))
-    return change.located(lines.select("rule_id", "file", "subject").distinct(), lines).select("rule_id", "file", "at")
+    lines = bridge.snapshot(spark, d, 1).withColumn("subject", F.concat(F.lit("s"), (F.col("line") % 7).cast("string")))
+    return change.located(lines.select("rule_id", "file", "subject").distinct(), lines).select("rule_id", "file", "subject", "at")
 
 
 @query(_with("SELECT rule, exception FROM (SELECT rule_id AS rule, file AS exception, max((s = 0)::INT) AS rec, max((s = 1)::INT) AS cur FROM (SELECT rule_id, file, 0 AS s FROM base WHERE line % 3 = 0 UNION ALL SELECT rule_id, file, 1 FROM head WHERE line % 3 = 1) WHERE rule_id IN ('view', 'click') GROUP BY 1, 2) WHERE cur = 1 AND rule IN (SELECT rule FROM (SELECT rule_id AS rule, file, max((s = 0)::INT) AS rec, max((s = 1)::INT) AS cur FROM (SELECT rule_id, file, 0 AS s FROM base WHERE line % 3 = 0 UNION ALL SELECT rule_id, file, 1 FROM head WHERE line % 3 = 1) GROUP BY 1, 2) WHERE rec <> cur)"))
@@ -795,11 +797,14 @@ def selected_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules.selected(found, only=["import-style", "test-isolation"], removed=["test-isolation"], structural=["layer"], enforcers={"layer": "linter", "import-style": "checker"})
 
 
-@query("WITH RECURSIVE hop AS (SELECT DISTINCT l_partkey % 200 AS src, (l_partkey * 7 + l_suppkey) % 400 AS dst FROM lineitem WHERE l_linenumber = 5 AND l_quantity < 3), r AS (SELECT src AS barrel, dst AS leaf FROM hop UNION SELECT r.barrel, hop.dst FROM r JOIN hop ON hop.src = r.leaf) SELECT barrel, leaf FROM r WHERE leaf >= 200")
+@query("WITH RECURSIVE hop AS (SELECT p_partkey // 2 AS src, p_partkey AS dst FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey // 4 FROM part WHERE p_partkey % 17 = 0 AND p_partkey >= 4), bar AS (SELECT DISTINCT p_partkey // 2 AS id FROM part WHERE p_partkey > 1), r AS (SELECT src AS barrel, dst AS leaf FROM hop JOIN bar ON id = src UNION SELECT r.barrel, hop.dst FROM r JOIN hop ON hop.src = r.leaf) SELECT barrel, leaf FROM r WHERE leaf NOT IN (SELECT id FROM bar)")
 def barrel_leaves(spark: SparkSession, d: str) -> DataFrame:
-    line = bridge.table(spark, d, "lineitem").filter("l_linenumber = 5 AND l_quantity < 3")
-    hops = line.select((F.col("l_partkey") % 200).alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 400).alias("dst"))
-    return graph.leaf_files(hops, spark.range(200).select("id"))
+    """Parts re-export the two parts of twice their number, and some one further up, so that there are circles."""
+    key = F.col("p_partkey")
+    part = bridge.table(spark, d, "part").select("p_partkey")
+    down = part.filter(key > 1).select(F.floor(key / 2).cast("long").alias("src"), key.alias("dst"))
+    back = part.filter((key % 17 == 0) & (key >= 4)).select(key.alias("src"), F.floor(key / 4).cast("long").alias("dst"))
+    return graph.leaf_files(down.unionByName(back), down.select(F.col("src").alias("id")).distinct())
 
 
 @query(_with("SELECT 'src/' || layer AS dir, count(*) AS n FROM files GROUP BY 1 HAVING count(*) >= 25 OR (SELECT max(n) FROM (SELECT count(*) AS n FROM files GROUP BY layer)) < 25"))
@@ -814,17 +819,22 @@ def loaded_files(spark: SparkSession, d: str) -> DataFrame:
     return resolve.matched_loaders(files, [("stories", "src/**/*.stories.tsx")]).unionByName(references.computed_targets(files, [("one", ["src/promo/", None, "/p1", None, ".ts"])]))
 
 
-@query(_with("SELECT 'pkg' || (id % 3) AS package, path FROM files WHERE path LIKE '%.ts' AND path NOT LIKE '%.%.ts' AND id % 3 < 2"))
+@query(_with("SELECT 'pkg' || (id % 3) AS package, path FROM files WHERE path LIKE '%.ts' AND path NOT LIKE '%.%.ts'"))
 def published_entries(spark: SparkSession, d: str) -> DataFrame:
     files = bridge.files(spark, d)
-    plain = files.filter("path LIKE '%.ts' AND path NOT LIKE '%.%.ts' AND id % 3 < 2")
+    plain = files.filter("path LIKE '%.ts' AND path NOT LIKE '%.%.ts'")
     built = plain.select(F.concat(F.lit("pkg"), (F.col("id") % 3).cast("string")).alias("package"), F.concat(F.lit("./dist/"), F.regexp_replace(F.expr("substring(path, 5)"), r"\.ts$", ".d.ts")).alias("target"))
     return references.package_entries(files, references.entry_candidates(built, "dist", "src"))
 
 
-@query(_with("SELECT path, path LIKE 'src/promo/%' AS shipped FROM files"))
+@query(_with("SELECT path, (path LIKE 'src/promo/%' AND path NOT LIKE '%.test.ts') OR (path LIKE 'src/%/brand-11/%' AND path NOT LIKE 'src/promo/%' AND path NOT LIKE '%.tsx') AS shipped FROM files"))
 def shipped_files(spark: SparkSession, d: str) -> DataFrame:
-    return references.published(bridge.files(spark, d), ["src/promo"], F.lit(False))
+    """What a package's list names, with what later entries take away again; the last that matches decides."""
+    listed = ["*", "!SRC/promo", "!SRC/promo/**", "!src/*/brand-11/**", "src/**/*.test.ts", "src/**/*.tsx", "!src/promo/**/*.tsx", "!src/*/brand-11/*.test.ts", "src/promo/**/*.test.ts"]
+    files = bridge.files(spark, d).select(F.lit("app").alias("app"), "id", "path")
+    lines = files.limit(1).select("app", F.lit("").alias("dir"), F.posexplode(F.array(*[F.lit(x) for x in listed])).alias("line", "text"))
+    out = pathrules.left_out(files, lines, partial=True, nocase=True).select("id", F.lit(False).alias("shipped"))
+    return files.join(out, "id", "left").select("path", F.coalesce("shipped", F.lit(True)).alias("shipped"))
 
 
 @query(_with("SELECT path FROM files WHERE id % 11 = 0 OR (id % 7 = 0 AND id IN (SELECT id FROM imports WHERE spec LIKE 'pkg%'))"))
@@ -834,10 +844,10 @@ def client_files(spark: SparkSession, d: str) -> DataFrame:
     return references.data_clients(code, imports)
 
 
-@query(_with("SELECT id, '#own' AS spec, 'src/' || layer AS dir FROM files WHERE id % 4 = 0"))
+@query(_with("SELECT id, '#own' AS spec, 'src/' || layer AS dir FROM files"))
 def scoped_specifiers(spark: SparkSession, d: str) -> DataFrame:
     files = bridge.files(spark, d)
-    own = files.filter("id % 4 = 0").select("id", F.lit("#own").alias("spec"))
+    own = files.select("id", F.lit("#own").alias("spec"))
     return references.scoped_imports(own.unionByName(own.withColumn("spec", F.lit("plain"))), files, files.select(F.concat(F.lit("src/"), "layer").alias("dir")).distinct())
 
 
@@ -848,9 +858,9 @@ def platform_targets(spark: SparkSession, d: str) -> DataFrame:
     return references.platform_file(targets, files, "ios", True)
 
 
-@query("WITH s AS (" + ORACLE_SQL["context_sentences"] + "), h AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 0), b AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 1), q AS (SELECT DISTINCT substr(text, 3, 14) AS statement FROM s WHERE conv_id % 10 = 0 AND length(text) >= 20) SELECT doc, text FROM h WHERE (doc, text) NOT IN (SELECT (doc, text) FROM b) AND NOT EXISTS (SELECT 1 FROM q WHERE contains(h.text, q.statement) OR contains(q.statement, h.text))")
+@query("WITH s AS (" + ORACLE_SQL["context_sentences"] + "), h AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 0), b AS (SELECT DISTINCT conv_id AS doc, text FROM s WHERE turn % 2 = 1), q AS (SELECT DISTINCT substr(text, 3, 14) AS statement FROM s WHERE turn % 2 = 1 AND length(text) >= 20) SELECT doc, text FROM h WHERE (doc, text) NOT IN (SELECT (doc, text) FROM b) AND NOT EXISTS (SELECT 1 FROM q WHERE contains(h.text, q.statement) OR contains(q.statement, h.text))")
 def unchecked_context(spark: SparkSession, d: str) -> DataFrame:
     rows = context_sentences(spark, d)
     of = lambda rest: rows.filter(f"turn % 2 = {rest}").select(F.col("conv_id").alias("doc"), "text").distinct()
-    quoted = rows.filter("conv_id % 10 = 0 AND length(text) >= 20").select(F.substring("text", 3, 14).alias("statement"))
+    quoted = rows.filter("turn % 2 = 1 AND length(text) >= 20").select(F.substring("text", 3, 14).alias("statement"))
     return change.unchecked_sentences(of(0), of(1), quoted)
