@@ -22,19 +22,18 @@ def named_edges(c, df):
 
 def test_references_of_any_kind_keep_files_alive(spark):
     tree = tree_of(spark, {
-        "src/a.ts": "import type { T } from './type'\nimport raw from './raw?raw'\nexport { x } from './again'\nconst l = import('./lazy')\nrequire('./old')\nimport { v } from './value.js'",
+        "src/a.ts": "import type { T } from './type'\nimport raw from './raw?raw'\nexport { x } from './again'\nconst l = import('./lazy')\nrequire('./old')\nimport { v } from './value.js'\nconst p = import.meta.glob(['./l/*.ts', '!./l/no*'])\n// import.meta.glob('./**')",
         "src/type.ts": "import './a'", "src/raw.ts": "", "src/again.ts": "", "src/lazy.ts": "", "src/old.ts": "", "src/value.ts": "", "src/setup.ts": "", "src/page.ts": "",
-        "src/tested.ts": "", "src/tested.test.ts": "import './tested'", "src/nobody.ts": "import './nobody'", "src/byjs.ts": "", "src/bytestjs.ts": "", "src/l/one.ts": "", "src/l/two.ts": "",
+        "src/tested.ts": "", "src/tested.test.ts": "import './tested'", "src/nobody.ts": "import './nobody'", "src/byjs.ts": "", "src/bytestjs.ts": "", "src/l/one.ts": "", "src/l/two.ts": "", "src/l/no.ts": "", "src/c/d/in.ts": "require.context('../e', true, /\\.\\/k[^/]*$/)", "src/c/e/k1.ts": "", "src/c/e/f/k2.ts": "", "src/c/e/m.ts": "import '../d/in'",
     })
     others = tree_of(spark, {"vitest.config.mjs": "export default { setupFiles: ['<rootDir>/src/setup.ts', 'src/page.ts', 'nothing'] }", "tools/x.js": "import '../src/byjs'", "tools/x.test.js": "require('../src/bytestjs')"})
-    globs = spark.createDataFrame([("app", "src/a.ts", "./l/*.ts")], "app string, path string, glob string")
-    c = plan.codebase(tree, referrers=others, globs=globs)
+    c = plan.codebase(tree, referrers=others)
     kinds = {(a, b): k for a, b, k in named_edges(c, c.references)}
     a = "src/a.ts"
     assert {b: k for (x, b), k in kinds.items() if x == a} == {"src/type.ts": "type", "src/raw.ts": "import", "src/again.ts": "reexport", "src/lazy.ts": "dynamic", "src/old.ts": "require", "src/value.ts": "import", "src/l/one.ts": "loader", "src/l/two.ts": "loader"}
     assert kinds[None, "src/setup.ts"] == kinds[None, "src/page.ts"] == "config"
     assert (a, "src/type.ts") not in named_edges(c, c.edges) and (a, "src/raw.ts") in named_edges(c, c.edges)
-    assert sorted(map(tuple, c.orphans().collect())) == [("src/bytestjs.ts", "test_only"), ("src/nobody.ts", "orphan"), ("src/tested.ts", "test_only")]
+    assert sorted(map(tuple, c.orphans().collect())) == [("src/bytestjs.ts", "test_only"), ("src/c/e/f/k2.ts", "orphan"), ("src/c/e/m.ts", "orphan"), ("src/l/no.ts", "orphan"), ("src/nobody.ts", "orphan"), ("src/tested.ts", "test_only")]
     c.close()
 
 

@@ -62,8 +62,18 @@ def matches(globs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def loaded(globs: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, dst): files that the files of globs (app, id, path, glob) load; relative globs are below the folder of their file, '/' is the root."""
+    """(id, dst): files that the files of globs (app, id, path, glob[, loader, negative, pattern]) load.
+
+    Relative globs are below the folder of their file, '/' is the root; others
+    name no path.  A loader's negative globs take away what the others name;
+    a pattern is found in the path below the glob's folder, from ``./`` on.
+    """
+    given = {"loader": F.lit(0), "negative": F.lit(False), "pattern": F.lit(None).cast("string")}
+    own = globs.withColumns({c: v for c, v in given.items() if c not in globs.columns})
     base = F.concat(paths.directory(F.col("path")), F.lit("/"), F.col("glob"))
-    whole = F.when(F.col("glob").startswith("."), paths.folded(base)).otherwise(F.regexp_replace("glob", "^/", ""))
-    asked = globs.select("app", F.col("id").alias("src"), whole.alias("glob")).filter("glob IS NOT NULL").distinct()
-    return matches(asked, files.select("app", "id", "path")).select(F.col("src").alias("id"), F.col("id").alias("dst")).distinct()
+    whole = F.when(F.col("glob").startswith("."), paths.folded(base)).when(F.col("glob").startswith("/"), F.regexp_replace("glob", "^/+", "")).when(F.col("glob").startswith("**"), F.col("glob"))
+    asked = own.select("app", F.col("id").alias("src"), "loader", "negative", F.col("pattern").alias("found"), whole.alias("glob")).filter("glob IS NOT NULL").distinct()
+    met = matches(asked, files.select("app", "id", "path"))
+    met = met.filter("found IS NULL OR concat('./', substring(path, length(regexp_extract(glob, '^([^*]*)', 1)) + 1)) RLIKE found")
+    hits = met.groupBy("src", "loader", "id").agg(F.bool_or("negative").alias("taken")).filter("NOT taken")
+    return hits.select(F.col("src").alias("id"), F.col("id").alias("dst")).distinct()

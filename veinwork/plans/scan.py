@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veinwork.functions import paths, roles
 from veinwork.operators import change, detectors, findings, globjoin, graph, pathrules, references, resolve, rules, targets
+from veinwork.plans import incremental
 from veinwork.sources import code, settings
 
 #: Containers whose members are slices of one app, and apps.
@@ -96,14 +97,14 @@ class Codebase:
 
 def codebase(
     tree: DataFrame, aliases: Iterable[tuple[str, str, int]] = (), packages: Iterable[str] = (), workspace: Iterable[tuple[str, list[str], bool]] = (),
-    written: DataFrame | None = None, referrers: DataFrame | None = None, globs: DataFrame | None = None, **more: object,
+    written: DataFrame | None = None, referrers: DataFrame | None = None, store: incremental.ParsedFiles | None = None, **more: object,
 ) -> Codebase:
     """Relations of a tree (app, path, text); extraction runs once, its results are kept.
 
     ``written`` (app, path, text) are the settings of the code bases
     (``sources.settings``): aliases, packages and workspaces then come from
     them, each within its app.  ``referrers`` (app, path, text) are files that
-    only refer, ``globs`` (app, path, glob) what files load by pattern.
+    only refer.  With a ``store`` only files that it does not hold are parsed.
     """
     spark, aliases = tree.sparkSession, list(aliases)
     ided = lambda df: df.withColumn("id", F.xxhash64("app", "path"))
@@ -116,7 +117,7 @@ def codebase(
         role = roles.classify(paths.as_typescript(F.col("path")), F.lit(False))["role"]
         others = ided(referrers.select("app", "path", "text")).withColumn("role", role)
         everything = everything.unionByName(others.select("app", "id", "path", "text"))
-    raw = code.extract_imports(everything)
+    raw, usage, loads = (code.extract_imports(everything), code.extract_usage(files), code.extract_loads(everything)) if store is None else incremental.relations(store.parsed(everything))
     imports = ided(raw).select("id", "app", F.col("specifier").alias("spec"), "ord", "has_value", "names", "line", "reexport", "dynamic", "require", paths.without_query(F.col("specifier")).alias("bare")).persist()
     asked = imports.select("app", "id", F.col("bare").alias("spec")).distinct()
     configs = ided(code.string_literals(everything.filter(F.col("path").rlike(paths.TOOL_CONFIG))))
@@ -166,8 +167,7 @@ def codebase(
     parts = [meets.select(F.col("id").alias("src"), "dst", kind.alias("kind")), of(hits.join(literals.distinct(), ["app", "id", "spec"]), "config")]
     if written is not None:
         parts.append(of(hits.join(kept_by.distinct(), ["app", "id", "spec"]), "manifest"))
-    if globs is not None:
-        parts.append(of(globjoin.loaded(ided(globs), sources), "loader"))
+    parts.append(of(globjoin.loaded(ided(loads), sources), "loader"))
     refers = parts[0]
     for part in parts[1:]:
         refers = refers.unionByName(part)
@@ -178,7 +178,7 @@ def codebase(
     beyond = ends.join(leafs.withColumnRenamed("barrel", "dst"), "dst").select("id", "spec", F.col("leaf").alias("dst"))
     direct = ends.join(passing.withColumnRenamed("id", "dst"), "dst", "left_anti").select("id", "spec", "dst")
     leaves = direct.unionByName(beyond).join(sources.select(F.col("id").alias("dst"), F.col("path").alias("leaf")), "dst").select("id", "spec", "leaf").distinct().persist()
-    usage = ided(code.extract_usage(files)).select("id", "subject", "line")
+    usage = ided(usage).join(files.select("id"), "id", "left_semi").select("id", "subject", "line")
     return Codebase(
         files, imports, edges, usage, declared, members, tuple(a[0] for a in aliases), refers, None if others is None else others.select("id", "role"), leaves, aliased, **more,
     )

@@ -158,16 +158,63 @@ def extract_imports(tree: DataFrame) -> DataFrame:
     return tree.select("app", "path", "text").mapInPandas(rows, IMPORT_SCHEMA)
 
 
+def usage_of(code: str, subjects: tuple[str, ...] = ("console", "process.env")) -> list[tuple[str, int]]:
+    """(subject, line) of what reads a global."""
+    text = blanked(code, strings=True)
+    pattern = re.compile(r"(?<![\w$.])(" + "|".join(re.escape(s) for s in subjects) + r")\b(?=\s*[.\[])")
+    return sorted({(m[1], text.count("\n", 0, m.start()) + 1) for m in pattern.finditer(text)})
+
+
+_GLOB_CALL = re.compile(r"\bimport\s*\.\s*meta\s*\.\s*glob(?:Eager)?\s*(?:<[^()]*>)?\(\s*(\[[^\]]*\]|" + _STRING + ")")
+_CONTEXT_CALL = re.compile(r"\brequire\s*\.\s*context\s*\(\s*" + _STRING + r"\s*(?:,\s*(true|false)\s*(?:,\s*/((?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\[\\\n])+)/\w*)?)?")
+
+
+def loads_of(code: str) -> list[tuple[int, str, bool, str | None]]:
+    """(loader, glob, negative, pattern) of what a file loads by pattern, a number for each call.
+
+    Globs of a list count together, without what its negative ones name; a
+    folder that is loaded as a whole may have a regular expression for the
+    paths below it, which start with ``./``.
+    """
+    text, found = blanked(code, strings=False), []
+    for m in _GLOB_CALL.finditer(text):
+        globs = [a if a is not None else b for a, b in ((x[1], x[2]) for x in re.finditer(_STRING, m[1]))]
+        found.append((m.start(), [(g.removeprefix("!"), g.startswith("!"), None) for g in globs]))
+    for m in _CONTEXT_CALL.finditer(text):
+        folder = (m[1] if m[1] is not None else m[2]).rstrip("/")
+        found.append((m.start(), [(f"{folder}/{'*' if m[3] == 'false' else '**'}", False, m[4] if m[4] and _portable(m[4]) else None)]))
+    return [(n, *g) for n, (_, globs) in enumerate(sorted(found)) for g in globs]
+
+
+def _portable(pattern: str) -> bool:
+    """Whether an expression means the same to all engines at hand: without groups by name, look-behind or set operations."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return not re.search(r"\(\?<|\[[^\]]*(\[|&&)|\\[kpPu]", pattern)
+
+
+def extract_loads(tree: DataFrame) -> DataFrame:
+    """What the files of (app, path, text) load by pattern: app, path, loader, glob, negative, pattern."""
+    columns = ["app", "path", "loader", "glob", "negative", "pattern"]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(app, path, *x) for app, path, text in batch[["app", "path", "text"]].itertuples(index=False) for x in loads_of(script_of(path, text or ""))]
+            yield pd.DataFrame(out, columns=columns)
+
+    return tree.select("app", "path", "text").mapInPandas(rows, "app string, path string, loader int, glob string, negative boolean, pattern string")
+
+
 def extract_usage(tree: DataFrame, subjects: tuple[str, ...] = ("console", "process.env")) -> DataFrame:
     """Lines that read a global, after comments and strings are blanked."""
-    pattern = re.compile(r"(?<![\w$.])(" + "|".join(re.escape(s) for s in subjects) + r")\b(?=\s*[.\[])")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for app, path, text in batch[["app", "path", "text"]].itertuples(index=False):
-                code = blanked(script_of(path, text or ""), strings=True)
-                out += sorted({(app, path, m[1], code.count("\n", 0, m.start()) + 1) for m in pattern.finditer(code)})
+                out += [(app, path, *x) for x in usage_of(script_of(path, text or ""), subjects)]
             yield pd.DataFrame(out, columns=["app", "path", "subject", "line"])
 
     return tree.select("app", "path", "text").mapInPandas(rows, USAGE_SCHEMA)
