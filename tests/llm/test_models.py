@@ -47,6 +47,19 @@ def slow_bits(trees, text):
     return out
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    """Texts within the bound come first; a language without any has its shortest ones, whole, as far as its characters go."""
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = [(i, "abcd ef" * 40) for i in ids[:6]] + [(i, "wxyz uv" * (100 + i)) for i in ids[6:12]] + [(ids[12], "ghij " * 9), (ids[13], "ghij " * 2000)]
+    lang = {i: "en" for i in ids[:6]} | {i: "fr" for i in ids[6:12]} | {ids[12]: "de", ids[13]: "de"}
+    docs = frame(spark, texts, lang)
+    found = language_id.sample(docs, 3, 300)
+    assert {k: len(v) for k, v in found.items()} == {"en": 3, "fr": 1, "de": 1} and found["fr"] == [("wxyz uv" * (100 + ids[6])).encode()]
+    assert sorted(len(t) for t in language_id.sample(docs, 3, 600)["fr"]) == [len("wxyz uv" * (100 + i)) for i in ids[6:8]]
+    assert language_id.train(docs, 3, 300).languages == ["de", "en", "fr"]
+    assert {r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs, 3, 300)).filter("doc_id = %d" % ids[11]).collect()} == {"fr"}
+
+
 def test_language_id(spark):
     draw = random.Random(4)
     kinds = {"aa": "abcd ef", "bb": "wxyz uv"}
@@ -138,7 +151,7 @@ def test_decontamination(spark, corpus):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contaminated(docs, benchmark)
     pairs = {(r["doc_id"], r["item_id"]) for r in found.collect()}
-    assert pairs == {(1, 1), (2, 2), (3, 3), (3, 1), (4, 5), (5, 6)}
+    assert pairs == {(1, 1), (2, 2), (3, 3), (3, 1), (4, 5), (5, 6), (6, 5)}  # items of a few words count inside documents too
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark, item_words=20).collect()} == pairs
     for size in (20, 10**6):
         kept = decontaminate.clean(docs, benchmark, item_words=size)
@@ -147,6 +160,24 @@ def test_decontamination(spark, corpus):
     assert decontaminate.contaminated(docs, benchmark.filter("false")).count() == 0 == decontaminate.contaminated(docs.filter("false"), benchmark).count()
 
 
+def test_short_items_at_every_place(spark):
+    """Items of one to four words, against a plain search of word lists; equal items, repeats, and ends of documents."""
+    draw = random.Random(17)
+    small = lambda n: " ".join(draw.choice("abcd") for _ in range(n))
+    items = [(k, small(1 + k % 4)) for k in range(12)] + [(50, "a b"), (51, "A\tb"), (52, "zz")]
+    texts = [(k, small(draw.randint(1, 9))) for k in range(60)] + [(100, None), (101, ""), (102, "b"), (103, "a"), (104, "xa b")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    places = lambda text, item: [k for k in range(len(text) - len(item) + 1) if text[k : k + len(item)] == item]
+    expected = set()
+    for d, t in texts:
+        for i, item in items:
+            at = places((t or "").lower().split(), item.lower().split())
+            if at:
+                expected.add((d, i, 1.0, at[0], len(item.split())))
+    got = decontaminate.contaminated(frame(spark, texts), benchmark).collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
 def searched(item, passage):
     """Matches of one item in a document with 20 words before and after the passage."""
     around = random.Random(32)

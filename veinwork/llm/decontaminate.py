@@ -13,13 +13,14 @@ document around the window with the highest exact multiset Jaccard of
 five-word shingles (weights: occurrences) is taken, of all lengths that can
 reach 0.8.
 
-Items shorter than a shingle match only documents that consist of just their
-words.  Items come to the executors in blocks of ``ITEM_WORDS`` words,
+Items shorter than a shingle are found by a hash of their words at every
+place of a document.  Items come to the executors in blocks of ``ITEM_WORDS`` words,
 one pass over the documents a block.
 
 Defined results: null and empty texts contain nothing and null or empty items
 are in nothing; several items of equal text are each reported; a document with
-an item twice gives its best match once; repeated rows each give their rows;
+an item twice gives its best match once, of equally good stretches one that
+begins first; very long texts are searched whole, in runs of one text; repeated rows each give their rows;
 empty tables give no rows.  Only ids and texts are read.
 """
 
@@ -78,14 +79,19 @@ class Sums:
         return out
 
 
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of the shingles of at least ``SHINGLE`` words; none of fewer."""
-    total = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
-    for k in range(SHINGLE):
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of ``n`` words at every place that has as many; none of fewer."""
+    total = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for k in range(n):
         total += words[k : k + len(total)] * _STEP[k + 1]
     return mix(total)
 
 
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of at least ``SHINGLE`` words; none of fewer."""
+    return gram_hashes(words, SHINGLE)
+
+
 def unedited(n: int) -> int:
     """Words in a row that any passage of ``SIMILARITY`` leaves of an item of ``n`` words whose shingles differ.
 
@@ -104,7 +110,8 @@ class Items:
     """Fingerprints and block tables of a block of items."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
-        self.ids, self.words, self.bags, self.whole = [], [], [], {}
+        self.ids, self.words, self.bags = [], [], []
+        short: dict[int, list[tuple[int, int]]] = {}
         anchors: dict[int, list[tuple[int, int]]] = {}
         for item_id, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -117,7 +124,7 @@ class Items:
             self.words.append(words)
             self.bags.append(Counter(shingle_hashes(words).tolist()))
             if n < SHINGLE:
-                self.whole.setdefault(words.tobytes(), []).append(at)
+                short.setdefault(n, []).append((int(gram_hashes(words, n)[0]), at))
                 continue
             sums = Sums(words)
             stretch = unedited(n)
@@ -128,6 +135,8 @@ class Items:
             prints = {width: sums.fingerprints(width) for width in {w for w, _ in entered}}
             for width, offset in sorted(entered):
                 anchors.setdefault(width, []).append((int(prints[width][offset]), at))
+        # for each length: hashes in order, and their items
+        self.short = {n: (np.array([h for h, _ in sorted(kept)], np.uint64), [at for _, at in sorted(kept)]) for n, kept in short.items()}
         self.classes = {}
         for width, kept in anchors.items():
             prints = np.array([x[0] for x in kept], np.uint64)
@@ -159,10 +168,7 @@ class Items:
         """(document, item, similarity, first word, words) of the best match of each pair in a run of documents."""
         ends = np.cumsum(counts)
         begins = ends - counts
-        if self.whole:
-            for d in np.flatnonzero((counts > 0) & (counts < SHINGLE)).tolist():
-                for at in self.whole.get(words[begins[d] : ends[d]].tobytes(), ()):
-                    yield d, at, 1.0, 0, int(counts[d])
+        yield from self.short_hits(words, begins, ends)
         if not len(words) or not self.classes:
             return
         sums, best = Sums(words), {}
@@ -179,6 +185,21 @@ class Items:
             if similar >= SIMILARITY:
                 yield d, item, similar, first, length
 
+    def short_hits(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+        """The first place of each short item in each document."""
+        for n, (prints, items) in self.short.items():
+            found = gram_hashes(words, n)
+            lo, hi = np.searchsorted(prints, found, "left"), np.searchsorted(prints, found, "right")
+            at = np.flatnonzero(hi > lo)
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + n <= ends[doc]
+            seen = set()
+            for place, d in zip(at[inside].tolist(), doc[inside].tolist()):
+                for k in range(int(lo[place]), int(hi[place])):
+                    if (d, k) not in seen:
+                        seen.add((d, k))
+                        yield d, items[k], 1.0, place - int(begins[d]), n
+
     def aligned(self, item: int, words: np.ndarray, held: list[tuple[int, int]]) -> tuple[float, int, int]:
         """(similarity, first word, words) of the best stretch around the windows (start, words) of a document.
 

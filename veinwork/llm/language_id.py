@@ -132,19 +132,27 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def sample(docs: DataFrame, docs_per_language: int, max_text: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[bytes]]:
-    """Labelled training texts: at most docs_per_language * max_text characters a language."""
+    """Labelled training texts: at most docs_per_language * max_text characters a language, or one text.
+
+    Texts of up to max_text characters come in a hashed order; where a language
+    has too few, longer ones follow, the shortest first and whole.
+    """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
-        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2) & (F.length("text").between(1, max_text))
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), 4) != 2) & (F.length("text") > 0)
     )
-    spread = labelled.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("spread"), "doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "doc_id"))
-    chosen = spread.select("lang", "doc_id", "spread").withColumn("rank", rank).filter(F.col("rank") <= docs_per_language)
-    bounds = {r["lang"]: r["top"] for r in chosen.groupBy("lang").agg(F.max("spread").alias("top")).collect()}
+    size = F.length("text").cast("long")
+    order = ["long", "spread", "doc_id"]
+    spread = labelled.select("lang", "text", F.when(size > max_text, size).otherwise(F.lit(0).cast("long")).alias("long"), F.xxhash64(F.col("doc_id").cast("string")).alias("spread"), "doc_id", size.alias("size"))
+    of = Window.partitionBy("lang").orderBy(*order)
+    ranked = spread.select("lang", *order, "size").withColumn("rank", F.row_number().over(of)).filter(F.col("rank") <= docs_per_language)
+    held = ranked.withColumn("held", F.sum("size").over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = held.filter((F.col("held") <= docs_per_language * max_text) | (F.col("rank") == 1))
     wanted = F.lit(False)
-    for lang, top in bounds.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("spread") <= top))
+    for r in chosen.groupBy("lang").agg(F.max(F.struct("long", "spread")).alias("top")).collect():
+        within = (F.col("long") < r["top"]["long"]) | ((F.col("long") == r["top"]["long"]) & (F.col("spread") <= r["top"]["spread"]))
+        wanted = wanted | ((F.col("lang") == r["lang"]) & within)
     found: dict[str, list[bytes]] = {}
-    for row in spread.filter(wanted).orderBy("spread", "doc_id").select("lang", "text").toLocalIterator():
+    for row in spread.filter(wanted).orderBy(*order).select("lang", "text").toLocalIterator():
         texts_of = found.setdefault(row["lang"], [])
         if len(texts_of) < docs_per_language:
             texts_of.append(row["text"].encode())
