@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths
-from veinwork.operators import globjoin, targets
+from veinwork.operators import detectors, globjoin, targets
 from veinwork.plans import scan as plan
 from veinwork.sources import settings
 
@@ -158,3 +158,25 @@ def test_empty_tree(spark, empty):
     c = plan.codebase(tree_of(spark, {"a.ts": ""}).filter("false"), written=settings_of(spark, MONOREPO))
     assert c.edges.isEmpty() and c.references.filter("kind <> 'manifest'").isEmpty() and c.orphans().isEmpty()
     c.close()
+
+
+def test_imports_of_files_that_wrap_a_database_client(spark):
+    manifests = {
+        "package.json": {"name": "root", "workspaces": ["packages/*", "apps/*"]}, "apps/a/package.json": {"name": "a"}, "apps/a/tsconfig.json": {"compilerOptions": {"paths": {"@/*": ["./src/*"]}}},
+        "packages/db/package.json": {"name": "@w/db", "exports": {".": "./dist/x.js"}}, "packages/ui/package.json": {"name": "@w/ui"}, "apps/b/tsconfig.json": {},
+    }
+    code = {
+        "packages/db/src/client.ts": "export const db = new PrismaClient()", "packages/ui/index.ts": "export const x = 1", "apps/a/src/store/index.ts": "import { Pool } from 'pg'\nexport const p = new Pool<X>({})",
+        "apps/a/src/pool.ts": "export const p = new Pool()", "apps/a/src/sb.ts": "import { createBrowserClient } from '@supabase/ssr'\nexport const c = createBrowserClient(a)", "apps/a/src/other.ts": "import { createClient } from 'redis'\ncreateClient()",
+        "apps/a/src/again.ts": "export * from 'kysely'", "apps/a/src/all.ts": "export * from './sb'", "apps/a/src/self.controller.ts": "import 'x'\nconst d = drizzle(q)",
+    }
+    asks = {"pkg": "@w/db", "deep": "@w/db/some/where", "ui": "@w/ui", "alias": "@/store", "gone": "@/store/missing", "pool": "../pool", "sb": "../sb", "bar": "../all", "other": "../other", "again": "@/again", "lone": "../again", "store": "../storefront", "self": "../self.controller"}
+    code |= {f"apps/a/src/api/{k}.controller.ts": f"import {{ x }} from '{v}'" for k, v in asks.items()} | {"apps/b/b.controller.ts": "import '@/store'\nimport '@w/dbx'"}
+    c = plan.codebase(tree_of(spark, code), written=settings_of(spark, manifests))
+    patterns = {"AP-001": c.database, "AP-002": None}
+    found = detectors.forbidden_occurrences(c.production, c.ends, patterns).join(c.files.select("id", "path"), "id")
+    broken = {r["path"].split("/")[-1].split(".")[0] for r in found.collect()}
+    assert broken == {"pkg", "deep", "alias", "gone", "sb", "bar", "again"}
+    gate = {r["rule_id"]: r["violators"] for r in detectors.forbidden_imports(c.production, c.ends, patterns).collect()}
+    assert gate["AP-001"] == 7
+    c.close()

@@ -224,11 +224,12 @@ def forbidden_imports(files: DataFrame, imports: DataFrame, markers: dict[str, s
     """For each rule (id -> pattern): request entry files that import a match, in one pass over the imports.
 
     ``imports`` are those that bind a value; where they have ``leaf``, the path
-    of the file that the import ends at, that counts too.  A rule without a
-    pattern has nothing to forbid and is rejected.
+    of the file that the import ends at, that counts too, and where they have
+    ``marked``, the rules (an array) that an import breaks whatever its names.
+    A rule without a pattern has nothing to forbid and is rejected.
     """
     own = files.filter(F.col("role").isin(*roles.REQUEST_ENTRY)).select("id", F.col("role_confidence").alias("confidence"), F.col("path").rlike(paths.INFRA_PATH).alias("infra"))
-    flags = [F.coalesce(F.bool_or(_reaches(imports, pattern)), F.lit(False)).alias(rule) for rule, pattern in markers.items()]
+    flags = [F.coalesce(F.bool_or(_reaches(imports, pattern, rule)), F.lit(False)).alias(rule) for rule, pattern in markers.items()]
     hits = imports.groupBy("id").agg(*flags)
     wide = own.join(hits, "id", "left")
     rows = wide.select(F.col("id").alias("member"), "confidence", "infra", F.explode(F.array(*[F.struct(F.lit(r).alias("rule_id"), F.coalesce(F.col(f"`{r}`"), F.lit(False)).alias("violates")) for r in markers])).alias("x"))
@@ -239,17 +240,19 @@ def forbidden_imports(files: DataFrame, imports: DataFrame, markers: dict[str, s
     return found.withColumn("status", F.when(F.col("rule_id").isin(*empty), "REJECT").otherwise(F.col("status"))) if empty else found
 
 
-def _reaches(imports: DataFrame, pattern: str | None) -> Column:
+def _reaches(imports: DataFrame, pattern: str | None, rule: str) -> Column:
     if pattern is None:
         return F.lit(False)
     hit = F.col("spec").rlike(pattern)
+    if "marked" in imports.columns:
+        hit = hit | F.coalesce(F.array_contains("marked", rule), F.lit(False))
     return hit | F.coalesce(F.col("leaf").rlike(pattern) & ~F.col("leaf").rlike("(^|/)node_modules/"), F.lit(False)) if "leaf" in imports.columns else hit
 
 
 def forbidden_occurrences(files: DataFrame, imports: DataFrame, markers: dict[str, str | None]) -> DataFrame:
     """rule_id, id, spec: every import of a request entry file that a rule forbids."""
     own = files.filter(F.col("role").isin(*roles.REQUEST_ENTRY)).select("id")
-    marks = F.array(*[F.when(_reaches(imports, p), F.lit(r)) for r, p in markers.items()])
+    marks = F.array(*[F.when(_reaches(imports, p, r), F.lit(r)) for r, p in markers.items()])
     found = imports.join(own, "id", "left_semi").select("id", "spec", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("rule_id"))
     return found.distinct() if "leaf" in imports.columns else found
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths, roles
-from veinwork.operators import change, detectors, findings, globjoin, graph, pathrules, references, resolve, rules, targets
+from veinwork.operators import change, databases, detectors, findings, globjoin, graph, pathrules, references, resolve, rules, targets
 from veinwork.plans import incremental
 from veinwork.sources import code, settings
 
@@ -31,7 +31,8 @@ class Codebase:
     open[, app].  ``references`` (src, dst, kind) are of any kind, from files
     of ``referrers`` (id, role) too; ``leaves`` (id, spec, leaf) are the paths
     that an import ends at beyond files that only re-export; ``aliased`` (id,
-    spec) are imports through an alias, beside those of ``aliases``.
+    spec) are imports through an alias, beside those of ``aliases``;
+    ``clients_reached`` (id, spec) those of files that wrap a database client.
     ``shipped`` says which files a package publishes; ``loaded`` has the paths
     that a framework loads by where they stand (``sources.routes``);
     ``database`` is the pattern of database libraries.
@@ -48,6 +49,7 @@ class Codebase:
     referrers: DataFrame | None = None
     leaves: DataFrame | None = None
     aliased: DataFrame | None = None
+    clients_reached: DataFrame | None = None
     shipped: Column | None = None
     loaded: DataFrame | None = None
     database: str | None = DATABASE_PATTERN
@@ -59,6 +61,8 @@ class Codebase:
         self.values = self.own.filter("has_value")
         self.outward = self.values if self.aliased is None else self.values.join(self.aliased, ["id", "spec"], "left_anti")
         self.ends = self.values if self.leaves is None else self.values.join(self.leaves, ["id", "spec"], "left")
+        if self.clients_reached is not None:
+            self.ends = self.ends.join(self.clients_reached.withColumn("marked", F.array(F.lit(DATABASE))), ["id", "spec"], "left")
         self.inner = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         self.inner_by_app = self.inner.join(self.files.select(F.col("id").alias("src"), "app"), "src")
         scope = [c for c in ("app",) if c in self.declared.columns]
@@ -178,9 +182,15 @@ def codebase(
     beyond = ends.join(leafs.withColumnRenamed("barrel", "dst"), "dst").select("id", "spec", F.col("leaf").alias("dst"))
     direct = ends.join(passing.withColumnRenamed("id", "dst"), "dst", "left_anti").select("id", "spec", "dst")
     leaves = direct.unionByName(beyond).join(sources.select(F.col("id").alias("dst"), F.col("path").alias("leaf")), "dst").select("id", "spec", "leaf").distinct().persist()
+    wrapped = graph.kept(databases.wrappers(files, imports))
+    written_as = None
+    tied = imports.filter("has_value").select("app", "id", "spec").distinct().join(leaves, ["id", "spec"], "left")
+    if written is not None:
+        tied = tied.join(at.select("id", "owner"), "id", "left")
+        written_as = databases.importable(wrapped, owned, owned, packaged)
     usage = ided(usage).join(files.select("id"), "id", "left_semi").select("id", "subject", "line")
     return Codebase(
-        files, imports, edges, usage, declared, members, tuple(a[0] for a in aliases), refers, None if others is None else others.select("id", "role"), leaves, aliased, **more,
+        files, imports, edges, usage, declared, members, tuple(a[0] for a in aliases), refers, None if others is None else others.select("id", "role"), leaves, aliased, graph.kept(databases.reaching(tied, wrapped, written_as)), **more,
     )
 
 
