@@ -180,3 +180,16 @@ def test_imports_of_files_that_wrap_a_database_client(spark):
     gate = {r["rule_id"]: r["violators"] for r in detectors.forbidden_imports(c.production, c.ends, patterns).collect()}
     assert gate["AP-001"] == 7
     c.close()
+
+
+def test_entries_are_moved_to_the_sources_that_they_are_built_from(spark):
+    manifests = {
+        "package.json": {"name": "root", "main": "./lib/cli.js"}, "tsconfig.json": {"compilerOptions": {"outDir": "lib"}},
+        "p/package.json": {"name": "p", "types": "dist/i.d.ts", "exports": {".": {"node": {"import": "./dist/i.mjs"}}, "./deep": {"default": "./dist/esm/deep.js"}, "./none": None}},
+        "p/tsconfig.build.json": {"extends": "./tsconfig.base.json"}, "p/tsconfig.base.json": {"compilerOptions": {"outDir": "./dist", "rootDir": "./code"}}, "q/package.json": {"name": "q", "main": "dist/x.js"}, "r/package.json": {"main": "./src/unnamed.ts"},
+    }
+    sources = {"src/cli.ts": "", "cli.ts": "", "p/code/i.mts": "", "p/code/i.ts": "", "p/code/esm/deep.tsx": "", "p/code/other.ts": "", "q/x.ts": "", "r/src/unnamed.ts": ""}
+    c = plan.codebase(tree_of(spark, sources), written=settings_of(spark, manifests))
+    assert {b for a, b, k in named_edges(c, c.references) if k == "entry"} == {"src/cli.ts", "cli.ts", "p/code/i.ts", "p/code/esm/deep.tsx"}
+    assert {r["path"] for r in c.orphans().collect()} == {"p/code/i.mts", "p/code/other.ts", "q/x.ts", "r/src/unnamed.ts"}
+    c.close()

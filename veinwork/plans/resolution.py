@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veinwork.operators import globjoin, graph, pathrules, resolve, targets
 from veinwork.plans.catalog import _with, query
-from veinwork.sources import bridge
+from veinwork.sources import bridge, settings
 
 def _app() -> Column:
     return F.lit("app").alias("app")
@@ -147,3 +147,22 @@ def ignored_files(spark: SparkSession, d: str) -> DataFrame:
     own = layers.select("app", "dir", F.explode(F.array(*text("", ["# of a layer", "brand-*1/*", "!*.service.ts", "/**/*.test.ts"]))).alias("x"))
     root = spark.range(1).select(_app(), F.lit("src").alias("dir"), F.explode(F.array(*text("", ["*.stories.tsx", "!*3.stories.tsx"]))).alias("x"))
     return pathrules.left_out(files, own.unionByName(root).select("app", "dir", "x.*"))
+
+
+@query("""
+WITH built AS (SELECT 'pkg/s' || (s_suppkey % 20) AS dir, 'pkg/s' || (s_suppkey % 20) || CASE s_suppkey % 4 WHEN 0 THEN '/dist/esm/f' WHEN 1 THEN '/dist/f' WHEN 2 THEN '/out/f' ELSE '/f' END || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.d.ts' ELSE '.js' END AS target, s_suppkey AS k FROM supplier)
+SELECT DISTINCT dir, target, replace(CASE k % 4 WHEN 0 THEN dir || CASE WHEN k % 20 < 10 THEN '/module/f' ELSE '/src/esm/f' END WHEN 1 THEN dir || '/src/f' WHEN 2 THEN 'common/' || dir || '/out/f' ELSE 'common/' || dir || '/f' END || k || CASE WHEN k % 2 = 0 THEN '.d.ts' ELSE '.js' END, '.d.ts', '.js') AS moved
+FROM built""")
+def built_entries(spark: SparkSession, d: str) -> DataFrame:
+    """What manifests name in folders that are compiled to, moved to where it is compiled from, by the deepest folder of the owning configurations."""
+    key = F.col("s_suppkey")
+    supplier = bridge.table(spark, d, "supplier").select("s_suppkey")
+    folder = F.concat(F.lit("pkg/s"), (key % 20).cast("string"))
+    place = F.when(key % 4 == 0, "/dist/esm/f").when(key % 4 == 1, "/dist/f").when(key % 4 == 2, "/out/f").otherwise("/f")
+    built = supplier.select(_app(), folder.alias("dir"), F.concat(folder, place, key.cast("string"), F.when(key % 2 == 0, ".d.ts").otherwise(".js")).alias("target"))
+    owners = built.select("app", F.col("dir").alias("owner")).distinct()
+    row = lambda out, root: F.struct(F.concat("owner", F.lit(out)).alias("out"), F.concat("owner", F.lit(root)).alias("root"))
+    number = F.substring("owner", 6, 2).cast("int")
+    own = owners.select("app", "owner", F.explode(F.array(row("/dist", "/src"), F.when(number < 10, row("/dist/esm", "/module")).otherwise(row("/dist", "/src")))).alias("x")).select("app", "owner", "x.*")
+    above = spark.range(1).select(_app(), F.lit("").alias("owner"), F.lit("").alias("out"), F.lit("common").alias("root"))
+    return settings.sources_of(built, own.unionByName(above).distinct()).select("dir", "target", "moved")

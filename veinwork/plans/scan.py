@@ -151,7 +151,13 @@ def codebase(
             packed = pathrules.shipped_files(files.select("app", "id", "path"), written, described).withColumn("shipped", F.lit(True))
             files = files.join(packed, "id", "left").withColumn("shipped", F.coalesce("shipped", F.lit(False))).persist()
             more["shipped"] = F.col("shipped")
-        found = targets.candidates(asked, importers, owned, described.select("app", "dir"), hashes, packaged, exports)
+        # entries of any package, as they are and moved to the sources that they are built from
+        each = F.explode(F.array_distinct(F.concat("entry", F.flatten(F.transform("exports", lambda x: x["targets"])))))
+        built = described.filter("name IS NOT NULL").select("app", "dir", each.alias("target")).filter("NOT contains(target, '*')")
+        placed = settings.sources_of(built, settings.compiled_folders(written)).select("app", "dir", "target", F.col("moved").alias("at")).unionByName(built.withColumn("at", F.col("target")))
+        entries = ided(placed.withColumn("path", F.concat(F.when(F.col("dir") == "", "").otherwise(F.concat("dir", F.lit("/"))), F.lit(settings.MANIFEST))))
+        entries = entries.select("app", "id", F.concat(F.lit("entry:"), "at").alias("spec"), F.lit(0).alias("source"), F.lit(0).alias("ord"), F.col("at").alias("target"))
+        found = targets.candidates(asked, importers, owned, described.select("app", "dir"), hashes, packaged, exports).unionByName(entries)
         by_folder = settings.platforms(described)
         platforms = targets.owned(everything, by_folder).join(everything.select("id", "app"), "id").join(by_folder, ["app", "dir"]).filter("size(platforms) > 0").select("id", "platforms")
         at = targets.owned(importers, owned.select("app", F.col("owner").alias("dir"))).withColumnRenamed("dir", "owner")
@@ -171,6 +177,7 @@ def codebase(
     parts = [meets.select(F.col("id").alias("src"), "dst", kind.alias("kind")), of(hits.join(literals.distinct(), ["app", "id", "spec"]), "config")]
     if written is not None:
         parts.append(of(hits.join(kept_by.distinct(), ["app", "id", "spec"]), "manifest"))
+        parts.append(of(hits.join(entries.select("app", "id", "spec").distinct(), ["app", "id", "spec"]), "entry"))
     parts.append(of(globjoin.loaded(ided(loads), sources), "loader"))
     refers = parts[0]
     for part in parts[1:]:

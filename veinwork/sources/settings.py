@@ -20,7 +20,7 @@ from veinwork.sources.code import _joined, loose_json, workspace_globs
 
 #: The configuration that owns a folder, and the file that describes a package.
 CONFIGURATION, MANIFEST, PNPM, PNPM_LOCK = "tsconfig.json", "package.json", "pnpm-workspace.yaml", "pnpm-lock.yaml"
-CONFIG_SCHEMA = "app string, path string, dir string, base string, keys array<struct<key:string,target:string>>, extends array<string>, references array<string>"
+CONFIG_SCHEMA = "app string, path string, dir string, base string, keys array<struct<key:string,target:string>>, extends array<string>, references array<string>, out string, root string"
 MANIFEST_SCHEMA = (
     "app string, dir string, name string, declared array<string>, entry array<string>, exports array<struct<key:string,targets:array<string>>>, "
     "imports array<struct<key:string,targets:array<string>>>, workspaces array<string>, pnpm boolean, closed boolean, "
@@ -63,7 +63,8 @@ def _configuration(path: str, text: str) -> tuple:
     extended = [_joined(folder, e) for e in ([extended] if isinstance(extended, str) else extended) if isinstance(e, str) and e.startswith(".")]
     references = config.get("references")
     references = [_joined(folder, r.get("path", "")) for r in references if isinstance(r, dict)] if isinstance(references, list) else []
-    return path, folder, _joined(folder, base) if isinstance(base, str) else None, pairs, extended, references
+    placed = [_joined(folder, options[o]) if isinstance(options.get(o), str) else None for o in ("outDir", "rootDir")]
+    return path, folder, _joined(folder, base) if isinstance(base, str) else None, pairs, extended, references, *placed
 
 
 def configurations(settings: DataFrame) -> DataFrame:
@@ -93,18 +94,29 @@ def ancestry(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def inherited_options(configs: DataFrame) -> DataFrame:
-    """(app, path, keys, base): path aliases and their base folder, own or from the nearest configuration that one extends."""
+    """(app, path, keys, base, base_url, out, root): path aliases with their base folder, and the folders that are
+    compiled to and from, own or from the nearest configuration that one extends."""
     names = configs.select("app", F.col("path").alias("above"))
     written = configs.select("app", "path", F.posexplode("extends").alias("at", "target"))
     # a later entry of the list wins over an earlier one
     tried = written.select("app", "path", (-F.col("at")).alias("order"), F.posexplode(F.array("target", F.concat("target", F.lit(".json")))).alias("pos", "above"))
     links = tried.join(names, ["app", "above"]).groupBy("app", "path", "order").agg(F.min_by("above", "pos").alias("above"))
-    chain = ancestry(links, configs).join(configs.select("app", F.col("path").alias("above"), "dir", "keys", "base"), ["app", "above"])
+    chain = ancestry(links, configs).join(configs.select("app", F.col("path").alias("above"), "dir", "keys", "base", "out", "root"), ["app", "above"])
     nearest = lambda value, there: F.min_by(value, F.when(there, F.col("order")))
     found = chain.groupBy("app", "path").agg(
-        nearest("keys", F.col("keys").isNotNull()).alias("keys"), nearest("dir", F.col("keys").isNotNull()).alias("keys_dir"), nearest("base", F.col("base").isNotNull()).alias("base_url")
-    )
-    return found.select("app", "path", "keys", F.coalesce("base_url", "keys_dir").alias("base"), "base_url")
+        nearest("keys", F.col("keys").isNotNull()).alias("keys"), nearest("dir", F.col("keys").isNotNull()).alias("keys_dir"), nearest("base", F.col("base").isNotNull()).alias("base_url"),
+        *[nearest(c, F.col(c).isNotNull()).alias(c) for c in ("out", "root")],
+    )
+    return found.select("app", "path", "keys", F.coalesce("base_url", "keys_dir").alias("base"), "base_url", "out", "root")
+
+
+def compiled_folders(settings: DataFrame) -> DataFrame:
+    """(app, owner, out, root): folders that a configuration compiles to and from; where none is named as the source, its ``src`` and itself."""
+    configs = kept(configurations(settings))
+    own = configs.filter(name_of(F.col("path")).rlike(r"^tsconfig[^/]*\.json$")).select("app", "path", F.col("dir").alias("owner"))
+    placed = own.join(inherited_options(configs), ["app", "path"]).filter("out IS NOT NULL")
+    source = F.concat(F.when(F.col("owner") == "", "").otherwise(F.concat("owner", F.lit("/"))), F.lit("src"))
+    return placed.select("app", "owner", "out", F.explode(F.when(F.col("root").isNotNull(), F.array("root")).otherwise(F.array(source, "owner"))).alias("root")).distinct()
 
 
 def _below(folder: Column, target: Column) -> Column:
@@ -185,6 +197,24 @@ def manifests(settings: DataFrame) -> DataFrame:
     return _parsed(settings.filter(name_of(F.col("path")) == MANIFEST), _manifest, MANIFEST_SCHEMA)
 
 
+def sources_of(built: DataFrame, compiled: DataFrame) -> DataFrame:
+    """(columns of built, moved): where the source of a built target (app, dir, target) may be.
+
+    ``compiled`` (app, owner, out, root) are folders compiled to and from, of
+    configurations at or above ``dir``; the deepest out folder that holds the
+    target says where.  A declaration file stands for its source.
+    """
+    keys = built.columns
+    places = F.concat(paths.ancestors(F.col("dir")), F.array("dir"))
+    near = built.select(*keys, F.explode(F.array_distinct(places)).alias("owner")).join(compiled, ["app", "owner"])
+    inside = near.filter((F.col("out") == "") | F.col("target").startswith(F.concat("out", F.lit("/"))))
+    deepest = inside.groupBy(*keys).agg(F.max(F.struct(F.length("out").alias("n"), F.length("owner").alias("m"))).alias("best"))
+    chosen = inside.join(deepest, keys).filter((F.length("out") == F.col("best.n")) & (F.length("owner") == F.col("best.m")))
+    rest = F.when(F.col("out") == "", F.col("target")).otherwise(F.substring(F.col("target"), F.length("out") + 2, F.length("target")))
+    moved = F.when(F.col("root") == "", rest).otherwise(F.concat("root", F.lit("/"), rest))
+    return chosen.select(*keys, F.regexp_replace(moved, r"\.d\.([cm]?)ts$", ".$1js").alias("moved")).distinct()
+
+
 def workspace_members(settings: DataFrame, described: DataFrame) -> DataFrame:
     """(app, root, dir): folders that the globs of a workspace root name, one level below for a star.
 
