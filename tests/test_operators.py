@@ -30,7 +30,7 @@ def test_cycles(spark):
 def test_large_graphs_by_joins(spark):
     """The forms without a task for a whole app agree with those that have one."""
     draw = random.Random(3)
-    pairs = {(draw.randrange(30), draw.randrange(30)) for _ in range(45)} | {(100 + k, 101 + k) for k in range(6)}
+    pairs = {(draw.randrange(30), draw.randrange(30)) for _ in range(45)} | {(100 + k, 101 + k) for k in range(6)} | {(200 + k, 200 + (k + 1) % 7) for k in range(7)}
     edges = edges_of(spark, sorted(pairs)).unionByName(edges_of(spark, [(1, 2), (2, 1)]).withColumn("app", F.lit("y")))
     small, large = graph.split_by_size(edges, 10)
     assert {r["app"] for r in small.collect()} == {"y"} and {r["app"] for r in large.collect()} == {"x"}
@@ -38,6 +38,17 @@ def test_large_graphs_by_joins(spark):
     layers = edges.select("app", F.col("src").alias("node")).union(edges.select("app", "dst")).distinct().withColumn("layer", F.concat(F.lit("l"), (F.col("node") % 4).cast("string")))
     assert rows(graph.layer_reachability(edges, layers, 10)) == rows(graph.layer_reachability(edges, layers))
     assert rows(graph.cyclic_nodes(edges.filter("false"), 0)) == []
+    loops = lambda df: {(r["app"], r["component"]): (r["size"], r["loop"]) for r in df.collect()}
+    assert loops(graph.cycle_loops(edges, 10)) == loops(graph.cycle_loops(edges)) and loops(graph.cycle_loops(edges, 10))["x", 200] == (7, [*range(200, 207), 200])
+
+
+def test_more_layers_than_bits_of_a_row(spark):
+    """Layers of a long way with a shortcut at every power of two, and a loop at its end."""
+    edges = edges_of(spark, [(k, k + 1) for k in range(69)] + [(69, 67)])
+    layers = spark.range(70).select(F.lit("x").alias("app"), F.col("id").alias("node"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("layer"))
+    assert graph.with_shortcuts(edges_of(spark, [(k, k + 1) for k in range(8)])).count() == 8 + 7 + 5 + 1
+    expected = sorted(("x", f"l{a}", f"l{b}") for a in range(70) for b in range(70) if b > a or a > 66 and b > 66)
+    assert rows(graph.layer_reachability(edges, layers, 0)) == expected
 
 
 @settings(max_examples=60, deadline=None)
