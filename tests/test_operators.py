@@ -255,3 +255,14 @@ def test_resolution(spark):
     assert rows(resolve.discovered_apps(files, dirs)) == [("src", 2), ("src/ui", 1)]
     assert rows(resolve.discovered_apps(files, dirs, 2)) == [("src", 2)]
     assert rows(resolve.matched_loaders(files, [("g", "src/**/*.tsx")])) == [("g", "src/ui/c.tsx")]
+
+
+def test_relocated_rules(spark):
+    texts = spark.createDataFrame([("a.md", "# Title\n\nUse *named* exports.\nNever reach into\n  a sibling. Never reach into a sibling."), ("b.md", None), ("c.md", "")], "file string, text string")
+    rules_ = [("r1", "a.md", "Use named exports.", 3), ("r2", "a.md", "Never reach into a sibling.", 9), ("r3", "a.md", "Gone.", 4), ("r4", "b.md", "x", 1), ("r5", "none.md", "x", 2), ("r6", "a.md", "", 7), ("r7", "a.md", "Use `named` exports.", 1), ("r8", None, "x", 5), ("r9", "c.md", None, 6)]
+    found = change.relocated(spark.createDataFrame(rules_, "id string, file string, statement string, line long"), texts)
+    assert rows(found.select("id", "line", "moved", "stale")) == [
+        ("r1", 3, False, False), ("r2", 4, True, False), ("r3", 4, False, True), ("r4", 1, False, True), ("r5", 2, False, True), ("r6", 7, False, True), ("r7", 3, True, False), ("r8", 5, False, True), ("r9", 6, False, True)
+    ]
+    assert found.columns == ["id", "file", "statement", "line", "moved", "stale"]
+    assert rows(change.relocated(found.drop("moved", "stale").filter("false"), texts)) == []

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinwork.functions import prose
+
 IDENTITY = ["rule_id", "file"]
 
 
@@ -120,6 +122,24 @@ def context_counts(sentences: DataFrame, unchecked: DataFrame) -> DataFrame:
     return met.agg(F.count(F.lit(1)).alias("unchecked_n"), F.count_if("rule_like").alias("rule_like_n"))
 
 
+def relocated(rules: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rules (file, statement, line, more columns) with the line on which their sentence now stands in texts (file, text), and two flags.
+
+    ``moved``: the line is another.  ``stale``: the file is gone, or no longer
+    holds the sentence; the rule keeps its last line.  Emphasis, quotes and white
+    space are told apart in neither.  Where a sentence stands more than once, the
+    first counts.  Sentences of one file are looked up once each, however many
+    rules state them.
+    """
+    stated = rules.select("file", "statement").distinct()
+    one = texts.groupBy("file").agg(F.min("text").alias("text"))
+    found = stated.join(one, "file").select("file", "statement", prose.quote_line(F.col("text"), F.col("statement")).cast("long").alias("at")).filter("at IS NOT NULL")
+    met = rules.alias("r").join(found.alias("f"), (F.col("r.file") == F.col("f.file")) & (F.col("r.statement") == F.col("f.statement")), "left")
+    now = F.coalesce(F.col("f.at"), F.col("r.line").cast("long"))
+    kept = [F.col(f"r.{c}") for c in rules.columns if c != "line"]
+    return met.select(*kept, now.alias("line"), F.coalesce(F.col("f.at") != F.col("r.line"), F.lit(False)).alias("moved"), F.col("f.at").isNull().alias("stale"))
+
+
 def remeasured(rules: DataFrame, recorded: DataFrame, current: DataFrame, mode: str) -> DataFrame:
     """rule, exception: the exceptions of rules (rule, family, mode) adopted in another mode, where they are no longer those recorded.
 
@@ -149,3 +169,19 @@ def merged_state(prior: DataFrame, scanned: DataFrame, removed: Column) -> DataF
     """Adoption state: scanned rules win, prior ones are carried, removed ones go.  (id, ...)."""
     carried = prior.join(scanned.select("id"), "id", "left_anti")
     return scanned.unionByName(carried, allowMissingColumns=True).filter(~removed)
+
+
+def ratcheted(prior: DataFrame, recorded: DataFrame, scanned: DataFrame, current: DataFrame, removed: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(rule, exception, state) of the rules in force after a scan, from what is recorded and what breaks them now.
+
+    Exceptions of rules that were in force are ``kept``, ``fixed`` or ``grown``;
+    those of new rules, and of rules in ``baseline``, are ``first`` or ``fixed``.
+    """
+    rule = lambda df, flag: df.select("rule", F.lit(flag).alias("flag"))
+    flags = rule(prior, 1).unionByName(rule(scanned, 2)).unionByName(rule(removed, 4)).unionByName(rule(baseline, 8))
+    in_force = flags.groupBy("rule").agg(F.bit_or("flag").alias("flags")).filter("flags & 3 <> 0 AND flags & 4 = 0")
+    side = lambda df, seen: df.select("rule", "exception", F.lit(seen).alias("seen"))
+    seen = side(recorded, 1).unionByName(side(current, 2)).groupBy("rule", "exception").agg(F.bit_or("seen").alias("seen"))
+    held = F.expr("flags & 1 <> 0 AND flags & 8 = 0")
+    state = F.when(F.col("seen") == 1, "fixed").when(~held, "first").when(F.col("seen") == 3, "kept").otherwise("grown")
+    return seen.join(in_force, "rule").select("rule", "exception", state.alias("state"))

@@ -864,3 +864,44 @@ def unchecked_context(spark: SparkSession, d: str) -> DataFrame:
     of = lambda rest: rows.filter(f"turn % 2 = {rest}").select(F.col("conv_id").alias("doc"), "text").distinct()
     quoted = rows.filter("turn % 2 = 1 AND length(text) >= 20").select(F.substring("text", 3, 14).alias("statement"))
     return change.unchecked_sentences(of(0), of(1), quoted)
+
+
+_PLAIN = "trim(regexp_replace(translate({}, '‘’“”*_`', '\'\'\'\'\"\"'), '\\s+', ' ', 'g'))".replace("\'", "'")
+_EDITED = "CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN 'Notes of *today*.' || chr(10) || chr(10) || text ELSE regexp_replace(text, '^[^' || chr(10) || ']*' || chr(10) || '?', '') END"
+
+
+@query(
+    "WITH s AS (" + ORACLE_SQL["context_sentences"] + f"""),
+r AS (SELECT DISTINCT conv_id, turn, text AS statement, line FROM s),
+t AS (SELECT conv_id, turn, {_EDITED} AS body FROM conversations WHERE turn % 3 <> 2 OR conv_id % 2 <> 0),
+l AS (SELECT conv_id, turn, i, length({_PLAIN.format("parts[i]")}) AS n FROM (SELECT conv_id, turn, string_split(body, chr(10)) AS parts FROM t), unnest(range(1, len(parts) + 1)) u(i)),
+total AS (SELECT conv_id, turn, i, sum(n) OVER w + greatest(count(*) FILTER (n > 0) OVER w - 1, 0) AS upto FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+p AS (SELECT r.conv_id, r.turn, statement, r.line, CASE WHEN {_PLAIN.format("statement")} <> '' THEN instr({_PLAIN.format("body")}, {_PLAIN.format("statement")}) ELSE 0 END AS place FROM r LEFT JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn),
+f AS (SELECT p.conv_id, p.turn, statement, p.line, p.place, count(*) FILTER (upto < place) + 1 AS found FROM p LEFT JOIN total USING (conv_id, turn) GROUP BY ALL)
+SELECT conv_id, turn, statement, line AS last_line, CASE WHEN place > 0 THEN found ELSE line END AS line, coalesce(place > 0, false) AND found <> line AS moved, NOT coalesce(place > 0, false) AS stale FROM f"""
+)
+def relocated_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each sentence as a rule's quote; its file then gets a heading, loses its first line, or goes."""
+    file = F.concat_ws("/", "conv_id", "turn")
+    stated = context_sentences(spark, d).select("conv_id", "turn", F.col("text").alias("statement"), "line").distinct()
+    text = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Notes of *today*.\n\n"), "text")).otherwise(F.regexp_replace("text", r"\A[^\n]*\n?", ""))
+    texts = bridge.table(spark, d, "conversations").filter("turn % 3 <> 2 OR conv_id % 2 <> 0").select(file.alias("file"), text.alias("text"))
+    found = change.relocated(stated.withColumn("file", file).withColumn("last_line", F.col("line")), texts)
+    return found.select("conv_id", "turn", "statement", "last_line", "line", "moved", "stale")
+
+
+@query(
+    _with(
+        """SELECT rule, exception, CASE WHEN NOT cur THEN 'fixed' WHEN rule = 'click' OR rule = 'signup' THEN 'first' WHEN rec THEN 'kept' ELSE 'grown' END AS state FROM (
+  SELECT rule, exception, bool_or(s = 0) AS rec, bool_or(s = 1) AS cur FROM (
+    SELECT rule_id AS rule, file AS exception, 0 AS s FROM base UNION ALL SELECT rule_id, file, 1 FROM head) GROUP BY 1, 2)
+WHERE rule <> 'error'"""
+    )
+)
+def ratcheted_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as rules: one goes, one is recorded anew, one is new, the others may only shrink."""
+    of = lambda dropped: bridge.snapshot(spark, d, dropped).select(F.col("rule_id").alias("rule"), F.col("file").alias("exception"))
+    recorded, current = of(0), of(1)
+    one = lambda name: current.filter(F.col("rule") == name).select("rule").distinct()
+    prior = recorded.select("rule").distinct().filter("rule <> 'signup'")
+    return change.ratcheted(prior, recorded, current.select("rule").distinct().filter("rule <> 'error'"), current, one("error"), one("click"))
