@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veinwork.functions import paths
-from veinwork.operators import detectors, globjoin, targets
+from veinwork.operators import detectors, globjoin, references, targets
 from veinwork.plans import scan as plan
 from veinwork.sources import settings
 
@@ -193,3 +193,9 @@ def test_entries_are_moved_to_the_sources_that_they_are_built_from(spark):
     assert {b for a, b, k in named_edges(c, c.references) if k == "entry"} == {"src/cli.ts", "cli.ts", "p/code/i.ts", "p/code/esm/deep.tsx"}
     assert {r["path"] for r in c.orphans().collect()} == {"p/code/i.mts", "p/code/other.ts", "q/x.ts", "r/src/unnamed.ts"}
     c.close()
+
+
+def test_unknown_parts_of_a_computed_path_may_be_empty(spark):
+    files = spark.createDataFrame([("src/promo/a/p1.ts",), ("src/promo/a/p12.ts",), ("src/promo/p1.ts",), ("src/promo/a/b/p1.ts",), ("src/promo/a/p2.ts",)], "path string")
+    found = references.computed_targets(files, [("one", ["src/promo/", None, "/p1", None, ".ts"])])
+    assert sorted(r["path"] for r in found.collect()) == ["src/promo/a/p1.ts", "src/promo/a/p12.ts"]

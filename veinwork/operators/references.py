@@ -77,8 +77,8 @@ def scoped_imports(imports: DataFrame, files: DataFrame, scopes: DataFrame) -> D
 
 
 def computed_pattern(parts: list[str | None]) -> str:
-    """A path put together from literals and unknown values (None) as a regular expression: an unknown stays inside one folder."""
-    return "^" + "".join("[^/]+" if p is None else re.escape(p) for p in parts) + "$"
+    """A path put together from literals and unknown values (None) as a regular expression: an unknown stays inside one folder and may be empty."""
+    return "^" + "".join("[^/]*" if p is None else re.escape(p) for p in parts) + "$"
 
 
 def computed_targets(files: DataFrame, templates: list[tuple[str, list[str | None]]]) -> DataFrame:
