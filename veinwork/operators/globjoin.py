@@ -5,6 +5,11 @@ ends in, else the extension; a path has a key for each folder above it and
 each kind of ending.  So a pair meets under one key at most, and is then
 verified by the glob's regular expression, which is a column: nothing is
 compiled on the driver.
+
+Keys of paths are many more rows than their files, which the planner does not
+see, so the sides are shuffled whatever it takes them for.  Paths of a key are
+dealt in ``SPREAD`` parts, to each of which its globs go, so that no key, like
+all files of an extension, is one task's.
 """
 
 from __future__ import annotations
@@ -14,6 +19,9 @@ from pyspark.sql import functions as F
 
 from veinwork.functions import paths
 
+#: Parts in which the paths of a key are dealt.
+SPREAD = 16
+
 
 def pattern(glob: Column) -> Column:
     """A glob as a regular expression of whole paths, as ``paths.glob_regex`` makes it."""
@@ -52,11 +60,12 @@ def matches(globs: DataFrame, files: DataFrame) -> DataFrame:
     based = "base" in globs.columns
     if based:
         folder = F.when(F.col("base") == "", folder).when(folder == "", F.col("base")).otherwise(F.concat("base", F.lit("/"), folder))
-    own = globs.withColumns({"folder": folder, "tail": tail, "pattern": pattern(F.col("glob"))})
+    own = globs.withColumns({"folder": folder, "tail": tail, "pattern": pattern(F.col("glob"))}).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     ending = F.concat(F.lit("*"), F.regexp_extract("path", r"(\.[^./]+)$", 1))
     tails = F.array_distinct(F.array(F.substring_index("path", "/", -1), ending, F.lit("*")))
-    keyed = files.select("app", "id", "path", F.explode(tails).alias("tail")).withColumn("folder", F.explode(paths.ancestors(F.col("path"))))
-    met = own.join(keyed, ["app", "folder", "tail"]).select(*globs.columns, "id", "path", "pattern")
+    part = F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int").alias("part")
+    keyed = files.select("app", "id", "path", part, F.explode(tails).alias("tail")).withColumn("folder", F.explode(paths.ancestors(F.col("path"))))
+    met = own.join(keyed.hint("merge"), ["app", "folder", "tail", "part"]).select(*globs.columns, "id", "path", "pattern")
     inside = "substring(path, if(base = '', 1, length(base) + 2))" if based else "path"
     return met.filter(F.expr(f"{inside} RLIKE pattern")).drop("pattern")
 
