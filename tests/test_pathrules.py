@@ -1,6 +1,8 @@
 import json
 
-from veinwork.operators import pathrules
+from pyspark.sql import functions as F
+
+from veinwork.operators import globjoin, pathrules
 from veinwork.plans import scan as plan
 from veinwork.sources import settings
 
@@ -62,3 +64,13 @@ def test_scan_leaves_out_what_is_ignored_and_tells_what_is_shipped(spark):
     assert sorted(r["path"] for r in c.files.collect()) == ["other/o.ts", "src/a.ts", "src/open.ts"]
     assert sorted(map(tuple, c.orphans().collect())) == [("other/o.ts", "orphan"), ("src/a.ts", "shipped"), ("src/open.ts", "shipped")]
     c.close()
+
+
+def test_exploded_paths_are_never_broadcast(spark):
+    """The planner takes keys of paths for as many rows as the files."""
+    files = spark.createDataFrame([(k, f"src/l{k % 3}/b{k}/p{k}.ts") for k in range(50)], "id long, path string").withColumn("app", F.lit("app"))
+    globs = files.select("app", F.concat(F.lit("src/**/b"), "id", F.lit("/*.ts")).alias("glob"))
+    lines = files.select("app", F.lit("src").alias("dir"), F.lit(0).alias("line"), F.concat(F.lit("b"), "id", F.lit("/")).alias("text"))
+    for found in (globjoin.matches(globs, files), pathrules.left_out(files, lines)):
+        assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert found.count() == 50

@@ -63,7 +63,8 @@ def left_out(files: DataFrame, lines: DataFrame, partial: bool = False, nocase:
     last = met.groupBy("app", "base", "path", "id").agg(F.max_by("keeps", "line").alias("keeps")).filter("NOT keeps")
     self_and_above = F.concat(F.transform(paths.ancestors(F.col("path")), lambda p: F.struct(p.alias("path"), F.lit(True).alias("folder"))), F.array(F.struct(F.col("path").alias("path"), F.lit(False).alias("folder"))))
     walked = own.select("app", F.col("id").alias("file"), F.explode(self_and_above).alias("x")).select("app", "file", "x.path", F.col("x.folder").alias("id"))
-    return walked.join(last, ["app", "path", "id"]).select(F.col("file").alias("id"), F.col("base").alias("dir")).distinct()
+    # rows for each folder above a file, which the planner takes for as many as the files
+    return walked.hint("merge").join(last, ["app", "path", "id"]).select(F.col("file").alias("id"), F.col("base").alias("dir")).distinct()
 
 
 def not_ignored(files: DataFrame, written: DataFrame) -> DataFrame:
