@@ -266,3 +266,17 @@ def test_relocated_rules(spark):
     ]
     assert found.columns == ["id", "file", "statement", "line", "moved", "stale"]
     assert rows(change.relocated(found.drop("moved", "stale").filter("false"), texts)) == []
+
+
+def test_sentences_and_statements_meet_by_all_their_first_characters(spark):
+    """Every statement begins alike, so few pairs may share a key; all lengths of keys, and the empty one, are met."""
+    text = lambda n: "the " + "".join(chr(97 + (n * k * k + k) % 23) for k in range(40))
+    parts = ["", "e", "ye", *(text(n)[: 4 + n] for n in range(40))]
+    wholes = [f"so {text(n)} ends" for n in range(40)]
+    found = change._holders(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string"))
+    assert sorted(map(tuple, found.collect())) == sorted((p, w) for p in set(parts) for w in wholes if p in w)
+    fresh = spark.createDataFrame([("d", w) for w in wholes], "doc string, text string")
+    quoted = spark.createDataFrame([(p,) for p in parts[10:]] + [(f"{w} and on",) for w in wholes[:3]], "statement string")
+    plan = change.unchecked_sentences(fresh, fresh.limit(0), quoted)
+    held = {w for w in wholes if any(p in w for p in parts[10:])} | set(wholes[:3])
+    assert sorted(r["text"] for r in plan.collect()) == sorted(set(wholes) - held)

@@ -95,25 +95,36 @@ def located(findings: DataFrame, lines: DataFrame) -> DataFrame:
     return findings.join(one, ["rule_id", "file", "subject"], "left").select(*findings.columns, F.when(F.col("n") == 1, F.col("at")).alias("at"))
 
 
-def _grams(text: Column) -> Column:
-    """The empty string and all distinct substrings of one to three characters."""
-    each = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda k: F.substring(text, k, F.lit(n)))
-    return F.array_distinct(F.concat(F.array(F.lit("")), each(1), each(2), each(3)))
+def _rung(text: Column) -> Column:
+    """How many first characters of a text are its key: all up to 16, else 16, 24 or 32."""
+    n = F.length(text)
+    return F.when(n < 16, n).when(n < 24, 16).when(n < 32, 24).otherwise(F.when(n.isNotNull(), 32))
 
 
-def unchecked_sentences(head: DataFrame, base: DataFrame, quoted: DataFrame) -> DataFrame:
-    """Sentences (doc, text) that the base lacks and no quoted statement holds or is held by.
+def _holders(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole): texts ``whole`` that hold a text ``part``, itself included.
 
-    Whatever holds a text holds its first three characters, so the two sides
-    meet by equality before they are compared.
+    Whatever holds a text holds its first characters, so the two sides meet by
+    equality: a whole has a key for each place and each length of keys that occurs.
     """
+    longest = wholes.agg(F.max(F.length("whole")).alias("longest"))
+    own = parts.crossJoin(F.broadcast(longest)).filter(F.length("part") <= F.col("longest")).select("part", _rung(F.col("part")).alias("n"))
+    rungs = own.agg(F.collect_set("n").alias("rungs"))  # one row of at most 19 lengths
+    places = lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(1), F.length("whole") - n + 1), lambda k: F.substring(F.col("whole"), k, n)))
+    keys = F.array_distinct(F.flatten(F.transform(F.filter("rungs", lambda n: n <= F.length("whole")), places)))
+    keyed = wholes.crossJoin(F.broadcast(rungs)).select("whole", F.explode(keys).alias("key"))
+    # many more rows than texts, which the planner does not see
+    met = own.select("part", F.substring(F.col("part"), F.lit(1), F.col("n")).alias("key")).join(keyed.hint("merge"), "key")
+    return met.filter(F.col("whole").contains(F.col("part"))).select("part", "whole")
+
+
+def unchecked_sentences(head: DataFrame, base: DataFrame, quoted: DataFrame) -> DataFrame:
+    """Sentences (doc, text) that the base lacks and no quoted statement holds or is held by."""
     fresh = head.join(base.select("doc", "text").distinct(), ["doc", "text"], "left_anti")
-    statements = quoted.select("statement").distinct()
-    start = lambda c: F.substring(c, 1, 3)
-    longer = fresh.select("doc", "text", F.explode(_grams(F.col("text"))).alias("key")).join(statements.withColumn("key", start("statement")), "key").filter(F.col("text").contains(F.col("statement")))
-    shorter = fresh.withColumn("key", start("text")).join(statements.select("statement", F.explode(_grams(F.col("statement"))).alias("key")), "key").filter(F.col("statement").contains(F.col("text")))
-    held = longer.select("doc", "text").unionByName(shorter.select("doc", "text")).distinct()
-    return fresh.join(held, ["doc", "text"], "left_anti")
+    texts, statements = fresh.select("text").distinct(), quoted.select("statement").distinct()
+    longer = _holders(statements.toDF("part"), texts.toDF("whole")).select(F.col("whole").alias("text"))
+    shorter = _holders(texts.toDF("part"), statements.toDF("whole")).select(F.col("part").alias("text"))
+    return fresh.join(longer.unionByName(shorter).distinct(), "text", "left_anti").select("doc", "text")
 
 
 def context_counts(sentences: DataFrame, unchecked: DataFrame) -> DataFrame:
