@@ -280,3 +280,16 @@ def test_sentences_and_statements_meet_by_all_their_first_characters(spark):
     plan = change.unchecked_sentences(fresh, fresh.limit(0), quoted)
     held = {w for w in wholes if any(p in w for p in parts[10:])} | set(wholes[:3])
     assert sorted(r["text"] for r in plan.collect()) == sorted(set(wholes) - held)
+
+
+def test_relocated_rules_look_at_a_text_once_a_rule(spark):
+    """A file of many lines and rules: the place of a sentence is not found anew for each line."""
+    import time
+
+    lines = [f"Rule {k} *says* {k * k}." for k in range(1500)]
+    texts = spark.createDataFrame([("a.md", "\n".join(lines))], "file string, text string")
+    stated = spark.createDataFrame([("a.md", x, 1) for x in lines], "file string, statement string, line long")
+    start = time.time()
+    found = change.relocated(stated, texts).select("statement", "line").collect()
+    assert {r["statement"]: r["line"] for r in found} == {x: k + 1 for k, x in enumerate(lines)}
+    assert time.time() - start < 60

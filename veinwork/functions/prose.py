@@ -41,15 +41,24 @@ def plain(markdown: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(markdown, "‘’“”*_`", "''\"\""), r"\s+", " "))
 
 
-def quote_line(text: Column, quote: Column) -> Column:
-    """The line, from 1, on which a quote begins in a text once both are plain; null if it is not there."""
-    at = F.instr(plain(text), plain(quote))
-    lengths = F.transform(F.split(text, "\n"), lambda line: F.length(plain(line)))
+def line_lengths(text: Column) -> Column:
+    """Lengths of a text's lines once they are plain."""
+    return F.transform(F.split(text, "\n"), lambda line: F.length(plain(line)))
+
+
+def line_at(body: Column, lengths: Column, quote: Column) -> Column:
+    """The line, from 1, on which a quote begins in a text that is plain (``body``, ``line_lengths``) once it is plain too; null if it is not there."""
+    at = F.instr(body, plain(quote))
 
     def step(s: Column, n: Column) -> Column:
-        """Characters of the plain text so far, and lines that end before the quote."""
+        """Characters of the plain text so far, and lines that end before the quote; its place is handed on, not found anew for each line."""
         total = F.when(n > 0, s["total"] + n + F.when(s["total"] > 0, 1).otherwise(0)).otherwise(s["total"])
-        return F.struct(total.alias("total"), (s["passed"] + F.when(total < at, 1).otherwise(0)).alias("passed"))
+        return F.struct(total.alias("total"), (s["passed"] + F.when(total < s["at"], 1).otherwise(0)).alias("passed"), s["at"].alias("at"))
 
-    passed = F.aggregate(lengths, F.struct(F.lit(0).alias("total"), F.lit(0).alias("passed")), step, lambda s: s["passed"])
+    passed = F.aggregate(lengths, F.struct(F.lit(0).alias("total"), F.lit(0).alias("passed"), at.alias("at")), step, lambda s: s["passed"])
     return F.when((at > 0) & (F.length(plain(quote)) > 0), passed + 1)
+
+
+def quote_line(text: Column, quote: Column) -> Column:
+    """``line_at`` of a text as it is."""
+    return line_at(plain(text), line_lengths(text), quote)

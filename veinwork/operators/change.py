@@ -143,8 +143,8 @@ def relocated(rules: DataFrame, texts: DataFrame) -> DataFrame:
     rules state them.
     """
     stated = rules.select("file", "statement").distinct()
-    one = texts.groupBy("file").agg(F.min("text").alias("text"))
-    found = stated.join(one, "file").select("file", "statement", prose.quote_line(F.col("text"), F.col("statement")).cast("long").alias("at")).filter("at IS NOT NULL")
+    one = texts.groupBy("file").agg(F.min("text").alias("text")).select("file", prose.plain(F.col("text")).alias("body"), prose.line_lengths(F.col("text")).alias("lengths"))  # once a file
+    found = stated.join(one, "file").select("file", "statement", prose.line_at(F.col("body"), F.col("lengths"), F.col("statement")).cast("long").alias("at"))
     met = rules.alias("r").join(found.alias("f"), (F.col("r.file") == F.col("f.file")) & (F.col("r.statement") == F.col("f.statement")), "left")
     now = F.coalesce(F.col("f.at"), F.col("r.line").cast("long"))
     kept = [F.col(f"r.{c}") for c in rules.columns if c != "line"]
