@@ -293,3 +293,10 @@ def test_relocated_rules_look_at_a_text_once_a_rule(spark):
     found = change.relocated(stated, texts).select("statement", "line").collect()
     assert {r["statement"]: r["line"] for r in found} == {x: k + 1 for k, x in enumerate(lines)}
     assert time.time() - start < 60
+
+
+def test_leaf_files_do_not_go_through_the_driver(spark):
+    hops = spark.range(1, 50).selectExpr("id div 2 AS src", "id AS dst")
+    found = graph.leaf_files(hops, hops.selectExpr("src AS id").distinct())
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {r["leaf"] for r in found.collect()} == set(range(25, 50))

@@ -376,10 +376,16 @@ def orphans(files: DataFrame, edges: DataFrame, entry: Column, shipped: Column |
 
 
 def leaf_files(reexports: DataFrame, barrels: DataFrame) -> DataFrame:
-    """(barrel, leaf): files that are not barrels, reached over re-exports; semi-naive, one join a round, until nothing is new."""
-    hop = reexports.select(F.col("src").alias("via"), F.col("dst").alias("leaf")).distinct()
-    seen = front = kept(barrels.select(F.col("id").alias("barrel"), F.col("id").alias("via")).join(hop, "via").select("barrel", "leaf").distinct())
+    """(barrel, leaf): files that are not barrels, reached over re-exports; semi-naive, one join a round, until nothing is new.
+
+    All sides grow with the files, so none goes through the driver, however
+    small its columns are.
+    """
+    hop = stored(reexports.select(F.col("src").alias("via"), F.col("dst").alias("leaf")).distinct())
+    known = ["barrel", "leaf"]
+    seen = front = stored(barrels.select(F.col("id").alias("barrel"), F.col("id").alias("via")).join(hop.hint("merge"), "via").select(*known).distinct())
     while not front.isEmpty():
-        front = kept(front.withColumnRenamed("leaf", "via").join(hop, "via").select("barrel", "leaf").distinct().join(seen, ["barrel", "leaf"], "left_anti"))
-        seen = kept(seen.unionByName(front))
-    return seen.join(barrels.select(F.col("id").alias("leaf")), "leaf", "left_anti").select("barrel", "leaf")
+        near = front.withColumnRenamed("leaf", "via").join(hop.hint("merge"), "via").select(*known).distinct()
+        front = stored(near.join(seen.hint("merge"), known, "left_anti"))
+        seen = seen.unionByName(front)
+    return seen.join(barrels.select(F.col("id").alias("leaf")).hint("merge"), "leaf", "left_anti").select(*known)
