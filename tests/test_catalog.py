@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from veinwork.plans import catalog, resolution  # noqa: F401  (registers its queries)
+from veinwork.sources import bridge
 
 DATA = "/root/testdata/sf0.001"
 
@@ -28,3 +29,10 @@ def test_query_equals_its_sql(spark, tables, name):
     got, expected = catalog.QUERIES[name](spark, DATA).toPandas(), tables.sql(catalog.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert normal(got) == normal(expected)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_gates_derive_edges_once(spark):
+    plan = catalog.scan_gates(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert " AS o#" not in plan  # the join of lineitem with itself
+    assert not bridge._shared

@@ -610,8 +610,9 @@ _GATED = " UNION ALL ".join(
 
 @query(_GATED)
 def scan_gates(spark: SparkSession, d: str) -> DataFrame:
-    found = {family: QUERIES[name](spark, d) for family, (name, *_) in GATED.items()}
-    return findings.gates(found | {"cycles": findings.cycles_gate(bridge.files(spark, d), graph.cyclic_nodes(_user_app(spark, d)))})
+    with bridge.shared(spark, d, graph.stored):  # edges are a join of the largest table with itself, which a dozen families start from
+        found = {family: QUERIES[name](spark, d) for family, (name, *_) in GATED.items()}
+        return findings.gates(found | {"cycles": findings.cycles_gate(bridge.files(spark, d), graph.cyclic_nodes(_user_app(spark, d)))})
 
 
 @query(f"SELECT *, CASE WHEN status = 'AUTO' AND family IN ({', '.join(repr(f) for f in rules.STABLE)}) THEN 'enforce' ELSE 'review' END AS adoption FROM ({_GATED}) WHERE status <> 'REJECT'")

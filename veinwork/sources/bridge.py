@@ -7,6 +7,9 @@ table expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,22 @@ from veinwork.functions import paths, roles
 _SUFFIXES = (".controller.ts", ".service.ts", ".repository.ts", ".test.ts", ".stories.tsx", ".tsx", ".ts")
 
 
+#: Relations that are worked out once for all queries built inside ``shared``, by folder and name.
+_shared: dict[tuple[str, str], DataFrame] = {}
+
+
+@contextmanager
+def shared(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame]) -> Iterator[None]:
+    """What is built inside reads files, edges and imports as ``keep`` stored them, instead of deriving them anew each time."""
+    for relation in (files, edges, imports):
+        _shared[sf_dir, relation.__name__] = keep(relation(spark, sf_dir))
+    try:
+        yield
+    finally:
+        for relation in (files, edges, imports):
+            _shared.pop((sf_dir, relation.__name__), None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +44,8 @@ def _suffix(size: Column) -> Column:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, path, layer, slice, role, role_confidence, matched_rule."""
+    if (sf_dir, "files") in _shared:
+        return _shared[sf_dir, "files"]
     part = table(spark, sf_dir, "part")
     slice_ = F.replace("p_brand", F.lit("#"), F.lit("-"))
     path = F.concat(F.lit("src/"), F.lower("p_type"), F.lit("/"), F.lower(slice_), F.lit("/p"), F.col("p_partkey").cast("string"), _suffix(F.col("p_size")))
@@ -34,6 +55,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: distinct imports between files, one join of lineitem with itself and two lookups."""
+    if (sf_dir, "edges") in _shared:
+        return _shared[sf_dir, "edges"]
     line = table(spark, sf_dir, "lineitem")
     a = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("src"))
     b = line.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("dst"))
@@ -46,6 +69,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, spec: specifiers of several kinds."""
+    if (sf_dir, "imports") in _shared:
+        return _shared[sf_dir, "imports"]
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     supp = F.col("l_suppkey").cast("string")
     kind = F.col("l_linenumber")
