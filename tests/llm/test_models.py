@@ -509,6 +509,37 @@ def test_model_share_is_the_likeliest():
     assert lm_scoring.best_share(base, base * 100) > 0.99 and lm_scoring.best_share(base, base / 100) < 0.01
 
 
+def test_learning_costs_a_few_times_scoring():
+    """In one process and the best of three: some three times, and five to six before."""
+    draw = np.random.default_rng(4)
+    ids, counts = np.minimum(draw.zipf(1.3, 40000), 20000).astype(np.int64), np.full(50, 800)
+    model = attention_model.AttentionModel(np.bincount(ids, minlength=20002), 20001, np.arange(20002) % 2 == 1)
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: model.train(ids, counts, 1)) < 4.2 * least(lambda: model.scores(ids, counts))
+
+
+def test_scores_before_learning_are_noted():
+    """Of every id once, by the model before the step that first learns from it."""
+    model = small_model()
+    ids, counts = np.tile([1, 2, 3, 4, 1, 2, 9], 60), np.full(60, 7)
+    expected = model.scores(ids, counts)
+    logs = np.full(len(ids), np.nan), np.full(len(ids), np.nan)
+    model.train(ids, counts, 12, (0.0, 0.0), batch=16, logs=logs)
+    for mine, wanted in zip(logs, expected):
+        assert np.allclose(mine, wanted, atol=1e-3)
+    again = np.full(len(ids), np.nan), np.full(len(ids), np.nan)
+    model.train(ids, counts, 12, (0.01, 0.01), batch=16, logs=again)
+    assert np.isfinite(again[0]).all() and np.isfinite(again[1]).all() and not np.allclose(again[0], model.scores(ids, counts)[0], atol=1e-3)
+
+
 def test_share_does_not_shrink_where_words_repeat(spark):
     """Each word follows the one before it and none occurs once: the model, not the counts, knows what comes."""
     alphabet = "the of and to in that was for with his".split(" ")
