@@ -540,6 +540,42 @@ def test_scores_before_learning_are_noted():
     assert np.isfinite(again[0]).all() and np.isfinite(again[1]).all() and not np.allclose(again[0], model.scores(ids, counts)[0], atol=1e-3)
 
 
+def test_share_comes_from_all_windows_of_later_rounds(monkeypatch, spark, tmp_path):
+    monkeypatch.setattr(lm_scoring, "ASIDE", 5)
+    monkeypatch.setattr(lm_scoring, "STEPS", 8)
+    docs = lm_scoring.blocked(frame(spark, [(i, f"{'common ' * (1 + i % 3)}text{i} of many") for i in range(1, 400)]), "doc_id", "text", 512)
+    model, aside, met = lm_scoring._trained_and_met(docs, RANKS, f"file://{tmp_path}/one", shard=40)
+    met = met.toPandas()
+    number = {i: 4 - 1 + i % 3 + 1 for i in range(1, 400)}
+    later = spark.createDataFrame([(f"{i}:0",) for i in number], "id string").filter(f"pmod(xxhash64('round', id), {lm_scoring.ROUNDS}) > 0")
+    own = {int(t.split("text")[1].split()[0]) for t, _ in aside}
+    train = {r["doc_id"] for r in docs.filter("NOT held_out").collect()} - own
+    wanted = {int(r["id"].split(":")[0]) for r in later.collect()} & train
+    assert len(aside) < 30 < len(wanted) and met["n"].sum() == sum(number[i] for i in wanted)
+    common = met[met["word"] == met.groupby("word")["n"].sum().idxmax()]
+    assert set(met["own"]) == {1, 2, 3} and common.groupby("own")["n"].sum().to_dict() != {} and (met["level"] >= 0).all()
+
+
+def test_words_before_learning_agree_with_word_scores():
+    bpe = lm_scoring.vocabulary(RANKS)
+    end = len(bpe.token_length)
+    boundary = np.append(bpe.token_bytes[np.minimum(bpe.token_begin, len(bpe.token_bytes) - 1)] == 0x20, True)
+    model = attention_model.AttentionModel(np.ones(end + 1), end, boundary)
+    windows = ["Unbelievable things, things and so", "a second one", "", "cut in the mid"]
+    finals = [True, True, True, False]
+    ids, counts = lm_scoring._sequences(windows, finals, bpe, end)
+    met = lm_scoring._met_words(windows, finals, bpe, *model.scores(ids, counts), counts)
+    raw, offsets = lm_scoring.texts(pa.array(windows))
+    starts, ends, number = lm_scoring.spans(raw, offsets)
+    scores, _ = lm_scoring.word_scores(bpe, model, raw, starts, ends, number)
+    hashes = lm_scoring.span_hashes(raw, starts, ends).view(np.int64)[:-1]  # no one knows where the last word ends
+    for word in set(hashes.tolist()):
+        mine = met[met["word"] == word]
+        assert mine["n"].sum() == (hashes == word).sum() and (mine["own"] == (hashes == word).sum()).all()
+        assert np.allclose(np.sort(np.repeat(mine["level"], mine["n"])), np.sort(np.minimum(-scores[:-1][hashes == word] * lm_scoring.LEVELS, lm_scoring.LEAST - 1)), atol=0.51)
+    assert met["n"].sum() == len(hashes)
+
+
 def test_share_does_not_shrink_where_words_repeat(spark):
     """Each word follows the one before it and none occurs once: the model, not the counts, knows what comes."""
     alphabet = "the of and to in that was for with his".split(" ")
