@@ -172,6 +172,19 @@ def test_compact_windows(sizes, width, seed):
     assert found == sorted(expected)
 
 
+def test_entries_of_a_large_key_meet_in_blocks(monkeypatch, spark):
+    """Every two of different classes once, and no group of entries that meet has a whole key."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 20)
+    draw = random.Random(6)
+    rows = [(key, draw.getrandbits(63) - (1 << 62), doc, doc % 7, 0, doc % 3) for key, size in ((1, 300), (2, 5), (3, 1)) for doc in range(size)]
+    nodes = spark.createDataFrame(rows, "key long, node long, doc long, place int, reach int, label long")
+    entry = ["node", "doc", "place", "reach", "label"]
+    found = [(r["key"], *sorted((r["doc"], r["head"]))) for r in substring_dedup._paired(nodes, entry).collect()]
+    assert sorted(found) == [(key, a, b) for key, size in ((1, 300), (2, 5)) for a in range(size) for b in range(a + 1, size) if a % 3 != b % 3]
+    for side in substring_dedup._blocks(nodes, entry):
+        assert side.groupBy("key", "x", "y").count().agg({"count": "max"}).first()[0] < 60
+
+
 def test_repeated_passages(spark, corpus):
     found = substring_dedup.repeated_passages(frame(spark, corpus)).toPandas()
     places = {}
