@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import tracemalloc
@@ -185,6 +186,41 @@ def test_entries_of_a_large_key_meet_in_blocks(monkeypatch, spark):
         assert side.groupBy("key", "x", "y").count().agg({"count": "max"}).first()[0] < 60
 
 
+def test_groups_of_documents_meet_after_one_another(monkeypatch, spark):
+    draw = random.Random(29)
+    short, shared = words(draw, 28), words(draw, 60)
+    texts = [f"{words(draw, 60)} {short} {words(draw, 60)}" for _ in range(60)] + [f"{words(draw, 9)} {short} {words(draw, 70)} {shared} {words(draw, 9)}" for _ in range(4)]
+    monkeypatch.setattr(substring_dedup, "LEADERS", 0)
+    monkeypatch.setattr(substring_dedup, "AT_ONCE", 4, raising=False)
+    sizes, tables = {}, set()
+
+    def noted(df, path):
+        out = workspace.written(df, path)
+        tables.add(path)
+        if "/pairs_" in path:
+            sizes[path] = out.select("a", "b").collect()
+        return out
+
+    monkeypatch.setattr(substring_dedup, "written", noted)
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(frame(spark, list(enumerate(texts)))).collect()}
+    assert {(a, b) for a, b in found if a < 60} == set() and {x for p in found for x in p} == set(range(60, 64))
+    last = [v for k, v in sizes.items() if "/pairs_0" not in k]
+    pairs = [(r["a"], r["b"]) for v in last for r in v]
+    assert len(pairs) == len(set(pairs)) >= 60 * 59 // 2 - 59  # every two once, but for those that met a head before
+    assert max(map(len, last)) < len(pairs) // 2  # not all at a time
+    left = [path for path in tables if os.path.exists(path.removeprefix("file://"))]
+    assert not [path for path in left if re.search("/(links|wanted|unmet|nodes|classes|pairs|beside)", path)], left
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_entries_of_two_groups_meet_once(monkeypatch, spark, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    entry = ["node", "doc", "place", "reach", "label"]
+    of = lambda lo, hi: spark.createDataFrame([(k % 3, 7919 * k, k, 1, 1, k % 4) for k in range(lo, hi)], "key long, node long, doc long, place int, reach int, label long")
+    found = [(r["key"], r["doc"], r["head"]) for r in substring_dedup._paired(of(0, 30), entry, of(30, 70)).collect()]
+    assert sorted(found) == sorted((a % 3, a, b) for a in range(30) for b in range(30, 70) if a % 3 == b % 3 and a % 4 != b % 4)
+
+
 def test_repeated_passages(spark, corpus):
     found = substring_dedup.repeated_passages(frame(spark, corpus)).toPandas()
     places = {}
