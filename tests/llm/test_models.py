@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from tests.llm.conftest import frame, words
 from tests.llm.test_dedup_and_joins import tokens
 from tests.llm.test_tokens import RANKS
-from veinwork.llm import attention_model, byte_bpe, decontaminate, language_id, license_scan, lm_scoring, personal_data
+from veinwork.llm import attention_model, byte_bpe, decontaminate, language_id, license_scan, lm_scoring, personal_data, workspace
 from veinwork.llm.textbatch import word_hashes
 
 
@@ -477,6 +477,35 @@ def test_every_window_is_learned_from(monkeypatch, spark, tmp_path):
     assert sorted(np.concatenate(picked).tolist()) == list(range(0, 4000, 4))
 
 
+def test_words_are_counted_and_heaps_are_empty_before_training(monkeypatch, spark, corpus, tmp_path):
+    class Reached(Exception):
+        pass
+
+    done = []
+
+    def noted(df, path):
+        done.append(path.rsplit("/", 1)[-1])
+        if done[-1].startswith("models"):
+            raise Reached
+        return workspace.written(df, path)
+
+    def train(docs, path, folder):
+        raise Reached
+
+    monkeypatch.setattr(lm_scoring, "written", noted)
+    monkeypatch.setattr(lm_scoring, "rested", lambda spark: done.append("rested"), raising=False)
+    docs = lm_scoring.blocked(frame(spark, corpus), "doc_id", "text", 512)
+    done.clear()
+    with pytest.raises(Reached):
+        lm_scoring._trained_and_met(docs, RANKS, f"file://{tmp_path}/one")
+    assert done == ["rested", "models0"]
+    monkeypatch.setattr(lm_scoring, "_trained_and_met", train)
+    done.clear()
+    with pytest.raises(Reached):
+        lm_scoring.score_documents(frame(spark, corpus), RANKS)
+    assert done == ["documents", "rested", "blocks", "counts"]
+
+
 def test_lm_scoring(spark, corpus):
     texts = corpus + [(None, "one two")]
     found = lm_scoring.score_documents(frame(spark, texts), RANKS, block_rows=16)
